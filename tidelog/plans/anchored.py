@@ -34,6 +34,7 @@ KIND = "__kind"
 ROW_ID = "__id"
 WINDOW_START = "__window_start"
 POSITION = "__position"
+WIDTH = "__width"
 
 ORDER = [TIME, KIND, ROW_ID]
 
@@ -43,7 +44,7 @@ def anchored_windows(
     keys: list[str],
     ts: str,
     row_id: str,
-    width_us: int,
+    width_us: int | Column,
     *,
     strict: bool = False,
     origin_us: int | None = None,
@@ -52,16 +53,20 @@ def anchored_windows(
 ) -> DataFrame:
     """Add ``__window_start`` (microseconds) and ``__position`` (from 1) to each row.
 
-    ``origin_us`` opens the first window of each key at that time instead of at
-    its first row; no row may be earlier.
+    ``width_us`` may be a column that is constant within a key. ``origin_us``
+    opens the first window of each key at that time instead of at its first row;
+    no row may be earlier.
     """
-    if width_us <= 0:
-        raise ValueError("window must be positive")
-    width = width_us + 1 if strict else width_us
-    base = df.withColumns({TIME: micros(ts), KIND: F.lit(1), ROW_ID: F.col(row_id)})
+    if isinstance(width_us, int):
+        if width_us <= 0:
+            raise ValueError("window must be positive")
+        width_us = F.lit(width_us)
+    width = (width_us + 1 if strict else width_us).cast("long")
+    base = df.withColumns({TIME: micros(ts), KIND: F.lit(1), ROW_ID: F.col(row_id), WIDTH: width})
     slicer = Slicer.plan(base, keys, ORDER, rows_per_task)
 
-    opened = leaders(base.select(*keys, TIME), keys, width, slicer, origin_us, fold_rows, base.schema[ROW_ID].dataType)
+    id_type = base.schema[ROW_ID].dataType
+    opened = leaders(base.select(*keys, TIME, WIDTH), keys, slicer, origin_us, fold_rows, id_type)
     markers = opened.withColumns({KIND: F.lit(0), "__marker": F.lit(True)})
     rows = base.withColumn("__marker", F.lit(False)).unionByName(markers, allowMissingColumns=True)
 
@@ -74,18 +79,20 @@ def anchored_windows(
         scan.result()
         .filter(~F.col("__marker"))
         .withColumns({WINDOW_START: F.col("__open.t"), POSITION: F.col("__rows") - F.col("__open.n")})
-        .drop(TIME, KIND, ROW_ID, "__marker", "__rows", "__open")
+        .drop(TIME, KIND, ROW_ID, WIDTH, "__marker", "__rows", "__open")
     )
 
 
-def leaders(times, keys, width, slicer, origin_us, fold_rows, id_type) -> DataFrame:
-    """The (key, time) pairs that open a window; one row each."""
+def leaders(times, keys, slicer, origin_us, fold_rows, id_type) -> DataFrame:
+    """The (key, time) pairs that open a window; one row each.
+
+    ``times`` has the keys, ``__t`` and ``__width``.
+    """
     if origin_us is not None:
-        start = times.select(*keys).distinct().withColumn(TIME, F.lit(origin_us).cast("long"))
+        start = times.select(*keys, WIDTH).distinct().withColumn(TIME, F.lit(origin_us).cast("long"))
         times = times.unionByName(start)
     if not slicer.hot:
-        small = slicer.largest <= fold_rows
-        return _fold(times, keys, width) if small else _arrow_scan(times, keys, width)
+        return _fold(times, keys) if slicer.largest <= fold_rows else _arrow_scan(times, keys)
 
     ensure_checkpoint_dir(times.sparkSession)
     placed = slicer.attach(
@@ -93,32 +100,33 @@ def leaders(times, keys, width, slicer, origin_us, fold_rows, id_type) -> DataFr
     )
     # The distinct times feed several passes below: keep them, spread as they are.
     placed = placed.checkpoint()
-    cold = placed.filter(F.col(SLICE) < 0).select(*keys, TIME)
-    found = _arrow_scan(cold, keys, width)
-    return found.unionByName(_double(placed.filter(F.col(SLICE) >= 0), keys, width, slicer, id_type))
+    cold = placed.filter(F.col(SLICE) < 0).select(*keys, TIME, WIDTH)
+    found = _arrow_scan(cold, keys)
+    return found.unionByName(_double(placed.filter(F.col(SLICE) >= 0), keys, slicer, id_type))
 
 
-def _fold(times: DataFrame, keys: list[str], width: int) -> DataFrame:
+def _fold(times: DataFrame, keys: list[str]) -> DataFrame:
     walk = Window.partitionBy(*keys).orderBy(TIME)
     running = walk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     gap = F.col(TIME) - F.lag(TIME).over(walk)
-    start = F.when(gap.isNull() | (gap >= width), F.col(TIME))
+    start = F.when(gap.isNull() | (gap >= F.col(WIDTH)), F.col(TIME))
     marked = times.withColumn("__break", start).withColumn(
         "__start", F.last("__break", ignorenulls=True).over(running)
     )
-    candidate = F.when(F.col(TIME) - F.col("__start") >= width, F.col(TIME))
-    listed = marked.groupBy(*keys, "__start").agg(F.sort_array(F.collect_set(candidate)).alias("__later"))
+    candidate = F.when(F.col(TIME) - F.col("__start") >= F.col(WIDTH), F.col(TIME))
+    listed = marked.groupBy(*keys, WIDTH, "__start").agg(F.sort_array(F.collect_set(candidate)).alias("__later"))
     chain = F.aggregate(
         "__later",
         F.array("__start"),
-        lambda acc, x: F.when(x - F.element_at(acc, -1) >= width, F.concat(acc, F.array(x))).otherwise(acc),
+        lambda acc, x: F.when(x - F.element_at(acc, -1) >= F.col(WIDTH), F.concat(acc, F.array(x))).otherwise(acc),
     )
     return listed.select(*keys, F.explode(chain).alias(TIME))
 
 
-def _arrow_scan(times: DataFrame, keys: list[str], width: int) -> DataFrame:
+def _arrow_scan(times: DataFrame, keys: list[str]) -> DataFrame:
     """Sequential scan of each key's sorted times; state is one key and one time."""
     out = times.select(*keys, TIME)
+    names = out.columns
 
     def walk(batches):
         import numpy as np
@@ -129,8 +137,8 @@ def _arrow_scan(times: DataFrame, keys: list[str], width: int) -> DataFrame:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            group = batch.column(batch.num_columns - 1)
-            at = batch.column(batch.num_columns - 2).to_numpy()
+            group = batch.column("__group")
+            at, width = batch.column(TIME).to_numpy(), batch.column(WIDTH).to_numpy()
             changes = pc.not_equal(group.slice(1), group.slice(0, len(group) - 1))
             cuts = np.flatnonzero(changes.to_numpy(zero_copy_only=False)) + 1
             edges = [0, *cuts.tolist(), len(group)]
@@ -142,26 +150,26 @@ def _arrow_scan(times: DataFrame, keys: list[str], width: int) -> DataFrame:
                 i = lo + int(np.searchsorted(at[lo:hi], limit))
                 while i < hi:
                     picked.append(i)
-                    limit = at[i] + width
+                    limit = at[i] + width[i]
                     i = lo + int(np.searchsorted(at[lo:hi], limit))
-            kept = batch.take(pa.array(picked, pa.int64()))
-            yield kept.select(kept.schema.names[:-1])
+            yield batch.take(pa.array(picked, pa.int64())).select(names)
 
-    grouped = out.withColumn("__group", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
+    grouped = times.select(*keys, TIME, WIDTH).withColumn("__group", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
     ordered = grouped.repartition(*[F.col(k) for k in keys]).sortWithinPartitions("__group", TIME)
     return ordered.mapInArrow(walk, out.schema)
 
 
-def _double(placed: DataFrame, keys: list[str], width: int, slicer: Slicer, id_type) -> DataFrame:
+def _double(placed: DataFrame, keys: list[str], slicer: Slicer, id_type) -> DataFrame:
     """Leaders of hot keys by pointer doubling over their distinct times."""
     scan = OrderedScan(placed, tuple(keys), tuple(ORDER), True).lag(__prev=F.col(TIME))
     gap = F.col(TIME) - F.col("__prev")
-    scan = scan.with_df(scan.df.withColumn("__first", gap.isNull() | (gap >= width)))
+    scan = scan.with_df(scan.df.withColumn("__first", gap.isNull() | (gap >= F.col(WIDTH))))
     scan = scan.last(__start=F.when(F.col("__first"), F.col(TIME)))
-    nodes = scan.df.select(*keys, TIME, SLICE, "__first", "__start").checkpoint()
+    nodes = scan.df.select(*keys, TIME, WIDTH, SLICE, "__first", "__start").checkpoint()
 
-    longest = nodes.agg(F.max(F.col(TIME) - F.col("__start")).alias("m")).first()["m"] or 0
-    rounds = math.ceil(math.log2(longest // width + 1)) if longest >= width else 0
+    # A session of this many widths has at most one window more than that.
+    steps = F.floor((F.col(TIME) - F.col("__start")) / F.col(WIDTH))
+    rounds = math.ceil(math.log2((nodes.agg(F.max(steps).alias("m")).first()["m"] or 0) + 1))
     reached = nodes.filter("__first").select(*keys, TIME)
     if rounds == 0:
         return reached
@@ -170,7 +178,11 @@ def _double(placed: DataFrame, keys: list[str], width: int, slicer: Slicer, id_t
     # nodes of the same time, so a walk from the end has just seen that node.
     probes = slicer.attach(
         nodes.select(
-            *keys, (F.col(TIME) + width).alias(TIME), F.lit(0).alias(KIND), F.lit(None).cast(id_type).alias(ROW_ID)
+            *keys,
+            (F.col(TIME) + F.col(WIDTH)).alias(TIME),
+            WIDTH,
+            F.lit(0).alias(KIND),
+            F.lit(None).cast(id_type).alias(ROW_ID),
         )
     )
     both = probes.withColumn("__first", F.lit(None).cast("boolean")).unionByName(
@@ -182,7 +194,7 @@ def _double(placed: DataFrame, keys: list[str], width: int, slicer: Slicer, id_t
     # A session's first time is a leader anyway, so no pointer needs to reach it.
     pointers = (
         seen.df.filter((F.col(KIND) == 0) & ~F.col("__next.first"))
-        .select(*keys, (F.col(TIME) - width).alias("__node"), F.col("__next.t").alias("__to"))
+        .select(*keys, (F.col(TIME) - F.col(WIDTH)).alias("__node"), F.col("__next.t").alias("__to"))
         .checkpoint()
     )
     for step in range(rounds):

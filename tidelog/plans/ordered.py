@@ -50,6 +50,8 @@ class Slicer:
         ``order`` must identify a row within its key, else equal rows can not
         be separated.
         """
+        if df.isStreaming:
+            raise ValueError("ordered operators take tables; tidelog.streaming has their streaming forms")
         counts = df.groupBy(*keys).agg(F.count("*").alias("__n"))
         row = counts.agg(F.sum("__n").alias("total"), F.max("__n").alias("largest")).first()
         total, largest = row["total"] or 0, row["largest"] or 0
@@ -149,75 +151,71 @@ class OrderedScan:
     def _running(self):
         return self.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
-    def _carry(self, aggregate: Column, across) -> DataFrame:
-        """Per hot slice, the value carried in from the slices before it."""
-        per_slice = (
-            self.df.filter(F.col(SLICE) >= 0).groupBy(*self.keys, SLICE).agg(aggregate.alias("__v"))
-        )
+    def _with_carry(self, totals: dict[str, Column], across) -> DataFrame:
+        """Join, per name, the state carried in from the slices before a hot row's own.
+
+        ``totals`` are aggregates of one slice; ``across`` combines those of the
+        slices before. There is one row per slice and at most 2 * MAX_SLICES
+        slices, so the carry table is broadcast.
+        """
+        hot = self.df.filter(F.col(SLICE) >= 0)
+        per_slice = hot.groupBy(*self.keys, SLICE).agg(*[a.alias(f"__v_{n}") for n, a in totals.items()])
         walk = Window.partitionBy(*self.keys).orderBy(*self._direction([SLICE]))
-        before = walk.rowsBetween(Window.unboundedPreceding, -1)
-        return per_slice.select(
+        carry = per_slice.select(
             *[F.col(k).alias(f"__c_{k}") for k in self.keys],
             F.col(SLICE).alias("__c_slice"),
-            across(walk, before).alias("__carry"),
+            *[across(f"__v_{n}", walk).alias(f"__carry_{n}") for n in totals],
         )
-
-    def _with_carry(self, aggregate: Column, across) -> DataFrame:
-        # One row per slice, and there are at most 2 * MAX_SLICES slices.
-        carry = F.broadcast(self._carry(aggregate, across))
         match = _same(
             [F.col(k) for k in self.keys] + [F.col(SLICE)],
             [F.col(f"__c_{k}") for k in self.keys] + [F.col("__c_slice")],
         )
-        return self.df.join(carry, match, "left").drop("__c_slice", *[f"__c_{k}" for k in self.keys])
+        joined = self.df.join(F.broadcast(carry), match, "left")
+        return joined.drop("__c_slice", *[f"__c_{k}" for k in self.keys])
 
     def _latest(self, value: Column, when: Column) -> Column:
         pick = F.min_by if self.descending else F.max_by
         return pick(F.when(when, value), F.when(when, F.struct(*self.order)))
 
+    def _finish(self, df: DataFrame, values: dict[str, Column], carried) -> OrderedScan:
+        df = df.withColumns({n: v for n, v in values.items()})
+        return self.with_df(df.drop(*[f"__carry_{n}" for n in carried]))
+
     def lag(self, **exprs: Column) -> OrderedScan:
         """Values of the previous row; null on a key's first row."""
-        packed = F.struct(*[e.alias(n) for n, e in exprs.items()])
         if not self.sliced:
-            df = self.df.withColumns({n: F.lag(e).over(self.window) for n, e in exprs.items()})
-            return self.with_df(df)
+            return self.with_df(self.df.withColumns({n: F.lag(e).over(self.window) for n, e in exprs.items()}))
+        packed = F.struct(*[e.alias(n) for n, e in exprs.items()])
         df = self._with_carry(
-            self._latest(packed, F.lit(True)), lambda walk, before: F.lag("__v").over(walk)
+            {"lag": self._latest(packed, F.lit(True))}, lambda v, walk: F.lag(v).over(walk)
         )
-        df = df.withColumn("__lag", F.coalesce(F.lag(packed).over(self.window), F.col("__carry")))
-        df = df.withColumns({n: F.col("__lag").getField(n) for n in exprs}).drop("__lag", "__carry")
-        return self.with_df(df)
+        df = df.withColumn("__lag", F.coalesce(F.lag(packed).over(self.window), F.col("__carry_lag")))
+        scan = self._finish(df, {n: F.col("__lag").getField(n) for n in exprs}, ["lag"])
+        return scan.with_df(scan.df.drop("__lag"))
 
     def running_sum(self, **exprs: Column) -> OrderedScan:
         """Inclusive running sums (rows, not ties)."""
+        local = {n: F.sum(e).over(self._running) for n, e in exprs.items()}
         if not self.sliced:
-            df = self.df.withColumns({n: F.sum(e).over(self._running) for n, e in exprs.items()})
-            return self.with_df(df)
-        scan = self
-        for name, expr in exprs.items():
-            df = scan._with_carry(F.sum(expr), lambda walk, before: F.sum("__v").over(before))
-            local = F.sum(expr).over(scan._running)
-            df = df.withColumn(name, local + F.coalesce(F.col("__carry"), F.lit(0))).drop("__carry")
-            scan = scan.with_df(df)
-        return scan
+            return self.with_df(self.df.withColumns(local))
+        df = self._with_carry(
+            {n: F.sum(e) for n, e in exprs.items()},
+            lambda v, walk: F.sum(v).over(walk.rowsBetween(Window.unboundedPreceding, -1)),
+        )
+        return self._finish(
+            df, {n: v + F.coalesce(F.col(f"__carry_{n}"), F.lit(0)) for n, v in local.items()}, exprs
+        )
 
     def last(self, **exprs: Column) -> OrderedScan:
         """The last non-null value up to and including each row."""
+        local = {n: F.last(e, ignorenulls=True).over(self._running) for n, e in exprs.items()}
         if not self.sliced:
-            df = self.df.withColumns(
-                {n: F.last(e, ignorenulls=True).over(self._running) for n, e in exprs.items()}
-            )
-            return self.with_df(df)
-        scan = self
-        for name, expr in exprs.items():
-            df = scan._with_carry(
-                scan._latest(expr, expr.isNotNull()),
-                lambda walk, before: F.last("__v", ignorenulls=True).over(before),
-            )
-            local = F.last(expr, ignorenulls=True).over(scan._running)
-            df = df.withColumn(name, F.coalesce(local, F.col("__carry"))).drop("__carry")
-            scan = scan.with_df(df)
-        return scan
+            return self.with_df(self.df.withColumns(local))
+        df = self._with_carry(
+            {n: self._latest(e, e.isNotNull()) for n, e in exprs.items()},
+            lambda v, walk: F.last(v, ignorenulls=True).over(walk.rowsBetween(Window.unboundedPreceding, -1)),
+        )
+        return self._finish(df, {n: F.coalesce(v, F.col(f"__carry_{n}")) for n, v in local.items()}, exprs)
 
     def number(self, name: str) -> OrderedScan:
         """Row number from 1 within the key."""
