@@ -24,6 +24,12 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def configure_streaming(spark: SparkSession) -> SparkSession:
+    """As :func:`configure`, plus the state store that timers and lists need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+    return configure(spark)
+
+
 def build_session(
     app: str = "tidelog", master: str | None = None, shuffle_partitions: int | None = None
 ) -> SparkSession:

@@ -1 +1,273 @@
-"""Sources, sinks and streaming twins."""
+"""Sources, sinks and streaming twins, run over the whole tables."""
+
+from pyspark.sql import functions as F
+
+from tidelog.operators import filters, parse, route
+from tidelog.plans.flow import Flow, run_flow, run_stage
+from tidelog.session import configure_streaming
+from tidelog.sources import readers, sinks
+from tidelog.streaming import native, state
+from workload import LOGS_SQL, logs, query, scratch, table
+from workload.enrichment import _paired
+from workload.stateful import leaders_sql
+
+
+@query(f"SELECT source, level, id, user_id, value FROM ({LOGS_SQL})")
+def json_sink(spark, sf):
+    path = scratch(spark, "json")
+    sinks.write_json(logs(spark, sf).select("source", "level", "id", "user_id", "value"), path)
+    schema = "source string, level string, id bigint, user_id bigint, value double"
+    return readers.read_records(spark, "json", path, schema=schema)
+
+
+@query("""
+    SELECT strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || chr(9) || event_type || chr(9) ||
+           CASE WHEN event_type <> 'view' THEN props ELSE '' END AS line FROM events
+""")
+def text_sink(spark, sf):
+    path = scratch(spark, "text")
+    rows = logs(spark, sf).select(
+        F.when(F.col("level") != "error", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("time"),
+        "level", F.when(F.col("level") != "view", F.col("props")).alias("message"), "ts",
+    )
+    sinks.write_text(rows, path, ingest="ts")
+    return readers.read_lines(spark, path).select("line")
+
+
+@query("SELECT '[' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '] ' || event_type || ': ' || props AS line FROM events")
+def entry_sink(spark, sf):
+    entries = logs(spark, sf).select("source", F.col("props").alias("line"), F.col("ts").alias("timestamp"))
+    return sinks.entry_lines(entries).withColumnRenamed("value", "line")
+
+
+@query("""
+    SELECT kind, count(*) AS n FROM events, (SELECT unnest(['json', 'text']) AS kind) GROUP BY kind
+""")
+def fan_out_sinks(spark, sf):
+    """The same rows to a JSON and a text sink, computed once."""
+    one, two = scratch(spark, "json"), scratch(spark, "text")
+    rows = logs(spark, sf).select("id", "level", F.col("props").alias("message"), F.col("ts").alias("time"))
+    sinks.fan_out(rows, {"json": sinks.json_sink(one), "text": sinks.text_sink(two)})
+    both = spark.read.text(one).withColumn("kind", F.lit("json")).unionByName(
+        spark.read.text(two).withColumn("kind", F.lit("text"))
+    )
+    return both.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("""
+    SELECT unnest(CASE WHEN event_type = 'error' THEN ['alerts', 'all'] WHEN event_type = 'purchase' THEN ['sales'] ELSE ['all'] END) AS sink,
+           event_id AS id FROM events
+""")
+def routed_sink(spark, sf):
+    """Routed rows below one folder per sink."""
+    path = scratch(spark, "routed")
+    rules = [
+        {"source_pattern": "^error$", "sinks": ["alerts", "all"]},
+        {"field": "level", "field_pattern": "^purch", "sinks": ["sales"]},
+    ]
+    sinks.write_routed(route.route(logs(spark, sf), rules, ["all"]).select("id", "sink"), path)
+    return spark.read.schema("id bigint, sink string").json(path)
+
+
+@query("SELECT unnest(string_split(text, chr(10))) AS line FROM documents")
+def read_text_lines(spark, sf):
+    """Documents written as text files, read back line by line."""
+    path = scratch(spark, "lines")
+    table(spark, sf, "documents").select("text").write.text(path)
+    return readers.read_lines(spark, path).select("line")
+
+
+@query("""
+    SELECT 'docs' AS source, unnest(string_split(text, chr(10))) AS line FROM documents
+    UNION ALL SELECT 'talk', unnest(string_split(text, chr(10))) FROM conversations
+""")
+def read_many_sources(spark, sf):
+    """Two named sources; a third that does not exist is reported, not fatal."""
+    docs, talk = scratch(spark, "docs"), scratch(spark, "talk")
+    table(spark, sf, "documents").select("text").write.text(docs)
+    table(spark, sf, "conversations").select("text").write.text(talk)
+    lines, errors = readers.read_many(spark, {"docs": docs, "talk": [talk], "gone": docs + "-gone/*"})
+    assert list(errors) == [docs + "-gone/*"]
+    return lines.select("source", "line")
+
+
+@query("SELECT event_id AS id, 'WARN ' || event_type AS line FROM events WHERE event_type IN ('error', 'click')")
+def composed_steps(spark, sf):
+    """A rule list given as plain data, run as one plan."""
+    flow = Flow([
+        {"op": "filter", "rules": [{"field": "level", "pattern": "^(error|click)$"}]},
+        {"op": "transform", "rules": [{"op": "rename", "field": "level", "new_name": "message"}, {"op": "add", "field": "level", "value": "warn"}]},
+        {"op": "render", "style": "text", "names": ["level", "message"]},
+    ])
+    return flow(logs(spark, sf)).select("id", "line")
+
+
+@query("SELECT 'user=' || user_id || ' level=' || event_type AS line FROM events WHERE event_type = 'error'")
+def line_flow(spark, sf):
+    """Lines through field extraction and rules to a text sink."""
+    path = scratch(spark, "flow")
+    lines = logs(spark, sf).select(F.concat(F.lit("user="), "user_id", F.lit(" level="), "level").alias("line"))
+    run_flow(lines, [{"field": "level", "pattern": "^error$"}], lambda df: df.select("line").write.text(path))
+    return readers.read_lines(spark, path).select("line")
+
+
+@query("SELECT event_id AS id, upper(event_type) AS level FROM events WHERE event_type <> 'view'")
+def stage_run(spark, sf):
+    path = scratch(spark, "stage")
+    run_stage(
+        logs(spark, sf), "events", lambda df: df.write.parquet(path),
+        allow=lambda df: filters.filter_rules(df, [{"field": "level", "pattern": "^view$", "invert": True}]),
+        change=lambda df: df.select("id", F.upper("level").alias("level")),
+    )
+    return spark.read.parquet(path)
+
+
+def events_stream(spark, sf, **options):
+    configure_streaming(spark)
+    schema = table(spark, sf, "events").schema
+    # A stream takes a folder or a glob; the table may be a single file.
+    rows = readers.stream_records(spark, "parquet", f"{sf}/[e]vents.parquet", schema, **options)
+    return rows.select(
+        F.col("event_type").alias("source"), F.col("event_type").alias("level"), "ts", F.col("event_id").alias("id"),
+        "user_id", "value", "props",
+    )
+
+
+def drained(spark, stream):
+    """Run a stream to the end of its input and return what it wrote."""
+    out, checkpoint = scratch(spark, "stream"), scratch(spark, "stream-state")
+    sinks.resume_ingest(stream, out, checkpoint)
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+# Rows later than the last watermark are still held when the input ends.
+PASSED = "epoch_us(ts) <= (SELECT epoch_ms(max(ts)) * 1000 FROM events)"
+PASSED_LOGS = f"SELECT * FROM ({LOGS_SQL}) WHERE {PASSED}"
+
+
+@query(f"""
+    WITH RECURSIVE rows_ AS MATERIALIZED ({PASSED_LOGS}), {leaders_sql("lead_", "rows_", "source", "1 HOUR")}
+    SELECT id, source, ts, props FROM rows_ JOIN lead_ ON source = k AND ts = t
+""")
+def stream_dedupe(spark, sf):
+    return drained(spark, state.dedupe(events_stream(spark, sf), ["source"], "1h").select("id", "source", "ts", "props"))
+
+
+@query(f"""
+    WITH RECURSIVE rows_ AS MATERIALIZED (SELECT *, source AS k0 FROM ({PASSED_LOGS})), {leaders_sql("lead_", "rows_", "k0", "6 HOUR", True)},
+    w AS (SELECT r.*, l.t FROM rows_ r ASOF JOIN lead_ l ON r.k0 = l.k AND r.ts >= l.t)
+    SELECT id, source FROM w QUALIFY row_number() OVER (PARTITION BY k0, t ORDER BY ts, id) <= 5
+""")
+def stream_rate_limit(spark, sf):
+    return drained(spark, state.rate_limit(events_stream(spark, sf), 5, "6h").select("id", "source"))
+
+
+@query(f"SELECT id, row_number() OVER (PARTITION BY source ORDER BY ts, id) + 9 AS seq FROM ({PASSED_LOGS})")
+def stream_sequence(spark, sf):
+    return drained(spark, state.sequence(events_stream(spark, sf), start=10, per_source="source").select("id", "seq"))
+
+
+@query(f"""
+    WITH RECURSIVE rows_ AS MATERIALIZED (SELECT *, source AS k0 FROM ({PASSED_LOGS})),
+    {leaders_sql("lead_", "rows_", "k0", "3 HOUR", strict=True)},
+    w AS (SELECT r.*, l.t FROM rows_ r ASOF JOIN lead_ l ON r.k0 = l.k AND r.ts >= l.t)
+    SELECT source, t AS window_start, count(*) AS count, round(sum(value), 4) AS sum, min(value) AS min, max(value) AS max
+    FROM w GROUP BY source, t
+    HAVING epoch_us(t) + 10800000000 < (SELECT epoch_ms(max(ts)) * 1000 FROM events)
+""")
+def stream_anchored_totals(spark, sf):
+    """Closed windows only."""
+    out = drained(spark, state.anchored_totals(events_stream(spark, sf), "value", "3h"))
+    return out.withColumn("sum", F.round("sum", 4)).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query(f"SELECT left_id, right_id FROM ({_paired(24)}) WHERE greatest(epoch_us(left_ts), epoch_us(right_ts)) <= (SELECT epoch_ms(max(ts)) * 1000 FROM events)")
+def stream_pairs(spark, sf):
+    rule = {"left_source": "click", "right_source": "purchase", "key_field": "user_id", "window": "24h"}
+    paired = state.pair_join(events_stream(spark, sf), rule)
+    return drained(spark, paired.select(F.col("left.id").alias("left_id"), F.col("right.id").alias("right_id")))
+
+
+@query(f"""
+    WITH s AS (SELECT *, sum(CASE WHEN NOT regexp_matches(props, '[02468]}}$') OR gap >= 900 THEN 1 ELSE 0 END)
+                    OVER (PARTITION BY source ORDER BY ts, id) AS seg
+               FROM (SELECT *, epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER (PARTITION BY source ORDER BY ts, id) AS gap
+                     FROM ({PASSED_LOGS}))),
+    g AS (SELECT source, min(ts) AS ts, min(id) AS id, count(*) AS n_lines, string_agg(props, chr(10) ORDER BY ts, id) AS message, seg, max(ts) AS last_ts
+          FROM s GROUP BY source, seg)
+    SELECT source, ts, id, n_lines, message FROM g
+    WHERE seg < (SELECT max(seg) FROM g AS x WHERE x.source = g.source)
+       OR epoch_us(last_ts) + 900000000 <= (SELECT epoch_ms(max(ts)) * 1000 FROM events)
+""")
+def stream_multiline(spark, sf):
+    rows = events_stream(spark, sf).select("source", "ts", "id", F.col("props").alias("line"))
+    return drained(spark, state.assemble_multiline(rows, {"continue_pattern": "[02468]}$", "timeout": "15m"}))
+
+
+@query("""
+    SELECT event_type AS source, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, count(*) AS count
+    FROM events GROUP BY ALL
+    HAVING time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events)
+""")
+def stream_tumbling(spark, sf):
+    totals = native.tumbling_totals(events_stream(spark, sf), "value", "6h")
+    out = drained(spark, totals.select("source", "window_start", "count"))
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("""
+    WITH e AS (SELECT *, time_bucket(INTERVAL 60 MINUTE, ts, TIMESTAMP '1970-01-01') AS slot FROM events),
+    x AS (SELECT *, slot - unnest(range(6)) * INTERVAL 60 MINUTE AS window_start FROM e)
+    SELECT window_start, event_type AS level, count(*) AS n FROM x GROUP BY ALL
+    HAVING window_start + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events)
+""")
+def stream_value_counts(spark, sf):
+    counted = native.sliding_counts(events_stream(spark, sf), "6h", 6, keys=["level"])
+    out = drained(spark, counted.select("window_start", "level", "n"))
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("SELECT DISTINCT event_type AS source, user_id FROM events")
+def stream_distinct(spark, sf):
+    keys = events_stream(spark, sf).select("source", "user_id")
+    return drained(spark, native.distinct_records(keys, ["source", "user_id"]))
+
+
+@query("SELECT DISTINCT user_id FROM events")
+def stream_dedupe_within_watermark(spark, sf):
+    """One batch holds all rows, so each user passes once."""
+    kept = native.dedupe_within_watermark(events_stream(spark, sf), ["user_id"], delay="12 hours")
+    return drained(spark, kept.select("user_id"))
+
+
+@query("SELECT event_id AS id, json_extract_string(props, '$.k') AS k FROM events WHERE event_type = 'error'")
+def stream_stateless(spark, sf):
+    """Parsing and filters run unchanged on a stream."""
+    rows = filters.filter_rules(events_stream(spark, sf), [{"field": "level", "pattern": "^error$"}])
+    parsed = parse.promote(parse.parse_lines(rows.withColumnRenamed("props", "line"), "json"), ["k"])
+    return drained(spark, parsed.select("id", "k"))
+
+
+@query("SELECT sink, count(*) AS n FROM events, (SELECT unnest(['a', 'b']) AS sink) GROUP BY sink")
+def stream_fan_out(spark, sf):
+    """Each micro-batch to two sinks."""
+    paths = {name: scratch(spark, name) for name in ("a", "b")}
+    writers = {name: sinks.json_sink(path) for name, path in paths.items()}
+    running = sinks.start_fan_out(events_stream(spark, sf).select("id"), writers, scratch(spark, "fan-state"))
+    running.awaitTermination()
+    both = None
+    for name, path in paths.items():
+        part = spark.read.schema("id bigint").json(path).withColumn("sink", F.lit(name))
+        both = part if both is None else both.unionByName(part)
+    return both.groupBy("sink").agg(F.count("id").alias("n"))
+
+
+@query("SELECT unnest(string_split(text, chr(10))) AS line FROM documents UNION ALL SELECT unnest(string_split(text, chr(10))) FROM conversations")
+def stream_resume(spark, sf):
+    """Lines arrive in two steps; the second run reads only what is new."""
+    configure_streaming(spark)
+    inbox, out, checkpoint = (scratch(spark, n) for n in ("inbox", "resumed", "resume-state"))
+    for name, df in (("documents", table(spark, sf, "documents")), ("conversations", table(spark, sf, "conversations"))):
+        df.select("text").write.mode("append").text(inbox)
+        sinks.resume_ingest(readers.stream_lines(spark, inbox).select("line"), out, checkpoint)
+    return spark.read.parquet(out)
