@@ -22,7 +22,7 @@ _QUOTED_WORDS = r'((?:[^\s"]|"(?:[^"\\]|\\.)*"?)+)'
 
 
 def parse_json(line: Column) -> Column:
-    """A JSON object as a map of texts; numbers keep their spelling, nested values are JSON."""
+    """A JSON object as a map of texts; integers keep all digits, nested values are JSON."""
     return F.from_json(line, "map<string,string>")
 
 

@@ -141,7 +141,7 @@ def drained(spark, stream):
 
 
 # Rows later than the last watermark are still held when the input ends.
-PASSED = "epoch_us(ts) <= (SELECT epoch_ms(max(ts)) * 1000 FROM events)"
+PASSED = "epoch_us(ts) <= (SELECT epoch_us(max(ts)) // 1000 * 1000 FROM events)"
 PASSED_LOGS = f"SELECT * FROM ({LOGS_SQL}) WHERE {PASSED}"
 
 
@@ -173,7 +173,7 @@ def stream_sequence(spark, sf):
     w AS (SELECT r.*, l.t FROM rows_ r ASOF JOIN lead_ l ON r.k0 = l.k AND r.ts >= l.t)
     SELECT source, t AS window_start, count(*) AS count, round(sum(value), 4) AS sum, min(value) AS min, max(value) AS max
     FROM w GROUP BY source, t
-    HAVING epoch_us(t) + 10800000000 < (SELECT epoch_ms(max(ts)) * 1000 FROM events)
+    HAVING epoch_us(t) + 10800000000 < (SELECT epoch_us(max(ts)) // 1000 * 1000 FROM events)
 """)
 def stream_anchored_totals(spark, sf):
     """Closed windows only."""
@@ -181,7 +181,7 @@ def stream_anchored_totals(spark, sf):
     return out.withColumn("sum", F.round("sum", 4)).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query(f"SELECT left_id, right_id FROM ({_paired(24)}) WHERE greatest(epoch_us(left_ts), epoch_us(right_ts)) <= (SELECT epoch_ms(max(ts)) * 1000 FROM events)")
+@query(f"SELECT left_id, right_id FROM ({_paired(24)}) WHERE greatest(epoch_us(left_ts), epoch_us(right_ts)) <= (SELECT epoch_us(max(ts)) // 1000 * 1000 FROM events WHERE event_type IN ('click', 'purchase'))")
 def stream_pairs(spark, sf):
     rule = {"left_source": "click", "right_source": "purchase", "key_field": "user_id", "window": "24h"}
     paired = state.pair_join(events_stream(spark, sf), rule)
@@ -197,7 +197,7 @@ def stream_pairs(spark, sf):
           FROM s GROUP BY source, seg)
     SELECT source, ts, id, n_lines, message FROM g
     WHERE seg < (SELECT max(seg) FROM g AS x WHERE x.source = g.source)
-       OR epoch_us(last_ts) + 900000000 <= (SELECT epoch_ms(max(ts)) * 1000 FROM events)
+       OR epoch_us(last_ts) + 900000000 <= (SELECT epoch_us(max(ts)) // 1000 * 1000 FROM events)
 """)
 def stream_multiline(spark, sf):
     rows = events_stream(spark, sf).select("source", "ts", "id", F.col("props").alias("line"))
@@ -205,9 +205,9 @@ def stream_multiline(spark, sf):
 
 
 @query("""
-    SELECT event_type AS source, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, count(*) AS count
-    FROM events GROUP BY ALL
-    HAVING time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events)
+    SELECT source, window_start, count(*) AS count
+    FROM (SELECT event_type AS source, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start FROM events)
+    WHERE window_start + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) GROUP BY ALL
 """)
 def stream_tumbling(spark, sf):
     totals = native.tumbling_totals(events_stream(spark, sf), "value", "6h")
