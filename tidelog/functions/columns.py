@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The Unicode white space characters, as regex class content.
-SPACE = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-_EDGES = rf"^[{SPACE}]+|[{SPACE}]+\z"
+# The Unicode white space characters, and the same as regex class content.
+SPACES = (
+    "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+SPACE = r"\t-\r \x{85}\p{Z}"
 
 
 def field(name: str) -> Column:
@@ -26,14 +31,19 @@ def from_micros(us: str | Column, like: str = "timestamp") -> Column:
     return F.timestamp_micros(us).cast(like)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def trim_space(text: Column) -> Column:
     """Strip white space of any kind from both ends."""
-    return F.regexp_replace(text, _EDGES, "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def words(text: Column) -> Column:
     """Split at runs of white space, without empty words."""
-    return F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "")
+    return F.array_remove(F.split(text, f"[{SPACE}]+"), "")
 
 
 def cut_bytes(text: Column, size: int) -> Column:

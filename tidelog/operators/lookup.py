@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.functions.columns import field
-from tidelog.plans.sizing import maybe_broadcast
+from tidelog.functions.columns import field, let
+from tidelog.plans.sizing import BROADCAST_ROWS, fits_broadcast, maybe_broadcast
 from tidelog.specs import Scoped, require
 
 # Fixed names: what a rule does with a record whose key is not in the table.
@@ -104,11 +104,12 @@ IPV4 = r"^(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d))
 
 def ipv4_number(ip: Column) -> Column:
     """The address as a number; null if the text is no IPv4 address."""
-    parts = F.split(ip, r"\.")
-    total = F.lit(0).cast("long")
-    for i in range(4):
-        total = total * 256 + F.get(parts, i).try_cast("long")
-    return F.when(F.rlike(ip, F.lit(IPV4)), total)
+
+    def total(parts: Column) -> Column:
+        octets = [F.get(parts, i).cast("long") for i in range(4)]
+        return ((octets[0] * 256 + octets[1]) * 256 + octets[2]) * 256 + octets[3]
+
+    return F.when(F.rlike(ip, F.lit(IPV4)), let(F.split(ip, r"\."), total))
 
 
 def _blocks(ranges: DataFrame, start: str, end: str, attrs: list[str]) -> DataFrame:
@@ -153,13 +154,16 @@ def geo_enrich(
 
     number = ipv4_number(field(src))
     seen = df.select(number.alias("__ip")).filter("__ip is not null").distinct()
-    # The block sizes in use: 33 at most.
-    levels = [r["level"] for r in blocks.select("level").distinct().collect()]
+    # One pass sizes the table and lists the block sizes in use: 33 at most.
+    facts = blocks.agg(F.count("*").alias("n"), F.collect_set("level").alias("levels")).first()
+    levels = sorted(facts["levels"])
+    if facts["n"] <= BROADCAST_ROWS and fits_broadcast(ranges):
+        blocks = F.broadcast(blocks)
     probes = seen.select("__ip", F.explode(F.array(*[F.lit(n) for n in levels]).cast("array<int>")).alias("level"))
     probes = probes.withColumn("block", F.expr("shiftright(__ip, level)"))
-    # Large blocks are met by many addresses; broadcasting the block table
-    # avoids that hot key, else adaptive execution splits it.
-    found = probes.join(maybe_broadcast(blocks), ["level", "block"]).groupBy("__ip").agg(
+    # Large blocks are met by many addresses; a broadcast block table avoids
+    # that hot key, else adaptive execution splits it.
+    found = probes.join(blocks, ["level", "block"]).groupBy("__ip").agg(
         F.min("entry").alias("__entry")
     )
     found = found.select(

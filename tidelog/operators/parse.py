@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.functions.columns import field, words
+from tidelog.functions.columns import field, let, words
 from tidelog.functions.layouts import format_time
 from tidelog.specs import Scoped, require
 
@@ -27,13 +27,13 @@ def parse_json(line: Column) -> Column:
 
 
 def _pairs(tokens: Column) -> Column:
+    """The ``key=value`` words as entries, quotes around values removed."""
     with_equals = F.filter(tokens, lambda w: F.contains(w, F.lit("=")))
 
     def pair(word: Column) -> Column:
-        at = F.instr(word, "=")
         return F.struct(
-            F.substring(word, F.lit(1), at - 1).alias("key"),
-            F.regexp_replace(F.substring(word, at + 1, F.length(word)), '^"+|"+$', "").alias("value"),
+            F.substring_index(word, "=", 1).alias("key"),
+            F.btrim(F.substring(word, F.instr(word, "=") + 1, F.length(word)), F.lit('"')).alias("value"),
         )
 
     return F.transform(with_equals, pair)
@@ -44,15 +44,17 @@ def parse_logfmt(line: Column, quoted: bool = False) -> Column:
 
     The last of equal keys wins. ``quoted`` lets quotes protect blanks.
     """
-    tokens = F.regexp_extract_all(line, F.lit(_QUOTED_WORDS), 1) if quoted else words(line)
-    plain = F.filter(tokens, lambda w: ~F.contains(w, F.lit("=")))
-    # A bare word only counts while there is no msg, so it goes first: any
-    # later msg=... then wins, and an earlier one must win too.
-    head = F.when(
-        F.size(plain) > 0, F.array(F.struct(F.lit("msg").alias("key"), F.get(plain, 0).alias("value")))
-    ).otherwise(F.array().cast("array<struct<key:string,value:string>>"))
-    record = F.map_from_entries(F.concat(head, _pairs(tokens)))
-    return F.when(F.size(tokens) > 0, record)
+
+    def record(tokens: Column) -> Column:
+        bare = F.get(F.filter(tokens, lambda w: ~F.contains(w, F.lit("="))), 0)
+        # A bare word only counts while there is no msg, so it goes first: any
+        # msg=... then wins, wherever it stands.
+        head = F.array_compact(
+            F.array(F.when(bare.isNotNull(), F.struct(F.lit("msg").alias("key"), bare.alias("value"))))
+        )
+        return F.when(F.size(tokens) > 0, F.map_from_entries(F.concat(head, _pairs(tokens))))
+
+    return let(F.regexp_extract_all(line, F.lit(_QUOTED_WORDS), 1) if quoted else words(line), record)
 
 
 def extract_kv(line: Column) -> Column:

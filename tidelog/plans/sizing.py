@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.session import ensure_checkpoint_dir
+
 # A broadcast side is held whole on every executor, so it must stay small.
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -17,6 +19,16 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int
     return row["rows"] <= max_rows and (row["bytes"] or 0) <= max_bytes
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared checkpoint folder and read back from there.
+
+    For costly rows (parsed text, say) that several passes read. Survives the
+    loss of executors.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast if its measured size allows it.
 
