@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.plans.anchored import POSITION, WINDOW_START, anchored_windows
+from tidelog.plans.anchored import WINDOW_START, anchored_windows, first_in_windows
 from tidelog.plans.ordered import OrderedScan, Slicer
 
 SCHEMA = "k string, t long, id long, v long"
@@ -77,15 +77,30 @@ def test_anchored_matches_walk(spark, mode, width, strict):
     rows = make_rows(width)
     df = spark.createDataFrame(rows, SCHEMA).withColumn("ts", F.timestamp_micros("t")).repartition(3)
     options = {"fold": {}, "arrow": {"fold_rows": 0}, "hot": {"rows_per_task": 6}, "some_hot": {"rows_per_task": 60}}
-    got = anchored_windows(df, ["k"], "ts", "id", width, strict=strict, **options[mode])
-    got = {r["id"]: (r[WINDOW_START], r[POSITION]) for r in got.collect()}
-    assert got == walk_windows(rows, width, strict)
+    windows = anchored_windows(df, ["k"], "ts", width, strict=strict, **options[mode])
+    want = walk_windows(rows, width, strict)
+    assert {r["id"]: r[WINDOW_START] for r in windows.collect()} == {i: start for i, (start, _) in want.items()}
+    for limit, largest in ((1, 1), (2, 2), (5, 5000)):
+        kept = first_in_windows(windows, ["k"], "id", limit, largest, rows_per_task=20)
+        assert sorted(r["id"] for r in kept.collect()) == sorted(i for i, (_, pos) in want.items() if pos <= limit)
 
 
 @pytest.mark.parametrize("limit", [None, 30])
 def test_anchored_origin(spark, limit):
     rows = make_rows(9)
     df = spark.createDataFrame(rows, SCHEMA).withColumn("ts", F.timestamp_micros("t"))
-    got = anchored_windows(df, ["k"], "ts", "id", 333, origin_us=-100, rows_per_task=limit)
-    got = {r["id"]: (r[WINDOW_START], r[POSITION]) for r in got.collect()}
-    assert got == walk_windows(rows, 333, False, origin=-100)
+    windows = anchored_windows(df, ["k"], "ts", 333, origin_us=-100, rows_per_task=limit)
+    want = walk_windows(rows, 333, False, origin=-100)
+    assert {r["id"]: r[WINDOW_START] for r in windows.collect()} == {i: start for i, (start, _) in want.items()}
+    kept = first_in_windows(windows, ["k"], "id", 1, 1, from_origin=True)
+    assert sorted(r["id"] for r in kept.collect()) == sorted(i for i, (_, pos) in want.items() if pos == 1)
+
+
+def test_unbroadcast_windows(spark, monkeypatch):
+    from tidelog.plans import anchored
+
+    monkeypatch.setattr(anchored, "maybe_broadcast", lambda df: df.hint("merge"))
+    rows = make_rows(77)
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("ts", F.timestamp_micros("t"))
+    got = {r["id"]: r[WINDOW_START] for r in anchored_windows(df, ["k"], "ts", 77).collect()}
+    assert got == {i: start for i, (start, _) in walk_windows(rows, 77, False).items()}

@@ -42,10 +42,9 @@ def _aggregate(df: DataFrame, rule: AggregateRule) -> Column:
 
 
 def anchored_agg(
-    df: DataFrame, rules, *, source: str = "source", ts: str = "ts", row_id: str = "id",
-    rows_per_task: int | None = None,
+    df: DataFrame, rules, *, source: str = "source", ts: str = "ts", rows_per_task: int | None = None
 ) -> DataFrame:
-    """``source, field, op, window_start, value`` of every anchored window.
+    """``source, field, op, window_start, width_us, value`` of every anchored window.
 
     ``rules``: a list, or a :class:`Scoped` of lists. Rules with the same window
     share one pass.
@@ -62,7 +61,7 @@ def anchored_agg(
                 if positive_window(rule.window) == width:
                     cells.setdefault((rule.field, rule.op), []).append(name)
         rows = df.filter(_governed(scoped, {n for names in cells.values() for n in names}))
-        windows = anchored_windows(rows, [source], ts, row_id, width, strict=True, rows_per_task=rows_per_task)
+        windows = anchored_windows(rows, [source], ts, width, strict=True, rows_per_task=rows_per_task)
         rule_list = [AggregateRule(f, o, width / 1e6) for f, o in cells]
         # count, sum, min and max combine before the shuffle, so a hot window stays cheap.
         totals = windows.groupBy(source, WINDOW_START).agg(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidelog.functions.columns import field, from_micros, micros
 from tidelog.functions.patterns import java_pattern, search
 from tidelog.operators.suppress import parse_scoped
-from tidelog.plans.anchored import POSITION, anchored_windows
+from tidelog.plans.anchored import anchored_windows, first_in_windows
 from tidelog.plans.ordered import OrderedScan
 from tidelog.specs import Spec, duration_us, parse_all, positive_window, require
 
@@ -84,8 +84,8 @@ def threshold_alerts(
         cooldown = F.when(hit, cool) if cooldown is None else cooldown.when(hit, cool)
     columns = [field(c) for c in report.columns]
     high = report.filter(field(value) >= threshold).withColumn("__k0", field(name))
-    fired = anchored_windows(high, ["__k0"], ts, name, width_us=cooldown, rows_per_task=rows_per_task)
-    return fired.filter(F.col(POSITION) == 1).select(*columns)
+    fired = anchored_windows(high, ["__k0"], ts, cooldown, rows_per_task=rows_per_task)
+    return first_in_windows(fired, ["__k0"], name, 1, 1).select(*columns)
 
 
 @dataclass(frozen=True)

@@ -9,12 +9,10 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.columns import field, micros
 from tidelog.operators.suppress import by_source, parse_scoped, scope_key
+from tidelog.plans.anchored import GROUP_LIMIT
 from tidelog.plans.ordered import OrderedScan
 from tidelog.specs import Spec, positive_window, require
 
-# Spark prunes row_number() <= n per task before the shuffle up to this n.
-GROUP_LIMIT = 1000
-
 
 @dataclass(frozen=True)
 class SequenceRule(Spec):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.functions.columns import field
-from tidelog.plans.anchored import POSITION, anchored_windows
+from tidelog.plans.anchored import anchored_windows, first_in_windows
 from tidelog.specs import Scoped, Spec, positive_window, require
 
 DEFAULT_SCOPE = "__default__"
@@ -76,25 +76,36 @@ def parse_scoped(rules, parse) -> Scoped:
     return Scoped(default, {s: parse(r) for s, r in given.by_source.items()}, given.source)
 
 
-def _suppress(df, scoped: Scoped, keys: dict[str, Column], limit, *, free: Column | None = None, **options) -> DataFrame:
+def _suppress(
+    df: DataFrame, scoped: Scoped, keys: dict[str, Column], limit, *, ts: str, row_id: str,
+    free: Column | None = None, strict: bool = False, origin_us: int | None = None, rows_per_task: int | None = None,
+) -> DataFrame:
     """Keep the first ``limit(rule)`` rows of each anchored window.
 
     All rules run in one pass: the window width and the limit are columns, and
-    the scope is part of the key. ``free`` rows, and sources without a rule,
-    are kept as they are.
+    the scope is part of the key. ``free`` rows, sources without a rule and rows
+    without a time are kept as they are.
     """
     columns = [field(c) for c in df.columns]
+    present = [r for r in (scoped.default, *scoped.by_source.values()) if r is not None]
+    if not present:
+        return df
+    # A row without a time can not be placed, so nothing suppresses it.
+    unplaced = field(ts).isNull()
+    free = unplaced if free is None else free | unplaced
     if scoped.default is None:
-        if not scoped.by_source:
-            return df
-        ruled = F.coalesce(field(scoped.source).isin(list(scoped.by_source)), F.lit(False))
-        free = ~ruled if free is None else free | ~ruled
-    rows = df if free is None else df.filter(~free)
+        free = free | ~F.coalesce(field(scoped.source).isin(list(scoped.by_source)), F.lit(False))
+    rows = df.filter(~free)
     width = by_source(scoped, lambda r: F.lit(positive_window(r.window)))
     rows = rows.withColumns({**keys, "__limit": by_source(scoped, lambda r: F.lit(limit(r)))})
-    windows = anchored_windows(rows, list(keys), width_us=width, **options)
-    kept = windows.filter(F.col(POSITION) <= F.col("__limit")).select(*columns)
-    return kept if free is None else kept.unionByName(df.filter(free))
+    windows = anchored_windows(
+        rows, list(keys), ts, width, strict=strict, origin_us=origin_us, rows_per_task=rows_per_task
+    )
+    kept = first_in_windows(
+        windows, list(keys), row_id, F.col("__limit"), max(limit(r) for r in present),
+        from_origin=origin_us is not None, rows_per_task=rows_per_task,
+    )
+    return kept.select(*columns).unionByName(df.filter(free))
 
 
 def _text_or(df: DataFrame, name: str, missing: str) -> Column:

@@ -12,7 +12,10 @@ Leaders depend only on a key's times, so they are found on (key, time) alone:
 * hot keys: every time points at the first time one ``width`` later, and
   pointer doubling marks the chain in about log2(windows) distributed joins.
 
-The wide rows are then shuffled once, together with one marker per leader.
+Leaders of a key are at least ``width`` apart, so a grid cell of that length
+holds one at most, and a row's window opened in its own cell or the one before.
+Rows therefore meet their window in an equi-join on (key, cell). If the leaders
+are few they are broadcast and the wide rows are not shuffled at all.
 """
 
 from __future__ import annotations
@@ -23,27 +26,31 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.functions.columns import micros
-from tidelog.plans.ordered import SLICE, OrderedScan, Slicer
-from tidelog.session import ensure_checkpoint_dir
+from tidelog.functions.columns import field, micros
+from tidelog.plans.ordered import ROWS_PER_TASK, SLICE, OrderedScan, Slicer
+from tidelog.plans.sizing import maybe_broadcast, staged
 
 FOLD_ROWS = 500_000
 
+# Spark prunes row_number() <= n per task before the shuffle up to this n.
+GROUP_LIMIT = 1000
+
 TIME = "__t"
 KIND = "__kind"
-ROW_ID = "__id"
-WINDOW_START = "__window_start"
-POSITION = "__position"
 WIDTH = "__width"
+WINDOW_START = "__window_start"
+
+ORDER = [TIME, KIND]
+
 
-ORDER = [TIME, KIND, ROW_ID]
+def _match(keys: list[str], prefix: str) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(prefix + k)) for k in keys])
 
 
 def anchored_windows(
     df: DataFrame,
     keys: list[str],
     ts: str,
-    row_id: str,
     width_us: int | Column,
     *,
     strict: bool = False,
@@ -51,7 +58,7 @@ def anchored_windows(
     rows_per_task: int | None = None,
     fold_rows: int = FOLD_ROWS,
 ) -> DataFrame:
-    """Add ``__window_start`` (microseconds) and ``__position`` (from 1) to each row.
+    """Add ``__t`` and ``__window_start`` (microseconds) to each row that has a time.
 
     ``width_us`` may be a column that is constant within a key. ``origin_us``
     opens the first window of each key at that time instead of at its first row;
@@ -62,47 +69,70 @@ def anchored_windows(
             raise ValueError("window must be positive")
         width_us = F.lit(width_us)
     width = (width_us + 1 if strict else width_us).cast("long")
-    base = df.withColumns({TIME: micros(ts), KIND: F.lit(1), ROW_ID: F.col(row_id), WIDTH: width})
-    slicer = Slicer.plan(base, keys, ORDER, rows_per_task)
-
-    id_type = base.schema[ROW_ID].dataType
-    opened = leaders(base.select(*keys, TIME, WIDTH), keys, slicer, origin_us, fold_rows, id_type)
-    markers = opened.withColumns({KIND: F.lit(0), "__marker": F.lit(True)})
-    rows = base.withColumn("__marker", F.lit(False)).unionByName(markers, allowMissingColumns=True)
-
-    scan = OrderedScan.open(rows, keys, ORDER, slicer)
-    scan = scan.running_sum(__rows=F.when(F.col("__marker"), 0).otherwise(1).cast("long"))
-    scan = scan.last(
-        __open=F.when(F.col("__marker"), F.struct(F.col(TIME).alias("t"), F.col("__rows").alias("n")))
+    base = df.filter(field(ts).isNotNull()).withColumns({TIME: micros(ts), WIDTH: width})
+
+    opened = staged(leaders(base.select(*keys, TIME, WIDTH), keys, origin_us, rows_per_task, fold_rows))
+    # Each leader serves its own cell and, as the one before, the next cell.
+    cell = F.floor(F.col(TIME) / F.col(WIDTH))
+    served = opened.select(
+        *[F.col(k).alias(f"__w_{k}") for k in keys],
+        F.explode(F.array(
+            F.struct(cell.alias("cell"), F.col(TIME).alias("here"), F.lit(None).cast("long").alias("before")),
+            F.struct((cell + 1).alias("cell"), F.lit(None).cast("long").alias("here"), F.col(TIME).alias("before")),
+        )).alias("s"),
     )
-    return (
-        scan.result()
-        .filter(~F.col("__marker"))
-        .withColumns({WINDOW_START: F.col("__open.t"), POSITION: F.col("__rows") - F.col("__open.n")})
-        .drop(TIME, KIND, ROW_ID, WIDTH, "__marker", "__rows", "__open")
+    cells = served.groupBy(*[f"__w_{k}" for k in keys], F.col("s.cell").alias("__w_cell")).agg(
+        F.max("s.here").alias("__here"), F.max("s.before").alias("__before")
+    )
+    joined = base.withColumn("__cell", cell).join(
+        maybe_broadcast(cells), (F.col("__cell") == F.col("__w_cell")) & _match(keys, "__w_")
+    )
+    start = F.when(F.col("__here") <= F.col(TIME), F.col("__here")).otherwise(F.col("__before"))
+    return joined.withColumn(WINDOW_START, start).drop(
+        "__cell", "__w_cell", "__here", "__before", WIDTH, *[f"__w_{k}" for k in keys]
     )
 
 
-def leaders(times, keys, slicer, origin_us, fold_rows, id_type) -> DataFrame:
-    """The (key, time) pairs that open a window; one row each.
+def first_in_windows(
+    windows: DataFrame, keys: list[str], row_id: str, limit: Column | int, largest_limit: int,
+    *, from_origin: bool = False, rows_per_task: int | None = None,
+) -> DataFrame:
+    """The first ``limit`` rows of each anchored window; ``largest_limit`` bounds ``limit``."""
+    if largest_limit == 1 and not from_origin:
+        # Only rows at the opening time can be first, so the rest go before the shuffle.
+        windows = windows.filter(F.col(TIME) == F.col(WINDOW_START))
+    limit = F.lit(limit) if isinstance(limit, int) else limit
+    part = [*keys, WINDOW_START]
+    if largest_limit <= GROUP_LIMIT:
+        rank = F.row_number().over(Window.partitionBy(*part).orderBy(F.col(TIME), field(row_id)))
+        ranked = windows.withColumn("__position", rank)
+    else:
+        scan = OrderedScan.open(
+            windows.withColumn("__id", field(row_id)), part, [TIME, "__id"], rows_per_task=rows_per_task
+        )
+        ranked = scan.number("__position").result().drop("__id")
+    kept = ranked.filter((F.col("__position") <= largest_limit) & (F.col("__position") <= limit))
+    return kept.drop("__position")
 
-    ``times`` has the keys, ``__t`` and ``__width``.
-    """
+
+def leaders(times: DataFrame, keys, origin_us=None, rows_per_task=None, fold_rows=FOLD_ROWS) -> DataFrame:
+    """The rows ``keys, __t, __width`` that open a window; one each."""
     if origin_us is not None:
         start = times.select(*keys, WIDTH).distinct().withColumn(TIME, F.lit(origin_us).cast("long"))
         times = times.unionByName(start)
+    counts = times.groupBy(*keys).agg(F.count("*").alias("n"))
+    largest = counts.agg(F.max("n").alias("n")).first()["n"] or 0
+    if largest <= min(fold_rows, rows_per_task or fold_rows):
+        return _fold(times, keys)
+
+    # Equal times of a key count once; (key, time) spreads a hot key evenly.
+    times = staged(times.distinct().withColumn(KIND, F.lit(1)))
+    slicer = Slicer.plan(times, keys, ORDER, rows_per_task or ROWS_PER_TASK)
     if not slicer.hot:
-        return _fold(times, keys) if slicer.largest <= fold_rows else _arrow_scan(times, keys)
-
-    ensure_checkpoint_dir(times.sparkSession)
-    placed = slicer.attach(
-        times.distinct().withColumns({KIND: F.lit(1), ROW_ID: F.lit(None).cast(id_type)})
-    )
-    # The distinct times feed several passes below: keep them, spread as they are.
-    placed = placed.checkpoint()
-    cold = placed.filter(F.col(SLICE) < 0).select(*keys, TIME, WIDTH)
-    found = _arrow_scan(cold, keys)
-    return found.unionByName(_double(placed.filter(F.col(SLICE) >= 0), keys, slicer, id_type))
+        return _arrow_scan(times, keys)
+    placed = staged(slicer.attach(times))
+    cold = _arrow_scan(placed.filter(F.col(SLICE) < 0), keys)
+    return cold.unionByName(_double(placed.filter(F.col(SLICE) >= 0), keys, slicer))
 
 
 def _fold(times: DataFrame, keys: list[str]) -> DataFrame:
@@ -120,12 +150,12 @@ def _fold(times: DataFrame, keys: list[str]) -> DataFrame:
         F.array("__start"),
         lambda acc, x: F.when(x - F.element_at(acc, -1) >= F.col(WIDTH), F.concat(acc, F.array(x))).otherwise(acc),
     )
-    return listed.select(*keys, F.explode(chain).alias(TIME))
+    return listed.select(*keys, F.explode(chain).alias(TIME), WIDTH)
 
 
 def _arrow_scan(times: DataFrame, keys: list[str]) -> DataFrame:
     """Sequential scan of each key's sorted times; state is one key and one time."""
-    out = times.select(*keys, TIME)
+    out = times.select(*keys, TIME, WIDTH)
     names = out.columns
 
     def walk(batches):
@@ -154,65 +184,53 @@ def _arrow_scan(times: DataFrame, keys: list[str]) -> DataFrame:
                     i = lo + int(np.searchsorted(at[lo:hi], limit))
             yield batch.take(pa.array(picked, pa.int64())).select(names)
 
-    grouped = times.select(*keys, TIME, WIDTH).withColumn("__group", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
+    grouped = out.withColumn("__group", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
     ordered = grouped.repartition(*[F.col(k) for k in keys]).sortWithinPartitions("__group", TIME)
     return ordered.mapInArrow(walk, out.schema)
 
 
-def _double(placed: DataFrame, keys: list[str], slicer: Slicer, id_type) -> DataFrame:
+def _double(placed: DataFrame, keys: list[str], slicer: Slicer) -> DataFrame:
     """Leaders of hot keys by pointer doubling over their distinct times."""
     scan = OrderedScan(placed, tuple(keys), tuple(ORDER), True).lag(__prev=F.col(TIME))
     gap = F.col(TIME) - F.col("__prev")
     scan = scan.with_df(scan.df.withColumn("__first", gap.isNull() | (gap >= F.col(WIDTH))))
     scan = scan.last(__start=F.when(F.col("__first"), F.col(TIME)))
-    nodes = scan.df.select(*keys, TIME, WIDTH, SLICE, "__first", "__start").checkpoint()
+    nodes = staged(scan.df.select(*keys, TIME, WIDTH, KIND, SLICE, "__first", "__start"))
 
     # A session of this many widths has at most one window more than that.
     steps = F.floor((F.col(TIME) - F.col("__start")) / F.col(WIDTH))
     rounds = math.ceil(math.log2((nodes.agg(F.max(steps).alias("m")).first()["m"] or 0) + 1))
-    reached = nodes.filter("__first").select(*keys, TIME)
+    reached = nodes.filter("__first").select(*keys, TIME, WIDTH)
     if rounds == 0:
         return reached
 
     # Each time probes for the first time >= itself + width; probes sort before
     # nodes of the same time, so a walk from the end has just seen that node.
     probes = slicer.attach(
-        nodes.select(
-            *keys,
-            (F.col(TIME) + F.col(WIDTH)).alias(TIME),
-            WIDTH,
-            F.lit(0).alias(KIND),
-            F.lit(None).cast(id_type).alias(ROW_ID),
-        )
-    )
-    both = probes.withColumn("__first", F.lit(None).cast("boolean")).unionByName(
-        nodes.withColumns({KIND: F.lit(1), ROW_ID: F.lit(None).cast(id_type)}).drop("__start")
+        nodes.select(*keys, (F.col(TIME) + F.col(WIDTH)).alias(TIME), WIDTH, F.lit(0).alias(KIND))
     )
+    both = probes.withColumn("__first", F.lit(None).cast("boolean")).unionByName(nodes.drop("__start"))
     seen = OrderedScan(both, tuple(keys), tuple(ORDER), True, descending=True).last(
         __next=F.when(F.col(KIND) == 1, F.struct(F.col(TIME).alias("t"), F.col("__first").alias("first")))
     )
     # A session's first time is a leader anyway, so no pointer needs to reach it.
-    pointers = (
-        seen.df.filter((F.col(KIND) == 0) & ~F.col("__next.first"))
-        .select(*keys, (F.col(TIME) - F.col(WIDTH)).alias("__node"), F.col("__next.t").alias("__to"))
-        .checkpoint()
+    pointers = staged(
+        seen.df.filter((F.col(KIND) == 0) & ~F.col("__next.first")).select(
+            *keys, (F.col(TIME) - F.col(WIDTH)).alias("__node"), F.col("__next.t").alias("__to")
+        )
     )
     for step in range(rounds):
         hop = _follow(reached.withColumnRenamed(TIME, "__at"), pointers, keys)
-        reached = reached.unionByName(hop.select(*keys, F.col("__to").alias(TIME))).distinct().checkpoint()
+        reached = staged(reached.unionByName(hop.select(*keys, F.col("__to").alias(TIME), WIDTH)).distinct())
         if step + 1 < rounds:
-            ahead = pointers.select(*keys, "__node", F.col("__to").alias("__at"))
-            pointers = _follow(ahead.withColumnRenamed("__node", "__from"), pointers, keys)
-            pointers = pointers.select(*keys, F.col("__from").alias("__node"), "__to").checkpoint()
+            ahead = pointers.select(*keys, F.col("__node").alias("__from"), F.col("__to").alias("__at"))
+            jumped = _follow(ahead, pointers, keys)
+            pointers = staged(jumped.select(*keys, F.col("__from").alias("__node"), "__to"))
     return reached
 
 
 def _follow(left: DataFrame, pointers: DataFrame, keys: list[str]) -> DataFrame:
     """Move ``__at`` along one pointer; one match at most."""
     table = pointers.select(*[F.col(k).alias(f"__p_{k}") for k in keys], "__node", "__to")
-    match: Column = reduce(
-        lambda a, b: a & b,
-        [F.col(k).eqNullSafe(F.col(f"__p_{k}")) for k in keys],
-        F.col("__at") == F.col("__node"),
-    )
+    match = (F.col("__at") == F.col("__node")) & _match(keys, "__p_")
     return left.join(table, match).drop("__node", *[f"__p_{k}" for k in keys])
