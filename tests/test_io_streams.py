@@ -17,16 +17,16 @@ SCHEMA = "source string, ts timestamp, id long, k string, value double, line str
 
 @pytest.fixture(scope="module")
 def files(spark, tmp_path_factory):
-    """Events in six files, in time order per file but shuffled within; the last file only moves the watermark."""
+    """Events in three files, in time order per file but shuffled within; the last file only moves the watermark."""
     rng = random.Random(3)
     folder = tmp_path_factory.mktemp("events")
     rows = []
     for i in range(240):
         source = rng.choice(["L", "R", "L2"])
-        rows.append((source, T0 + timedelta(seconds=rng.randrange(4000), microseconds=rng.randrange(5)), i, rng.choice("xxy"), float(rng.randrange(9)), rng.choice(["S a", " b", "c\td"])))
+        rows.append((source, T0 + timedelta(seconds=rng.randrange(4000), microseconds=rng.randrange(5)), i, rng.choice(["x", "x", "y", None]), float(rng.randrange(9)), rng.choice(["S a", " b", "c\td"])))
     rows.sort(key=lambda r: r[1])
-    for n in range(6):
-        chunk = rows[n * 40 : n * 40 + 40]
+    for n in range(3):
+        chunk = rows[n * 80 : n * 80 + 80]
         rng.shuffle(chunk)
         spark.createDataFrame(chunk, SCHEMA).coalesce(1).write.mode("append").json(str(folder / "in"), timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
     final = [("end", T0 + timedelta(days=9), -1, "end", 0.0, "S")]
@@ -95,6 +95,38 @@ def test_stream_anchored(spark, files, tmp_path):
     same(got.filter("source <> 'end'"), want, ["source", "window_start", "sum"])
 
 
+def test_stream_alerts(spark, files, tmp_path):
+    from tidelog.operators import counters
+
+    rules = [{"counter": "L", "threshold": 20, "cooldown": "10m"}, {"counter": "R", "threshold": 50}]
+    got = run(spark, files, tmp_path / "a", lambda s: state.threshold_alerts(
+        s.withColumn("source", F.when(F.col("source") == "end", "L").otherwise(F.col("source"))), rules, "1m", name="source"))
+    want = counters.threshold_alerts(counters.counter_report(files[1], "source", "1m"), rules)
+    same(got.filter("tick < '2024-01-05'"), want, ["tick", "name", "value"])
+    got = run(spark, files, tmp_path / "b", lambda s: state.match_alerts(s, "line", "S a|c", 20, repeat=True))
+    want = counters.match_alerts(files[1], [{"field": "line", "pattern": "S a|c", "threshold": 20, "repeat": True}])
+    same(got, want, ["source", "id", "count"])
+
+
+def test_stream_per_batch(spark, files, tmp_path):
+    from tidelog.operators import lookup
+
+    ranges = spark.createDataFrame([(16909060, 16909060, "here")], "start long, end long, name string")
+    stream = readers.stream_records(spark, "json", files[0], SCHEMA).withColumn("ip", F.lit("1.2.3.4"))
+    build = lambda rows: lookup.geo_enrich(rows, ranges, "ip", "geo").select("id", F.col("geo")["name"].alias("name"))
+    native.start_per_batch(stream, build, lambda out: out.write.mode("append").parquet(str(tmp_path / "out")), str(tmp_path / "state")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).filter("name = 'here'").count() == 241
+
+
+def test_start_batches(spark, files, tmp_path):
+    stream = readers.stream_records(spark, "json", files[0], SCHEMA)
+    query = sinks.start_batches(stream.select("id"), str(tmp_path / "out"), str(tmp_path / "state"), max_size=50, interval="1 second")
+    query.processAllAvailable()
+    query.stop()
+    sizes = [r["count"] for r in spark.read.schema("id long").json(str(tmp_path / "out")).groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 241 and max(sizes) <= 50
+
+
 def test_stream_native(spark, files, tmp_path):
     got = run(spark, files, tmp_path, lambda s: native.tumbling_totals(s, "value", "10m", delay="5 minutes"))
     want = aggregates.tumbling_agg(files[1], {"sum": ("sum", "value"), "count": ("count", "value")}, "10m")

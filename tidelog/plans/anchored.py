@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.columns import field, micros
 from tidelog.plans.ordered import ROWS_PER_TASK, SLICE, OrderedScan, Slicer
-from tidelog.plans.sizing import maybe_broadcast, staged
+from tidelog.plans.sizing import maybe_broadcast, require_table, staged
 
 FOLD_ROWS = 500_000
 
@@ -64,6 +64,7 @@ def anchored_windows(
     opens the first window of each key at that time instead of at its first row;
     no row may be earlier.
     """
+    require_table(df)
     if isinstance(width_us, int):
         if width_us <= 0:
             raise ValueError("window must be positive")

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.session import ensure_checkpoint_dir
+from tidelog.plans.sizing import require_table, staged
 
 ROWS_PER_TASK = 4_000_000
 MAX_SLICES = 4096
@@ -50,8 +50,7 @@ class Slicer:
         ``order`` must identify a row within its key, else equal rows can not
         be separated.
         """
-        if df.isStreaming:
-            raise ValueError("ordered operators take tables; tidelog.streaming has their streaming forms")
+        require_table(df)
         counts = df.groupBy(*keys).agg(F.count("*").alias("__n"))
         row = counts.agg(F.sum("__n").alias("total"), F.max("__n").alias("largest")).first()
         total, largest = row["total"] or 0, row["largest"] or 0
@@ -69,12 +68,11 @@ class Slicer:
         )
         # Expected sample of one key: SAMPLES_PER_SLICE * MAX_SLICES structs at most.
         listed = sample.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order))).alias("__s"))
-        ensure_checkpoint_dir(df.sparkSession)
         bounds = listed.select(
             *[F.col(k).alias(f"__b_{k}") for k in keys],
             F.expr(f"filter(__s, (x, i) -> i % {thin} = {thin - 1})").alias(BOUNDS),
-        ).checkpoint()
-        return cls(tuple(keys), tuple(order), bounds, total, largest, limit)
+        )
+        return cls(tuple(keys), tuple(order), staged(bounds), total, largest, limit)
 
     @property
     def hot(self) -> bool:
@@ -170,7 +168,7 @@ class OrderedScan:
             [F.col(k) for k in self.keys] + [F.col(SLICE)],
             [F.col(f"__c_{k}") for k in self.keys] + [F.col("__c_slice")],
         )
-        joined = self.df.join(F.broadcast(carry), match, "left")
+        joined = self.df.join(F.broadcast(staged(carry)), match, "left")
         return joined.drop("__c_slice", *[f"__c_{k}" for k in self.keys])
 
     def _latest(self, value: Column, when: Column) -> Column:

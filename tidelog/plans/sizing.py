@@ -29,6 +29,11 @@ def staged(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def require_table(df: DataFrame) -> None:
+    if df.isStreaming:
+        raise ValueError("ordered operators take tables; tidelog.streaming has their streaming forms")
+
+
 def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast if its measured size allows it.
 

@@ -129,6 +129,17 @@ def start_fan_out(df: DataFrame, sinks: Mapping[str, Writer], checkpoint: str, *
     )
 
 
+def start_batches(
+    df: DataFrame, path: str, checkpoint: str, *, max_size: int = 100, interval: str = "5 seconds", fmt: str = "json"
+) -> StreamingQuery:
+    """Stream files of at most ``max_size`` rows, one set per ``interval``."""
+    require(max_size >= 1, "batch: max_size must be >= 1")
+    return (
+        df.writeStream.format(fmt).option("path", path).option("checkpointLocation", checkpoint)
+        .option("maxRecordsPerFile", max_size).trigger(processingTime=interval).start()
+    )
+
+
 def resume_ingest(df: DataFrame, path: str, checkpoint: str, *, fmt: str = "parquet", timeout: int | None = None) -> StreamingQuery:
     """Append what is new since the last call with this ``checkpoint``, then stop."""
     query = (

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tidelog.functions.columns import field
 from tidelog.specs import positive_window
@@ -46,3 +49,13 @@ def sliding_counts(df: DataFrame, window, buckets: int, *, keys: list[str] | Non
     return counted.select(
         F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *(keys or []), "n"
     )
+
+
+def start_per_batch(
+    df: DataFrame, build: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame], None], checkpoint: str, **trigger
+) -> StreamingQuery:
+    """Run a record-wise table operator (such as ``geo_enrich``) on each micro-batch."""
+    return (
+        df.writeStream.foreachBatch(lambda rows, _: write(build(rows)))
+        .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    )

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidelog.functions.columns import field, micros
+from tidelog.functions.patterns import search
 from tidelog.specs import positive_window, require
 
 # How whole rows travel through state without losing microseconds.
@@ -283,6 +284,43 @@ class AnchoredTotals(OrderedProcessor):
         return self._emit(key, state)
 
 
+class CounterAlerts(OrderedProcessor):
+    """Threshold alerts. ``tag`` of a row is the amount added to its counter.
+
+    State: running total, end of the open tick, last fire. A counter is looked
+    at when a tick in which it grew ends.
+    """
+
+    state_schema = "total long, tick long, fired long"
+
+    def __init__(self, interval: int, rules: dict[str, tuple[int, int]]):
+        self.interval, self.rules = interval, rules
+
+    def empty(self):
+        return [0, None, None]
+
+    def _evaluate(self, key, state):
+        total, tick, fired = state
+        state[1] = None
+        threshold, cooldown = self.rules[key]
+        if total >= threshold and (fired is None or tick - fired >= cooldown):
+            state[2] = tick
+            yield Row(name=key, t=tick, value=total)
+
+    def step(self, key, state, row):
+        tick = row[0] - row[0] % self.interval + self.interval
+        if state[1] is not None and tick > state[1]:
+            yield from self._evaluate(key, state)
+        state[0] += int(row[2])
+        state[1] = tick
+
+    def closes(self, state):
+        return state[1]
+
+    def expire(self, key, state):
+        return self._evaluate(key, state)
+
+
 def _kept(df, key, processor, ts, row_id, delay) -> DataFrame:
     out = keyed_stream(df, key, ts, row_id, delay, processor, "row string")
     return unpack(out, df.schema).select("__row.*")
@@ -303,13 +341,12 @@ def debounce(df: DataFrame, name: str, window, *, ts="ts", row_id="id", delay="0
 
 
 def uniq(df: DataFrame, name: str, window, *, ts="ts", row_id="id", delay="0 seconds") -> DataFrame:
-    """Streaming form of ``operators.suppress.uniq``; rows without the field always pass.
-
-    Such rows get a key of their own, so nothing suppresses them.
-    """
-    own = F.concat(F.lit("row:"), field(row_id).cast("string"))
-    key = F.coalesce(F.concat(F.lit("key:"), field(name)), own) if name in df.columns else own
-    return _kept(df, key, KeepFirst(positive_window(window), 1), ts, row_id, delay)
+    """Streaming form of ``operators.suppress.uniq``; rows without the field pass at once."""
+    if name not in df.columns or not isinstance(df.schema[name].dataType, T.StringType):
+        return df
+    keyed = df.filter(field(name).isNotNull())
+    kept = _kept(keyed, field(name), KeepFirst(positive_window(window), 1), ts, row_id, delay)
+    return kept.unionByName(df.filter(field(name).isNull()))
 
 
 def rate_limit(df: DataFrame, limit: int, window, *, source="source", ts="ts", row_id="id", delay="0 seconds") -> DataFrame:
@@ -387,3 +424,31 @@ def anchored_totals(df: DataFrame, value: str, window, *, source="source", ts="t
     return out.select(
         F.col("source").alias(source), F.timestamp_micros("t").alias("window_start"), "count", "sum", "min", "max"
     )
+
+
+def threshold_alerts(
+    df: DataFrame, rules, interval, *, name: str = "name", n: str | None = None, ts="ts", row_id="id", delay="0 seconds"
+) -> DataFrame:
+    """Streaming form of a counter report with ``operators.counters.threshold_alerts``."""
+    from tidelog.operators.counters import AlertRule
+    from tidelog.specs import duration_us, parse_all
+
+    rules = {r.counter: (r.threshold, duration_us(r.cooldown)) for r in parse_all(AlertRule, rules, needed=True)}
+    amount = (field(n) if n else F.lit(1)).cast("long")
+    out = keyed_stream(
+        df.filter(field(name).isin(list(rules))), field(name), ts, row_id, delay,
+        CounterAlerts(positive_window(interval), rules), "name string, t long, value long", tag=amount,
+    )
+    return out.select(F.timestamp_micros("t").alias("tick"), "name", "value")
+
+
+def match_alerts(
+    df: DataFrame, column: str, pattern: str, threshold: int, *, repeat: bool = False, source="source", ts="ts",
+    row_id="id", delay="0 seconds",
+) -> DataFrame:
+    """Streaming form of ``operators.counters.match_alerts`` for one rule."""
+    require(threshold > 0, "alert: threshold must be > 0")
+    hits = df.filter(F.coalesce(search(field(column).cast("string"), pattern), F.lit(False)))
+    counted = sequence(hits, dest="count", per_source=source, ts=ts, row_id=row_id, delay=delay)
+    at = F.col("count")
+    return counted.filter((at % threshold == 0) if repeat else (at == threshold))
