@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions.columns import field, micros
-from tidelog.plans.ordered import ROWS_PER_TASK, SLICE, OrderedScan, Slicer
+from tidelog.plans.ordered import HOT, ROWS_PER_TASK, SLICE, OrderedScan, Slicer
 from tidelog.plans.sizing import maybe_broadcast, require_table, staged
 
 FOLD_ROWS = 500_000
@@ -132,8 +132,8 @@ def leaders(times: DataFrame, keys, origin_us=None, rows_per_task=None, fold_row
     if not slicer.hot:
         return _arrow_scan(times, keys)
     placed = staged(slicer.attach(times))
-    cold = _arrow_scan(placed.filter(F.col(SLICE) < 0), keys)
-    return cold.unionByName(_double(placed.filter(F.col(SLICE) >= 0), keys, slicer))
+    cold = _arrow_scan(placed.filter(~F.col(HOT)), keys)
+    return cold.unionByName(_double(placed.filter(F.col(HOT)), keys, slicer))
 
 
 def _fold(times: DataFrame, keys: list[str]) -> DataFrame:
@@ -196,7 +196,7 @@ def _double(placed: DataFrame, keys: list[str], slicer: Slicer) -> DataFrame:
     gap = F.col(TIME) - F.col("__prev")
     scan = scan.with_df(scan.df.withColumn("__first", gap.isNull() | (gap >= F.col(WIDTH))))
     scan = scan.last(__start=F.when(F.col("__first"), F.col(TIME)))
-    nodes = staged(scan.df.select(*keys, TIME, WIDTH, KIND, SLICE, "__first", "__start"))
+    nodes = staged(scan.df.select(*keys, TIME, WIDTH, KIND, SLICE, HOT, "__first", "__start"))
 
     # A session of this many widths has at most one window more than that.
     steps = F.floor((F.col(TIME) - F.col("__start")) / F.col(WIDTH))

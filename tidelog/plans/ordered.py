@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 from tidelog.plans.sizing import require_table, staged
 
 ROWS_PER_TASK = 4_000_000
-MAX_SLICES = 4096
-SAMPLES_PER_SLICE = 16
-HEAD_STEP = 64
+# Bounds and carries are one row per slice, so this bounds what is broadcast.
+MAX_SLICES = 65_536
+SAMPLES_PER_SLICE = 8
 
 SLICE = "__slice"
+HOT = "__hot"
 BOUNDS = "__bounds"
 
 
@@ -40,6 +41,7 @@ class Slicer:
     total: int
     largest: int
     limit: int
+    most_bounds: int = 0
 
     @classmethod
     def plan(
@@ -72,14 +74,16 @@ class Slicer:
             *[F.col(k).alias(f"__b_{k}") for k in keys],
             F.expr(f"filter(__s, (x, i) -> i % {thin} = {thin - 1})").alias(BOUNDS),
         )
-        return cls(tuple(keys), tuple(order), staged(bounds), total, largest, limit)
+        bounds = staged(bounds)
+        most = bounds.agg(F.max(F.size(BOUNDS)).alias("n")).first()["n"] or 0
+        return cls(tuple(keys), tuple(order), bounds, total, largest, limit, most)
 
     @property
     def hot(self) -> bool:
         return self.bounds is not None
 
     def attach(self, df: DataFrame) -> DataFrame:
-        """Add the slice number; rows of keys that are not hot get -1."""
+        """Add the slice number and the hot mark; rows of other keys get -1."""
         if self.bounds is None:
             return df
         joined = df.join(
@@ -87,19 +91,17 @@ class Slicer:
             _same([F.col(k) for k in self.keys], [F.col(f"__b_{k}") for k in self.keys]),
             "left",
         )
-        # Two-step search: coarse heads first, then the block below the head.
-        here = f"struct({', '.join(f'`{o}`' for o in self.order)})"
-        joined = joined.withColumn(
-            "__head", F.expr(f"size(filter({BOUNDS}, (b, i) -> i % {HEAD_STEP} = 0 and b <= {here}))")
-        )
-        block = f"slice({BOUNDS}, (__head - 1) * {HEAD_STEP} + 1, {HEAD_STEP})"
-        number = (
-            f"case when {BOUNDS} is null then -1 when __head = 0 then 0 "
-            f"else (__head - 1) * {HEAD_STEP} + size(filter({block}, b -> b <= {here})) end"
-        )
-        return joined.withColumn(SLICE, F.expr(number).cast("int")).drop(
-            BOUNDS, "__head", *[f"__b_{k}" for k in self.keys]
+        # Binary search, one plain projection per step: how many bounds are <= here.
+        joined = joined.withColumns(
+            {HOT: F.col(BOUNDS).isNotNull(), "__here": F.struct(*self.order), "__at": F.lit(0)}
         )
+        for power in reversed(range(self.most_bounds.bit_length())):
+            step = 1 << power
+            passed = F.get(F.col(BOUNDS), F.col("__at") + (step - 1)) <= F.col("__here")
+            joined = joined.withColumn("__at", F.when(passed, F.col("__at") + step).otherwise(F.col("__at")))
+        # Filters use HOT: pushed below the steps, a test of SLICE would repeat them all.
+        number = F.when(F.col(HOT), F.col("__at")).otherwise(-1)
+        return joined.withColumn(SLICE, number).drop(BOUNDS, "__here", "__at", *[f"__b_{k}" for k in self.keys])
 
 
 @dataclass(frozen=True)
@@ -135,7 +137,7 @@ class OrderedScan:
         return replace(self, df=df)
 
     def result(self) -> DataFrame:
-        return self.df.drop(SLICE)
+        return self.df.drop(SLICE, HOT)
 
     def _direction(self, names) -> list[Column]:
         return [F.col(n).desc() if self.descending else F.col(n).asc() for n in names]
@@ -156,7 +158,7 @@ class OrderedScan:
         slices before. There is one row per slice and at most 2 * MAX_SLICES
         slices, so the carry table is broadcast.
         """
-        hot = self.df.filter(F.col(SLICE) >= 0)
+        hot = self.df.filter(F.col(HOT))
         per_slice = hot.groupBy(*self.keys, SLICE).agg(*[a.alias(f"__v_{n}") for n, a in totals.items()])
         walk = Window.partitionBy(*self.keys).orderBy(*self._direction([SLICE]))
         carry = per_slice.select(
