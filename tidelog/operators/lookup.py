@@ -102,34 +102,52 @@ def lookup_hits(df: DataFrame, rule: LookupRule) -> DataFrame:
 IPV4 = r"^(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}\z"
 
 
+def is_ipv4(ip: Column) -> Column:
+    return F.rlike(ip, F.lit(IPV4))
+
+
 def ipv4_number(ip: Column) -> Column:
-    """The address as a number; null if the text is no IPv4 address."""
+    """A valid address as a number."""
 
     def total(parts: Column) -> Column:
-        octets = [F.get(parts, i).cast("long") for i in range(4)]
+        octets = [F.get(parts, i).try_cast("long") for i in range(4)]
         return ((octets[0] * 256 + octets[1]) * 256 + octets[2]) * 256 + octets[3]
 
-    return F.when(F.rlike(ip, F.lit(IPV4)), let(F.split(ip, r"\."), total))
+    return let(F.split(ip, r"\."), total)
 
 
 def _blocks(ranges: DataFrame, start: str, end: str, attrs: list[str]) -> DataFrame:
-    """Each range as aligned power-of-two blocks: at most two per level."""
+    """Each range as aligned blocks of 16**n addresses, the largest that fit.
+
+    A level holds the blocks at both ends of the range that no block of the next
+    level covers: 30 at most, and one for a range that is itself a block.
+    """
     lo, hi = field(start).cast("long"), field(end).cast("long") + 1
     entry = F.struct(
         (hi - lo).alias("size"), lo.alias("start"), F.struct(*[field(a).alias(a) for a in attrs]).alias("attrs")
     )
     levels = ranges.filter(lo < hi).select(
-        lo.alias("lo"), hi.alias("hi"), entry.alias("entry"), F.explode(F.sequence(F.lit(0), F.lit(32))).alias("level")
+        lo.alias("lo"), hi.alias("hi"), entry.alias("entry"),
+        F.explode(F.sequence(F.lit(0), F.lit(32), F.lit(4))).alias("shift"),
     )
-    unit = F.expr("shiftleft(1L, level)")
-    levels = levels.withColumns({"a": F.ceil(F.col("lo") / unit).cast("long"), "b": F.floor(F.col("hi") / unit).cast("long")})
-    levels = levels.filter("a < b")
-    picked = F.array_compact(
-        F.array(F.when(F.col("a") % 2 == 1, F.col("a")), F.when(F.col("b") % 2 == 1, F.col("b") - 1))
+
+    levels = levels.withColumns({
+        "a": F.expr("shiftright(lo + shiftleft(1L, shift) - 1, shift)"),
+        "b": F.expr("shiftright(hi, shift)"),
+        "up_a": F.expr("shiftright(lo + shiftleft(1L, shift + 4) - 1, shift + 4) * 16"),
+        "up_b": F.expr("shiftright(hi, shift + 4) * 16"),
+    }).filter("a < b")
+
+    def span(low: str, high: str) -> Column:
+        some = F.sequence(F.col(low), F.col(high) - 1)
+        return F.when(F.col(low) < F.col(high), some).otherwise(F.array().cast("array<bigint>"))
+
+    picked = F.when(F.col("up_a") < F.col("up_b"), F.concat(span("a", "up_a"), span("up_b", "b"))).otherwise(
+        span("a", "b")
     )
-    cells = levels.select("level", F.explode(picked).alias("block"), "entry")
+    cells = levels.select("shift", F.explode(picked).alias("block"), "entry")
     # Ranges that share a block: the narrowest one is the answer there.
-    return cells.groupBy("level", "block").agg(F.min("entry").alias("entry"))
+    return cells.groupBy("shift", "block").agg(F.min("entry").alias("entry"))
 
 
 def geo_enrich(
@@ -152,25 +170,25 @@ def geo_enrich(
     attrs = [c for c in ranges.columns if c not in (start, end)]
     blocks = _blocks(ranges, start, end, attrs)
 
-    number = ipv4_number(field(src))
-    seen = df.select(number.alias("__ip")).filter("__ip is not null").distinct()
-    # One pass sizes the table and lists the block sizes in use: 33 at most.
-    facts = blocks.agg(F.count("*").alias("n"), F.collect_set("level").alias("levels")).first()
-    levels = sorted(facts["levels"])
+    valid = is_ipv4(field(src))
+    seen = df.filter(valid).select(ipv4_number(field(src)).alias("__ip")).distinct()
+    # One pass sizes the table and lists the block sizes in use: 9 at most.
+    facts = blocks.agg(F.count("*").alias("n"), F.collect_set("shift").alias("shifts")).first()
     if facts["n"] <= BROADCAST_ROWS and fits_broadcast(ranges):
         blocks = F.broadcast(blocks)
-    probes = seen.select("__ip", F.explode(F.array(*[F.lit(n) for n in levels]).cast("array<int>")).alias("level"))
-    probes = probes.withColumn("block", F.expr("shiftright(__ip, level)"))
+    shifts = F.array(*[F.lit(n) for n in sorted(facts["shifts"])]).cast("array<int>")
+    probes = seen.select("__ip", F.explode(shifts).alias("shift"))
+    probes = probes.withColumn("block", F.expr("shiftright(__ip, shift)"))
     # Large blocks are met by many addresses; a broadcast block table avoids
     # that hot key, else adaptive execution splits it.
-    found = probes.join(blocks, ["level", "block"]).groupBy("__ip").agg(
+    found = probes.join(blocks, ["shift", "block"]).groupBy("__ip").agg(
         F.min("entry").alias("__entry")
     )
     found = found.select(
         F.col("__ip").alias("__found"),
         F.create_map(*[x for a in attrs for x in (F.lit(a), F.col("__entry.attrs").getField(a).cast("string"))]).alias("__geo"),
     )
-    joined = df.withColumn("__ip", number).join(found, F.col("__ip") == F.col("__found"), "left")
+    joined = df.withColumn("__ip", F.when(valid, ipv4_number(field(src)))).join(found, F.col("__ip") == F.col("__found"), "left")
     missing = F.create_map().cast(map_type) if on_miss == "empty" else before
     value = F.when(F.col("__geo").isNotNull(), F.col("__geo")).when(F.col("__ip").isNotNull(), missing).otherwise(before)
     return joined.withColumn(dst, value).drop("__ip", "__found", "__geo")
