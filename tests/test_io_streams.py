@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidelog.operators import aggregates, multiline, numbering, pairs, suppress
 from tidelog.plans.flow import Flow, run_flow, run_stage
 from tidelog.sources import readers, sinks
+from tidelog.specs import Scoped
 from tidelog.streaming import native, state
 
 T0 = datetime(2024, 1, 1)
@@ -47,23 +48,21 @@ def same(got, want, columns):
     assert rows[0] == rows[1] and rows[0]
 
 
+LIMITS = Scoped({"limit": 2, "window": "5m"}, {"R": {"limit": 1, "window": "90s"}})
 SUPPRESSION = {
-    "dedupe": (lambda s: state.dedupe(s, ["source", "k"], "90s"), lambda t: suppress.dedupe(t, {"fields": ["source", "k"], "window": "90s"})),
-    "debounce": (lambda s: state.debounce(s, "k", "3m"), lambda t: suppress.debounce(t, {"field": "k", "window": "3m"})),
-    "uniq": (lambda s: state.uniq(s, "k", "30s"), lambda t: suppress.uniq(t, {"field": "k", "window": "30s"})),
-    "rate_limit": (lambda s: state.rate_limit(s, 2, "5m"), lambda t: suppress.rate_limit(t, {"limit": 2, "window": "5m"})),
-    "ceiling": (
-        lambda s: state.ceiling(s, 3, "5m", origin_us=1704066600000000),
-        lambda t: suppress.ceiling(t, {"limit": 3, "window": "5m"}, origin_us=1704066600000000),
-    ),
+    "dedupe": ({"fields": ["source", "k"], "window": "90s"}, {}),
+    "debounce": ({"field": "k", "window": "3m"}, {}),
+    "uniq": ({"field": "k", "window": "30s"}, {}),
+    "rate_limit": (LIMITS, {}),
+    "ceiling": ({"limit": 3, "window": "5m"}, {"origin_us": 1704066600000000}),
 }
 
 
 @pytest.mark.parametrize("name", SUPPRESSION)
 def test_stream_suppression(spark, files, tmp_path, name):
-    on_stream, on_table = SUPPRESSION[name]
-    got = run(spark, files, tmp_path, on_stream)
-    same(got.filter("source <> 'end'"), on_table(files[1]), ["source", "ts", "id", "k", "value", "line"])
+    rules, options = SUPPRESSION[name]
+    got = run(spark, files, tmp_path, lambda s: getattr(state, name)(s, rules, **options))
+    same(got.filter("source <> 'end'"), getattr(suppress, name)(files[1], rules, **options), ["source", "ts", "id", "k", "value", "line"])
 
 
 def test_stream_sequence(spark, files, tmp_path):
@@ -155,7 +154,7 @@ def test_ordered_operators_reject_streams(spark, files):
     with pytest.raises(ValueError):
         suppress.dedupe(stream, {"fields": ["k"], "window": "1s"})
     with pytest.raises(ValueError):
-        state.dedupe(files[1], ["k"], "1s")
+        state.dedupe(files[1], {"fields": ["k"], "window": "1s"})
 
 
 def test_sinks(spark, tmp_path):

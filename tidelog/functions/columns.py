@@ -31,6 +31,11 @@ def from_micros(us: str | Column, like: str = "timestamp") -> Column:
     return F.timestamp_micros(us).cast(like)
 
 
+def floor_div(value: Column, step: Column) -> Column:
+    """Whole-number division, rounded down, without a detour through doubles."""
+    return F.call_function("div", value - F.pmod(value, step), step)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often ``body`` uses it."""
     return F.get(F.transform(F.array(value), body), 0)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.functions.columns import field, micros
+from tidelog.functions.columns import field, floor_div, micros
 from tidelog.functions.patterns import java_pattern, search
 from tidelog.plans.ordered import OrderedScan
 from tidelog.specs import Scoped, Spec, duration_us, require
@@ -86,7 +86,7 @@ def assemble_multiline(
     scan = scan.running_sum(__seg=opened.cast("long"), __n=F.lit(1).cast("long"))
     scan = scan.last(__first=F.when(opened, F.col("__n")))
     place = F.col("__n") - F.coalesce("__first", F.lit(1))
-    chunk = F.when(size > 0, F.floor(place / F.greatest(size, F.lit(1)))).otherwise(0)
+    chunk = F.when(size > 0, floor_div(place, F.greatest(size, F.lit(1).cast("long")))).otherwise(0)
     grouped = scan.result().withColumn("__chunk", chunk).groupBy(source, "__seg", "__chunk")
     parts = F.sort_array(F.collect_list(F.struct("__t", "__id", "__line")))
     joined = grouped.agg(

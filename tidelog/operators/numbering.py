@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.functions.columns import field, micros
+from tidelog.functions.columns import field, floor_div, micros
 from tidelog.operators.suppress import by_source, parse_scoped, scope_key
 from tidelog.plans.anchored import GROUP_LIMIT
 from tidelog.plans.ordered import OrderedScan
@@ -61,12 +61,12 @@ def assign_batches(
     """
     require(max_size >= 1, "batch: max_size must be >= 1")
     step = positive_window(interval)
-    start = micros(origin) if origin is not None else F.lit(0)
+    start = micros(origin) if origin is not None else F.lit(0).cast("long")
     keys = [scope] if scope else []
     rows = df.withColumns({"__t": micros(ts), "__id": field(row_id)})
-    rows = rows.withColumn("tick", F.floor((F.col("__t") - start) / step).cast("long"))
+    rows = rows.withColumn("tick", floor_div(F.col("__t") - start, F.lit(step)))
     scan = OrderedScan.open(rows, [*keys, "tick"], ["__t", "__id"], rows_per_task=rows_per_task).number("__n")
-    batch = F.floor((F.col("__n") - 1) / max_size).cast("long")
+    batch = floor_div(F.col("__n") - 1, F.lit(max_size).cast("long"))
     return scan.result().withColumn("batch", batch).drop("__t", "__id", "__n")
 
 

@@ -113,6 +113,23 @@ def _text_or(df: DataFrame, name: str, missing: str) -> Column:
     return F.coalesce(value, F.lit(missing))
 
 
+def dedupe_keys(df: DataFrame, scoped: Scoped) -> dict[str, Column]:
+    """The key columns of a dedupe: field texts, padded where rules differ in length."""
+    present = [r for r in (scoped.default, *scoped.by_source.values()) if r is not None]
+
+    def value(i: int):
+        # Sources without a rule are set aside before the key is used.
+        return lambda r: _text_or(df, r.fields[i], "") if r is not None and i < len(r.fields) else F.lit("")
+
+    keys = {f"__k{i}": by_source(scoped, value(i)) for i in range(max((len(r.fields) for r in present), default=0))}
+    return {**keys, "__scope": scope_key(scoped)} if scoped.by_source else keys
+
+
+def debounce_keys(df: DataFrame, scoped: Scoped) -> dict[str, Column]:
+    keys = {"__k0": by_source(scoped, lambda r: _text_or(df, r.field, "<nil>"))}
+    return {**keys, "__scope": scope_key(scoped)} if scoped.by_source else keys
+
+
 def dedupe(df: DataFrame, rules, *, ts: str = "ts", row_id: str = "id", rows_per_task: int | None = None) -> DataFrame:
     """Keep a row if its field values were not kept within the window before it.
 
@@ -120,23 +137,14 @@ def dedupe(df: DataFrame, rules, *, ts: str = "ts", row_id: str = "id", rows_per
     Sources under the default rule share its state.
     """
     scoped = parse_scoped(rules, DedupeRule.parse)
-    present = [r for r in (scoped.default, *scoped.by_source.values()) if r is not None]
-
-    def value(i: int):
-        return lambda r: _text_or(df, r.fields[i], "") if i < len(r.fields) else F.lit("")
-
-    keys = {f"__k{i}": by_source(scoped, value(i)) for i in range(max((len(r.fields) for r in present), default=0))}
-    if scoped.by_source:
-        keys["__scope"] = scope_key(scoped)
+    keys = dedupe_keys(df, scoped)
     return _suppress(df, scoped, keys, lambda r: 1, ts=ts, row_id=row_id, rows_per_task=rows_per_task)
 
 
 def debounce(df: DataFrame, rules, *, ts: str = "ts", row_id: str = "id", rows_per_task: int | None = None) -> DataFrame:
     """Like :func:`dedupe` on one field; rows without it share one key."""
     scoped = parse_scoped(rules, KeyRule.parse)
-    keys = {"__k0": by_source(scoped, lambda r: _text_or(df, r.field, "<nil>"))}
-    if scoped.by_source:
-        keys["__scope"] = scope_key(scoped)
+    keys = debounce_keys(df, scoped)
     return _suppress(df, scoped, keys, lambda r: 1, ts=ts, row_id=row_id, rows_per_task=rows_per_task)
 
 

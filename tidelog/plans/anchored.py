@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.functions.columns import field, micros
+from tidelog.functions.columns import field, floor_div, micros
 from tidelog.plans.ordered import HOT, ROWS_PER_TASK, SLICE, OrderedScan, Slicer
 from tidelog.plans.sizing import maybe_broadcast, require_table, staged
 
@@ -74,7 +74,7 @@ def anchored_windows(
 
     opened = staged(leaders(base.select(*keys, TIME, WIDTH), keys, origin_us, rows_per_task, fold_rows))
     # Each leader serves its own cell and, as the one before, the next cell.
-    cell = F.floor(F.col(TIME) / F.col(WIDTH))
+    cell = floor_div(F.col(TIME), F.col(WIDTH))
     served = opened.select(
         *[F.col(k).alias(f"__w_{k}") for k in keys],
         F.explode(F.array(
@@ -199,7 +199,7 @@ def _double(placed: DataFrame, keys: list[str], slicer: Slicer) -> DataFrame:
     nodes = staged(scan.df.select(*keys, TIME, WIDTH, KIND, SLICE, HOT, "__first", "__start"))
 
     # A session of this many widths has at most one window more than that.
-    steps = F.floor((F.col(TIME) - F.col("__start")) / F.col(WIDTH))
+    steps = floor_div(F.col(TIME) - F.col("__start"), F.col(WIDTH))
     rounds = math.ceil(math.log2((nodes.agg(F.max(steps).alias("m")).first()["m"] or 0) + 1))
     reached = nodes.filter("__first").select(*keys, TIME, WIDTH)
     if rounds == 0:

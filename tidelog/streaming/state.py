@@ -21,7 +21,17 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidelog.functions.columns import field, micros
 from tidelog.functions.patterns import search
-from tidelog.specs import positive_window, require
+from tidelog.operators.suppress import (
+    DedupeRule,
+    KeyRule,
+    LimitRule,
+    by_source,
+    debounce_keys,
+    dedupe_keys,
+    parse_scoped,
+    scope_key,
+)
+from tidelog.specs import Scoped, positive_window, require
 
 # How whole rows travel through state without losing microseconds.
 PACK = {
@@ -137,29 +147,31 @@ class OrderedProcessor(StatefulProcessor):
 class KeepFirst(OrderedProcessor):
     """Dedupe, debounce, uniq, rate limit, ceiling: the first rows of anchored windows.
 
-    State: window start, rows seen in it. Dropped once the window has passed,
-    since the next row then opens a new one anyway.
+    ``tag`` of a row is its rule's width and limit. State: window start, rows
+    seen in it, width. Dropped once the window has passed, since the next row
+    then opens a new one anyway.
     """
 
-    state_schema = "start long, seen long"
+    state_schema = "start long, seen long, width long"
 
-    def __init__(self, width: int, limit: int, origin: int | None = None):
-        self.width, self.limit, self.origin = width, limit, origin
+    def __init__(self, origin: int | None = None):
+        self.origin = origin
 
     def empty(self):
-        return [None, 0]
+        return [None, 0, None]
 
     def step(self, key, state, row):
-        if state[0] is None and self.origin is not None and row[0] - self.origin < self.width:
-            state[:] = [self.origin, 0]
-        if state[0] is None or row[0] - state[0] >= self.width:
-            state[:] = [row[0], 0]
+        width, limit = (int(part) for part in row[2].split(","))
+        if state[0] is None and self.origin is not None and row[0] - self.origin < width:
+            state[:] = [self.origin, 0, width]
+        if state[0] is None or row[0] - state[0] >= width:
+            state[:] = [row[0], 0, width]
         state[1] += 1
-        if state[1] <= self.limit:
+        if state[1] <= limit:
             yield Row(row=row[3])
 
     def closes(self, state):
-        return None if state[0] is None else state[0] + self.width
+        return None if state[0] is None else state[0] + state[2]
 
     def expire(self, key, state):
         state[:] = self.empty()
@@ -321,47 +333,69 @@ class CounterAlerts(OrderedProcessor):
         return self._evaluate(key, state)
 
 
-def _kept(df, key, processor, ts, row_id, delay) -> DataFrame:
-    out = keyed_stream(df, key, ts, row_id, delay, processor, "row string")
-    return unpack(out, df.schema).select("__row.*")
+def _kept(
+    df: DataFrame, scoped: Scoped, keys: dict[str, Column], limit, *, ts: str, row_id: str, delay: str,
+    strict: bool = False, origin_us: int | None = None, free: Column | None = None,
+) -> DataFrame:
+    """The stream form of suppression; ``free`` rows and sources without a rule pass at once."""
+    if scoped.default is None:
+        if not scoped.by_source:
+            return df
+        unruled = ~F.coalesce(field(scoped.source).isin(list(scoped.by_source)), F.lit(False))
+        free = unruled if free is None else free | unruled
+    rows = df if free is None else df.filter(~free)
+    tag = F.concat_ws(
+        ",",
+        by_source(scoped, lambda r: F.lit(positive_window(r.window) + (1 if strict else 0))),
+        by_source(scoped, lambda r: F.lit(limit(r))),
+    )
+    key = F.to_json(F.array(*[k.cast("string") for k in keys.values()]))
+    out = keyed_stream(rows, key, ts, row_id, delay, KeepFirst(origin_us), "row string", tag=tag)
+    kept = unpack(out, df.schema).select("__row.*")
+    return kept if free is None else kept.unionByName(df.filter(free))
 
 
-def dedupe(df: DataFrame, fields: list[str], window, *, ts="ts", row_id="id", delay="0 seconds") -> DataFrame:
+def dedupe(df: DataFrame, rules, *, ts="ts", row_id="id", delay="0 seconds") -> DataFrame:
     """Streaming form of ``operators.suppress.dedupe``."""
-    require(bool(fields), "dedupe: at least one field is required")
-    values = [F.coalesce(field(f).cast("string"), F.lit("")) if f in df.columns else F.lit("") for f in fields]
-    key = F.to_json(F.array(*values))
-    return _kept(df, key, KeepFirst(positive_window(window), 1), ts, row_id, delay)
+    scoped = parse_scoped(rules, DedupeRule.parse)
+    return _kept(df, scoped, dedupe_keys(df, scoped), lambda r: 1, ts=ts, row_id=row_id, delay=delay)
 
 
-def debounce(df: DataFrame, name: str, window, *, ts="ts", row_id="id", delay="0 seconds") -> DataFrame:
+def debounce(df: DataFrame, rules, *, ts="ts", row_id="id", delay="0 seconds") -> DataFrame:
     """Streaming form of ``operators.suppress.debounce``; rows without the field share a key."""
-    key = field(name) if name in df.columns else F.lit(None)
-    return _kept(df, key, KeepFirst(positive_window(window), 1), ts, row_id, delay)
+    scoped = parse_scoped(rules, KeyRule.parse)
+    return _kept(df, scoped, debounce_keys(df, scoped), lambda r: 1, ts=ts, row_id=row_id, delay=delay)
 
 
-def uniq(df: DataFrame, name: str, window, *, ts="ts", row_id="id", delay="0 seconds") -> DataFrame:
+def uniq(df: DataFrame, rule, *, ts="ts", row_id="id", delay="0 seconds") -> DataFrame:
     """Streaming form of ``operators.suppress.uniq``; rows without the field pass at once."""
-    if name not in df.columns or not isinstance(df.schema[name].dataType, T.StringType):
+    rule = KeyRule.parse(rule)
+    if rule.field not in df.columns or not isinstance(df.schema[rule.field].dataType, T.StringType):
         return df
-    keyed = df.filter(field(name).isNotNull())
-    kept = _kept(keyed, field(name), KeepFirst(positive_window(window), 1), ts, row_id, delay)
-    return kept.unionByName(df.filter(field(name).isNull()))
+    value = field(rule.field)
+    return _kept(
+        df, Scoped(rule), {"__k0": value}, lambda r: 1, free=value.isNull(), ts=ts, row_id=row_id, delay=delay
+    )
 
 
-def rate_limit(df: DataFrame, limit: int, window, *, source="source", ts="ts", row_id="id", delay="0 seconds") -> DataFrame:
+def rate_limit(df: DataFrame, rules, *, source="source", ts="ts", row_id="id", delay="0 seconds") -> DataFrame:
     """Streaming form of ``operators.suppress.rate_limit``."""
-    require(limit > 0, "limit must be > 0")
-    return _kept(df, field(source), KeepFirst(positive_window(window) + 1, limit), ts, row_id, delay)
+    scoped = parse_scoped(rules, LimitRule.parse)
+    return _kept(
+        df, scoped, {"__k0": field(source)}, lambda r: r.limit, strict=True, ts=ts, row_id=row_id, delay=delay
+    )
 
 
-def ceiling(df: DataFrame, limit: int, window, *, ts="ts", row_id="id", delay="0 seconds", origin_us: int | None = None) -> DataFrame:
-    """Streaming form of ``operators.suppress.ceiling``; all rows share one state.
+def ceiling(df: DataFrame, rules, *, ts="ts", row_id="id", delay="0 seconds", origin_us: int | None = None) -> DataFrame:
+    """Streaming form of ``operators.suppress.ceiling``; all sources of a rule share its state.
 
     A window that starts at ``origin_us`` can only be the first one.
     """
-    require(limit > 0, "limit must be > 0")
-    return _kept(df, F.lit("all"), KeepFirst(positive_window(window), limit, origin_us), ts, row_id, delay)
+    scoped = parse_scoped(rules, LimitRule.parse)
+    return _kept(
+        df, scoped, {"__k0": scope_key(scoped)}, lambda r: r.limit, origin_us=origin_us,
+        ts=ts, row_id=row_id, delay=delay,
+    )
 
 
 def sequence(df: DataFrame, *, start: int = 1, dest: str = "seq", per_source: str | None = None, ts="ts", row_id="id", delay="0 seconds") -> DataFrame:

@@ -150,7 +150,7 @@ PASSED_LOGS = f"SELECT * FROM ({LOGS_SQL}) WHERE {PASSED}"
     SELECT id, source, ts, props FROM rows_ JOIN lead_ ON source = k AND ts = t
 """)
 def stream_dedupe(spark, sf):
-    return drained(spark, state.dedupe(events_stream(spark, sf), ["source"], "1h").select("id", "source", "ts", "props"))
+    return drained(spark, state.dedupe(events_stream(spark, sf), {"fields": ["source"], "window": "1h"}).select("id", "source", "ts", "props"))
 
 
 @query(f"""
@@ -159,7 +159,7 @@ def stream_dedupe(spark, sf):
     SELECT id, source FROM w QUALIFY row_number() OVER (PARTITION BY k0, t ORDER BY ts, id) <= 5
 """)
 def stream_rate_limit(spark, sf):
-    return drained(spark, state.rate_limit(events_stream(spark, sf), 5, "6h").select("id", "source"))
+    return drained(spark, state.rate_limit(events_stream(spark, sf), {"limit": 5, "window": "6h"}).select("id", "source"))
 
 
 @query(f"SELECT id, row_number() OVER (PARTITION BY source ORDER BY ts, id) + 9 AS seq FROM ({PASSED_LOGS})")
