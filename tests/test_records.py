@@ -78,6 +78,15 @@ def test_flatten_unwrap(spark):
         shape.FlattenRule(field=" ")
 
 
+def test_open_leaves(spark):
+    lines = ['{"a":1,"b":{"c":"x","d":{"e":[1,2],"f":null}},"g":{}}', "[1]", None]
+    df = spark.createDataFrame([(line,) for line in lines], "line string").select(F.parse_json("line").alias("v"))
+    got = [r[0] for r in df.select(shape.open_leaves("v", "p", "_")).collect()]
+    assert got == [{"p_a": "1", "p_b_c": "x", "p_b_d_e": "[1,2]", "p_b_d_f": None}, None, None]
+    shallow = df.select(shape.open_leaves("v", depth=1)).first()[0]
+    assert shallow == {"a": "1", "b.c": "x", "b.d": '{"e":[1,2],"f":null}'}
+
+
 def test_split(spark):
     df = spark.createDataFrame([("s", ["a", "b"]), ("t", []), ("u", None)], "source string, tags array<string>")
     got = shape.split_array(df, "tags").collect()

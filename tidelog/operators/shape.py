@@ -191,6 +191,32 @@ def flatten_variant(df: DataFrame, column: str, paths: dict[str, str], prefix: s
     return df.withColumns(leaves)
 
 
+def open_leaves(value: str | Column, prefix: str = "", separator: str = ".", depth: int = 8) -> Column:
+    """All leaves of a VARIANT object as ``map<string,string>``, names as in :func:`flatten`.
+
+    A value that is no object gives null. Objects more than ``depth`` levels down stay JSON text.
+    """
+
+    def children(held: Column) -> Column:
+        return F.map_entries(F.try_variant_get(held, "$", "map<string,variant>"))
+
+    def named(path: Column, entry: Column) -> Column:
+        return F.struct(F.concat(path, F.lit(separator), entry["key"]).alias("key"), entry["value"].alias("value"))
+
+    def expand(entry: Column) -> Column:
+        inner = children(entry["value"])
+        below = F.transform(inner, lambda e: named(entry["key"], e))
+        return F.coalesce(below, F.array(F.struct(entry["key"].alias("key"), entry["value"].alias("value"))))
+
+    entries = children(F.col(value) if isinstance(value, str) else value)
+    if prefix:
+        entries = F.transform(entries, lambda e: named(F.lit(prefix), e))
+    for _ in range(depth):
+        entries = F.flatten(F.transform(entries, expand))
+    texts = F.transform(entries, lambda e: F.struct(e["key"].alias("key"), e["value"].cast("string").alias("value")))
+    return F.map_from_entries(texts)
+
+
 @dataclass(frozen=True)
 class UnwrapRule(Spec):
     """``keys`` names the entries to promote from a map column."""

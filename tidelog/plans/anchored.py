@@ -157,25 +157,29 @@ def _fold(times: DataFrame, keys: list[str]) -> DataFrame:
 def _arrow_scan(times: DataFrame, keys: list[str]) -> DataFrame:
     """Sequential scan of each key's sorted times; state is one key and one time."""
     out = times.select(*keys, TIME, WIDTH)
-    names = out.columns
 
     def walk(batches):
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        def changes(column):
+            """Where a value differs from the one before it; nulls are equal."""
+            here, before = column.slice(1), column.slice(0, len(column) - 1)
+            differs = pc.fill_null(pc.not_equal(here, before), False)
+            return pc.or_(differs, pc.xor(pc.is_null(here), pc.is_null(before))).to_numpy(zero_copy_only=False)
+
         current, limit = None, 0
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            group = batch.column("__group")
+            columns = [batch.column(k) for k in keys]
             at, width = batch.column(TIME).to_numpy(), batch.column(WIDTH).to_numpy()
-            changes = pc.not_equal(group.slice(1), group.slice(0, len(group) - 1))
-            cuts = np.flatnonzero(changes.to_numpy(zero_copy_only=False)) + 1
-            edges = [0, *cuts.tolist(), len(group)]
+            cuts = np.flatnonzero(np.logical_or.reduce([changes(c) for c in columns])) + 1
+            edges = [0, *cuts.tolist(), batch.num_rows]
             picked = []
             for lo, hi in zip(edges, edges[1:]):
-                name = group[lo].as_py()
+                name = tuple(c[lo].as_py() for c in columns)
                 if name != current:
                     current, limit = name, at[lo]
                 i = lo + int(np.searchsorted(at[lo:hi], limit))
@@ -183,10 +187,9 @@ def _arrow_scan(times: DataFrame, keys: list[str]) -> DataFrame:
                     picked.append(i)
                     limit = at[i] + width[i]
                     i = lo + int(np.searchsorted(at[lo:hi], limit))
-            yield batch.take(pa.array(picked, pa.int64())).select(names)
+            yield batch.take(pa.array(picked, pa.int64()))
 
-    grouped = out.withColumn("__group", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
-    ordered = grouped.repartition(*[F.col(k) for k in keys]).sortWithinPartitions("__group", TIME)
+    ordered = out.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, TIME)
     return ordered.mapInArrow(walk, out.schema)
 
 

@@ -82,6 +82,19 @@ def flatten_open_record(spark, sf):
     return shape.flatten_variant(rows, "props", {"k": "bigint"}, prefix="p").drop("props")
 
 
+@query("""
+    SELECT event_id AS id, CAST(user_id AS VARCHAR) AS user_id, json_extract_string(props, '$.k') AS k, 3 AS n_leaves FROM events
+""")
+def flatten_undeclared(spark, sf):
+    """Leaves of an open record whose fields are not declared."""
+    line = F.to_json(F.struct("id", F.struct("user_id", F.parse_json("props").alias("props")).alias("meta")))
+    rows = logs(spark, sf).select("id", shape.open_leaves(F.parse_json(line), "rec").alias("leaves"))
+    return rows.select(
+        "id", F.col("leaves")["rec.meta.user_id"].alias("user_id"), F.col("leaves")["rec.meta.props.k"].alias("k"),
+        F.size("leaves").alias("n_leaves"),
+    )
+
+
 @query("SELECT event_id AS id, user_id AS m_user_id, value AS v_value, event_type AS v_kind FROM events")
 def unwrap_struct(spark, sf):
     rules = [
