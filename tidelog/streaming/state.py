@@ -12,8 +12,10 @@ or ``maxBytesPerTrigger`` on the source bounds them.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +35,9 @@ from tidelog.operators.suppress import (
 )
 from tidelog.specs import Scoped, positive_window, require
 
+# Processors travel to the executors whole, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # How whole rows travel through state without losing microseconds.
 PACK = {
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
