@@ -8,9 +8,10 @@ import pytest
 duckdb = pytest.importorskip("duckdb")
 
 import __spark_entry__ as entry_module
+import workload
 
 SF = Path("/root/testdata/sf0.001")
-ORACLE = entry_module.oracle_sql()
+ORACLE = workload.ORACLE
 
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="driver tables not present")
 
@@ -43,7 +44,7 @@ def test_query_matches_sql(spark, con, name):
 
 
 def test_every_query_has_sql():
-    assert set(ORACLE) == set(entry_module.queries())
+    assert set(ORACLE) == set(workload.QUERIES)
 
 
 def test_entry(spark):
