@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import lookup
+from tidelog.llm.common import lookup, table
 
 # The rules of the contract, as (verdict, host, path).
 RULES = (
@@ -87,16 +87,16 @@ def host_reputation(pages: DataFrame, labels: DataFrame) -> DataFrame:
     labels, the suffix its last.
     """
     counted = pages.join(labels.filter("page_id IS NOT NULL AND good IS NOT NULL"), "page_id").groupBy("host").agg(F.count("*").alias("n"), F.sum("good").alias("good"))
-    hosts = (
-        pages.select("host").distinct().join(counted, "host", "left")
-        .select(
+    hosts = table(  # read by each level below
+        pages.select("host").distinct().join(counted, "host", "left").select(
             "host",
             F.substring_index("host", ".", -2).alias("domain"),
             F.substring_index("host", ".", -1).alias("suffix"),
             F.coalesce("n", F.lit(0)).alias("n"),
             F.coalesce("good", F.lit(0)).alias("good"),
-        )
-    )
+        ),
+        "hosts",
+    )
     sums = [F.sum("n").alias("n"), F.sum("good").alias("good")]
     overall = hosts.agg(((F.coalesce(F.sum("good"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("all_mean"))
     suffixes = shrunk(hosts.groupBy("suffix").agg(*sums).join(F.broadcast(overall)), "suffix", "all_mean").select("suffix", "suffix_mean")
