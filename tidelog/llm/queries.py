@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import url_filter, warc
+from tidelog.llm import bpe, token_store, url_filter, warc
 from tidelog.llm.common import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,3 +106,21 @@ FROM o
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC files and read back, with its place in the merged capture index."""
     return warc.archive(read(spark, sf_dir, "pages"))
+
+
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query()
+def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written to compressed shards and read back."""
+    return token_store.round_trip(read(spark, sf_dir, "documents"), tokenizer_file())
+
+
+@query()
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded by lexicon and merges."""
+    return bpe.code_documents(read(spark, sf_dir, "documents"), tokenizer_file())
