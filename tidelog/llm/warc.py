@@ -269,8 +269,9 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT_B
 
 
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
-    """Read the files that ``index`` names, record by record; payloads are checked against their digests."""
-    return index.select("run").distinct().mapInArrow(reader(folder), RECORD_SCHEMA)
+    """Read the files that ``index`` names, a task each, record by record; payloads are checked against their digests."""
+    runs = index.select("run").distinct()
+    return runs.repartition(max(1, runs.count())).mapInArrow(reader(folder), RECORD_SCHEMA)
 
 
 def archive(pages: DataFrame) -> DataFrame:
@@ -278,6 +279,7 @@ def archive(pages: DataFrame) -> DataFrame:
     folder = shared_path(pages.sparkSession, "warc")
     index = table(write_archives(pages, folder), "index")
     records = read_archives(index, folder)
-    return records.join(capture_index(index).drop("url_key"), ["run", "position"]).select(
+    # The planner takes what a file's reader returns to be as small as the list of files: rule out a broadcast.
+    return records.hint("shuffle_merge").join(capture_index(index).drop("url_key"), ["run", "position"]).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "capture_order"
     )
