@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, quality, token_store, url_filter, warc
+from tidelog.llm import bpe, near_dups, quality, token_store, url_filter, warc
 from tidelog.llm.common import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,3 +131,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's perplexity under the model of its language, and whether it is kept."""
     scored = quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return scored.select("doc_id", "lang", F.col("__perplexity").alias("perplexity"), F.col("__keep").alias("keep"))
+
+
+@query()
+def op1_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of near duplicates."""
+    classes = near_dups.near_duplicates(read(spark, sf_dir, "documents"))
+    return classes.select(F.col("__id").alias("doc_id"), "class_id", "class_size")
