@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,9 @@ BATCH_ROWS = 1_000
 # Words as in Python's bytes.split(): runs of anything but these six ASCII characters.
 WORD_GAP = "[ \\t\\n\\x0B\\f\\r]+"
 
+# Pairs per member of unsettled buckets that may be compared outright.
+RESIDUAL = 20
+
 # A key with more than this share of all rows is hot; there are at most 1/HOT_SHARE of them.
 HOT_SHARE = 0.002
 
@@ -124,3 +128,42 @@ def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b"), F.col("b")).distinct())
         last = now
     raise RuntimeError(f"components: not settled after {max_rounds} rounds")
+
+
+def link(members: DataFrame, near: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links among nodes that share a bucket, enough that their components equal those of all links.
+
+    ``members`` has ``bucket``, ``node`` and a ``mark`` for ``near``, a cheap
+    necessary condition of two marks. ``verify`` takes pairs (``a``, ``b``) and
+    returns those that are links.
+
+    Each round compares one node of each bucket, its centre, with the bucket's
+    nodes of other components, and then leaves it out, for all its pairs are
+    done. A bucket that is one component by now is done too: with a group of
+    near copies, of any size, that is nearly always after the first round.
+    Once few pairs of different components are left, they are all compared.
+    So no group's pairs are ever listed, and no link between components is lost.
+    """
+    links, round_ = None, 0
+    open_ = table(members.select("bucket", "node", "mark", F.col("node").alias("part")), "members")
+    while True:
+        centre = F.min("node") if round_ == 0 else F.min_by("node", F.xxhash64("node", F.lit(round_)))
+        centres = open_.groupBy("bucket").agg(centre.alias("node"), F.count("*").alias("n")).filter("n > 1").select("bucket", "node")
+        full = open_.join(centres, ["bucket", "node"]).select("bucket", F.col("node").alias("a"), F.col("mark").alias("mark_a"), F.col("part").alias("part_a"))
+        stars = open_.join(full, "bucket").filter((F.col("part") != F.col("part_a")) & near(F.col("mark"), F.col("mark_a"))).select("a", F.col("node").alias("b"))
+        new = verify(table(stars.distinct(), "pairs"))
+        links = table(new if links is None else links.union(new), "links")
+        open_ = open_.join(centres, ["bucket", "node"], "left_anti").drop("part").join(components(links), "node", "left").select("bucket", "node", "mark", F.coalesce("component", "node").alias("part"))
+        unsettled = open_.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x < y").select("bucket")
+        open_ = table(open_.join(unsettled, "bucket", "left_semi"), "members")
+        # Pairs of different components: half of n^2 less the squares of the components' sizes.
+        sizes = open_.groupBy("bucket", "part").count().groupBy("bucket").agg(F.sum("count").alias("n"), F.sum(F.col("count").cast("double") * F.col("count")).alias("q"))
+        left = sizes.agg(F.coalesce(F.sum(F.col("n").cast("double") * F.col("n") - F.col("q")) / 2, F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+        if not left["pairs"]:
+            return links
+        if left["pairs"] <= RESIDUAL * left["n"]:
+            x = open_.select("bucket", F.col("node").alias("a"), F.col("mark").alias("mark_a"), F.col("part").alias("part_a"))
+            y = open_.select("bucket", F.col("node").alias("b"), F.col("mark").alias("mark_b"), F.col("part").alias("part_b"))
+            rest = x.join(y, "bucket").filter((F.col("part_a") < F.col("part_b")) & near(F.col("mark_a"), F.col("mark_b"))).select("a", "b")
+            return table(links.union(verify(table(rest.distinct(), "pairs"))), "links")
+        round_ += 1

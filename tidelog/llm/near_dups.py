@@ -13,10 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import components, drop_rows, row_key, table, text_or_empty, word_hashes
+from tidelog.llm.common import components, drop_rows, link, row_key, table, text_or_empty, word_hashes
 from tidelog.plans.sizing import maybe_broadcast
 
 SHINGLE = 5
@@ -26,7 +26,6 @@ SLOTS = BANDS * ROWS
 LIKE, LIKE_OF = 4, 5
 
 BLOCK_WORDS = 500_000  # words of so many documents are in a worker's arrays at a time
-RESIDUAL = 20  # pairs per bucket member that may be compared outright after the star rounds
 
 U = np.uint64
 GOLDEN = U(0x9E3779B97F4A7C15)
@@ -220,54 +219,9 @@ def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
     return both.filter(overlap * (LIKE + LIKE_OF) >= LIKE * (F.size("bag") + F.size("bag_a"))).select("a", "b")
 
 
-def link(members: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links among nodes that share buckets (``bucket``, ``node``, ``size``), enough that components equal those of all links.
-
-    Each round compares one node of a bucket, its centre, with the rest, and
-    then leaves it out, for all its pairs are done. Buckets that are one
-    component by now are done as well: in a group of copies of any size that
-    is nearly always after the first round. Once few pairs of different
-    components are left, all of them are compared.
-    """
-    links, round_ = None, 0
-    members = table(members, "members")
-    while True:
-        shape = members.groupBy("bucket").agg(F.count("*").alias("n"))
-        centre = F.min("node") if round_ == 0 else F.min_by("node", F.xxhash64("node", F.lit(round_)))
-        if links is None:
-            open_ = members.withColumn("component", F.col("node"))
-        else:
-            grouped = components(links)
-            open_ = members.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            shape = open_.groupBy("bucket").agg(F.count("*").alias("n"), F.count_distinct("component").alias("parts")).filter("parts > 1")
-            open_ = table(open_.join(shape.select("bucket"), "bucket", "left_semi"), "open")
-            # Pairs of different components: half of (n^2 - sum of squares).
-            left = open_.groupBy("bucket", "component").count().groupBy("bucket").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("q"))
-            counted = left.agg(F.coalesce(F.sum(F.col("n") * F.col("n") - F.col("q")) / 2, F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-            if not counted["pairs"]:
-                return links
-            if counted["pairs"] <= RESIDUAL * counted["n"]:
-                x = open_.select("bucket", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("part_a"))
-                y = open_.select("bucket", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("part_b"))
-                rest = x.join(y, "bucket").filter("part_a < part_b").filter(similar_size()).select("a", "b").distinct()
-                return table(links.union(verified(table(rest, "pairs"), texts, docs)), "links")
-        centres = open_.groupBy("bucket").agg(centre.alias("a"), F.count("*").alias("n")).filter("n > 1").select("bucket", "a")
-        sized = centres.join(members.select("bucket", F.col("node").alias("a"), F.col("size").alias("size_a")), ["bucket", "a"])
-        if links is not None:
-            sized = sized.join(open_.select("bucket", F.col("node").alias("a"), F.col("component").alias("part_a")), ["bucket", "a"])
-        stars = open_.join(sized, "bucket").filter("node <> a").withColumnsRenamed({"node": "b", "size": "size_b"}).filter(similar_size())
-        if links is not None:
-            stars = stars.filter("component <> part_a")
-        pairs = table(stars.select("a", "b").distinct(), "pairs")
-        new = verified(pairs, texts, docs)
-        links = table(new if links is None else links.union(new), "links")
-        members = table(open_.select("bucket", "node", "size").join(centres.withColumnRenamed("a", "node"), ["bucket", "node"], "left_anti"), "members")
-        round_ += 1
-
-
-def similar_size():
+def similar_size(a: Column, b: Column) -> Column:
     """A necessary condition: bags of similarity 0.8 differ in size by no more."""
-    return F.least("size_a", "size_b") * LIKE_OF >= F.greatest("size_a", "size_b") * LIKE
+    return F.least(a, b) * LIKE_OF >= F.greatest(a, b) * LIKE
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -283,7 +237,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = table(signed.filter("size > 0").groupBy("node").agg(F.min_by(F.struct("id", "key", "size", "bands"), F.struct(F.col("id").isNull(), "id", "key")).alias("r")).select("node", "r.*"), "texts")
     buckets = texts.select("node", "size", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").count().filter("count > 1").select("bucket")
-    links = link(buckets.join(shared, "bucket", "left_semi").select("bucket", "node", "size"), texts, docs)
+    members = buckets.join(shared, "bucket", "left_semi").select("bucket", "node", F.col("size").alias("mark"))
+    links = link(members, similar_size, lambda pairs: verified(pairs, texts, docs))
     placed = signed.select("id", "key", "node").join(components(links), "node", "left").withColumn("part", F.coalesce("component", "node"))
     order = F.struct(F.col("id").isNull(), "id", "key")
     classes = placed.groupBy("part").agg(F.min(order).alias("least"), F.count("*").alias("class_size"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, near_dups, quality, token_store, url_filter, warc
+from tidelog.llm import bpe, line_dedup, near_dups, quality, token_store, url_filter, warc
 from tidelog.llm.common import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,3 +138,11 @@ def op1_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class of near duplicates."""
     classes = near_dups.near_duplicates(read(spark, sf_dir, "documents"))
     return classes.select(F.col("__id").alias("doc_id"), "class_id", "class_size")
+
+
+@query()
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's count of lines, of lines removed, and the digest of what is left."""
+    kept = line_dedup.deduplicate_lines(read(spark, sf_dir, "documents"))
+    digest = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
+    return kept.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), digest.alias("kept_sha256"))
