@@ -12,18 +12,32 @@ import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import filesystem, shared_path, split_words, text_or_empty
+from tidelog.llm.common import WORD_GAP, filesystem, shared_path, text_or_empty
 from tidelog.llm.lexicon import Lexicon, compile_lexicon
-from tidelog.llm.word_ids import WordIds
+from tidelog.llm.word_ids import WordIds, folds, worker_cache
 
 # The lexicon holds this many of the corpus's most frequent words; it bounds the file, not the result.
 LEXICON_WORDS = 100_000
+KEPT_PIECES = 100_000  # merged pieces a worker remembers
+
+
+# What the vocabulary's pre-tokenizer makes of words of printable ASCII and Latin-1 letters, lower case.
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00e0-\u00f6\u00f8-\u00ff\u00df]+|[0-9]|[^\\sa-z0-9\u00e0-\u00f6\u00f8-\u00ff\u00df]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if printable, else the next from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 class Merger:
@@ -37,32 +51,51 @@ class Merger:
         model = spec["model"]
         vocab, self.suffix = model["vocab"], model.get("end_of_word_suffix") or ""
         self.vocab = vocab
-        self.pairs = {}
+        self.ranks, self.merged = {}, []
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.pairs[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.ranks[vocab[a] << 32 | vocab[b]] = rank
+            self.merged.append(vocab[a + b])
         library = Tokenizer.from_file(tokenizer_file)
         self.normalize, self.cut = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self.plain = folds(tokenizer_file)
+        self.letters = byte_letters()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        self.known: dict[str, list[int]] = {}
 
     def piece(self, piece: str) -> list[int]:
-        """The ids of one pre-token."""
-        last = len(piece) - 1
-        ids = [self.vocab[c + self.suffix if i == last else c] for i, c in enumerate(piece)]
-        pairs = self.pairs
-        while len(ids) > 1:
-            best, at = None, 0
-            for i in range(len(ids) - 1):
-                found = pairs.get((ids[i], ids[i + 1]))
-                if found is not None and (best is None or found[0] < best[0]):
-                    best, at = found, i
-            if best is None:
-                break
-            ids[at : at + 2] = [best[1]]
+        """The ids of one pre-token, in byte letters."""
+        found = self.known.get(piece)
+        if found is None:
+            if len(self.known) >= KEPT_PIECES:
+                self.known.clear()
+            found = self.known[piece] = self.merge(piece)
+        return found
+
+    def merge(self, piece: str) -> list[int]:
+        vocab, ranks = self.vocab, self.ranks
+        ids = [vocab[c] for c in piece[:-1]] + [vocab[piece[-1] + self.suffix]]
+        none = len(self.merged)
+        rank = [ranks.get(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
+        while rank and (least := min(rank)) < none:
+            at = rank.index(least)
+            ids[at : at + 2] = [self.merged[least]]
+            del rank[at]
+            if at > 0:
+                rank[at - 1] = ranks.get(ids[at - 1] << 32 | ids[at], none)
+            if at < len(rank):
+                rank[at] = ranks.get(ids[at] << 32 | ids[at + 1], none)
         return ids
 
+    def pieces(self, part: str) -> list[str]:
+        """Pre-tokens of a word without special tokens: by the library's own steps, or for plain words by the same pattern."""
+        if self.plain and PLAIN.fullmatch(part):
+            found = PIECES.findall(part.lower())
+            return found if part.isascii() else [p if p.isascii() else p.encode().decode("latin-1").translate(self.letters) for p in found]
+        return [p for p, _ in self.cut(self.normalize(part))]
+
     def word(self, word: str) -> list[int]:
         """The ids of a text without white space, special tokens in it included."""
         ids: list[int] = []
@@ -70,24 +103,31 @@ class Merger:
             if part in self.special:
                 ids.append(self.special[part])
             elif part:
-                for piece, _ in self.cut(self.normalize(part)):
+                for piece in self.pieces(part):
                     ids += self.piece(piece)
         return ids
 
 
-def resolver(merger: Merger, lexicon: Lexicon) -> Callable[[Sequence[str]], tuple[np.ndarray, np.ndarray]]:
+def encoder(name: str, tokenizer_file: str) -> tuple[Merger, WordIds]:
+    """This worker's merger and encoder with the lexicon of that name."""
+    from pyspark import SparkFiles
+
+    merger = worker_cache(("merger", tokenizer_file), lambda: Merger(tokenizer_file))
+    lexicon = Lexicon(SparkFiles.get(name))
+
     def resolve(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         ranks = lexicon.ranks([w.encode() for w in words])
         found = [merger.word(w) if r < 0 else lexicon.ids_of(r) for w, r in zip(words, ranks.tolist())]
         counts = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for ids in found for i in ids), np.uint32, counts.sum()), counts
+        return np.fromiter(chain.from_iterable(found), np.uint32, counts.sum()), counts
 
-    return resolve
+    return merger, worker_cache(("lexicon", name, tokenizer_file), lambda: WordIds(resolve, merger.plain))
 
 
 def frequent_words(docs: DataFrame, limit: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent words of all texts, of those that occur twice or more."""
-    words = docs.select(F.explode(split_words(text_or_empty())).alias("word"))
+    """The most frequent words of all texts, of those that occur twice or more, in the form that is looked up."""
+    words = docs.select(F.explode(F.split(F.lower(text_or_empty()), WORD_GAP)).alias("word"))
+    words = words.select(F.rtrim("word", F.lit(".,")).alias("word")).filter("word <> ''")
     counts = words.groupBy("word").count().filter("count > 1")
     return [r["word"] for r in counts.orderBy(F.desc("count"), "word").limit(limit).select("word").collect()]
 
@@ -107,13 +147,10 @@ def build_lexicon(docs: DataFrame, tokenizer_file: str, limit: int = LEXICON_WOR
 
 def coder(name: str, tokenizer_file: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import SparkFiles
-
-        merger = Merger(tokenizer_file)
-        encoder = WordIds(resolver(merger, Lexicon(SparkFiles.get(name))))
+        merger, coded = encoder(name, tokenizer_file)
         token = merger.tokens.__getitem__
         for batch in batches:
-            ids, offsets = encoder.encode(batch.column("text"))
+            ids, offsets = coded.encode(batch.column("text"))
             raw, counts, id_hashes, text_hashes = ids.astype("<u4"), [], [], []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
                 counts.append(b - a)
@@ -132,11 +169,9 @@ def encode(docs: DataFrame, tokenizer_file: str, lexicon: str | None = None) ->
     lexicon = lexicon or build_lexicon(docs, tokenizer_file)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import SparkFiles
-
-        encoder = WordIds(resolver(Merger(tokenizer_file), Lexicon(SparkFiles.get(lexicon))))
+        _, coded = encoder(lexicon, tokenizer_file)
         for batch in batches:
-            ids, offsets = encoder.encode(batch.column("text"))
+            ids, offsets = coded.encode(batch.column("text"))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32), pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "ids"])
 

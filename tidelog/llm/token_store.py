@@ -14,6 +14,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import filesystem, shared_path, table, text_or_empty
-from tidelog.llm.word_ids import WordIds
+from tidelog.llm.word_ids import WordIds, folds, worker_cache
 
 MAGIC = b"TIDEIDS1"
 HEAD = "<8sB32s"
@@ -40,7 +41,7 @@ SHARD_BYTES = 256 << 20
 SHARDS = "part int, place int, file string, docs long, tokens long"
 
 
-def library_resolver(tokenizer_file: str):
+def library_encoder(tokenizer_file: str) -> WordIds:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -49,11 +50,11 @@ def library_resolver(tokenizer_file: str):
     tokenizer.no_padding()
 
     def resolve(words):
-        found = [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        found = [e.ids for e in tokenizer.encode_batch_fast(list(words), add_special_tokens=False)]
         counts = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for ids in found for i in ids), np.uint32, counts.sum()), counts
+        return np.fromiter(chain.from_iterable(found), np.uint32, counts.sum()), counts
 
-    return resolve
+    return WordIds(resolve, folds(tokenizer_file))
 
 
 def id_type(width: int) -> np.dtype:
@@ -67,7 +68,7 @@ def train_dictionary(docs: DataFrame, tokenizer_file: str, width: int) -> bytes:
     if last is None:
         return b""
     texts = [r["text"] for r in keyed.filter(F.col("h") <= last).limit(2 * SAMPLE_DOCS).collect()]
-    ids, offsets = WordIds(library_resolver(tokenizer_file)).encode(pa.array(texts, pa.string()))
+    ids, offsets = library_encoder(tokenizer_file).encode(pa.array(texts, pa.string()))
     samples = [ids[a:b].astype(id_type(width)).tobytes() for a, b in zip(offsets, offsets[1:]) if b - a >= 8]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
@@ -91,7 +92,7 @@ def writer(folder: str, tokenizer_file: str, dictionary: bytes, width: int, end_
         part, place = TaskContext.get().partitionId(), 0
         fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
-        encoder = WordIds(library_resolver(tokenizer_file))
+        encoder = worker_cache(("library", tokenizer_file), lambda: library_encoder(tokenizer_file))
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstd_dict(dictionary))
         out, index, file, at, tokens = None, [], "", 0, 0
 

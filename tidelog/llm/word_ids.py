@@ -8,37 +8,69 @@ texts together again.
 
 from __future__ import annotations
 
+import json
+import sys
+import types
 from collections.abc import Callable, Sequence
+from itertools import batched
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 # Words kept between batches, and words assembled at a time: both bound a worker's memory.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 500_000
 GATHERED_WORDS = 500_000
+WORDS_PER_CALL = 5_000
+
+# The pre-tokenizer's pattern under which words fold as WordIds does.
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def folds(tokenizer_file: str) -> bool:
+    """Whether the tokenizer ignores case and cuts between letters or digits and what follows."""
+    with open(tokenizer_file, encoding="utf-8") as file:
+        spec = json.load(file)
+    steps = (spec.get("normalizer") or {}).get("normalizers", [])
+    cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    return [n["type"] for n in steps] == ["NFC", "Replace", "Lowercase"] and cuts[0].get("pattern") == {"Regex": SPLIT}
+
+
+def worker_cache(key: Any, make: Callable[[], Any]) -> Any:
+    """Something a Python worker keeps from task to task."""
+    held = sys.modules.setdefault("_tidelog_worker", types.ModuleType("_tidelog_worker")).__dict__.setdefault("held", {})
+    if key not in held:
+        held[key] = make()
+    return held[key]
 
 
 class WordIds:
-    """``resolve`` takes distinct words and returns their ids: all in one array, and how many each word has."""
+    """``resolve`` takes distinct words and returns their ids: all in one array, and how many each word has.
+
+    With ``fold``, trailing full stops and commas are looked up apart from the
+    letter or digit before them, and words of ASCII letters in lower case:
+    fewer words to resolve, the same ids.
+    """
 
-    def __init__(self, resolve: Callable[[Sequence[str]], tuple[np.ndarray, np.ndarray]]):
-        self.resolve = resolve
+    def __init__(self, resolve: Callable[[Sequence[str]], tuple[np.ndarray, np.ndarray]], fold: bool = False):
+        self.resolve, self.fold = resolve, fold
         self.forget()
 
     def forget(self) -> None:
-        self.slots: dict[str, int] = {}
+        self.slots: dict[str, int] = {"": 0}
         self.ids = np.empty(0, np.uint32)
-        self.starts = np.empty(0, np.int64)
-        self.counts = np.empty(0, np.int64)
+        self.starts = np.zeros(1, np.int64)
+        self.counts = np.zeros(1, np.int64)
 
     def slots_of(self, words: list[str]) -> np.ndarray:
-        new = [w for w in words if w not in self.slots]
+        new = {w: None for w in words if w not in self.slots}
         if new:
-            if len(self.slots) + len(new) > KEPT_WORDS:
+            if len(self.slots) + len(new) > KEPT_WORDS and len(self.slots) > 1:
                 self.forget()
-                new = words
-            ids, counts = self.resolve(new)
+                new = dict.fromkeys(w for w in words if w)
+            parts = [self.resolve(some) for some in batched(new, WORDS_PER_CALL)]
+            ids, counts = (np.concatenate(p) for p in zip(*parts))
             first = len(self.slots)
             self.slots.update(zip(new, range(first, first + len(new))))
             self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
@@ -46,20 +78,36 @@ class WordIds:
             self.ids = np.concatenate([self.ids, ids])
         return np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
 
+    def folded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's stem and the stops after it."""
+        stems = pc.ascii_rtrim(words, characters=".,")
+        stems = pc.if_else(pc.match_substring_regex(stems, "[A-Za-z0-9]$"), stems, words)
+        plain = pc.match_substring_regex(stems, "^[A-Za-z]+$")
+        kept, whole = (pc.binary_length(a).to_numpy(zero_copy_only=False) for a in (stems, words))
+        stops = np.full(len(words), "", object)
+        cut = np.flatnonzero(kept < whole)
+        stops[cut] = [w[-n:] for w, n in zip(words.take(pa.array(cut)).to_numpy(zero_copy_only=False), (whole - kept)[cut].tolist())]
+        return pc.if_else(plain, pc.ascii_lower(stems), stems).to_numpy(zero_copy_only=False), stops
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch, and the offsets of its texts in them. A null text has none."""
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = lists.flatten().dictionary_encode()
-        slots = self.slots_of(coded.dictionary.to_pylist())
-        word_slots = slots[coded.indices.to_numpy(zero_copy_only=False)]
-        counts = self.counts[word_slots]
+        word_of = coded.indices.to_numpy(zero_copy_only=False)
+        if self.fold:
+            stems, stops = self.folded(coded.dictionary)
+            both = self.slots_of(np.concatenate([stems, stops]).tolist())
+            slots = np.stack([both[: len(stems)], both[len(stems) :]], axis=1)
+        else:
+            slots = self.slots_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[:, None]
+        counts = self.counts[slots].sum(axis=1)[word_of] if len(word_of) else np.empty(0, np.int64)
         ends = np.concatenate([[0], np.cumsum(counts)])
         ids = np.empty(ends[-1], np.uint32)
-        for at in range(0, len(word_slots), GATHERED_WORDS):
-            some, n = word_slots[at : at + GATHERED_WORDS], counts[at : at + GATHERED_WORDS]
-            base = ends[at]
-            where = np.repeat(self.starts[some] - (ends[at : at + len(n)] - base), n)
+        for at in range(0, len(word_of), GATHERED_WORDS):
+            some = slots[word_of[at : at + GATHERED_WORDS]].reshape(-1)
+            n = self.counts[some]
+            where = np.repeat(self.starts[some] - (np.cumsum(n) - n), n)
             where += np.arange(len(where))
-            ids[base : base + len(where)] = self.ids[where]
+            ids[ends[at] : ends[at] + len(where)] = self.ids[where]
         word_offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
         return ids, ends[word_offsets]
