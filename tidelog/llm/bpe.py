@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import WORD_GAP, filesystem, shared_path, text_or_empty
+from tidelog.llm.common import WORD_GAP, filesystem, shared_path, table, text_or_empty
 from tidelog.llm.lexicon import Lexicon, compile_lexicon
 from tidelog.llm.word_ids import WordIds, folds, worker_cache
 
-# The lexicon holds this many of the corpus's most frequent words; it bounds the file, not the result.
+# The lexicon holds up to this many of the corpus's most frequent words; it bounds the file, not the result.
 LEXICON_WORDS = 100_000
 KEPT_PIECES = 100_000  # merged pieces a worker remembers
 
@@ -128,8 +128,15 @@ def frequent_words(docs: DataFrame, limit: int = LEXICON_WORDS) -> list[str]:
     """The most frequent words of all texts, of those that occur twice or more, in the form that is looked up."""
     words = docs.select(F.explode(F.split(F.lower(text_or_empty()), WORD_GAP)).alias("word"))
     words = words.select(F.rtrim("word", F.lit(".,")).alias("word")).filter("word <> ''")
-    counts = words.groupBy("word").count().filter("count > 1")
-    return [r["word"] for r in counts.orderBy(F.desc("count"), "word").limit(limit).select("word").collect()]
+    counts = table(words.groupBy("word").count().filter("count > 1"), "words")
+    # The least count that leaves no more than ``limit`` words, from how many words have each count.
+    least, total = None, 0
+    for count, n in counts.groupBy("count").agg(F.count("*").alias("n")).orderBy(F.desc("count")).toLocalIterator():
+        total += n
+        if total > limit:
+            break
+        least = count
+    return [] if least is None else [r["word"] for r in counts.filter(F.col("count") >= least).select("word").collect()]
 
 
 def build_lexicon(docs: DataFrame, tokenizer_file: str, limit: int = LEXICON_WORDS) -> str:
