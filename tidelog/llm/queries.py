@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, line_dedup, near_dups, quality, token_store, url_filter, warc
+from tidelog.llm import bpe, line_dedup, near_dups, quality, templates, token_store, url_filter, warc
 from tidelog.llm.common import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,3 +146,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.deduplicate_lines(read(spark, sf_dir, "documents"))
     digest = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
     return kept.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), digest.alias("kept_sha256"))
+
+
+@query()
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item."""
+    hits = templates.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return hits.select(F.col("__id").alias("doc_id"), "item_id", "windows", "reworded")
