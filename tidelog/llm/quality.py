@@ -117,10 +117,10 @@ def ask_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct n-grams of each chunk and language of this partition."""
     asked: dict[tuple[int, str], pa.Array] = {}
     for batch in batches:
-        rows = pa.Table.from_batches([batch.select(["__chunk", "__lang", "__text"])])
-        for part in rows.group_by(["__chunk", "__lang"]).aggregate([]).to_pylist():
-            chunk, lang = part["__chunk"], part["__lang"]
-            texts = rows.filter(pc.and_(pc.equal(rows["__chunk"], chunk), pc.equal(rows["__lang"], lang)))["__text"].to_pylist()
+        rows = pa.table({"chunk": batch.column("__chunk"), "lang": pc.fill_null(batch.column("lang"), ""), "text": pc.fill_null(batch.column("text"), "")})
+        for part in rows.select(["chunk", "lang"]).group_by(["chunk", "lang"]).aggregate([]).to_pylist():
+            chunk, lang = part["chunk"], part["lang"]
+            texts = rows.filter(pc.and_(pc.equal(rows["chunk"], chunk), pc.equal(rows["lang"], lang)))["text"].to_pylist()
             for a, b in blocks(texts):
                 grams, _ = distinct_grams(texts[a:b])
                 old = asked.get((chunk, lang))
@@ -159,12 +159,12 @@ def scorer(names: list[str]):
 
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
         found = np.full(docs.num_rows, np.nan)
-        langs = docs["__lang"].combine_chunks()
+        langs = pc.fill_null(docs["lang"].combine_chunks(), "")
         for lang in pc.unique(langs).to_pylist():
             rows = np.flatnonzero(pc.equal(langs, lang).to_numpy(zero_copy_only=False))
             own = answers.filter(pc.equal(answers["lang"], lang))
             if own.num_rows:
-                texts = docs["__text"].take(pa.array(rows)).to_pylist()
+                texts = pc.fill_null(docs["text"].take(pa.array(rows)), "").to_pylist()
                 found[rows] = perplexities(texts, own["gram"].combine_chunks(), own["log"].to_numpy())
         return docs.select(names).append_column("__perplexity", pa.array(np.round(found, 4), pa.float64(), from_pandas=True))
 
@@ -194,7 +194,7 @@ def train(trusted: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
     different characters precede an n-gram. Order 0 has the share of an
     unknown character.
     """
-    counts = {ORDER: table(trusted.select(F.coalesce("lang", F.lit("")).alias("lang"), text_or_empty().alias("text")).mapInArrow(count_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "counts")}
+    counts = {ORDER: table(gram_counts(trusted), "counts")}
     for k in range(ORDER - 1, 0, -1):
         counts[k] = table(counts[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n")), "counts")
     # A row per language: the uniform share of each character seen, and of any other.
@@ -223,18 +223,18 @@ def train(trusted: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
     return model
 
 
-def look_up(asked: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """``lang``, ``gram``, ``log`` for each distinct n-gram asked for, of languages that have a model."""
-    wanted = {ORDER: asked.select("lang", "gram").distinct()}
+def look_up(wanted: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """``lang``, ``gram``, ``log`` for each of the distinct n-grams wanted, of languages that have a model."""
+    parts = {ORDER: wanted}
     for k in range(ORDER - 1, 0, -1):
-        wanted[k] = wanted[k + 1].select("lang", F.substring("gram", 2, k).alias("gram")).distinct()
+        parts[k] = wanted.select("lang", F.substring("gram", ORDER - k + 1, k).alias("gram")).distinct()
     base = model[1][1].join(model[0][0], "lang").select("lang", (F.col("backoff") * F.col("p")).alias("rest"))
-    found = wanted[1].join(model[1][0], ["lang", "gram"], "left").join(maybe_broadcast(table(base, "unknown")), "lang").select("lang", "gram", F.coalesce("p", "rest").alias("p"))
+    found = parts[1].join(model[1][0], ["lang", "gram"], "left").join(maybe_broadcast(table(base, "unknown")), "lang").select("lang", "gram", F.coalesce("p", "rest").alias("p"))
     for k in range(2, ORDER + 1):
         seen, contexts = model[k]
         below = found.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower"))
         found = (
-            wanted[k].withColumn("suffix", F.substring("gram", 2, k - 1)).withColumn("context", F.substring("gram", 1, k - 1))
+            parts[k].withColumn("suffix", F.substring("gram", 2, k - 1)).withColumn("context", F.substring("gram", 1, k - 1))
             .join(seen, ["lang", "gram"], "left")
             .join(contexts, ["lang", "context"], "left")
             .join(below, ["lang", "suffix"])
@@ -243,14 +243,24 @@ def look_up(asked: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]]) ->
     return found.select("lang", "gram", F.log("p").alias("log"))
 
 
+def gram_counts(docs: DataFrame) -> DataFrame:
+    """``lang``, ``gram``, ``n`` of all texts: counted in the tasks, added up by a shuffle."""
+    rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), text_or_empty().alias("text"))
+    return rows.mapInArrow(count_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
 def perplexity(docs: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """``docs`` with ``__perplexity``; null for empty texts and for languages without a model."""
+    """``docs`` with ``__perplexity``; null for empty texts and for languages without a model.
+
+    Three passes: the n-grams of all texts are looked up once; the texts,
+    dealt into chunks, ask for theirs; texts and answers meet in a cogroup
+    that reads the same shuffle of the texts again.
+    """
     chars = docs.agg(F.sum(F.length(text_or_empty()))).first()[0] or 0
     chunks = max(1, -(-chars // CHUNK_CHARS))
-    dealt = docs.select("*", F.pmod(row_key(), F.lit(chunks)).cast("int").alias("__chunk"), F.coalesce("lang", F.lit("")).alias("__lang"), text_or_empty().alias("__text"))
-    parted = dealt.repartition(chunks, "__chunk")
-    asked = parted.mapInArrow(ask_grams, "__chunk int, lang string, gram string")
-    answers = asked.join(look_up(asked, model), ["lang", "gram"])
+    logs = table(look_up(table(gram_counts(docs).select("lang", "gram"), "wanted"), model), "logs")
+    parted = docs.withColumn("__chunk", F.pmod(row_key(), F.lit(chunks)).cast("int")).repartition(chunks, "__chunk")
+    answers = parted.mapInArrow(ask_grams, "__chunk int, lang string, gram string").join(logs, ["lang", "gram"])
     schema = T.StructType([*docs.schema.fields, T.StructField("__perplexity", T.DoubleType())])
     return parted.groupBy("__chunk").cogroup(answers.groupBy("__chunk")).applyInArrow(scorer(docs.columns), schema)
 
