@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, line_dedup, near_dups, quality, templates, token_store, url_filter, warc
+from tidelog.llm import bpe, line_dedup, near_dups, quality, substrings, templates, token_store, url_filter, warc
 from tidelog.llm.common import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -153,3 +153,24 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item, with the item."""
     hits = templates.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return hits.select(F.col("__id").alias("doc_id"), "item_id", "windows", "reworded")
+
+
+@query(
+    """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, [x FOR x IN string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS ws FROM documents),
+w AS (SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS k FROM d),
+s AS (SELECT r, i, md5(array_to_string(ws[i : i + 34], ' ')) AS h FROM (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM d)),
+f AS (SELECT r, i, CASE WHEN count(*) OVER (PARTITION BY h) > 1 THEN 1 ELSE 0 END AS again FROM s),
+c AS (
+  SELECT w.r, w.k, w.word, max(coalesce(again, 0)) OVER (PARTITION BY w.r ORDER BY w.k ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+  FROM w LEFT JOIN f ON w.r = f.r AND w.k = f.i),
+t AS (SELECT r, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY k) FILTER (gone = 0) AS kept FROM c GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN t USING (r)
+"""
+)
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of its repeated passages."""
+    kept = substrings.remove_repeats(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
