@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, line_dedup, near_dups, quality, substrings, templates, token_store, url_filter, warc
+from tidelog.llm import bpe, line_dedup, near_dups, quality, search, substrings, templates, token_store, url_filter, warc
 from tidelog.llm.common import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -174,3 +174,23 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of its repeated passages."""
     kept = substrings.remove_repeats(read(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+@query(
+    """
+WITH d AS (SELECT doc_id, [x FOR x IN string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+') IF x <> ''] AS ws FROM documents),
+n AS (SELECT count(*) AS n, sum(len(ws))::DOUBLE / count(*) AS mean FROM d),
+t AS (SELECT doc_id, word, count(*)::DOUBLE AS tf, any_value(dl)::DOUBLE AS dl FROM (SELECT doc_id, unnest(ws) AS word, len(ws) AS dl FROM d) GROUP BY doc_id, word),
+f AS (SELECT word, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM t, n GROUP BY word),
+p AS (SELECT doc_id, word, tf * (1.2::DOUBLE + 1) / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * dl / mean)) AS w FROM t, n),
+s AS (
+  SELECT q.doc_id AS query_id, p.doc_id, sum(floor(idf * w * 65536 + 0.5))::BIGINT AS score
+  FROM t q JOIN f USING (word) JOIN p USING (word) WHERE q.doc_id % 50 = 0 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT query_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+)
+def op7_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each document whose id is divisible by 50, as a query."""
+    docs = read(spark, sf_dir, "documents")
+    return search.top_documents(docs, docs.filter("doc_id % 50 = 0"))
