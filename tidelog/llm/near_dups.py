@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import components, drop_rows, link, row_key, table, text_or_empty, word_hashes
+from tidelog.llm.common import components, drop_rows, row_key, table, text_or_empty, word_hashes
 from tidelog.plans.sizing import maybe_broadcast
 
 SHINGLE = 5
@@ -25,6 +26,8 @@ SLOTS = BANDS * ROWS
 # Similarity 0.8: overlap / (a + b - overlap) >= 4/5.
 LIKE, LIKE_OF = 4, 5
 
+CELL_NODES, CELL_ELEMENTS = 256, 2_000_000  # of one block; a cell compares two
+CELL_COLUMNS = 4_096
 BLOCK_WORDS = 500_000  # words of so many documents are in a worker's arrays at a time
 
 U = np.uint64
@@ -201,27 +204,74 @@ def words_column():
     return word_hashes(F.lower(text_or_empty()))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of ``pairs`` (``a``, ``b``: nodes), those whose bags overlap enough.
+def similar_size(a: Column, b: Column) -> Column:
+    """A necessary condition: bags of similarity 0.8 differ in size by no more."""
+    return F.least(a, b) * LIKE_OF >= F.greatest(a, b) * LIKE
 
-    Only the documents of these pairs are read. The smaller side of a star,
-    its members, travels to the star's centre; a hot centre is one row there
-    and adaptive execution splits its members.
+
+def compare_cell(key: tuple, cell: pa.Table) -> pa.Table:
+    """All pairs of one cell by counts of common elements; a spanning forest of those that are links."""
+    nodes, blocks = cell["node"].to_numpy(), cell["block"].to_numpy()
+    lists = cell["bag"].combine_chunks()
+    sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
+    owner = np.repeat(np.arange(len(nodes)), sizes)
+    element, times = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    common = np.bincount(times, minlength=len(element)) > 1
+    owner, column = owner[common[times]], (np.cumsum(common) - 1)[times[common[times]]]
+    overlap = np.zeros((len(nodes), len(nodes)), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for first in range(0, int(common.sum()), CELL_COLUMNS):
+        at, to = np.searchsorted(column, [first, first + CELL_COLUMNS])
+        part = np.zeros((len(nodes), CELL_COLUMNS), np.float32)
+        part[owner[at:to], column[at:to] - first] = 1
+        overlap += part @ part.T
+    like = overlap * (LIKE + LIKE_OF) >= LIKE * (sizes[:, None] + sizes[None, :])
+    root = list(range(len(nodes)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    one = key[1].as_py() == key[2].as_py()
+    links = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(like, 1)))):
+        if (one or blocks[i] != blocks[j]) and (x := find(i)) != (y := find(j)):
+            root[x] = y
+            links.append((nodes[i], nodes[j]))
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+
+def link_candidates(members: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links among nodes that share buckets (``bucket``, ``node``, ``size``); their components are those of all links.
+
+    First each bucket's least node is compared with the bucket's others, which
+    settles most groups of near copies in one linear step. What buckets tie
+    together but links don't yet is a cluster: its nodes are dealt into
+    blocks of bounded size, and each pair of blocks is a cell whose task
+    compares all pairs at once and returns a spanning forest. So every
+    candidate pair is compared, but none is ever a row.
     """
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = texts.join(nodes, "node", "left_semi").select("node", F.col("id").alias("__id"), F.col("key").alias("__key"))
+    centres = members.groupBy("bucket").agg(F.min_by(F.struct("node", "size"), "node").alias("c"))
+    stars = table(members.join(centres, "bucket").filter("node <> c.node").select(F.col("c.node").alias("a"), F.col("node").alias("b"), F.col("c.size").alias("size_a"), F.col("size").alias("size_b")).distinct(), "stars")
+    clusters = table(components(stars.select("a", "b")).withColumnRenamed("component", "cluster"), "clusters")
+    wanted = texts.join(clusters.select("node"), "node", "left_semi").select("node", F.col("id").alias("__id"), F.col("key").alias("__key"))
     rows = docs.select("doc_id", "text").join(maybe_broadcast(table(wanted, "wanted")), (row_key() == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")))
     # Rows equal in id and text give equal bags: one is enough.
-    found = table(rows.select("node", words_column().alias("words")).mapInArrow(expand_bags, "node long, bag array<long>"), "bags").dropDuplicates(["node"])
-    members = pairs.join(found.withColumnRenamed("node", "b"), "b")
-    both = members.join(found.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a")
-    overlap = F.size(F.array_intersect("bag", "bag_a"))
-    return both.filter(overlap * (LIKE + LIKE_OF) >= LIKE * (F.size("bag") + F.size("bag_a"))).select("a", "b")
-
-
-def similar_size(a: Column, b: Column) -> Column:
-    """A necessary condition: bags of similarity 0.8 differ in size by no more."""
-    return F.least(a, b) * LIKE_OF >= F.greatest(a, b) * LIKE
+    found = table(rows.select("node", words_column().alias("words")).mapInArrow(expand_bags, "node long, bag array<long>").dropDuplicates(["node"]), "bags")
+    near = stars.filter(similar_size(F.col("size_a"), F.col("size_b"))).select("a", "b")
+    both = near.join(found.withColumnRenamed("node", "b"), "b").join(found.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a")
+    links = table(both.filter(F.size(F.array_intersect("bag", "bag_a")) * (LIKE + LIKE_OF) >= LIKE * (F.size("bag") + F.size("bag_a"))).select("a", "b"), "links")
+    parts = clusters.join(components(links), "node", "left").withColumn("part", F.coalesce("component", "node"))
+    open_ = parts.groupBy("cluster").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("n")).filter("x < y").select("cluster", "n")
+    placed = clusters.join(open_, "cluster").join(found, "node")
+    weights = table(placed.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / CELL_NODES, F.sum(F.size("bag")) / CELL_ELEMENTS)).cast("int").alias("blocks")), "blocks")
+    dealt = placed.join(weights, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cells = dealt.select("cluster", "node", "block", "bag", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = cells.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "bag")
+    return links.union(cells.groupBy("cluster", "i", "j").applyInArrow(compare_cell, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -237,8 +287,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = table(signed.filter("size > 0").groupBy("node").agg(F.min_by(F.struct("id", "key", "size", "bands"), F.struct(F.col("id").isNull(), "id", "key")).alias("r")).select("node", "r.*"), "texts")
     buckets = texts.select("node", "size", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").count().filter("count > 1").select("bucket")
-    members = buckets.join(shared, "bucket", "left_semi").select("bucket", "node", F.col("size").alias("mark"))
-    links = link(members, similar_size, lambda pairs: verified(pairs, texts, docs))
+    members = table(buckets.join(shared, "bucket", "left_semi").select("bucket", "node", "size"), "members")
+    links = link_candidates(members, texts, docs)
     placed = signed.select("id", "key", "node").join(components(links), "node", "left").withColumn("part", F.coalesce("component", "node"))
     order = F.struct(F.col("id").isNull(), "id", "key")
     classes = placed.groupBy("part").agg(F.min(order).alias("least"), F.count("*").alias("class_size"))
