@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,14 +114,29 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(grams)), grams, pa.array(counts, pa.int64())], ["lang", "gram", "n"])
 
 
+def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, which halves what the shuffle writes."""
+    packer = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        at = batch.schema.get_field_index("text")
+        packed = [None if t is None else packer.compress(t.encode()) for t in batch.column(at).to_pylist()]
+        yield batch.set_column(at, "text", pa.array(packed, pa.binary()))
+
+
+def unpack(column: pa.ChunkedArray | pa.Array) -> list[str]:
+    unpacker = zstandard.ZstdDecompressor()
+    return ["" if t is None else unpacker.decompress(t).decode() for t in column.to_pylist()]
+
+
 def ask_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct n-grams of each chunk and language of this partition."""
     asked: dict[tuple[int, str], pa.Array] = {}
     for batch in batches:
-        rows = pa.table({"chunk": batch.column("__chunk"), "lang": pc.fill_null(batch.column("lang"), ""), "text": pc.fill_null(batch.column("text"), "")})
+        rows = pa.table({"chunk": batch.column("__chunk"), "lang": pc.fill_null(batch.column("lang"), ""), "text": batch.column("text")})
         for part in rows.select(["chunk", "lang"]).group_by(["chunk", "lang"]).aggregate([]).to_pylist():
             chunk, lang = part["chunk"], part["lang"]
-            texts = rows.filter(pc.and_(pc.equal(rows["chunk"], chunk), pc.equal(rows["lang"], lang)))["text"].to_pylist()
+            texts = rows.filter(pc.and_(pc.equal(rows["chunk"], chunk), pc.equal(rows["lang"], lang)))["text"]
+            texts = unpack(texts)
             for a, b in blocks(texts):
                 grams, _ = distinct_grams(texts[a:b])
                 old = asked.get((chunk, lang))
@@ -164,8 +180,10 @@ def scorer(names: list[str]):
             rows = np.flatnonzero(pc.equal(langs, lang).to_numpy(zero_copy_only=False))
             own = answers.filter(pc.equal(answers["lang"], lang))
             if own.num_rows:
-                texts = pc.fill_null(docs["text"].take(pa.array(rows)), "").to_pylist()
-                found[rows] = perplexities(texts, own["gram"].combine_chunks(), own["log"].to_numpy())
+                texts = unpack(docs["text"].take(pa.array(rows)))
+                found[rows] = perplexities(texts, own["gram"].combine_chunks(), own["log"].to_numpy().astype(np.float64))
+        plain = pa.array([t if k else None for t, k in zip(unpack(docs["text"]), docs["text"].is_valid().to_pylist())], pa.string())
+        docs = docs.set_column(docs.schema.get_field_index("text"), "text", plain)
         return docs.select(names).append_column("__perplexity", pa.array(np.round(found, 4), pa.float64(), from_pandas=True))
 
     return score
@@ -240,7 +258,7 @@ def look_up(wanted: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]]) ->
             .join(below, ["lang", "suffix"])
             .select("lang", "gram", F.coalesce("p", F.coalesce("backoff", F.lit(1.0)) * F.col("lower")).alias("p"))
         )
-    return found.select("lang", "gram", F.log("p").alias("log"))
+    return found.select("lang", "gram", F.log("p").cast("float").alias("log"))
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
@@ -259,9 +277,11 @@ def perplexity(docs: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]]) -
     chars = docs.agg(F.sum(F.length(text_or_empty()))).first()[0] or 0
     chunks = max(1, -(-chars // CHUNK_CHARS))
     logs = table(look_up(table(gram_counts(docs).select("lang", "gram"), "wanted"), model), "logs")
-    parted = docs.withColumn("__chunk", F.pmod(row_key(), F.lit(chunks)).cast("int")).repartition(chunks, "__chunk")
+    dealt = docs.withColumn("text", F.col("text").cast("string")).withColumn("__chunk", F.pmod(row_key(), F.lit(chunks)).cast("int"))
+    packed = T.StructType([T.StructField("text", T.BinaryType()) if f.name == "text" else f for f in dealt.schema.fields])
+    parted = dealt.mapInArrow(pack, packed).repartition(chunks, "__chunk")
     answers = parted.mapInArrow(ask_grams, "__chunk int, lang string, gram string").join(logs, ["lang", "gram"])
-    schema = T.StructType([*docs.schema.fields, T.StructField("__perplexity", T.DoubleType())])
+    schema = T.StructType([*dealt.drop("__chunk").schema.fields, T.StructField("__perplexity", T.DoubleType())])
     return parted.groupBy("__chunk").cogroup(answers.groupBy("__chunk")).applyInArrow(scorer(docs.columns), schema)
 
 
