@@ -17,8 +17,8 @@ BATCH_ROWS = 1_000
 # Words as in Python's bytes.split(): runs of anything but these six ASCII characters.
 WORD_GAP = "[ \\t\\n\\x0B\\f\\r]+"
 
-# Pairs per member of unsettled buckets that may be compared outright.
-RESIDUAL = 20
+# Rounds of one node of each bucket against the rest, before what is left is compared pair by pair.
+STAR_ROUNDS = 3
 
 # A key with more than this share of all rows is hot; there are at most 1/HOT_SHARE of them.
 HOT_SHARE = 0.002
@@ -141,8 +141,9 @@ def link(members: DataFrame, near: Callable[[Column, Column], Column], verify: C
     nodes of other components, and then leaves it out, for all its pairs are
     done. A bucket that is one component by now is done too: with a group of
     near copies, of any size, that is nearly always after the first round.
-    Once few pairs of different components are left, they are all compared.
-    So no group's pairs are ever listed, and no link between components is lost.
+    After ``STAR_ROUNDS`` all near pairs of different components that share a
+    bucket are compared. So the pairs of a group that is tied together are
+    never listed, and no link between components is lost.
     """
     links, round_ = None, 0
     open_ = table(members.select("bucket", "node", "mark", F.col("node").alias("part")), "members")
@@ -156,14 +157,11 @@ def link(members: DataFrame, near: Callable[[Column, Column], Column], verify: C
         open_ = open_.join(centres, ["bucket", "node"], "left_anti").drop("part").join(components(links), "node", "left").select("bucket", "node", "mark", F.coalesce("component", "node").alias("part"))
         unsettled = open_.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x < y").select("bucket")
         open_ = table(open_.join(unsettled, "bucket", "left_semi"), "members")
-        # Pairs of different components: half of n^2 less the squares of the components' sizes.
-        sizes = open_.groupBy("bucket", "part").count().groupBy("bucket").agg(F.sum("count").alias("n"), F.sum(F.col("count").cast("double") * F.col("count")).alias("q"))
-        left = sizes.agg(F.coalesce(F.sum(F.col("n").cast("double") * F.col("n") - F.col("q")) / 2, F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-        if not left["pairs"]:
+        if open_.isEmpty():
             return links
-        if left["pairs"] <= RESIDUAL * left["n"]:
+        round_ += 1
+        if round_ == STAR_ROUNDS:
             x = open_.select("bucket", F.col("node").alias("a"), F.col("mark").alias("mark_a"), F.col("part").alias("part_a"))
             y = open_.select("bucket", F.col("node").alias("b"), F.col("mark").alias("mark_b"), F.col("part").alias("part_b"))
             rest = x.join(y, "bucket").filter((F.col("part_a") < F.col("part_b")) & near(F.col("mark_a"), F.col("mark_b"))).select("a", "b")
             return table(links.union(verify(table(rest.distinct(), "pairs"))), "links")
-        round_ += 1

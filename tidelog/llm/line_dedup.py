@@ -55,7 +55,7 @@ def block_combinations(lines: int) -> tuple[list[tuple[int, int]], list[tuple[in
     r finds the same pairs; a larger r makes more but rarer keys. The least r
     is taken whose keys few of so many lines share by chance.
     """
-    r = 1
+    r = 2  # one block of 16 bits is no key: short lines crowd on some values
     while r < 5 and lines / 2 ** (64 * r // (DISTANCE + r)) > CHANCE:
         r += 1
     n = DISTANCE + r
@@ -102,7 +102,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     occurrences = table(worded.select("id", "key", "line", F.xxhash64("words").alias("node"), simhash().alias("simhash")), "lines")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "key", "line")
     distinct = table(occurrences.groupBy("node").agg(F.min(place).alias("least"), F.count("*").alias("n"), F.first("simhash").alias("simhash")), "distinct")
-    links = link(buckets(distinct), close, lambda pairs: verified(pairs, distinct, docs))
+    keyed = buckets(distinct)
+    shared = keyed.groupBy("bucket").count().filter("count > 1").select("bucket")
+    links = link(keyed.join(shared, "bucket", "left_semi"), close, lambda pairs: verified(pairs, distinct, docs))
     placed = distinct.select("node", "least", "n").join(components(links), "node", "left").withColumn("part", F.coalesce("component", "node"))
     groups = placed.filter("n > 1 OR component IS NOT NULL")
     firsts = groups.groupBy("part").agg(F.min("least").alias("first"))
