@@ -275,9 +275,10 @@ def link_candidates(members: DataFrame, texts: DataFrame, docs: DataFrame) -> Da
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """A row per row of ``docs`` (``doc_id``, ``text``): ``__id``, ``__key`` of the row, ``class_id``, ``class_size``, ``first``.
+    """A row per row of ``docs`` (``doc_id``, ``text``): ``__id``, ``__key`` of the row, ``class_id``, ``class_key``, ``class_size``, ``first``.
 
     ``class_id`` is the least document id of the class (null if it has none),
+    ``class_key`` tells apart classes where one id has several texts;
     ``first`` marks one row of each class: the least id, then the least key
     (nulls last). Texts equal word by word, ignoring case and white space,
     are always one class; so are all texts without words, null ones included.
@@ -293,7 +294,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("id").isNull(), "id", "key")
     classes = placed.groupBy("part").agg(F.min(order).alias("least"), F.count("*").alias("class_size"))
     return placed.join(classes, "part").select(
-        F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("least.id").alias("class_id"), "class_size",
+        F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("least.id").alias("class_id"), F.col("least.key").alias("class_key"), "class_size",
         (F.col("id").eqNullSafe(F.col("least.id")) & (F.col("key") == F.col("least.key"))).alias("first"),
     )
 
