@@ -2,9 +2,9 @@
 
 Each task indexes its documents in shards of bounded size and runs all queries
 on a shard before it drops it. Documents lie in blocks of similar content and
-length; a term's best weight in a block bounds what the block can add. Blocks
-are taken by falling bound until no other can reach the k-th score. The queries
-are a table in the shared folder that tasks stream, so neither is replicated.
+length; a term's best weight in a block bounds what the block can add, and
+blocks that can't reach a floor of the k-th score are left out. The queries are
+a table in the shared folder that tasks stream, so neither is replicated.
 
 Scores are sums of whole numbers (each term's weight times 2^16, rounded), so
 they don't depend on order, shard or pruning.
@@ -27,7 +27,9 @@ K1, B = 1.2, 0.75
 SCALE = 65_536
 SHARD_WORDS = 5_000_000
 BLOCK = 32  # documents
-FIRST_BLOCKS = 4  # taken before the first bound is known; then twice as many each time
+DENSE = 16  # terms in one of so many documents of a shard have a column
+QUERIES = 128  # run on a shard at a time
+SAMPLE = 10  # one of so many documents is searched first, for floors
 
 
 def terms(text: Column) -> Column:
@@ -42,10 +44,16 @@ def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """Postings by term and document, and per term and block the best weight."""
+    """Weights by term and document; per term and block of documents the best weight.
+
+    Terms that many documents share are columns of a dense matrix, the others
+    are postings. Both give approximate scores fast; exact ones are then made
+    for the few documents that can be among the best.
+    """
 
     def __init__(self, ids: list, keys: list, words: np.ndarray, lengths: np.ndarray, mean_length: float):
-        owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        docs = len(lengths)
+        owner = np.repeat(np.arange(docs, dtype=np.int32), lengths)
         order = np.lexsort((owner, words))
         words, owner = words[order], owner[order]
         new = np.ones(len(words), bool)
@@ -54,61 +62,73 @@ class Shard:
         tf = np.diff(np.append(at, len(words))).astype(np.float64)
         term, doc = words[at], owner[at]
         # Documents with the same commonest term lie together, short ones first: that makes bounds tight.
-        commonest = np.zeros(len(lengths), np.int64)
+        commonest = np.zeros(docs, np.int64)
         rising = np.argsort(tf, kind="stable")
         commonest[doc[rising]] = term[rising]
-        place = np.empty(len(lengths), np.int32)
         order = np.lexsort((lengths, commonest))
-        place[order] = np.arange(len(lengths), dtype=np.int32)
+        place = np.empty(docs, np.int32)
+        place[order] = np.arange(docs, dtype=np.int32)
         self.ids, self.keys = [ids[i] for i in order], [keys[i] for i in order]
-        length = lengths[doc]
-        weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean_length))
+        weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean_length))
         doc = place[doc]
+        # By document, for exact scores.
+        order = np.lexsort((term, doc))
+        self.own_term, self.own_weight = term[order], weight[order]
+        self.own_start = np.searchsorted(doc[order], np.arange(docs + 1))
+        # By term, for approximate ones.
         order = np.lexsort((doc, term))
-        term, self.doc, self.weight = term[order], doc[order], weight[order]
+        term, self.doc, self.weight = term[order], doc[order], weight[order].astype(np.float32)
         self.terms, first = np.unique(term, return_index=True)
-        block = self.doc // BLOCK
-        edge = np.ones(len(term), bool)
-        edge[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
-        self.run_start = np.flatnonzero(edge)  # postings of one term in one block
-        self.run_count = np.diff(np.append(self.run_start, len(term)))
-        self.run_block = block[self.run_start]
-        self.run_best = np.maximum.reduceat(self.weight, self.run_start) if len(term) else np.empty(0)
-        self.term_run = np.searchsorted(self.run_start, np.append(first, len(term)))
-        self.blocks = -(-len(lengths) // BLOCK)
-
-    def search(self, wanted: np.ndarray, idf: np.ndarray, floor: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and scores of all documents that can be among the best ``TOP``, none below ``floor``."""
-        none = np.empty(0, np.int64), np.empty(0, np.int64)
-        if not len(self.terms) or not len(wanted):
-            return none
+        self.start = np.append(first, len(term))
+        count = np.diff(self.start)
+        self.column = np.full(len(self.terms), -1)
+        dense = np.flatnonzero(count * DENSE >= docs)
+        self.column[dense] = np.arange(len(dense))
+        self.matrix = np.zeros((docs, len(dense)), np.float32)
+        inside = ranges(self.start[dense], count[dense])
+        self.matrix[self.doc[inside], np.repeat(np.arange(len(dense)), count[dense])] = self.weight[inside]
+        self.edges = np.arange(0, docs, BLOCK)
+        self.best = np.maximum.reduceat(self.matrix, self.edges) if docs else self.matrix
+
+    def search(self, offsets: np.ndarray, wanted: np.ndarray, idf: np.ndarray, floors: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query, places and scores of all documents that can be among the best ``TOP``, none below its floor."""
+        docs, queries = len(self.ids), len(floors)
         at = np.minimum(np.searchsorted(self.terms, wanted), len(self.terms) - 1)
         here = self.terms[at] == wanted
-        at, idf = at[here], idf[here]
-        count = self.term_run[at + 1] - self.term_run[at]
-        run, run_idf = ranges(self.term_run[at], count), np.repeat(idf, count)
-        if not len(run):
-            return none
-        block = self.run_block[run]
-        bound = np.bincount(block, np.floor(run_idf * self.run_best[run] * SCALE + 0.5), self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        rank = np.empty(self.blocks, np.int64)
-        rank[order] = np.arange(self.blocks)
-        scores = np.zeros(self.blocks * BLOCK)
-        done, step, least = 0, FIRST_BLOCKS, max(floor, 1)
-        run_rank = rank[block]
-        while done < self.blocks and bound[order[done]] >= least:
-            until = done + int(np.count_nonzero(bound[order[done : done + step]] >= least))
-            some = (run_rank >= done) & (run_rank < until)
-            picked = run[some]
-            n = self.run_count[picked]
-            posting = ranges(self.run_start[picked], n)
-            scores += np.bincount(self.doc[posting], np.floor(np.repeat(run_idf[some], n) * self.weight[posting] * SCALE + 0.5), len(scores))
-            done, step = until, step * 2
-            if np.count_nonzero(scores) >= TOP:
-                least = max(least, int(np.partition(scores, len(scores) - TOP)[len(scores) - TOP]))
-        found = np.flatnonzero(scores >= least)
-        return found, scores[found].astype(np.int64)
+        column = np.where(here, self.column[at], -1)
+        owner = np.repeat(np.arange(queries), np.diff(offsets))
+        asked = np.zeros((self.matrix.shape[1], queries), np.float32)
+        dense = column >= 0
+        asked[column[dense], owner[dense]] = idf[dense] * SCALE
+        bounds, rare = self.best @ asked, here & ~dense
+        # What rounding and single precision can be off by.
+        slack = np.bincount(owner, minlength=queries) + np.bincount(owner[here], idf[here], queries) * SCALE * (K1 + 1) * 1e-5 + 1
+        sparse, whole = [], np.zeros(bounds.shape, bool)
+        for q in range(queries):
+            some = np.flatnonzero(rare[offsets[q] : offsets[q + 1]]) + offsets[q]
+            n = self.start[at[some] + 1] - self.start[at[some]]
+            posting = ranges(self.start[at[some]], n)
+            extra = np.bincount(self.doc[posting], self.weight[posting] * np.repeat(idf[some] * SCALE, n), docs)
+            sparse.append(extra)
+            # Blocks that can't reach the floor are left out.
+            whole[:, q] = bounds[:, q] + np.maximum.reduceat(extra, self.edges) >= floors[q] - slack[q]
+        kept = np.flatnonzero(np.repeat(whole.any(axis=1), BLOCK)[:docs])
+        rough = self.matrix[kept] @ asked
+        for q in range(queries):
+            scores = np.where(whole[kept // BLOCK, q], rough[:, q] + sparse[q][kept], 0)
+            least = max(floors[q], 1)
+            if len(kept) > TOP:
+                least = max(least, np.partition(scores, len(kept) - TOP)[len(kept) - TOP])
+            found = kept[scores >= least - slack[q]]
+            n = self.own_start[found + 1] - self.own_start[found]
+            own = ranges(self.own_start[found], n)
+            a, b = offsets[q], offsets[q + 1]
+            to = np.minimum(np.searchsorted(wanted[a:b], self.own_term[own]), max(b - a - 1, 0))
+            fits = wanted[a:b][to] == self.own_term[own] if b > a else np.zeros(len(own), bool)
+            points = np.where(fits, np.floor((idf[a:b][to] if b > a else 0.0) * self.own_weight[own] * SCALE + 0.5), 0)
+            exact = np.bincount(np.repeat(np.arange(len(found)), n), points, len(found)).astype(np.int64)
+            good = exact >= max(floors[q], 1)
+            yield found[good], exact[good]
 
 
 def searcher(queries: str, mean_length: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -118,14 +138,12 @@ def searcher(queries: str, mean_length: float) -> Callable[[Iterator[pa.RecordBa
         from pyarrow import dataset
 
         fs, path = filesystem(queries)
-        for batch in dataset.dataset(path, format="parquet", filesystem=fs, ignore_prefixes=["_", "."]).to_batches(batch_size=256, batch_readahead=1, fragment_readahead=1):
-            offsets = batch.column("terms").offsets.to_numpy()
-            wanted = batch.column("terms").values.to_numpy()
-            idf = batch.column("idf").values.to_numpy()
+        for batch in dataset.dataset(path, format="parquet", filesystem=fs, ignore_prefixes=["_", "."]).to_batches(batch_size=QUERIES, batch_readahead=1, fragment_readahead=1):
+            offsets = batch.column("terms").offsets.to_numpy().astype(np.int64)
+            wanted, idf = (batch.column(c).values.to_numpy()[offsets[0] : offsets[-1]] for c in ("terms", "idf"))
+            floors = batch.column("floor").to_numpy()
             rows: list[tuple] = []
-            for i, (query, key, floor) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("query_id", "query_key", "floor")))):
-                a, b = offsets[i], offsets[i + 1]
-                found, scores = shard.search(wanted[a:b], idf[a:b], floor)
+            for query, key, (found, scores) in zip(batch.column("query_id").to_pylist(), batch.column("query_key").to_pylist(), shard.search(offsets - offsets[0], wanted, idf, floors)):
                 best = sorted((-s, shard.ids[d] is None, shard.ids[d] or 0, shard.keys[d], d) for d, s in zip(found.tolist(), scores.tolist()))[:TOP]
                 rows += [(query, key, shard.ids[d], k, -s) for s, _, _, k, d in best]
             if rows:
@@ -177,14 +195,18 @@ def top_documents(docs: DataFrame, queries: DataFrame) -> DataFrame:
     idf = F.log(1 + (F.lit(sizes["docs"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = asked.join(frequency, "term").select("query_id", "query_key", F.struct("term", idf.alias("idf")).alias("t"))
     listed = weighted.groupBy("query_id", "query_key").agg(F.sort_array(F.collect_list("t")).alias("t")).select("query_id", "query_key", F.col("t.term").alias("terms"), F.col("t.idf").alias("idf"))
-    first = shared_path(spark, "queries")
-    listed.withColumn("floor", F.lit(0).cast("long")).write.parquet(first)
-    # What the queries score on each other's texts: documents too, so their k-th score is a floor for the whole search.
     schema = "query_id long, query_key long, doc_id long, doc_key long, score long"
-    among = best(indexed(queries).mapInArrow(searcher(first, mean_length), schema))
-    floors = among.filter(F.col("rank") == TOP).select(F.col("query_id").alias("q"), F.col("query_key").alias("k"), F.col("score").alias("kth"))
-    stored = spark.read.parquet(first)
-    raised = stored.join(floors, stored["query_id"].eqNullSafe(floors["q"]) & (stored["query_key"] == floors["k"]), "left")
-    second = shared_path(spark, "queries")
-    raised.select("query_id", "query_key", "terms", "idf", F.coalesce("kth", "floor").alias("floor")).write.parquet(second)
-    return best(indexed(docs).mapInArrow(searcher(second, mean_length), schema)).select("query_id", "rank", "doc_id", "score")
+    stored = listed.withColumn("floor", F.lit(0).cast("long"))
+    # The k-th score among some documents is a floor for the search of all: first among a hundredth,
+    # then among a tenth. So a shard returns only what beats many documents already.
+    sampled = lambda n: indexed(docs.filter(F.pmod(row_key(), F.lit(n)) == 0))
+    few = sampled(SAMPLE * SAMPLE)
+    shards = max(1, -(-few.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0] // SHARD_WORDS))
+    for rows in (few.repartition(shards), sampled(SAMPLE), indexed(docs)):
+        path = shared_path(spark, "queries")
+        stored.write.parquet(path)
+        found = best(rows.mapInArrow(searcher(path, mean_length), schema))
+        kth = found.filter(F.col("rank") == TOP).select(F.col("query_id").alias("q"), F.col("query_key").alias("k"), F.col("score").alias("kth"))
+        stored = spark.read.parquet(path)
+        stored = stored.join(kth, stored["query_id"].eqNullSafe(kth["q"]) & (stored["query_key"] == kth["k"]), "left").select("query_id", "query_key", "terms", "idf", F.greatest("kth", "floor").alias("floor"))
+    return found.select("query_id", "rank", "doc_id", "score")
