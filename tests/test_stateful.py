@@ -163,10 +163,14 @@ def test_anchored_agg(spark):
 
 def test_snapshot(spark):
     df = events(spark, [("a", 0, 1), ("a", 150, 2), ("b", 0, 3)])
-    windows = aggregates.anchored_agg(df, [{"field": "id", "op": "count", "window": "100ms"}])
+    rules = [{"field": "id", "op": "count", "window": "100ms"}]
     for ms, want in ((120, {"a": 0, "b": 0}), (90, {"a": 1, "b": 1}), (200, {"a": 1, "b": 0})):
         moment = F.lit("2024-01-01 00:00:00").cast("timestamp") + F.expr(f"INTERVAL {ms} MILLISECOND")
-        assert {r["source"]: r["value"] for r in aggregates.snapshot(windows, moment).collect()} == want
+        assert {r["source"]: r["value"] for r in aggregates.snapshot(df, rules, moment).collect()} == want
+    # Later records of the open window don't count.
+    df = events(spark, [("a", 0, 1), ("a", 10, 10), ("a", 60, 100)])
+    got = aggregates.snapshot(df, [{"field": "id", "op": "sum", "window": "100ms"}], F.lit("2024-01-01 00:00:00.050").cast("timestamp")).collect()
+    assert [r["value"] for r in got] == [11]
 
 
 def test_sliding(spark):
@@ -186,6 +190,10 @@ def test_counters_and_alerts(spark):
     assert [r["value"] for r in report.filter("name='in'").orderBy("tick").collect()] == list(range(1, 11))
     fired = counters.threshold_alerts(report, [{"counter": "in", "threshold": 5, "cooldown": "3s"}, {"counter": "none", "threshold": 1}])
     assert sorted(r["value"] for r in fired.collect()) == [5, 8]
+    # A counter that stands still is listed to the end, and fires again after each cooldown.
+    assert [r["value"] for r in report.filter("name='out'").collect()] == [1] * 10
+    still = counters.threshold_alerts(report, [{"counter": "out", "threshold": 1, "cooldown": "4s"}])
+    assert [r["tick"].second for r in still.orderBy("tick").collect()] == [1, 5, 9]
     every = counters.threshold_alerts(report, [{"counter": "in", "threshold": 9}])
     assert sorted(r["value"] for r in every.collect()) == [9, 10]
     matches = counters.match_alerts(df, [{"field": "source", "pattern": "^i", "threshold": 4, "repeat": True}], rows_per_task=3)

@@ -105,18 +105,21 @@ def _governed(scoped: Scoped, names: set) -> Column:
     return others | listed
 
 
-def snapshot(windows: DataFrame, at: Column | str, *, source: str = "source") -> DataFrame:
-    """Value of each (source, field, op) at a time: its latest window, 0 once expired.
+def snapshot(
+    df: DataFrame, rules, at: Column | str, *, source: str = "source", ts: str = "ts", rows_per_task: int | None = None
+) -> DataFrame:
+    """Value of each (source, field, op) at a time: of its latest window as far as it had come, 0 once expired.
 
-    ``windows`` is the result of :func:`anchored_agg`.
+    Later records don't count, so this is taken from the records and not from
+    closed windows.
     """
-    moment = micros(F.lit(at) if isinstance(at, str) else at)
-    seen = windows.withColumn("__w", micros("window_start")).filter(F.col("__w") <= moment)
-    latest = seen.groupBy(source, "field", "op").agg(
-        F.max_by("value", "__w").alias("value"), F.max("__w").alias("__w"), F.max_by("width_us", "__w").alias("__u")
+    moment = micros(F.lit(at).cast("timestamp") if isinstance(at, str) else at)
+    windows = anchored_agg(df.filter(micros(ts) <= moment), rules, source=source, ts=ts, rows_per_task=rows_per_task)
+    latest = windows.withColumn("__w", micros("window_start")).groupBy(source, "field", "op").agg(
+        F.max_by(F.struct("value", "__w", "width_us"), "__w").alias("w")
     )
-    live = moment - F.col("__w") <= F.col("__u")
-    return latest.select(source, "field", "op", F.when(live, F.col("value")).otherwise(0.0).alias("value"))
+    live = moment - F.col("w.__w") <= F.col("w.width_us")
+    return latest.select(source, "field", "op", F.when(live, F.col("w.value")).otherwise(0.0).alias("value"))
 
 
 def tumbling_agg(

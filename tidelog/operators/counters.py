@@ -32,22 +32,29 @@ def observed(df: DataFrame, name: str, conditions: dict[str, Column] | None = No
 def counter_report(
     df: DataFrame, name: str | Column, interval, *, ts: str = "ts", n: str | Column | None = None
 ) -> DataFrame:
-    """``tick, name, value``: running totals at each interval's end where rows came in.
+    """``tick, name, value``: the running total of every counter known by then, at the end of each interval.
 
-    Rows reduce to one per (name, tick) before the running sum, whose size is
-    then bounded by the time span.
+    A counter is listed from the interval of its first row to the interval of
+    the last row of all, also where it stood still. Rows reduce to one per
+    (name, tick) before the running sum; rows without a time don't count.
     """
     step = positive_window(interval)
     label = field(name) if isinstance(name, str) else name
     amount = F.lit(1) if n is None else field(n) if isinstance(n, str) else n
     at = micros(ts)
     tick = at - F.pmod(at, F.lit(step)) + step
-    per_tick = df.groupBy(label.alias("name"), tick.alias("__tick")).agg(F.sum(amount.cast("long")).alias("__n"))
-    walk = Window.partitionBy("name").orderBy("__tick").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    like = df.schema[ts].dataType.simpleString()
-    return per_tick.select(
-        from_micros("__tick", like).alias("tick"), "name", F.sum("__n").over(walk).alias("value")
+    timed = df.filter(field(ts).isNotNull())
+    per_tick = timed.groupBy(label.alias("name"), tick.alias("__tick")).agg(F.sum(amount.cast("long")).alias("__n"))
+    end = F.broadcast(timed.agg(F.max(tick).alias("__end")))  # one row
+    walk = Window.partitionBy("name").orderBy("__tick")
+    grown = per_tick.join(end).select(
+        "name", "__tick",
+        F.sum("__n").over(walk.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("value"),
+        F.coalesce(F.lead("__tick").over(walk) - step, F.col("__end")).alias("__until"),
     )
+    like = df.schema[ts].dataType.simpleString()
+    listed = grown.withColumn("__at", F.explode(F.sequence("__tick", "__until", F.lit(step))))
+    return listed.select(from_micros("__at", like).alias("tick"), "name", "value")
 
 
 @dataclass(frozen=True)

@@ -133,7 +133,7 @@ class OrderedProcessor(StatefulProcessor):
         for row in ready:
             yield from self.step(name, state, row)
         due = self.closes(state)
-        if due is not None and due <= limit:
+        while due is not None and due <= limit:
             yield from self.expire(name, state)
             due = self.closes(state)
         if ready:
@@ -304,8 +304,9 @@ class AnchoredTotals(OrderedProcessor):
 class CounterAlerts(OrderedProcessor):
     """Threshold alerts. ``tag`` of a row is the amount added to its counter.
 
-    State: running total, end of the open tick, last fire. A counter is looked
-    at when a tick in which it grew ends.
+    State: running total, the next tick at which to look, last fire. A counter
+    is looked at when a tick in which it grew ends, and once it has reached
+    its threshold whenever its cooldown is over, grown or not.
     """
 
     state_schema = "total long, tick long, fired long"
@@ -318,18 +319,21 @@ class CounterAlerts(OrderedProcessor):
 
     def _evaluate(self, key, state):
         total, tick, fired = state
-        state[1] = None
         threshold, cooldown = self.rules[key]
-        if total >= threshold and (fired is None or tick - fired >= cooldown):
-            state[2] = tick
+        state[1] = None
+        if total < threshold:
+            return
+        if fired is None or tick - fired >= cooldown:
+            state[2] = fired = tick
             yield Row(name=key, t=tick, value=total)
+        state[1] = max(tick + self.interval, -(-(fired + cooldown) // self.interval) * self.interval)
 
     def step(self, key, state, row):
         tick = row[0] - row[0] % self.interval + self.interval
-        if state[1] is not None and tick > state[1]:
+        while state[1] is not None and state[1] < tick:
             yield from self._evaluate(key, state)
         state[0] += int(row[2])
-        state[1] = tick
+        state[1] = tick if state[1] is None else state[1]
 
     def closes(self, state):
         return state[1]

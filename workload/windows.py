@@ -50,15 +50,20 @@ def anchored_totals(spark, sf):
     return aggregates.anchored_agg(logs(spark, sf), rules).withColumn("value", F.round("value", 4))
 
 
-@query(_anchored("""
-    , latest AS (SELECT source, max(t) AS t FROM w WHERE t <= TIMESTAMP '2024-01-30 18:00:00' GROUP BY 1)
+MOMENT = "2024-01-30 18:00:00"
+
+
+@query(f"""
+    WITH RECURSIVE rows_ AS MATERIALIZED (SELECT *, source AS k0 FROM ({LOGS_SQL}) WHERE ts <= TIMESTAMP '{MOMENT}'),
+    {leaders_sql("lead_", "rows_", "k0", "3 HOUR", strict=True)},
+    w AS (SELECT r.*, l.t FROM rows_ r ASOF JOIN lead_ l ON r.k0 = l.k AND r.ts >= l.t),
+    latest AS (SELECT source, max(t) AS t FROM w GROUP BY 1)
     SELECT w.source, 'value' AS field, 'sum' AS op,
-           CASE WHEN latest.t + INTERVAL 3 HOUR >= TIMESTAMP '2024-01-30 18:00:00' THEN round(sum(value), 4) ELSE 0.0 END AS value
-    FROM w JOIN latest ON w.source = latest.source AND w.t = latest.t GROUP BY w.source, latest.t"""))
+           CASE WHEN latest.t + INTERVAL 3 HOUR >= TIMESTAMP '{MOMENT}' THEN round(sum(value), 4) ELSE 0.0 END AS value
+    FROM w JOIN latest ON w.source = latest.source AND w.t = latest.t GROUP BY w.source, latest.t""")
 def snapshot_at(spark, sf):
-    """The last window of each source as of a moment."""
-    windows = aggregates.anchored_agg(logs(spark, sf), [{"field": "value", "op": "sum", "window": "3h"}])
-    state = aggregates.snapshot(windows, F.lit("2024-01-30 18:00:00"))
+    """The last window of each source as of a moment: later records don't count."""
+    state = aggregates.snapshot(logs(spark, sf), [{"field": "value", "op": "sum", "window": "3h"}], MOMENT)
     return state.withColumn("value", F.round("value", 4))
 
 
@@ -97,14 +102,17 @@ def counter_totals(spark, sf):
     return counters.stage_counters(logs(spark, sf), "source")
 
 
-REPORT = """SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') + INTERVAL 6 HOUR AS tick, event_type AS name,
-    CAST(sum(count(*)) OVER (PARTITION BY event_type ORDER BY time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01')) AS BIGINT) AS value
-    FROM events GROUP BY event_type, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01')"""
+# Every counter at every tick from its first on; an hour is short enough for some to stand still.
+REPORT = """SELECT tick, name, CAST(sum(coalesce(n, 0)) OVER (PARTITION BY name ORDER BY tick) AS BIGINT) AS value FROM (
+      SELECT name, unnest(generate_series(min(tick), any_value(last_tick), INTERVAL 1 HOUR)) AS tick
+      FROM (SELECT event_type AS name, date_trunc('hour', ts) + INTERVAL 1 HOUR AS tick, (SELECT date_trunc('hour', max(ts)) + INTERVAL 1 HOUR FROM events) AS last_tick FROM events)
+      GROUP BY name)
+    LEFT JOIN (SELECT event_type AS name, date_trunc('hour', ts) + INTERVAL 1 HOUR AS tick, count(*) AS n FROM events GROUP BY ALL) USING (name, tick)"""
 
 
 @query(REPORT)
 def counter_reports(spark, sf):
-    return counters.counter_report(logs(spark, sf), "source", "6h")
+    return counters.counter_report(logs(spark, sf), "source", "1h")
 
 
 @query(f"""
@@ -117,7 +125,7 @@ def counter_reports(spark, sf):
 """)
 def alerts_on_counters(spark, sf):
     rules = [{"counter": "error", "threshold": 100, "cooldown": "36h"}, {"counter": "click", "threshold": 500}]
-    return counters.threshold_alerts(counters.counter_report(logs(spark, sf), "source", "6h"), rules)
+    return counters.threshold_alerts(counters.counter_report(logs(spark, sf), "source", "1h"), rules)
 
 
 @query("""
