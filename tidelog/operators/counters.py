@@ -148,8 +148,11 @@ def status_rollup(
     The overall status is ``degraded`` if any component is. One row per
     component is left before the overall status is formed.
     """
-    latest = df.groupBy(field(component).alias("component")).agg(
-        F.max_by(field(status), field(ts)).alias("status"), F.max_by(field(message), field(ts)).alias("message")
+    # Status and message of one record: of several at the last time, the greatest of both.
+    record = F.struct(field(status).alias("status"), field(message).alias("message"))
+    latest = (
+        df.groupBy(field(component).alias("component")).agg(F.max_by(record, F.struct(field(ts), record)).alias("r"))
+        .select("component", "r.status", "r.message")
     )
     overall = latest.agg(
         F.when(F.coalesce(F.bool_or(F.col("status") == "degraded"), F.lit(False)), "degraded").otherwise("ok").alias("overall")

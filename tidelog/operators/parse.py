@@ -22,8 +22,17 @@ _QUOTED_WORDS = r'((?:[^\s"]|"(?:[^"\\]|\\.)*"?)+)'
 
 
 def parse_json(line: Column) -> Column:
-    """A JSON object as a map of texts; integers keep all digits, nested values are JSON."""
-    return F.from_json(line, "map<string,string>")
+    """A JSON object as a map of texts; integers keep all digits, nested values are JSON.
+
+    Strict: nothing may follow the object, quotes are double, NaN is no
+    number. The last of equal keys wins.
+    """
+    # A reader stops at the end of the first value. Within an object and within an array
+    # between them, whatever follows the line's object breaks one or the other.
+    strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+    held = F.from_json(F.concat(F.lit('{"x":'), line, F.lit("}")), "x map<string,string>", strict)["x"]
+    alone = F.json_array_length(F.concat(F.lit("["), line, F.lit("]"))) == 1
+    return F.when(alone, let(held, lambda m: F.map_from_entries(F.map_entries(m))))
 
 
 def _pairs(tokens: Column) -> Column:

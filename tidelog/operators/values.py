@@ -19,7 +19,12 @@ TRUE_TEXTS = ["1", "t", "T", "TRUE", "true", "True"]
 FALSE_TEXTS = ["0", "f", "F", "FALSE", "false", "False"]
 
 INT_PATTERN = r"^[+-]?[0-9]+$"
-FLOAT_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+# Decimal and hexadecimal numbers, infinities and NaN.
+FLOAT_PATTERN = (
+    r"^([+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
+    r"|0[xX]([0-9a-fA-F]+\.?[0-9a-fA-F]*|\.[0-9a-fA-F]+)[pP][+-]?[0-9]+"
+    r"|[iI][nN][fF]([iI][nN][iI][tT][yY])?)|[nN][aA][nN])$"
+)
 
 
 @dataclass(frozen=True)
@@ -43,7 +48,9 @@ def read_float(text: Column) -> Column:
 def read_int(text: Column) -> Column:
     whole = F.when(search(text, INT_PATTERN), text.try_cast("bigint"))
     number = read_float(text)
-    return F.coalesce(whole, F.when(F.abs(number) < 9.2e18, number.try_cast("bigint")))
+    # Doubles next to the type's bounds: -2^63 is one, 2^63 is past the end.
+    fits = (number >= float(-(2**63))) & (number < float(2**63))
+    return F.coalesce(whole, F.when(fits, number.try_cast("bigint")))
 
 
 def read_bool(text: Column) -> Column:

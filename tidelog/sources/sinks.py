@@ -60,8 +60,13 @@ def text_sink(path: str, ingest: str | None = None) -> Writer:
     return lambda df: write_text(df, path, ingest)
 
 
-def console_sink(rows: int = 20) -> Writer:
-    return lambda df: df.show(rows, truncate=False)
+def print_row(row) -> None:
+    print(row[0], flush=True)
+
+
+def console_sink(ingest: str | None = None) -> Writer:
+    """Every row as a line on the output of the task that has it."""
+    return lambda df: tabbed_lines(df, ingest).foreach(print_row)
 
 
 def fan_out(df: DataFrame, sinks: Mapping[str, Writer], *, stop_at_error: bool = False) -> None:
@@ -114,9 +119,9 @@ def start_text(df: DataFrame, path: str, checkpoint: str, ingest: str | None = N
     )
 
 
-def start_console(df: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
+def start_console(df: DataFrame, checkpoint: str, ingest: str | None = None, **trigger) -> StreamingQuery:
     return (
-        df.writeStream.format("console").option("checkpointLocation", checkpoint)
+        tabbed_lines(df, ingest).writeStream.foreach(print_row).option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True})).start()
     )
 
