@@ -70,7 +70,11 @@ def anchored_windows(
             raise ValueError("window must be positive")
         width_us = F.lit(width_us)
     width = (width_us + 1 if strict else width_us).cast("long")
-    base = df.filter(field(ts).isNotNull()).withColumns({TIME: micros(ts), WIDTH: width})
+    time = micros(ts)
+    if origin_us is not None:
+        early = F.raise_error(F.lit("anchored windows: a row is earlier than the origin")).cast("long")
+        time = F.when(time < origin_us, early).otherwise(time)
+    base = df.filter(field(ts).isNotNull()).withColumns({TIME: time, WIDTH: width})
 
     opened = staged(leaders(base.select(*keys, TIME, WIDTH), keys, origin_us, rows_per_task, fold_rows))
     # Each leader serves its own cell and, as the one before, the next cell.

@@ -14,6 +14,8 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+CLUSTER_PARTITIONS = "8000"
+
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -38,6 +40,10 @@ def build_session(
     for key, value in SQL_SETTINGS.items():
         builder = builder.config(key, value)
     builder = builder.config("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+    if not master:
+        # Adaptive execution only merges partitions, so a cluster starts with many.
+        builder = builder.config("spark.sql.adaptive.coalescePartitions.initialPartitionNum", CLUSTER_PARTITIONS)
     if master:
         builder = builder.master(master)
     if shuffle_partitions:
