@@ -28,6 +28,12 @@ def distance(a, b):
     return duckdb.execute("SELECT levenshtein(?, ?)", [a, b]).fetchone()[0]
 
 
+def symbols(words):
+    """One character per word, from Spark's signed hash."""
+    signed = [(h := xxhash.xxh64_intdigest(w.encode(), seed=42)) - ((h >> 63) << 64) for w in words]
+    return "".join(chr(0x4E00 + h % 20_000) for h in signed)
+
+
 def brute_lines(rows):
     """Places of removed lines, by the definition; rows are (row number, id, text)."""
     places = defaultdict(list)
@@ -47,7 +53,7 @@ def brute_lines(rows):
     for i in range(len(keys)):
         for j in range(i):
             if (hashes[i] ^ hashes[j]).bit_count() <= 3:
-                a, b = " ".join(keys[i]), " ".join(keys[j])
+                a, b = (" ".join(k) if len(k) <= line_dedup.LONG_WORDS else symbols(k) for k in (keys[i], keys[j]))
                 if distance(a, b) <= math.floor(max(len(a), len(b)) * 0.1 + 1e-6):
                     root[find(i)] = find(j)
     groups = defaultdict(list)

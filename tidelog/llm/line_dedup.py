@@ -21,6 +21,8 @@ MIN_WORDS = 3  # shorter lines are left alone: "And so." is no boilerplate
 DISTANCE = 3  # bits
 LIKE = 0.9  # edit similarity of normalised lines: 1 - distance / length of the longer
 
+LONG_WORDS = 500  # the distance of longer lines is counted in words: in letters it would cost the square of a long text
+
 # Lines that may share one combination of blocks by chance; more blocks are used beyond.
 CHANCE = 64
 
@@ -88,11 +90,18 @@ def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = table(lines.join(nodes, "node", "left_semi").select("node", F.col("least.id").alias("__id"), F.col("least.key").alias("__key"), F.col("least.line").alias("__line")), "wanted")
     rows = docs.select("doc_id", "text").join(maybe_broadcast(wanted), (row_key() == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    norm = F.array_join(line_words(F.get(F.split(text_or_empty(), "\n"), F.col("__line"))), " ")
-    found = table(rows.select("node", norm.alias("norm")), "norms").dropDuplicates(["node"])
+    words = line_words(F.get(F.split(text_or_empty(), "\n"), F.col("__line")))
+    found = table(rows.select("node", words.alias("words")).select("node", spelled().alias("norm")), "norms").dropDuplicates(["node"])
     both = pairs.join(found.withColumnsRenamed({"node": "b", "norm": "norm_b"}), "b").join(found.withColumnsRenamed({"node": "a", "norm": "norm_a"}), "a")
     allowed = f"cast(floor(greatest(length(norm_a), length(norm_b)) * {1 - LIKE:.6f} + 1e-6) as int)"
-    return both.filter(F.expr(f"abs(length(norm_a) - length(norm_b)) <= {allowed} AND levenshtein(norm_a, norm_b) <= {allowed}")).select("a", "b")
+    # Within the bound the distance takes the bound times the length; past it, -1.
+    return both.filter(F.expr(f"abs(length(norm_a) - length(norm_b)) <= {allowed} AND levenshtein(norm_a, norm_b, {allowed}) >= 0")).select("a", "b")
+
+
+def spelled() -> Column:
+    """What edits are counted in: the letters of ``words``, but one symbol per word in lines of over ``LONG_WORDS`` words."""
+    symbol = F.transform("words", lambda w: F.hex(F.lit(0x4E00) + F.pmod(F.xxhash64(w), F.lit(20_000))))
+    return F.when(F.size("words") > LONG_WORDS, F.decode(F.unhex(F.array_join(symbol, "")), "UTF-16BE")).otherwise(F.array_join("words", " "))
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
