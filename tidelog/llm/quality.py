@@ -29,6 +29,7 @@ BLOCK_CHARS = 1_000_000  # n-grams of so much text are in a worker's memory at a
 
 HELD_OUT = 5  # every fifth trusted document, by hash, sets the thresholds; the others train the model
 QUANTILE = 0.995
+MARGIN = 1.25  # times the quantile: few held-out documents say little about the highest perplexity of good text
 
 # Discounts where counts of counts are missing (modified Kneser-Ney needs n1 to n4).
 FALLBACK = {1: 0.5, 2: 1.0, 3: 1.5}
@@ -308,7 +309,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     """``docs`` (``doc_id``, ``text``, ``lang``; more columns stay) with ``__perplexity`` and ``__keep``.
 
     A document is kept if its perplexity under the model of its language is at
-    most the given quantile of trusted documents held out from training. Empty and null texts are not kept. A language without
+    most the given quantile of trusted documents held out from training, times ``MARGIN``. Empty and null texts are not kept. A language without
     trusted text (or without held-out text) gives no evidence: its documents
     are kept. A null language is one of its own. Every input row gives one
     row; repeated rows fare alike.
@@ -317,7 +318,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     model = train(trusted.filter("NOT __held"))
     held = perplexity(trusted.filter("__held").drop("__held"), model)
     limits = table(thresholds(held, quantile), "thresholds")
-    limits = maybe_broadcast(limits.select(F.col("lang").alias("__lang"), F.col("most").alias("__most")))
+    limits = maybe_broadcast(limits.select(F.col("lang").alias("__lang"), (F.col("most") * MARGIN).alias("__most")))
     scored = perplexity(docs, model)
     fits = F.coalesce(F.round("__perplexity", 2) <= F.col("__most"), F.lit(True))
     return (
