@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -202,3 +203,28 @@ def test_held_out_accuracy(spark):
     judged = quality.classify(docs, seen).join(labels.filter("doc_id % 2 = 1"), "doc_id").groupBy("quality").agg(F.avg(F.col("__keep").cast("int")).alias("kept")).collect()
     kept = {r["quality"]: r["kept"] for r in judged}
     assert kept[1] > 0.85 and kept[0] < 0.4, kept
+
+
+def test_held_out_toxic_and_junk_go(spark):
+    """A few bad words in a long text and words said over and over are found; good texts, toxic ones apart, stay."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    prepare(spark)
+    judged = quality.classify(docs, labels.filter("doc_id % 2 = 0"))
+    rows = {r["doc_id"]: (r["__keep"], r["lang"]) for r in judged.select("doc_id", "__keep", "lang").collect()}
+    kept = defaultdict(list)
+    for r in labels.filter("doc_id % 2 = 1").collect():
+        keep, lang = rows[r["doc_id"]]
+        kept["junk" if r["quality"] == 0 else "good" if not r["toxic"] else f"toxic {lang}"].append(keep)
+    share = {k: sum(v) / len(v) for k, v in kept.items()}
+    assert share["good"] > 0.95 and share["junk"] < 0.3 and share["toxic en"] < 0.1, share
+    assert not any(rows[i][0] for i in (499, 679, 730, 763))
+
+
+def test_measures_find_bad_runs():
+    text = "the cat and the dog sat on the mat by the door. " * 3
+    grams, counts = quality.distinct_grams([text, "Orre " * 100, text + "zq"])
+    logs = np.log(counts / counts.sum())
+    repeats, worst, mean = quality.measures([text, "Orre " * 100, text + "zq", ""], grams, logs)
+    assert repeats[1] > 0.95 > repeats[0] and worst[2] > worst[0] and mean[0] == quality.perplexities([text], grams, logs)[0]
+    assert np.isnan([repeats[3], worst[3], mean[3]]).all()

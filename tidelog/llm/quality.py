@@ -8,7 +8,9 @@ for each n-gram it has, and the answers meet its documents in a cogroup.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -28,12 +30,18 @@ CHUNK_CHARS = 16_000_000
 BLOCK_CHARS = 1_000_000  # n-grams of so much text are in a worker's memory at a time
 
 HELD_OUT = 5  # every fifth trusted document, by hash, sets the thresholds; the others train the model
-QUANTILE = 0.995
-MARGIN = 1.25  # times the quantile: few held-out documents say little about the highest perplexity of good text
+QUANTILE = 0.995  # of the held-out ones, where no labelled bad text says where to cut
+
+WORST = 8  # letters: the least likely run of so many tells a few bad words in a long text
+LAG, RUN = 64, 256  # an n-gram seen up to LAG places before is a repeat; the share of repeats is taken over RUN places
+PLAIN = "^[\\p{L}\\s.,\\x02]*$"  # n-grams of words: numbers, addresses and keys in good text are as unlikely as bad words
 
 # Discounts where counts of counts are missing (modified Kneser-Ney needs n1 to n4).
 FALLBACK = {1: 0.5, 2: 1.0, 3: 1.5}
 
+# What a document is judged by, each with a cut above which it goes. Cuts are set in this order, the mean last: it says least.
+MEASURES = ("__repeats", "__worst", "__perplexity")
+
 
 class Grams:
     """The n-grams of texts as whole numbers, by a dense code of the characters given."""
@@ -147,9 +155,31 @@ def ask_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(chunk, pa.int32()), n), pa.repeat(pa.scalar(lang, pa.string()), n), grams], ["__chunk", "lang", "gram"])
 
 
+def means(x: np.ndarray, width: int) -> np.ndarray:
+    """Of each window of ``x``; of all of it if it is shorter than a window."""
+    if len(x) <= width:
+        return x.mean(keepdims=True)
+    total = np.cumsum(np.concatenate([[0.0], x]))
+    return (total[width:] - total[:-width]) / width
+
+
+def repeats(at: np.ndarray) -> np.ndarray:
+    """Which places hold an n-gram that one of the ``LAG`` places before holds too."""
+    order = np.argsort(at, kind="stable")
+    out = np.zeros(len(at))
+    out[order[1:]] = (at[order[1:]] == at[order[:-1]]) & (order[1:] - order[:-1] <= LAG)
+    return out
+
+
 def perplexities(texts: list[str], grams: pa.Array, logs: np.ndarray) -> np.ndarray:
     """Of each text; NaN for an empty one."""
-    out = np.full(len(texts), np.nan)
+    return measures(texts, grams, logs)[2]
+
+
+def measures(texts: list[str], grams: pa.Array, logs: np.ndarray) -> np.ndarray:
+    """Rows as in ``MEASURES``: each text's largest share of repeats, the perplexity of its worst ``WORST`` letters, and of all; NaN for an empty text."""
+    out = np.full((len(MEASURES), len(texts)), np.nan)
+    plain = pc.match_substring_regex(grams, PLAIN).to_numpy(zero_copy_only=False)
     joined = "".join(grams.to_pylist())
     known = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
     for a, b in blocks(texts):
@@ -167,7 +197,12 @@ def perplexities(texts: list[str], grams: pa.Array, logs: np.ndarray) -> np.ndar
             at = pd.Index(grams.to_pandas()).get_indexer(gram_texts(points, ends).to_pandas())
         full = np.flatnonzero(lengths)
         starts = (np.cumsum(lengths) - lengths)[full]
-        out[a + full] = np.exp(-np.add.reduceat(logs[at], starts) / lengths[full])
+        out[2, a + full] = np.exp(-np.add.reduceat(logs[at], starts) / lengths[full])
+        for i, start in zip(full.tolist(), starts.tolist()):
+            own = at[start : start + lengths[i]]
+            words = own[plain[own]]
+            out[1, a + i] = np.exp(-means(logs[words], WORST).min()) if len(words) else 0.0
+            out[0, a + i] = means(repeats(own), RUN).max()
     return out
 
 
@@ -175,17 +210,20 @@ def scorer(names: list[str]):
     """Cogroup: documents of one chunk, and the log probabilities of its n-grams."""
 
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        found = np.full(docs.num_rows, np.nan)
+        found = np.full((len(MEASURES), docs.num_rows), np.nan)
         langs = pc.fill_null(docs["lang"].combine_chunks(), "")
         for lang in pc.unique(langs).to_pylist():
             rows = np.flatnonzero(pc.equal(langs, lang).to_numpy(zero_copy_only=False))
             own = answers.filter(pc.equal(answers["lang"], lang))
             if own.num_rows:
                 texts = unpack(docs["text"].take(pa.array(rows)))
-                found[rows] = perplexities(texts, own["gram"].combine_chunks(), own["log"].to_numpy().astype(np.float64))
+                found[:, rows] = measures(texts, own["gram"].combine_chunks(), own["log"].to_numpy().astype(np.float64))
         plain = pa.array([t if k else None for t, k in zip(unpack(docs["text"]), docs["text"].is_valid().to_pylist())], pa.string())
         docs = docs.set_column(docs.schema.get_field_index("text"), "text", plain)
-        return docs.select(names).append_column("__perplexity", pa.array(np.round(found, 4), pa.float64(), from_pandas=True))
+        docs = docs.select(names)
+        for name, values in zip(MEASURES, found):
+            docs = docs.append_column(name, pa.array(np.round(values, 4), pa.float64(), from_pandas=True))
+        return docs
 
     return score
 
@@ -269,7 +307,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
 
 def perplexity(docs: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """``docs`` with ``__perplexity``; null for empty texts and for languages without a model.
+    """``docs`` with ``MEASURES``; null for empty texts and for languages without a model.
 
     Three passes: the n-grams of all texts are looked up once; the texts,
     dealt into chunks, ask for theirs; texts and answers meet in a cogroup
@@ -282,18 +320,73 @@ def perplexity(docs: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]]) -
     packed = T.StructType([T.StructField("text", T.BinaryType()) if f.name == "text" else f for f in dealt.schema.fields])
     parted = dealt.mapInArrow(pack, packed).repartition(chunks, "__chunk")
     answers = parted.mapInArrow(ask_grams, "__chunk int, lang string, gram string").join(logs, ["lang", "gram"])
-    schema = T.StructType([*dealt.drop("__chunk").schema.fields, T.StructField("__perplexity", T.DoubleType())])
+    schema = T.StructType([*dealt.drop("__chunk").schema.fields, *[T.StructField(m, T.DoubleType()) for m in MEASURES]])
     return parted.groupBy("__chunk").cogroup(answers.groupBy("__chunk")).applyInArrow(scorer(docs.columns), schema)
 
 
 def thresholds(scored: DataFrame, quantile: float) -> DataFrame:
-    """Per language, the exact quantile of ``__perplexity`` (of values rounded to 0.01, so that few are distinct)."""
+    """Per language, the exact quantile of ``__perplexity`` (of values rounded to 0.01, so that few are distinct); null for a single document."""
     from pyspark.sql.window import Window
 
     values = scored.filter("__perplexity IS NOT NULL").groupBy(F.coalesce("lang", F.lit("")).alias("lang"), F.round("__perplexity", 2).alias("v")).count()
     by = Window.partitionBy("lang")
     ranked = values.withColumn("below", F.sum("count").over(by.orderBy("v"))).withColumn("total", F.sum("count").over(by))
-    return ranked.filter(F.col("below") >= F.ceil(F.col("total") * quantile)).groupBy("lang").agg(F.min("v").alias("most"))
+    found = ranked.filter(F.col("below") >= F.ceil(F.col("total") * quantile)).groupBy("lang").agg((F.min("v") + 0.005).alias("most"))
+    # Few documents hardly reach their quantile: Student's t (Cornish and Fisher's expansion) bounds the next one of as many.
+    z = NormalDist().inv_cdf(quantile)
+    n, log = F.count("__perplexity"), F.log("__perplexity")
+    free = F.greatest(n - 1, F.lit(1))
+    t = z + (z**3 + z) / (4 * free) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * free * free)
+    bound = scored.groupBy(F.coalesce("lang", F.lit("")).alias("lang")).agg(n.alias("n"), F.exp(F.avg(log) + t * F.stddev_samp(log) * F.sqrt(1 + 1 / F.greatest(n, F.lit(1)))).alias("next"))
+    few = F.col("n") < math.ceil(1 / (1 - quantile))
+    return found.join(bound, "lang").select("lang", F.when(few, F.when(F.col("n") > 1, F.greatest("most", "next"))).otherwise(F.col("most")).alias("most"))
+
+
+def cuts(judged: DataFrame, measure: str) -> DataFrame:
+    """``lang``, ``cut``: with the fewest mistakes on labelled texts, halfway to the least value cut off.
+
+    ``judged`` has ``lang``, ``bad`` (0 or 1), ``held`` and the measures. A
+    held-out good text stands for the ``HELD_OUT`` it was drawn from; repeats
+    owe nothing to training, so there each good text stands for itself. No row
+    for a language where a cut mends nothing.
+    """
+    from pyspark.sql.window import Window
+
+    weight = F.lit(1) if measure == "__repeats" else F.when(F.col("held"), HELD_OUT).otherwise(0)
+    good = F.sum((1 - F.col("bad")) * weight)
+    # Rounded to three digits, so that few values are distinct.
+    digits = F.pow(F.lit(10.0), F.floor(F.log10(F.greatest(measure, F.lit(0.001)))) - 2)
+    values = judged.filter(F.col(measure).isNotNull()).groupBy("lang", (F.round(F.col(measure) / digits) * digits).alias("v")).agg(F.sum("bad").alias("bad"), good.alias("good"))
+    by = Window.partitionBy("lang")
+    upto = by.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    lost = F.sum("good").over(by) - F.sum("good").over(upto)
+    tried = values.select("lang", "v", F.lead("v").over(by.orderBy("v")).alias("next"), (F.sum("bad").over(upto) + lost).alias("mistakes"), F.sum("good").over(by).alias("all"))
+    best = tried.filter("all > 0").groupBy("lang").agg(F.max_by(F.struct("v", "next"), F.struct(-F.col("mistakes"), F.col("v"))).alias("b"))
+    return best.filter("b.next IS NOT NULL").select("lang", ((F.col("b.v") + F.col("b.next")) / 2).alias("cut"))
+
+
+def limits_of(judged: DataFrame, quantile: float) -> DataFrame:
+    """``lang`` and the cut of each measure (``..._most``), null if there is none.
+
+    One cut at a time is set on what the others let through. The second round
+    takes back what an early cut spent on texts that a later one finds.
+    """
+    judged = table(judged, "judged")
+    limits = table(thresholds(judged.filter("bad = 0 AND held"), quantile).select("*", *[F.lit(None).cast("double").alias(f"{m}_most") for m in MEASURES]), "thresholds")
+    for measure in MEASURES * 2:
+        passed = judged.join(F.broadcast(limits), "lang")
+        for other in MEASURES:
+            if other != measure:
+                passed = passed.filter(F.coalesce(F.col(other) <= F.col(f"{other}_most"), F.lit(True)))
+        limits = table(limits.drop(f"{measure}_most").join(cuts(passed, measure), "lang", "left").withColumnRenamed("cut", f"{measure}_most"), "limits")
+    # Where no bad text lies above the good ones, perplexity is cut at the good ones' quantile.
+    return limits.withColumn("__perplexity_most", F.coalesce("__perplexity_most", "most")).drop("most")
+
+
+def bad_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that a label calls toxic or of quality 0."""
+    bad = labels.filter("doc_id IS NOT NULL AND (quality = 0 OR toxic = 1)").select("doc_id").distinct()
+    return docs.select("doc_id", "text", "lang").join(maybe_broadcast(bad), "doc_id", "left_semi")
 
 
 def trusted_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -308,21 +401,27 @@ def trusted_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """``docs`` (``doc_id``, ``text``, ``lang``; more columns stay) with ``__perplexity`` and ``__keep``.
 
-    A document is kept if its perplexity under the model of its language is at
-    most the given quantile of trusted documents held out from training, times ``MARGIN``. Empty and null texts are not kept. A language without
+    A document is kept if none of ``MEASURES`` under the model of its language
+    is above its cut. The cuts of a language are set by labelled bad documents
+    (quality 0 or toxic) and by trusted ones held out from training; if no bad
+    one is above the trusted ones, perplexity is cut at their given quantile.
+    Empty and null texts are not kept. A language without
     trusted text (or without held-out text) gives no evidence: its documents
     are kept. A null language is one of its own. Every input row gives one
     row; repeated rows fare alike.
     """
     trusted = trusted_rows(docs, labels)
     model = train(trusted.filter("NOT __held"))
-    held = perplexity(trusted.filter("__held").drop("__held"), model)
-    limits = table(thresholds(held, quantile), "thresholds")
-    limits = maybe_broadcast(limits.select(F.col("lang").alias("__lang"), (F.col("most") * MARGIN).alias("__most")))
+    known = trusted.withColumnRenamed("__held", "held").withColumn("bad", F.lit(0)).unionByName(bad_rows(docs, labels).withColumns({"held": F.lit(False), "bad": F.lit(1)}))
+    judged = perplexity(known, model).select(F.coalesce("lang", F.lit("")).alias("lang"), "bad", "held", *MEASURES)
+    limits = maybe_broadcast(limits_of(judged, quantile).withColumnRenamed("lang", "__lang"))
     scored = perplexity(docs, model)
-    fits = F.coalesce(F.round("__perplexity", 2) <= F.col("__most"), F.lit(True))
+    most = [f"{m}_most" for m in MEASURES]
+    fits = F.lit(True)
+    for measure in MEASURES:
+        fits = fits & F.coalesce(F.col(measure) <= F.col(f"{measure}_most"), F.lit(True))
     return (
         scored.join(limits, F.coalesce(scored["lang"], F.lit("")) == limits["__lang"], "left")
         .withColumn("__keep", (F.length(text_or_empty()) > 0) & fits)
-        .drop("__lang", "__most")
+        .drop("__lang", *most, *MEASURES[:-1])
     )
