@@ -157,3 +157,11 @@ def test_templates_find_planted_items(spark):
     want = {(d, i) for d, t in docs.items() for i, r in runs.items() if r & {tuple(t[k : k + 10]) for k in range(len(t) - 9)}}
     got = {(r["doc_id"], r["item_id"]) for r in QUERIES["op5_decontamination"](spark, SF).collect()}
     assert want and got == want
+
+
+def test_one_changed_mention_does_not_hide_a_copy(spark):
+    item = "when Smith came to the river he saw a boat with a red sail and a man who sold fish to the people there and then Smith went home again"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, item.replace("Smith went", "Smyth went")), (2, item.replace("Smith", "Jones")), (3, "nothing of it")], "doc_id long, text string")
+    got = {r["__id"]: (r["windows"], r["reworded"]) for r in templates.contaminated(docs, bench).collect()}
+    assert got.keys() == {1, 2} and got[1][0] >= 10 and not got[1][1] and got[2][1]

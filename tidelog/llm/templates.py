@@ -191,7 +191,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, carried: int = CARRIED)
     ``docs`` has ``doc_id`` and ``text``, ``benchmark`` has ``item_id`` and
     ``text``; null texts have no windows, null ids stay null. ``windows``
     counts the windows of the best consistent alignment, ``reworded`` says
-    whether a slot differs there. Rows equal in id and text count once. Items
+    whether a slot differs there. Of an inconsistent alignment only the windows
+    filled as in the item count. Rows equal in id and text count once. Items
     of fewer than three tokens match nothing, shorter ones than a window only
     as a whole.
     """
@@ -214,8 +215,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, carried: int = CARRIED)
     filled = counted.select(*alignment, F.explode("slots").alias("s")).groupBy(*alignment, "s.of").agg(F.min("s.to").alias("least"), F.max("s.to").alias("most"))
     torn = filled.groupBy(*alignment).agg(F.max((F.col("least") != F.col("most")).cast("int")).alias("torn"))
     whole = null_safe_left(sizes, torn, alignment)
-    differs = met.select(*alignment, (F.col("fillers") != F.col("item_fillers")).alias("d")).groupBy(*alignment).agg(F.max("d").alias("reworded"))
-    judged = null_safe_left(whole.filter("coalesce(torn, 0) = 0"), differs, alignment)
+    differs = (
+        met.select(*alignment, "place", (F.col("fillers") != F.col("item_fillers")).alias("d")).groupBy(*alignment)
+        .agg(F.max("d").alias("reworded"), F.count_distinct(F.when(~F.col("d"), F.col("place"))).alias("same"))
+    )
+    is_torn = F.coalesce("torn", F.lit(0)) == 1
+    judged = null_safe_left(whole, differs, alignment).filter(~is_torn | (F.col("same") > 0))
+    judged = judged.withColumns({"windows": F.when(is_torn, F.col("same")).otherwise(F.col("windows")), "reworded": ~is_torn & F.col("reworded")})
     best = F.max_by(F.struct("windows", "reworded"), F.struct("windows", ~F.col("reworded"), F.col("shift")))
     return judged.groupBy("id", "key", "item_id").agg(best.alias("b")).select(F.col("id").alias("__id"), F.col("key").alias("__key"), "item_id", "b.windows", "b.reworded")
 
