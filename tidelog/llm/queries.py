@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, fill_middle, line_dedup, near_dups, quality, search, substrings, templates, token_store, url_filter, warc
+from tidelog.llm import bpe, fill_middle, line_dedup, near_dups, quality, search, simhash, substrings, templates, token_store, url_filter, warc
 from tidelog.llm.common import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -220,3 +220,10 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("__n").alias("n"), F.col("__form").alias("form"), F.col("__prefix_chars").alias("prefix_chars"), F.col("__middle_chars").alias("middle_chars"),
         digest(F.col("__output")).alias("output_sha256"), digest(fill_middle.restore(F.col("__output"), F.col("__form"))).alias("restored_sha256"),
     )
+
+
+@query()
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the least document that its links lead to."""
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
