@@ -30,7 +30,7 @@ def test_query_matches_sql(spark, name):
 @pytest.fixture(scope="module")
 def empty_dir(spark, tmp_path_factory):
     out = tmp_path_factory.mktemp("empty")
-    for name in ("documents", "pages", "labels", "benchmark"):
+    for name in ("documents", "pages", "labels", "benchmark", "embeddings"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{out}/{name}.parquet")
     return str(out)
 

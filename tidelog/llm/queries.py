@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, fill_middle, line_dedup, near_dups, quality, search, simhash, substrings, templates, token_store, url_filter, warc
+from tidelog.llm import bpe, fill_middle, line_dedup, near_dups, quality, search, simhash, substrings, templates, token_store, url_filter, warc, whitening
 from tidelog.llm.common import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -227,3 +227,9 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and the least document that its links lead to."""
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query()
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's whitened components."""
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
