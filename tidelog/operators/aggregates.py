@@ -28,7 +28,7 @@ class AggregateRule(Spec):
         positive_window(self.window)
 
 
-def _number(df: DataFrame, name: str) -> Column:
+def number(df: DataFrame, name: str) -> Column:
     """The field as a number; missing or not numeric counts as 0."""
     if name not in df.columns or not isinstance(df.schema[name].dataType, T.NumericType):
         return F.lit(0.0)
@@ -38,7 +38,7 @@ def _number(df: DataFrame, name: str) -> Column:
 def _aggregate(df: DataFrame, rule: AggregateRule) -> Column:
     if rule.op == "count":
         return F.count("*").cast("double")
-    return getattr(F, rule.op)(_number(df, rule.field))
+    return getattr(F, rule.op)(number(df, rule.field))
 
 
 def anchored_agg(
@@ -60,7 +60,7 @@ def anchored_agg(
             for rule in part:
                 if positive_window(rule.window) == width:
                     cells.setdefault((rule.field, rule.op), []).append(name)
-        rows = df.filter(_governed(scoped, {n for names in cells.values() for n in names}))
+        rows = df.filter(governed(scoped, {n for names in cells.values() for n in names}))
         windows = anchored_windows(rows, [source], ts, width, strict=True, rows_per_task=rows_per_task)
         rule_list = [AggregateRule(f, o, width / 1e6) for f, o in cells]
         # count, sum, min and max combine before the shuffle, so a hot window stays cheap.
@@ -73,7 +73,7 @@ def anchored_agg(
                     F.lit(r.field).alias("field"),
                     F.lit(r.op).alias("op"),
                     F.col(f"__a{i}").alias("value"),
-                    _governed(scoped, set(names)).alias("on"),
+                    governed(scoped, set(names)).alias("on"),
                 )
                 for i, (r, names) in enumerate(zip(rule_list, cells.values()))
             ]
@@ -93,7 +93,7 @@ def anchored_agg(
     return out
 
 
-def _governed(scoped: Scoped, names: set) -> Column:
+def governed(scoped: Scoped, names: set) -> Column:
     """Rows whose source is one of ``names``; None stands for all without own rules."""
     own = [n for n in names if n is not None]
     listed = F.coalesce(field(scoped.source).isin(own), F.lit(False)) if own else F.lit(False)
@@ -133,7 +133,7 @@ def tumbling_agg(
     columns = []
     for name, (op, on) in aggs.items():
         require(op in OPS, f"aggregate: unknown op {op!r}")
-        columns.append((F.count("*") if op == "count" else getattr(F, op)(_number(df, on))).alias(name))
+        columns.append((F.count("*") if op == "count" else getattr(F, op)(number(df, on))).alias(name))
     grouped = df.groupBy(F.window(field(ts), f"{width} microseconds"), field(source)).agg(*columns)
     return grouped.select(source, F.col("window.start").alias("window_start"), *aggs)
 
@@ -174,14 +174,3 @@ def sliding_count(
     """Sum of ``n`` (or rows) in each sliding window, per ``keys`` if given."""
     total = F.sum(field(n)) if n else F.count("*")
     return _slots(df, list(keys or []), total, window, buckets, ts, df.schema[ts].dataType.simpleString())
-
-
-def sliding_stream(df: DataFrame, window, buckets: int, *, ts: str = "ts", keys: list[str] | None = None) -> DataFrame:
-    """Streaming form of :func:`sliding_count` (give the input a watermark)."""
-    width = positive_window(window)
-    grouped = df.groupBy(
-        F.window(field(ts), f"{width} microseconds", f"{width // buckets} microseconds"), *(keys or [])
-    ).agg(F.count("*").alias("n"))
-    return grouped.select(
-        F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *(keys or []), "n"
-    )

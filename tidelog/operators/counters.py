@@ -110,15 +110,8 @@ class MatchRule(Spec):
         java_pattern(self.pattern)
 
 
-def match_alerts(
-    df: DataFrame, rules, *, source: str = "source", ts: str = "ts", row_id: str = "id",
-    rows_per_task: int | None = None,
-) -> DataFrame:
-    """The records at which a source's rule fires, with ``rule`` number and ``count``.
-
-    Only matching records are walked; a record that matches several rules is
-    walked once per rule.
-    """
+def rule_hits(df: DataFrame, rules) -> DataFrame:
+    """A row for each rule that a record matches, with ``__hit``: the rule's number, threshold and ``repeat``."""
     scoped = parse_scoped(rules, lambda r: parse_all(MatchRule, r))
     checks, number = [], 0
     for name, part in [(None, scoped.default or ()), *scoped.by_source.items()]:
@@ -132,12 +125,27 @@ def match_alerts(
             )
             number += 1
     require(bool(checks), "alert: at least one rule is required")
-    hits = df.withColumn("__hit", F.explode(F.array_compact(F.array(*checks))))
-    hits = hits.withColumns({"rule": F.col("__hit.rule"), "__t": micros(ts), "__id": field(row_id)})
+    return df.withColumn("__hit", F.explode(F.array_compact(F.array(*checks))))
+
+
+def fires(at: Column) -> Column:
+    """Whether the rule in ``__hit`` fires at its ``at``-th match."""
+    limit = F.col("__hit.threshold")
+    return F.when(F.col("__hit.repeat"), at % limit == 0).otherwise(at == limit)
+
+
+def match_alerts(
+    df: DataFrame, rules, *, source: str = "source", ts: str = "ts", row_id: str = "id",
+    rows_per_task: int | None = None,
+) -> DataFrame:
+    """The records at which a source's rule fires, with ``rule`` number and ``count``.
+
+    Only matching records are walked; a record that matches several rules is
+    walked once per rule.
+    """
+    hits = rule_hits(df, rules).withColumns({"rule": F.col("__hit.rule"), "__t": micros(ts), "__id": field(row_id)})
     scan = OrderedScan.open(hits, [source, "rule"], ["__t", "__id"], rows_per_task=rows_per_task).number("count")
-    at, limit = F.col("count"), F.col("__hit.threshold")
-    fires = F.when(F.col("__hit.repeat"), at % limit == 0).otherwise(at == limit)
-    return scan.result().filter(fires).drop("__hit", "__t", "__id")
+    return scan.result().filter(fires(F.col("count"))).drop("__hit", "__t", "__id")
 
 
 def status_rollup(

@@ -46,6 +46,28 @@ def _by_source(scoped: Scoped, value) -> Column:
     return default if cases is None else cases.otherwise(default)
 
 
+def parse_rules(rules, source: str) -> Scoped:
+    """Rules as given, parsed; ``source`` is the column that scopes them."""
+    given = Scoped.of(rules)
+    own = {s: MultilineRule.parse(r) for s, r in given.by_source.items()}
+    return Scoped(MultilineRule.parse(given.default) if given.default is not None else None, own, source)
+
+
+def rule_columns(scoped: Scoped, line: Column) -> tuple[Column, Column, Column]:
+    """Whether a line opens a record, and its rule's most lines and timeout (0: none)."""
+    opens = _by_source(scoped, lambda r: F.lit(True) if r is None else F.coalesce(r.opens(line), F.lit(False)))
+    most = _by_source(scoped, lambda r: F.lit(r.max_lines if r and r.max_lines else 0).cast("long"))
+    return opens, most, _by_source(scoped, lambda r: F.lit(duration_us(r.timeout) if r else 0).cast("long"))
+
+
+def text_columns(scoped: Scoped, text: Column) -> list[Column]:
+    """The record's text under the name its source's rule gives; null under the other rules' names."""
+    names = list(dict.fromkeys(r.field for r in (scoped.default, *scoped.by_source.values()) if r is not None)) or ["message"]
+    # Lines of sources without a rule go where the first rule's do.
+    goes = _by_source(scoped, lambda r: F.lit(names[0] if r is None else r.field))
+    return [F.when(goes == name, text).alias(name) for name in names]
+
+
 def assemble_multiline(
     df: DataFrame, rules, *, source: str = "source", ts: str | None = "ts", row_id: str = "id",
     line: str = "line", rows_per_task: int | None = None,
@@ -53,30 +75,25 @@ def assemble_multiline(
     """One row per assembled record: source, first time and id, line count, text.
 
     Lines of a source are taken in (time, id) order, or in id order without a
-    time column.
+    time column. Lines of sources without a rule, and lines without a time,
+    stand alone. Each source's text goes to its own rule's field.
     """
-    given = Scoped.of(rules)
-    own = {s: MultilineRule.parse(r) for s, r in given.by_source.items()}
-    default = MultilineRule.parse(given.default) if given.default is not None else None
-    scoped = Scoped(default, own, source)
-    all_rules = [r for r in (default, *own.values()) if r is not None]
-    dest = all_rules[0].field if all_rules else "message"
-
+    scoped = parse_rules(rules, source)
     at = micros(ts) if ts else F.lit(0).cast("long")
     rows = df.select(
         field(source).alias(source),
+        at.isNull().alias("__untimed"),
         at.alias("__t"),
         field(row_id).alias("__id"),
         *([field(ts).alias("__ts")] if ts else []),
         field(line).alias("__line"),
     )
-    scoped_opens = _by_source(scoped, lambda r: F.lit(True) if r is None else r.opens(F.col("__line")))
-    size = _by_source(scoped, lambda r: F.lit(r.max_lines if r and r.max_lines else 0).cast("long"))
-    timeout = _by_source(scoped, lambda r: F.lit(duration_us(r.timeout) if r else 0).cast("long"))
-    rows = rows.withColumns({"__opens": scoped_opens})
+    opens, size, timeout = rule_columns(scoped, F.col("__line"))
+    rows = rows.withColumns({"__opens": opens | F.col("__untimed")})
 
-    scan = OrderedScan.open(rows, [source], ["__t", "__id"], rows_per_task=rows_per_task)
-    if any(duration_us(r.timeout) for r in all_rules):
+    keys = [source, "__untimed"]
+    scan = OrderedScan.open(rows, keys, ["__t", "__id"], rows_per_task=rows_per_task)
+    if any(duration_us(r.timeout) for r in (scoped.default, *scoped.by_source.values()) if r is not None):
         scan = scan.lag(__prev=F.col("__t"))
         late = (timeout > 0) & (F.col("__t") - F.col("__prev") >= timeout)
         opened = F.col("__opens") | F.coalesce(late, F.lit(False))
@@ -87,7 +104,7 @@ def assemble_multiline(
     scan = scan.last(__first=F.when(opened, F.col("__n")))
     place = F.col("__n") - F.coalesce("__first", F.lit(1))
     chunk = F.when(size > 0, floor_div(place, F.greatest(size, F.lit(1).cast("long")))).otherwise(0)
-    grouped = scan.result().withColumn("__chunk", chunk).groupBy(source, "__seg", "__chunk")
+    grouped = scan.result().withColumn("__chunk", chunk).groupBy(*keys, "__seg", "__chunk")
     parts = F.sort_array(F.collect_list(F.struct("__t", "__id", "__line")))
     joined = grouped.agg(
         *([F.min("__ts").alias(ts)] if ts else []),
@@ -98,5 +115,5 @@ def assemble_multiline(
         *([field(ts)] if ts else []),
         F.col("__parts")[0]["__id"].alias(row_id),
         F.size("__parts").cast("long").alias("n_lines"),
-        F.array_join(F.col("__parts.__line"), "\n").alias(dest),
+        *text_columns(scoped, F.array_join(F.col("__parts.__line"), "\n")),
     )

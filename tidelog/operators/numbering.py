@@ -34,21 +34,21 @@ def sequence(
 
     Sources with an own rule count for themselves; all others share the
     default rule's counter, or have one each if ``per_source`` names the source
-    column. Sources without a rule get no number.
+    column. Sources without a rule and rows without a time get no number.
     """
     scoped = parse_scoped(rules, SequenceRule.parse)
     all_rules = [r for r in (scoped.default, *scoped.by_source.values()) if r is not None]
     require(bool(all_rules), "sequence: at least one rule is required")
     key = field(per_source) if per_source else scope_key(scoped)
-    rows = df.withColumns({"__k0": key, "__t": micros(ts), "__id": field(row_id)})
-    scan = OrderedScan.open(rows, ["__k0"], ["__t", "__id"], rows_per_task=rows_per_task).number("__n")
-    value = F.col("__n") + by_source(scoped, lambda r: F.lit(r.start)) - 1
+    rows = df.withColumns({"__k0": key, "__k1": field(ts).isNull(), "__t": micros(ts), "__id": field(row_id)})
+    scan = OrderedScan.open(rows, ["__k0", "__k1"], ["__t", "__id"], rows_per_task=rows_per_task).number("__n")
+    value = F.when(~F.col("__k1"), F.col("__n") + by_source(scoped, lambda r: F.lit(r.start)) - 1)
     out = scan.result()
     for name in dict.fromkeys(r.field for r in all_rules):
         writes = by_source(scoped, lambda r: F.lit(r is not None and r.field == name))
         before = field(name).cast("long") if name in df.columns else F.lit(None).cast("long")
         out = out.withColumn(name, F.when(writes, value.cast("long")).otherwise(before))
-    return out.drop("__k0", "__t", "__id", "__n")
+    return out.drop("__k0", "__k1", "__t", "__id", "__n")
 
 
 def assign_batches(

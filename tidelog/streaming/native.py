@@ -10,11 +10,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidelog.functions.columns import field
 from tidelog.specs import positive_window
+from tidelog.streaming.closing import unclosed
 
 
 def event_time(df: DataFrame, ts: str = "ts", delay: str = "0 seconds") -> DataFrame:
-    """The stream with ``ts`` as TIMESTAMP under a watermark."""
-    return df.withColumn(ts, field(ts).cast("timestamp")).withWatermark(ts, delay)
+    """The stream with ``ts`` as TIMESTAMP under a watermark, less its closing row."""
+    return unclosed(df.withColumn(ts, field(ts).cast("timestamp")).withWatermark(ts, delay), ts)
 
 
 def dedupe_within_watermark(df: DataFrame, fields: list[str], *, ts: str = "ts", delay: str) -> DataFrame:

@@ -3,17 +3,25 @@
 Each keyed operator holds a key's rows until the watermark passes them, then
 walks them in (time, id) order with a few values of state. So the result on a
 finished stream equals the table operator's result up to the watermark,
-whatever the arrival order. State that can no longer matter is dropped by
-event-time timers.
+whatever the arrival order, and the table operator's result in full once the
+stream is closed (``streaming.closing``). State that can no longer matter is
+dropped by event-time timers.
+
+Held rows are kept in sorted runs of bounded size. A timer opens only the runs
+that the watermark has reached, so each row is written and read about once
+however long it is held.
 
 A key's rows of one micro-batch are walked in one task; ``maxFilesPerTrigger``
-or ``maxBytesPerTrigger`` on the source bounds them.
+or ``maxBytesPerTrigger`` on the source bounds them. Operators whose rows all
+share one key have a form in ``streaming.stepped``.
 """
 
 from __future__ import annotations
 
+import heapq
 import sys
 from collections.abc import Iterator
+from itertools import count, islice
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Row
@@ -33,7 +41,8 @@ from tidelog.operators.suppress import (
     parse_scoped,
     scope_key,
 )
-from tidelog.specs import Scoped, positive_window, require
+from tidelog.specs import Scoped, duration_us, parse_all, positive_window, require
+from tidelog.streaming.closing import end_time, unclosed
 
 # Processors travel to the executors whole, so the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -44,7 +53,17 @@ PACK = {
     "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
 }
 
-BUFFER_SCHEMA = "t long, id string, tag string, row string"
+# Rows of a run of held rows. A run that the watermark is within is written anew, so this bounds that.
+RUN_ROWS = 512
+
+# Rows of a batch that are sorted at once.
+SORTED_ROWS = 65_536
+
+RUN_SCHEMA = "rows array<struct<t:long,id:string,tag:string,row:string>>"
+# Just before the watermark of a closed stream: what has no timeout ends here.
+LAST_US = 253_000_000_000_000_000
+
+INDEX_SCHEMA = "runs array<struct<run:long,low:long>>, next long"
 
 
 def _id_text(df: DataFrame, row_id: str) -> Column:
@@ -72,7 +91,8 @@ def keyed_stream(
         (F.lit("") if tag is None else tag.cast("string")).alias("tag"),
         F.to_json(F.struct(*[field(c) for c in df.columns]), PACK).alias("row"),
     )
-    watched = packed.filter("t is not null").withWatermark("event_time", delay)
+    # A row without a time is in no order. The closing row moves the watermark and ends there.
+    watched = unclosed(packed.filter("t is not null").withWatermark("event_time", delay), "event_time")
     return watched.groupBy("key").transformWithState(
         statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime"
     )
@@ -106,7 +126,8 @@ class OrderedProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.buffer = handle.getListState("buffer", BUFFER_SCHEMA)
+        self.runs = handle.getMapState("runs", "run long", RUN_SCHEMA)
+        self.index = handle.getValueState("index", INDEX_SCHEMA)
         self.state = handle.getValueState("state", self.state_schema)
 
     def _wake(self, at_us: int, watermark_ms: int) -> None:
@@ -115,36 +136,78 @@ class OrderedProcessor(StatefulProcessor):
         if not any(watermark_ms < known <= at for known in self.handle.listTimers()):
             self.handle.registerTimer(at)
 
+    def _held(self) -> tuple[list[tuple[int, int]], int]:
+        """The runs, each with its first time, and the next run's number."""
+        if not self.index.exists():
+            return [], 0
+        runs, number = self.index.get()
+        return [(r[0], r[1]) for r in runs or []], number
+
+    def _hold(self, rows: list[tuple], runs: list[tuple[int, int]], number: int) -> int:
+        """Write sorted rows as runs and list them."""
+        for i in range(0, len(rows), RUN_ROWS):
+            self.runs.updateValue((number,), (rows[i : i + RUN_ROWS],))
+            runs.append((number, rows[i][0]))
+            number += 1
+        return number
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        batch = [(r["t"], r["id"], r["tag"], r["row"]) for r in rows]
-        if batch:
-            self.buffer.appendList(batch)
-            self._wake(min(b[0] for b in batch), timerValues.getCurrentWatermarkInMs())
+        first = None
+        runs, number = self._held()
+        packed = ((r["t"], r["id"], r["tag"], r["row"]) for r in rows)
+        while batch := sorted(islice(packed, SORTED_ROWS)):
+            number = self._hold(batch, runs, number)
+            first = batch[0][0] if first is None else min(first, batch[0][0])
+        if first is not None:
+            self.index.update((runs, number))
+            self._wake(first, timerValues.getCurrentWatermarkInMs())
         return iter(())
 
+    def _take(self, ready: list[tuple[int, int]], limit: int, later: list[tuple]) -> Iterator[tuple]:
+        """Rows up to ``limit`` of the ``ready`` runs in order; a run is read when its first row may be due."""
+        waiting = sorted(ready, key=lambda r: r[1], reverse=True)
+        heap: list = []
+        order = count()
+        while waiting or heap:
+            if waiting and (not heap or waiting[-1][1] <= heap[0][0][0]):
+                run = (waiting.pop()[0],)
+                rows = [tuple(r) for r in self.runs.getValue(run)[0]]
+                self.runs.removeKey(run)
+                later.extend(r for r in rows if r[0] > limit)
+                rest = iter([r for r in rows if r[0] <= limit])
+            else:
+                row, _, rest = heapq.heappop(heap)
+                yield row
+            following = next(rest, None)
+            if following is not None:
+                heapq.heappush(heap, (following, next(order), rest))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         watermark = timerValues.getCurrentWatermarkInMs()
         limit = watermark * 1000
-        held = [tuple(r) for r in self.buffer.get()] if self.buffer.exists() else []
-        ready = sorted(r for r in held if r[0] <= limit)
-        later = [r for r in held if r[0] > limit]
+        runs, number = self._held()
+        ready = [r for r in runs if r[1] <= limit]
+        runs = [r for r in runs if r[1] > limit]
+        later: list[tuple] = []
         state = list(self.state.get()) if self.state.exists() else self.empty()
         name = key[0]
-        for row in ready:
+        for row in self._take(ready, limit, later):
             yield from self.step(name, state, row)
         due = self.closes(state)
         while due is not None and due <= limit:
             yield from self.expire(name, state)
             due = self.closes(state)
         if ready:
-            self.buffer.clear()
-            if later:
-                self.buffer.put(later)
+            number = self._hold(sorted(later), runs, number)
+            if runs:
+                self.index.update((runs, number))
+            else:
+                self.index.clear()
         if state == self.empty():
             self.state.clear()
         else:
             self.state.update(tuple(state))
-        wakes = [r[0] for r in later] + ([due] if due is not None else [])
+        wakes = [low for _, low in runs] + ([due] if due is not None else [])
         if wakes:
             self._wake(min(wakes), watermark)
 
@@ -184,54 +247,51 @@ class KeepFirst(OrderedProcessor):
 
 
 class Number(OrderedProcessor):
-    """Sequence numbers per key."""
+    """Sequence numbers per key. ``tag`` of a row is the number its key starts from."""
 
     state_schema = "next long"
 
-    def __init__(self, start: int):
-        self.start = start
-
     def empty(self):
         return [None]
 
     def step(self, key, state, row):
-        number = self.start if state[0] is None else state[0]
+        number = int(row[2]) if state[0] is None else state[0]
         state[0] = number + 1
         yield Row(seq=number, row=row[3])
 
 
 class Assemble(OrderedProcessor):
-    """Multi-line records. State: the open record's first time and id, last time, lines.
+    """Multi-line records. State: the open record's first time and id, last time, timeout, lines.
 
-    ``tag`` of a row is "1" where its line opens a record; ``row`` is the line.
+    ``tag`` of a row has "1" where its line opens a record, its rule's most
+    lines and its timeout; ``row`` is the line.
     """
 
-    state_schema = "first long, id string, last long, lines array<string>"
-
-    def __init__(self, max_lines: int, timeout: int):
-        self.max_lines, self.timeout = max_lines, timeout
+    state_schema = "first long, id string, last long, timeout long, lines array<string>"
 
     def empty(self):
-        return [None, None, None, []]
+        return [None, None, None, None, []]
 
     def _emit(self, key, state):
-        first, rid, _, lines = state
+        first, rid, _, _, lines = state
         state[:] = self.empty()
-        yield Row(source=key, t=first, id=rid, n_lines=len(lines), message="\n".join(lines))
+        yield Row(source=key, t=first, id=rid, n_lines=len(lines), lines=lines)
 
     def step(self, key, state, row):
-        t, rid, opens, line = row
-        full = self.max_lines and len(state[3]) >= self.max_lines
-        late = self.timeout and state[2] is not None and t - state[2] >= self.timeout
-        if state[3] and (opens == "1" or full or late):
+        t, rid, tag, line = row
+        opens, most, timeout = (int(part) for part in tag.split(","))
+        late = timeout and state[2] is not None and t - state[2] >= timeout
+        if state[4] and (opens or late or (most and len(state[4]) >= most)):
             yield from self._emit(key, state)
-        if not state[3]:
-            state[0], state[1] = t, rid
+        if not state[4]:
+            state[:] = [t, rid, None, timeout, []]
         state[2] = t
-        state[3] = [*state[3], line]
+        state[4].append(line)
 
     def closes(self, state):
-        return state[2] + self.timeout if state[3] and self.timeout else None
+        if not state[4]:
+            return None
+        return state[2] + state[3] if state[3] else LAST_US
 
     def expire(self, key, state):
         return self._emit(key, state)
@@ -266,36 +326,34 @@ class Pair(OrderedProcessor):
 
 
 class AnchoredTotals(OrderedProcessor):
-    """Anchored count, sum, min, max. ``tag`` of a row is the number as text.
+    """Anchored count, sum, min, max of several numbers. ``tag`` of a row is its window's width and the numbers as text.
 
     A window is emitted when it closes.
     """
 
-    state_schema = "start long, n long, total double, low double, high double"
-
-    def __init__(self, width: int):
-        self.width = width
+    state_schema = "start long, width long, n long, totals array<double>, lows array<double>, highs array<double>"
 
     def empty(self):
-        return [None, 0, 0.0, 0.0, 0.0]
+        return [None, None, 0, [], [], []]
 
     def _emit(self, key, state):
-        start, n, total, low, high = state
+        start, _, n, totals, lows, highs = state
         state[:] = self.empty()
-        yield Row(source=key, t=start, count=n, sum=total, min=low, max=high)
+        yield Row(key=key, t=start, n=n, totals=totals, lows=lows, highs=highs)
 
     def step(self, key, state, row):
-        value = float(row[2] or 0)
-        if state[0] is not None and row[0] - state[0] > self.width:
+        width, *values = row[2].split(",")
+        width, values = int(width), [float(v) for v in values]
+        if state[0] is not None and row[0] - state[0] > width:
             yield from self._emit(key, state)
         if state[0] is None:
-            state[:] = [row[0], 1, value, value, value]
+            state[:] = [row[0], width, 1, values, values, values]
         else:
-            _, n, total, low, high = state
-            state[1:] = [n + 1, total + value, min(low, value), max(high, value)]
+            start, _, n, totals, lows, highs = state
+            state[:] = [start, width, n + 1, [a + b for a, b in zip(totals, values)], [*map(min, lows, values)], [*map(max, highs, values)]]
 
     def closes(self, state):
-        return None if state[0] is None else state[0] + self.width + 1
+        return None if state[0] is None else state[0] + state[1] + 1
 
     def expire(self, key, state):
         return self._emit(key, state)
@@ -346,13 +404,16 @@ def _kept(
     df: DataFrame, scoped: Scoped, keys: dict[str, Column], limit, *, ts: str, row_id: str, delay: str,
     strict: bool = False, origin_us: int | None = None, free: Column | None = None,
 ) -> DataFrame:
-    """The stream form of suppression; ``free`` rows and sources without a rule pass at once."""
+    """The stream form of suppression; ``free`` rows, sources without a rule and rows without a time pass at once."""
+    unplaced = field(ts).isNull()
+    free = unplaced if free is None else free | unplaced
     if scoped.default is None:
         if not scoped.by_source:
-            return df
-        unruled = ~F.coalesce(field(scoped.source).isin(list(scoped.by_source)), F.lit(False))
-        free = unruled if free is None else free | unruled
-    rows = df if free is None else df.filter(~free)
+            return unclosed(df, ts)
+        free = free | ~F.coalesce(field(scoped.source).isin(list(scoped.by_source)), F.lit(False))
+    # The closing row has no fields, so it may look free; it must reach the watermark.
+    closing = field(ts) >= end_time(df.schema[ts].dataType.simpleString())
+    rows = df.filter(~free | closing)
     tag = F.concat_ws(
         ",",
         by_source(scoped, lambda r: F.lit(positive_window(r.window) + (1 if strict else 0))),
@@ -361,7 +422,7 @@ def _kept(
     key = F.to_json(F.array(*[k.cast("string") for k in keys.values()]))
     out = keyed_stream(rows, key, ts, row_id, delay, KeepFirst(origin_us), "row string", tag=tag)
     kept = unpack(out, df.schema).select("__row.*")
-    return kept if free is None else kept.unionByName(df.filter(free))
+    return kept.unionByName(unclosed(df, ts).filter(free))
 
 
 def dedupe(df: DataFrame, rules, *, ts="ts", row_id="id", delay="0 seconds") -> DataFrame:
@@ -395,49 +456,54 @@ def rate_limit(df: DataFrame, rules, *, source="source", ts="ts", row_id="id", d
     )
 
 
-def ceiling(df: DataFrame, rules, *, ts="ts", row_id="id", delay="0 seconds", origin_us: int | None = None) -> DataFrame:
-    """Streaming form of ``operators.suppress.ceiling``; all sources of a rule share its state.
+def sequence(df: DataFrame, rules=None, *, per_source: str, ts="ts", row_id="id", delay="0 seconds") -> DataFrame:
+    """Streaming form of ``operators.numbering.sequence`` with a counter for each source.
 
-    A window that starts at ``origin_us`` can only be the first one.
+    A counter that sources share is one key; ``streaming.stepped.start_sequence`` has it.
+    Rows without a time get no number.
     """
-    scoped = parse_scoped(rules, LimitRule.parse)
-    return _kept(
-        df, scoped, {"__k0": scope_key(scoped)}, lambda r: r.limit, origin_us=origin_us,
-        ts=ts, row_id=row_id, delay=delay,
-    )
-
-
-def sequence(df: DataFrame, *, start: int = 1, dest: str = "seq", per_source: str | None = None, ts="ts", row_id="id", delay="0 seconds") -> DataFrame:
-    """Streaming form of ``operators.numbering.sequence``."""
-    key = field(per_source) if per_source else F.lit("all")
-    out = keyed_stream(df, key, ts, row_id, delay, Number(start), "seq long, row string")
-    kept = [F.col("__row").getField(c).alias(c) for c in df.columns if c != dest]
-    return unpack(out, df.schema).select(*kept, F.col("seq").alias(dest))
-
-
-def assemble_multiline(df: DataFrame, rule, *, source="source", ts="ts", row_id="id", line="line", delay="0 seconds") -> DataFrame:
-    """Streaming form of ``operators.multiline.assemble_multiline``.
-
-    A record is emitted when the next one starts or, with a timeout, once the
-    watermark passes it; ``id`` is the first row's id as text.
+    from tidelog.operators.numbering import SequenceRule
+
+    scoped = parse_scoped({} if rules is None else rules, SequenceRule.parse)
+    present = [r for r in (scoped.default, *scoped.by_source.values()) if r is not None]
+    require(bool(present), "sequence: at least one rule is required")
+    start = by_source(scoped, lambda r: F.lit(None if r is None else r.start).cast("long"))
+    ruled = field(ts).isNotNull() & start.isNotNull() | (field(ts) >= end_time(df.schema[ts].dataType.simpleString()))
+    out = keyed_stream(df.filter(ruled), field(per_source), ts, row_id, delay, Number(), "seq long, row string", tag=start)
+    numbered = unpack(out, df.schema).select("__row.*", F.col("seq").alias("__n"))
+    others = unclosed(df, ts).filter(~F.coalesce(ruled, F.lit(False))).withColumn("__n", F.lit(None).cast("long"))
+    both = numbered.unionByName(others)
+    for name in dict.fromkeys(r.field for r in present):
+        writes = by_source(scoped, lambda r: F.lit(r is not None and r.field == name))
+        before = field(name).cast("long") if name in df.columns else F.lit(None).cast("long")
+        both = both.withColumn(name, F.when(writes, F.col("__n")).otherwise(before))
+    return both.drop("__n")
+
+
+def assemble_multiline(df: DataFrame, rules, *, source="source", ts="ts", row_id="id", line="line", delay="0 seconds") -> DataFrame:
+    """Streaming form of ``operators.multiline.assemble_multiline``, scoped rules included.
+
+    A record is emitted when the next one starts, with a timeout once the
+    watermark passes it, else when the stream is closed. Lines without a time
+    stand alone and pass at once.
     """
-    from tidelog.operators.multiline import MultilineRule
-    from tidelog.specs import duration_us
+    from tidelog.operators.multiline import parse_rules, rule_columns, text_columns
 
-    rule = MultilineRule.parse(rule)
-    opens = F.when(rule.opens(field(line)), "1").otherwise("0")
+    scoped = parse_rules(rules, source)
+    opens, most, timeout = rule_columns(scoped, field(line))
+    tag = F.concat_ws(",", F.when(opens, "1").otherwise("0"), most, timeout)
     lines = df.select(field(source).alias(source), field(ts).alias(ts), field(row_id).alias(row_id), field(line).alias(line))
     out = keyed_stream(
-        lines, field(source), ts, row_id, delay, Assemble(rule.max_lines, duration_us(rule.timeout)),
-        "source string, t long, id string, n_lines long, message string", tag=opens,
+        lines, F.to_json(F.array(field(source))), ts, row_id, delay, Assemble(),
+        "source string, t long, id string, n_lines long, lines array<string>", tag=tag,
     )
     # Lines travel inside packed rows; take them out of each.
-    parts = F.transform(F.split("message", "\n"), lambda p: F.get_json_object(p, f"$.{line}"))
-    first = F.from_json(F.split("message", "\n")[0], lines.schema, PACK)
-    return out.select(
-        F.col("source").alias(source), first.getField(ts).alias(ts), first.getField(row_id).alias(row_id), "n_lines",
-        F.array_join(parts, "\n").alias(rule.field),
-    )
+    first = F.from_json(F.get("lines", 0), lines.schema, PACK)
+    head = [F.from_json("source", "array<string>")[0].alias(source), first.getField(ts).alias(ts), first.getField(row_id).alias(row_id)]
+    assembled = out.select(*head, "n_lines", F.array_join(F.transform("lines", lambda p: F.get_json_object(p, f"$.{line}")), "\n").alias("__text"))
+    alone = lines.filter(field(ts).isNull()).select(source, ts, row_id, F.lit(1).cast("long").alias("n_lines"), field(line).alias("__text"))
+    both = assembled.unionByName(alone)
+    return both.select(source, ts, row_id, "n_lines", *text_columns(scoped, F.col("__text")))
 
 
 def pair_join(df: DataFrame, rule, *, source="source", ts="ts", row_id="id", delay="0 seconds") -> DataFrame:
@@ -445,7 +511,8 @@ def pair_join(df: DataFrame, rule, *, source="source", ts="ts", row_id="id", del
     from tidelog.operators.pairs import PairRule
 
     rule = PairRule.parse(rule)
-    both = df.filter(field(source).isin(rule.left_source, rule.right_source) & field(rule.key_field).isNotNull())
+    wanted = field(source).isin(rule.left_source, rule.right_source) & field(rule.key_field).isNotNull()
+    both = df.filter(wanted | (field(ts) >= end_time(df.schema[ts].dataType.simpleString())))
     side = F.when(field(source) == rule.left_source, "left").otherwise("right")
     out = keyed_stream(
         both, field(rule.key_field), ts, row_id, delay, Pair(positive_window(rule.window)),
@@ -456,16 +523,59 @@ def pair_join(df: DataFrame, rule, *, source="source", ts="ts", row_id="id", del
     )
 
 
-def anchored_totals(df: DataFrame, value: str, window, *, source="source", ts="ts", row_id="id", delay="0 seconds") -> DataFrame:
-    """Streaming form of ``operators.aggregates.anchored_agg`` for one number field."""
-    number = F.coalesce(field(value).cast("double"), F.lit(0.0)).cast("string")
+def _totals(df: DataFrame, widths: list[tuple[int, Column | None]], numbers: list[Column], source, ts, row_id, delay) -> DataFrame:
+    """``source, t, width, n, totals, lows, highs`` of anchored windows of several widths (each with the rows it counts)."""
+    rows = df.select(field(source).alias("__source"), field(ts).alias("__ts"), field(row_id).alias("__id"), *[n.alias(f"__v{i}") for i, n in enumerate(numbers)], F.array(*[
+        F.when(F.lit(True) if on is None else on, F.lit(width)) for width, on in widths
+    ]).alias("__widths"))
+    # The closing row counts nowhere but must reach the watermark.
+    closing = field("__ts") >= end_time(rows.schema["__ts"].dataType.simpleString())
+    wanted = F.filter("__widths", lambda w: w.isNotNull())
+    rows = rows.withColumn("__width", F.explode(F.when(closing, F.array(F.lit(0).cast("long"))).otherwise(wanted.cast("array<long>"))))
+    tag = F.concat_ws(",", F.col("__width"), *[F.col(f"__v{i}").cast("string") for i in range(len(numbers))])
     out = keyed_stream(
-        df.select(field(source).alias(source), field(ts).alias(ts), field(row_id).alias(row_id), field(value).alias(value)),
-        field(source), ts, row_id, delay, AnchoredTotals(positive_window(window)),
-        "source string, t long, count long, sum double, min double, max double", tag=number,
+        rows.select("__source", "__ts", "__id", "__width", *[f"__v{i}" for i in range(len(numbers))]),
+        F.to_json(F.array(F.col("__source").cast("string"), F.col("__width").cast("string"))), "__ts", "__id", delay, AnchoredTotals(),
+        "key string, t long, n long, totals array<double>, lows array<double>, highs array<double>", tag=tag,
     )
+    key = F.from_json("key", "array<string>")
+    return out.select(key[0].alias(source), "t", key[1].cast("long").alias("width"), "n", "totals", "lows", "highs")
+
+
+def anchored_agg(df: DataFrame, rules, *, source="source", ts="ts", row_id="id", delay="0 seconds") -> DataFrame:
+    """Streaming form of ``operators.aggregates.anchored_agg``: any rules and widths, scoped or not, in one pass."""
+    from tidelog.operators.aggregates import AggregateRule, governed, number
+
+    scoped = parse_scoped(rules, lambda r: parse_all(AggregateRule, r))
+    cells: dict[tuple[int, str, str], set] = {}
+    for name, part in [(None, scoped.default or ()), *scoped.by_source.items()]:
+        for rule in part:
+            cells.setdefault((positive_window(rule.window), rule.field, rule.op), set()).add(name)
+    require(bool(cells), "aggregate: at least one rule is required")
+    fields = list(dict.fromkeys(f for _, f, _ in cells))
+    widths = [(w, governed(scoped, set().union(*(n for (x, _, _), n in cells.items() if x == w)))) for w in sorted({w for w, _, _ in cells})]
+    out = _totals(df, widths, [number(df, f) for f in fields], source, ts, row_id, delay)
+    held = {"count": F.col("n").cast("double")}
+
+    def value(on: str, op: str) -> Column:
+        return held.get(op, F.get({"sum": "totals", "min": "lows", "max": "highs"}.get(op, "totals"), fields.index(on)))
+
+    listed = F.array(*[
+        F.struct(F.lit(f).alias("field"), F.lit(o).alias("op"), value(f, o).alias("value"), ((F.col("width") == w) & governed(scoped, names)).alias("on"))
+        for (w, f, o), names in cells.items()
+    ])
+    long = out.withColumn("c", F.explode(F.filter(listed, lambda c: c["on"])))
+    start = F.timestamp_micros("t").cast(df.schema[ts].dataType)
+    return long.select(field(source), "c.field", "c.op", start.alias("window_start"), F.col("width").alias("width_us"), "c.value")
+
+
+def anchored_totals(df: DataFrame, value: str, window, *, source="source", ts="ts", row_id="id", delay="0 seconds") -> DataFrame:
+    """Count, sum, min and max of one number in anchored windows, one row per window."""
+    number = F.coalesce(field(value).cast("double"), F.lit(0.0))
+    out = _totals(df, [(positive_window(window), None)], [number], source, ts, row_id, delay)
     return out.select(
-        F.col("source").alias(source), F.timestamp_micros("t").alias("window_start"), "count", "sum", "min", "max"
+        source, F.timestamp_micros("t").alias("window_start"), F.col("n").alias("count"),
+        F.get("totals", 0).alias("sum"), F.get("lows", 0).alias("min"), F.get("highs", 0).alias("max"),
     )
 
 
@@ -474,24 +584,25 @@ def threshold_alerts(
 ) -> DataFrame:
     """Streaming form of a counter report with ``operators.counters.threshold_alerts``."""
     from tidelog.operators.counters import AlertRule
-    from tidelog.specs import duration_us, parse_all
 
     rules = {r.counter: (r.threshold, duration_us(r.cooldown)) for r in parse_all(AlertRule, rules, needed=True)}
     amount = (field(n) if n else F.lit(1)).cast("long")
     out = keyed_stream(
-        df.filter(field(name).isin(list(rules))), field(name), ts, row_id, delay,
+        df.filter(field(name).isin(list(rules)) | (field(ts) >= end_time(df.schema[ts].dataType.simpleString()))), field(name), ts, row_id, delay,
         CounterAlerts(positive_window(interval), rules), "name string, t long, value long", tag=amount,
     )
     return out.select(F.timestamp_micros("t").alias("tick"), "name", "value")
 
 
-def match_alerts(
-    df: DataFrame, column: str, pattern: str, threshold: int, *, repeat: bool = False, source="source", ts="ts",
-    row_id="id", delay="0 seconds",
-) -> DataFrame:
-    """Streaming form of ``operators.counters.match_alerts`` for one rule."""
-    require(threshold > 0, "alert: threshold must be > 0")
-    hits = df.filter(F.coalesce(search(field(column).cast("string"), pattern), F.lit(False)))
-    counted = sequence(hits, dest="count", per_source=source, ts=ts, row_id=row_id, delay=delay)
-    at = F.col("count")
-    return counted.filter((at % threshold == 0) if repeat else (at == threshold))
+def match_alerts(df: DataFrame, rules, *, source="source", ts="ts", row_id="id", delay="0 seconds") -> DataFrame:
+    """Streaming form of ``operators.counters.match_alerts``: any rules, scoped or not. Records without a time don't count."""
+    from tidelog.operators.counters import fires, rule_hits
+
+    hits = rule_hits(df, rules)
+    # The closing row matches no rule but must reach the watermark.
+    closing = df.filter(field(ts) >= end_time(df.schema[ts].dataType.simpleString())).withColumn("__hit", F.lit(None).cast(hits.schema["__hit"].dataType))
+    both = hits.unionByName(closing)
+    key = F.to_json(F.array(field(source).cast("string"), F.col("__hit.rule").cast("string")))
+    out = keyed_stream(both, key, ts, row_id, delay, Number(), "seq long, row string", tag=F.lit("1"))
+    counted = unpack(out, both.schema).select("__row.*", F.col("seq").alias("count")).withColumn("rule", F.col("__hit.rule"))
+    return counted.filter(fires(F.col("count"))).drop("__hit")

@@ -2,11 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from tidelog.operators import filters, parse, route
+from tidelog.operators import filters, multiline, parse, route
 from tidelog.plans.flow import Flow, run_flow, run_stage
 from tidelog.session import configure_streaming
 from tidelog.sources import readers, sinks
-from tidelog.streaming import native, state
+from tidelog.specs import Scoped
+from tidelog.streaming import closing, native, state, stepped
 from workload import LOGS_SQL, logs, query, scratch, table
 from workload.enrichment import _paired
 from workload.stateful import leaders_sql
@@ -133,97 +134,285 @@ def events_stream(spark, sf, **options):
     )
 
 
+# Events of these values have lost their time.
+UNTIMED = "value < 2"
+SLICES = 3
+# Slices of the stream lie within this much of time, so rows of two files of one slice are never late.
+DELAY = "16 days"
+
+# The stream's rows as a table.
+STREAM_LOGS = f"SELECT event_type AS source, event_type AS level, CASE WHEN NOT {UNTIMED} THEN ts END AS ts, event_id AS id, user_id, value, props FROM events"
+TIMED = f"SELECT * FROM ({STREAM_LOGS}) WHERE ts IS NOT NULL"
+
+
+def arriving(spark, sf):
+    """The logs as a stream of several files, later ones with later times, one file a batch; some rows have no time."""
+    configure_streaming(spark)
+    inbox = scratch(spark, "inbox")
+    rows = logs(spark, sf)
+    span = rows.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    lost = F.expr(UNTIMED)
+    if span["a"] is not None:
+        step = (span["b"] - span["a"]) / SLICES
+        for i in range(SLICES):
+            inside = (F.col("ts") >= F.lit(span["a"] + i * step)) if i else F.lit(True)
+            before = (F.col("ts") < F.lit(span["a"] + (i + 1) * step)) if i + 1 < SLICES else F.lit(True)
+            part = rows.filter(inside & before).withColumn("ts", F.when(~lost, F.col("ts")))
+            part.repartition(2).write.mode("append").parquet(inbox)
+    else:
+        rows.write.parquet(inbox)
+    return readers.stream_records(spark, "parquet", inbox, rows.schema, max_files=1)
+
+
 def drained(spark, stream):
-    """Run a stream to the end of its input and return what it wrote."""
+    """Run a stream without state to the end of its input and return what it wrote."""
     out, checkpoint = scratch(spark, "stream"), scratch(spark, "stream-state")
     sinks.resume_ingest(stream, out, checkpoint)
     return spark.read.schema(stream.schema).parquet(out)
 
 
-# Rows later than the last watermark are still held when the input ends.
-PASSED = "epoch_us(ts) <= (SELECT epoch_us(max(ts)) // 1000 * 1000 FROM events)"
-PASSED_LOGS = f"SELECT * FROM ({LOGS_SQL}) WHERE {PASSED}"
+def ended(spark, sf, build):
+    """What ``build`` makes of the arriving logs, up to their end."""
+    out, checkpoint, folder = (scratch(spark, n) for n in ("stream", "stream-state", "closing"))
+    stream = build(closing.closable(arriving(spark, sf), folder))
+    closing.ingest_to_end(stream, out, checkpoint, folder)
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def stepped_to_end(spark, sf, start):
+    """What ``start(stream, path, checkpoint)`` writes of the arriving logs, up to their end."""
+    out, checkpoint, folder = (scratch(spark, n) for n in ("stepped", "stepped-state", "closing"))
+    stream = closing.closable(arriving(spark, sf), folder)
+    start(stream, out, checkpoint).awaitTermination()
+    closing.close(spark, folder)
+    start(stream, out, checkpoint).awaitTermination()
+    return spark.read.parquet(out)
 
 
 @query(f"""
-    WITH RECURSIVE rows_ AS MATERIALIZED ({PASSED_LOGS}), {leaders_sql("lead_", "rows_", "source", "1 HOUR")}
+    WITH RECURSIVE rows_ AS MATERIALIZED ({TIMED}), {leaders_sql("lead_", "rows_", "source", "1 HOUR")}
     SELECT id, source, ts, props FROM rows_ JOIN lead_ ON source = k AND ts = t
+    UNION ALL SELECT id, source, ts, props FROM ({STREAM_LOGS}) WHERE ts IS NULL
 """)
 def stream_dedupe(spark, sf):
-    return drained(spark, state.dedupe(events_stream(spark, sf), {"fields": ["source"], "window": "1h"}).select("id", "source", "ts", "props"))
+    return ended(spark, sf, lambda rows: state.dedupe(rows, {"fields": ["source"], "window": "1h"}, delay=DELAY).select("id", "source", "ts", "props"))
+
+
+@query(f"""
+    WITH RECURSIVE rows_ AS MATERIALIZED (SELECT *, CASE WHEN source = 'view' THEN '<nil>' ELSE CAST(user_id AS VARCHAR) END AS k0 FROM ({TIMED})),
+    {leaders_sql("lead_", "rows_", "k0", "8 HOUR")}
+    SELECT id, source FROM rows_ JOIN lead_ ON k0 = k AND ts = t
+    UNION ALL SELECT id, source FROM ({STREAM_LOGS}) WHERE ts IS NULL
+""")
+def stream_debounce(spark, sf):
+    """Views have no host: they share one key."""
+
+    def build(rows):
+        hosts = rows.withColumn("host", F.when(F.col("source") != "view", F.col("user_id")))
+        return state.debounce(hosts, {"field": "host", "window": "8h"}, delay=DELAY).select("id", "source")
+
+    return ended(spark, sf, build)
 
 
 @query(f"""
-    WITH RECURSIVE rows_ AS MATERIALIZED (SELECT *, source AS k0 FROM ({PASSED_LOGS})), {leaders_sql("lead_", "rows_", "k0", "6 HOUR", True)},
+    WITH RECURSIVE rows_ AS MATERIALIZED (SELECT *, CAST(user_id AS VARCHAR) AS k0 FROM ({TIMED}) WHERE source <> 'view'),
+    {leaders_sql("lead_", "rows_", "k0", "8 HOUR")}
+    SELECT id, source FROM rows_ JOIN lead_ ON k0 = k AND ts = t
+    UNION ALL SELECT id, source FROM ({STREAM_LOGS}) WHERE ts IS NULL OR source = 'view'
+""")
+def stream_uniq(spark, sf):
+    """Views have no host: all are kept."""
+
+    def build(rows):
+        hosts = rows.withColumn("host", F.when(F.col("source") != "view", F.col("user_id").cast("string")))
+        return state.uniq(hosts, {"field": "host", "window": "8h"}, delay=DELAY).select("id", "source")
+
+    return ended(spark, sf, build)
+
+
+@query(f"""
+    WITH RECURSIVE rows_ AS MATERIALIZED (SELECT *, source AS k0 FROM ({TIMED})), {leaders_sql("lead_", "rows_", "k0", "6 HOUR", True)},
     w AS (SELECT r.*, l.t FROM rows_ r ASOF JOIN lead_ l ON r.k0 = l.k AND r.ts >= l.t)
     SELECT id, source FROM w QUALIFY row_number() OVER (PARTITION BY k0, t ORDER BY ts, id) <= 5
+    UNION ALL SELECT id, source FROM ({STREAM_LOGS}) WHERE ts IS NULL
 """)
 def stream_rate_limit(spark, sf):
-    return drained(spark, state.rate_limit(events_stream(spark, sf), {"limit": 5, "window": "6h"}).select("id", "source"))
+    return ended(spark, sf, lambda rows: state.rate_limit(rows, {"limit": 5, "window": "6h"}, delay=DELAY).select("id", "source"))
 
 
-@query(f"SELECT id, row_number() OVER (PARTITION BY source ORDER BY ts, id) + 9 AS seq FROM ({PASSED_LOGS})")
+@query(f"""
+    WITH RECURSIVE rows_ AS MATERIALIZED (SELECT *, 'all' AS k0 FROM ({TIMED})), {leaders_sql("lead_", "rows_", "k0", "1 HOUR")},
+    w AS (SELECT r.*, l.t FROM rows_ r ASOF JOIN lead_ l ON r.k0 = l.k AND r.ts >= l.t)
+    SELECT id, source FROM w QUALIFY row_number() OVER (PARTITION BY k0, t ORDER BY ts, id) <= 10
+    UNION ALL SELECT id, source FROM ({STREAM_LOGS}) WHERE ts IS NULL
+""")
+def stream_ceiling_shared(spark, sf):
+    """One limit for all sources, batch by batch."""
+    start = lambda rows, path, checkpoint: stepped.start_ceiling(rows, {"limit": 10, "window": "1h"}, path, checkpoint, delay=16 * 86_400)
+    return stepped_to_end(spark, sf, start).select("id", "source")
+
+
+@query(f"""
+    SELECT id, row_number() OVER (PARTITION BY source ORDER BY ts, id) + 9 AS seq FROM ({TIMED})
+    UNION ALL SELECT id, NULL FROM ({STREAM_LOGS}) WHERE ts IS NULL
+""")
 def stream_sequence(spark, sf):
-    return drained(spark, state.sequence(events_stream(spark, sf), start=10, per_source="source").select("id", "seq"))
+    return ended(spark, sf, lambda rows: state.sequence(rows, {"start": 10}, per_source="source", delay=DELAY).select("id", "seq"))
+
+
+@query(f"""
+    SELECT id, CASE WHEN source <> 'error' THEN row_number() OVER (PARTITION BY source = 'error' ORDER BY ts, id) END AS seq,
+           CASE WHEN source = 'error' THEN row_number() OVER (PARTITION BY source = 'error' ORDER BY ts, id) + 499 END AS err_no
+    FROM ({TIMED})
+    UNION ALL SELECT id, NULL, NULL FROM ({STREAM_LOGS}) WHERE ts IS NULL
+""")
+def stream_sequence_shared(spark, sf):
+    """One counter for all sources but errors, batch by batch."""
+    rules = Scoped({"field": "seq"}, {"error": {"field": "err_no", "start": 500}})
+    start = lambda rows, path, checkpoint: stepped.start_sequence(rows, rules, path, checkpoint, delay=16 * 86_400)
+    return stepped_to_end(spark, sf, start).select("id", "seq", "err_no")
 
 
 @query(f"""
-    WITH RECURSIVE rows_ AS MATERIALIZED (SELECT *, source AS k0 FROM ({PASSED_LOGS})),
+    WITH RECURSIVE rows_ AS MATERIALIZED (SELECT *, source AS k0 FROM ({TIMED})),
     {leaders_sql("lead_", "rows_", "k0", "3 HOUR", strict=True)},
     w AS (SELECT r.*, l.t FROM rows_ r ASOF JOIN lead_ l ON r.k0 = l.k AND r.ts >= l.t)
     SELECT source, t AS window_start, count(*) AS count, round(sum(value), 4) AS sum, min(value) AS min, max(value) AS max
     FROM w GROUP BY source, t
-    HAVING epoch_us(t) + 10800000000 < (SELECT epoch_us(max(ts)) // 1000 * 1000 FROM events)
 """)
 def stream_anchored_totals(spark, sf):
-    """Closed windows only."""
-    out = drained(spark, state.anchored_totals(events_stream(spark, sf), "value", "3h"))
+    out = ended(spark, sf, lambda rows: state.anchored_totals(rows, "value", "3h", delay=DELAY))
     return out.withColumn("sum", F.round("sum", 4)).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query(f"SELECT left_id, right_id FROM ({_paired(24)}) WHERE greatest(epoch_us(left_ts), epoch_us(right_ts)) <= (SELECT epoch_us(max(ts)) // 1000 * 1000 FROM events WHERE event_type IN ('click', 'purchase'))")
+@query(f"""
+    WITH RECURSIVE rows_ AS MATERIALIZED (SELECT *, source AS k0 FROM ({TIMED})),
+    {leaders_sql("short_", "rows_", "k0", "3 HOUR", strict=True)}, {leaders_sql("long_", "rows_", "k0", "12 HOUR", strict=True)},
+    a AS (SELECT r.*, l.t FROM rows_ r ASOF JOIN short_ l ON r.k0 = l.k AND r.ts >= l.t),
+    b AS (SELECT r.*, l.t FROM rows_ r ASOF JOIN long_ l ON r.k0 = l.k AND r.ts >= l.t)
+    SELECT source, 'value' AS field, 'count' AS op, t AS window_start, 10800000000::BIGINT AS width_us, count(*)::DOUBLE AS value FROM a WHERE source <> 'error' GROUP BY source, t
+    UNION ALL SELECT source, 'value', 'max', t, 43200000000, max(value) FROM b WHERE source <> 'error' GROUP BY source, t
+    UNION ALL SELECT source, 'user_id', 'min', t, 43200000000, min(user_id)::DOUBLE FROM b WHERE source = 'error' GROUP BY source, t
+""")
+def stream_anchored_rules(spark, sf):
+    """Several fields and widths, with own rules for errors, in one pass."""
+    rules = Scoped(
+        [{"field": "value", "op": "count", "window": "3h"}, {"field": "value", "op": "max", "window": "12h"}],
+        {"error": [{"field": "user_id", "op": "min", "window": "12h"}]},
+    )
+    return ended(spark, sf, lambda rows: state.anchored_agg(rows, rules, delay=DELAY))
+
+
+@query(f"SELECT left_id, right_id FROM ({_paired(24).replace('FROM events', f'FROM (SELECT * REPLACE (CASE WHEN NOT {UNTIMED} THEN ts END AS ts) FROM events)')})")
 def stream_pairs(spark, sf):
     rule = {"left_source": "click", "right_source": "purchase", "key_field": "user_id", "window": "24h"}
-    paired = state.pair_join(events_stream(spark, sf), rule)
-    return drained(spark, paired.select(F.col("left.id").alias("left_id"), F.col("right.id").alias("right_id")))
+    return ended(spark, sf, lambda rows: state.pair_join(rows, rule, delay=DELAY).select(F.col("left.id").alias("left_id"), F.col("right.id").alias("right_id")))
 
 
 @query(f"""
     WITH s AS (SELECT *, sum(CASE WHEN NOT regexp_matches(props, '[02468]}}$') OR gap >= 900 THEN 1 ELSE 0 END)
                     OVER (PARTITION BY source ORDER BY ts, id) AS seg
                FROM (SELECT *, epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER (PARTITION BY source ORDER BY ts, id) AS gap
-                     FROM ({PASSED_LOGS}))),
-    g AS (SELECT source, min(ts) AS ts, min(id) AS id, count(*) AS n_lines, string_agg(props, chr(10) ORDER BY ts, id) AS message, seg, max(ts) AS last_ts
-          FROM s GROUP BY source, seg)
-    SELECT source, ts, id, n_lines, message FROM g
-    WHERE seg < (SELECT max(seg) FROM g AS x WHERE x.source = g.source)
-       OR epoch_us(last_ts) + 900000000 <= (SELECT epoch_us(max(ts)) // 1000 * 1000 FROM events)
+                     FROM ({TIMED})))
+    SELECT source, min(ts) AS ts, arg_min(id, (ts, id)) AS id, count(*) AS n_lines, string_agg(props, chr(10) ORDER BY ts, id) AS message
+    FROM s GROUP BY source, seg
+    UNION ALL SELECT source, ts, id, 1, props FROM ({STREAM_LOGS}) WHERE ts IS NULL
 """)
 def stream_multiline(spark, sf):
-    rows = events_stream(spark, sf).select("source", "ts", "id", F.col("props").alias("line"))
-    return drained(spark, state.assemble_multiline(rows, {"continue_pattern": "[02468]}$", "timeout": "15m"}))
+    def build(rows):
+        lines = rows.select("source", "ts", "id", F.col("props").alias("line"))
+        return state.assemble_multiline(lines, {"continue_pattern": "[02468]}$", "timeout": "15m"}, delay=DELAY)
 
+    return ended(spark, sf, build)
 
-@query("""
+
+SCOPED_MULTILINE = f"""
+    WITH s AS (SELECT *, sum(CASE WHEN source = 'view' OR (source = 'error' AND regexp_matches(props, '[05]}}$')) OR
+                                       (source NOT IN ('view', 'error') AND NOT regexp_matches(props, '[02468]}}$')) THEN 1 ELSE 0 END)
+                    OVER (PARTITION BY source ORDER BY ts, id) AS seg FROM ({TIMED})),
+    g AS (SELECT source, min(ts) AS ts, arg_min(id, (ts, id)) AS id, count(*) AS n_lines, string_agg(props, chr(10) ORDER BY ts, id) AS text
+          FROM s GROUP BY source, seg
+          UNION ALL SELECT source, ts, id, 1, props FROM ({STREAM_LOGS}) WHERE ts IS NULL)
+    SELECT source, ts, id, n_lines, CASE WHEN source <> 'error' THEN text END AS message, CASE WHEN source = 'error' THEN text END AS trace FROM g
+"""
+SCOPED_RULES = Scoped(
+    {"continue_pattern": "[02468]}$"},
+    {"error": {"start_pattern": "[05]}$", "field": "trace"}, "view": {"start_pattern": "^"}},
+)
+
+
+@query(SCOPED_MULTILINE)
+def multiline_scoped(spark, sf):
+    """A default rule and two sources' own, one with its own field; lines without a time stand alone."""
+    rows = logs(spark, sf).select("source", F.when(~F.expr(UNTIMED), F.col("ts")).alias("ts"), "id", F.col("props").alias("line"))
+    return multiline.assemble_multiline(rows, SCOPED_RULES)
+
+
+@query(SCOPED_MULTILINE)
+def stream_multiline_scoped(spark, sf):
+    def build(rows):
+        return state.assemble_multiline(rows.select("source", "ts", "id", F.col("props").alias("line")), SCOPED_RULES, delay=DELAY)
+
+    return ended(spark, sf, build)
+
+
+@query(f"""
+    WITH s AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ts, id) AS n FROM ({TIMED}) WHERE source <> 'error' AND regexp_matches(props, '7'))
+    SELECT id, source, 0 AS rule, n AS count FROM s WHERE n % 5 = 0
+    UNION ALL SELECT id, source, 1, n FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ts, id) AS n FROM ({TIMED}) WHERE source = 'error' AND value > 9.5) WHERE n = 3
+""")
+def stream_match_alerts(spark, sf):
+    """Each fifth seven of a source, and the third large error."""
+    rules = Scoped([{"field": "props", "pattern": "7", "threshold": 5, "repeat": True}], {"error": [{"field": "large", "pattern": "true", "threshold": 3}]})
+    alerts = ended(spark, sf, lambda rows: state.match_alerts(rows.withColumn("large", F.col("value") > 9.5), rules, delay=DELAY).select("id", "source", "rule", "count"))
+    return alerts
+
+
+@query(f"""
+    WITH e AS (SELECT *, (epoch_us(ts) // 3600000000 + 1) * 3600000000 AS tick FROM ({TIMED}) WHERE source IN ('error', 'purchase')),
+    c AS (SELECT source AS name, tick, sum(count(*)) OVER (PARTITION BY source ORDER BY tick) AS value FROM e GROUP BY source, tick),
+    r AS (SELECT * FROM c WHERE value >= CASE name WHEN 'error' THEN 40 ELSE 200 END)
+    SELECT name, make_timestamp(arg_min(tick, tick)) AS first_tick, arg_min(value, tick)::BIGINT AS first_value FROM r GROUP BY name
+""")
+def stream_alerts(spark, sf):
+    """When each counter first reached its threshold. A closed stream's clock runs on, so the cooldown is long."""
+    rules = [{"counter": "error", "threshold": 40, "cooldown": "240000h"}, {"counter": "purchase", "threshold": 200, "cooldown": "240000h"}]
+    alerts = ended(spark, sf, lambda rows: state.threshold_alerts(rows, rules, "1h", name="source", delay=DELAY))
+    return alerts.groupBy("name").agg(F.min("tick").cast("timestamp_ntz").alias("first_tick"), F.min_by("value", "tick").alias("first_value"))
+
+
+def nearest_sql(rows):
+    return f"""
+    WITH e AS ({rows}), l AS (SELECT * FROM e WHERE source = 'purchase'), r AS (SELECT * FROM e WHERE source = 'click'),
+    m AS (SELECT l.id AS left_id, r.id AS right_id, abs(epoch_us(l.ts) - epoch_us(r.ts)) AS far, r.ts AS rts
+          FROM l JOIN r ON l.user_id = r.user_id AND abs(epoch_us(l.ts) - epoch_us(r.ts)) <= 43200000000)
+    SELECT l.id AS left_id, arg_min(m.right_id, (m.far, m.rts, m.right_id)) AS right_id FROM l LEFT JOIN m ON l.id = m.left_id GROUP BY l.id"""
+
+
+@query(nearest_sql(TIMED))
+def stream_nearest(spark, sf):
+    """Each purchase with its user's nearest click within twelve hours, or none."""
+    start = lambda rows, path, checkpoint: stepped.start_nearest(
+        rows.filter("source IS NULL OR source IN ('purchase', 'click')"), F.col("source") == "purchase", "user_id", "12h", path, checkpoint, keep_unmatched=True, delay=16 * 86_400)
+    return stepped_to_end(spark, sf, start).select("left_id", "right_id")
+
+
+@query(f"""
     SELECT source, window_start, count(*) AS count
-    FROM (SELECT event_type AS source, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start FROM events)
-    WHERE window_start + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) GROUP BY ALL
+    FROM (SELECT source, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start FROM ({TIMED})) GROUP BY ALL
 """)
 def stream_tumbling(spark, sf):
-    totals = native.tumbling_totals(events_stream(spark, sf), "value", "6h")
-    out = drained(spark, totals.select("source", "window_start", "count"))
+    out = ended(spark, sf, lambda rows: native.tumbling_totals(rows, "value", "6h", delay=DELAY).select("source", "window_start", "count"))
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query("""
-    WITH e AS (SELECT *, time_bucket(INTERVAL 60 MINUTE, ts, TIMESTAMP '1970-01-01') AS slot FROM events),
+@query(f"""
+    WITH e AS (SELECT *, time_bucket(INTERVAL 60 MINUTE, ts, TIMESTAMP '1970-01-01') AS slot FROM ({TIMED})),
     x AS (SELECT *, slot - unnest(range(6)) * INTERVAL 60 MINUTE AS window_start FROM e)
-    SELECT window_start, event_type AS level, count(*) AS n FROM x GROUP BY ALL
-    HAVING window_start + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events)
+    SELECT window_start, level, count(*) AS n FROM x GROUP BY ALL
 """)
 def stream_value_counts(spark, sf):
-    counted = native.sliding_counts(events_stream(spark, sf), "6h", 6, keys=["level"])
-    out = drained(spark, counted.select("window_start", "level", "n"))
+    out = ended(spark, sf, lambda rows: native.sliding_counts(rows, "6h", 6, keys=["level"], delay=DELAY).select("window_start", "level", "n"))
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
