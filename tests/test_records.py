@@ -83,8 +83,44 @@ def test_open_leaves(spark):
     df = spark.createDataFrame([(line,) for line in lines], "line string").select(F.parse_json("line").alias("v"))
     got = [r[0] for r in df.select(shape.open_leaves("v", "p", "_")).collect()]
     assert got == [{"p_a": "1", "p_b_c": "x", "p_b_d_e": "[1,2]", "p_b_d_f": None}, None, None]
-    shallow = df.select(shape.open_leaves("v", depth=1)).first()[0]
-    assert shallow == {"a": "1", "b.c": "x", "b.d": '{"e":[1,2],"f":null}'}
+    with pytest.raises(Exception, match="more than 1 levels"):
+        df.select(shape.open_leaves("v", depth=1)).collect()
+
+
+@pytest.mark.parametrize("levels", [4, 9])
+def test_flatten_open_goes_as_deep_as_the_data(spark, levels):
+    def nested(depth, leaf):
+        return leaf if depth == 0 else '{"a.%d":%s,"x":[{"y":{"z":%d}}]}' % (depth, nested(depth - 1, leaf), depth)
+
+    rows = [(i, nested(i, '"end"')) for i in range(1, 24)] + [(30, nested(3, "{}")), (31, "[]"), (32, None), (33, nested(2, "null")), (34, "5")]
+    df = spark.createDataFrame(rows, "i int, line string").select("i", F.parse_json("line").alias("v"), F.lit("kept").alias("other"))
+    got = {r["i"]: r["leaves"] for r in shape.flatten_open(df, "v", "leaves", "p", "/", levels=levels).collect()}
+
+    def want(depth, leaf):
+        path, out = "p", {}
+        for d in range(depth, 0, -1):
+            out[f"{path}/x"] = '[{"y":{"z":%d}}]' % d
+            path += f"/a.{d}"
+        return out if leaf == () else {**out, path: leaf}
+
+    assert got == {**{i: want(i, "end") for i in range(1, 24)}, 30: want(3, ()), 31: None, 32: None, 33: want(2, None), 34: None}
+    with pytest.raises(Exception, match="more than 8 levels"):
+        df.select(shape.open_leaves("v")).collect()
+
+
+def test_flatten_rule_on_a_variant(spark):
+    lines = ['{"a":1,"deep":{"b":{"c":true},"l":[1,{"m":2}]},"mixed":1}', '{"a":2.5,"mixed":"text","only null":null}', "7", None, '{"deep":5}']
+    df = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "i int, line string").select("i", F.parse_json("line").alias("v"), F.lit("old").alias("v.a"))
+    flat = shape.flatten(df, [{"field": "v", "prefix": "@field", "drop_source": True}]).orderBy("i")
+    assert set(flat.columns) == {"i", "v.a"} | {c for c in flat.columns if c.startswith("v.")}
+    rows = [r.asDict() for r in flat.collect()]
+    assert [None if r["v.a"] is None else float(r["v.a"]) for r in rows] == [1.0, 2.5, None, None, None]  # a double, so the column "v.a" of another type is replaced
+    assert [r["v.mixed"] for r in rows] == ["1", "text", None, None, None] and rows[1]["v.only null"] is None
+    assert [(r["v.deep"], r["v.deep.b.c"], r["v.deep.l"]) for r in rows] == [(None, True, '[1,{"m":2}]'), *[(None, None, None)] * 3, (5, None, None)]
+    deep = shape.flatten(df.filter("i = 0"), [{"field": "v", "separator": "/"}]).first()
+    assert (deep["deep/b/c"], deep["deep/l"], deep["a"]) == (True, '[1,{"m":2}]', 1)
+    nothing = shape.flatten(df.filter("i IN (2, 3)"), [{"field": "v"}])
+    assert nothing.columns == ["i", "v", "v.a"]
 
 
 def test_split(spark):

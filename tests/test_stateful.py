@@ -246,6 +246,82 @@ def test_geo(spark):
     assert {r["id"] for r in skipped.filter("geo is null").collect()} == {3, 4, 5, 6}
 
 
+ADDRESSES = [
+    "::", "::1", "2001:db8::", "2001:DB8:0:0:0:0:0:1", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:2:3:4:5:6:1.2.3.4", "::ffff:1.2.3.4", "::ffff:0102:0304",
+    "::1.2.3.4", "1.2.3.4", "fe80::abcd:0:0:1", "1::8", "1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6:7", "1::2::3", ":::", ":", "::1.2.3", "1.2.3.4::", "::12345", "::g", "1:2:3:4:5:6:7:8::", "::1:2:3:4:5:6:7:8",
+    "", " ::1", "::1%eth0", "01.2.3.4", "::01.2.3.4", "1:2:3:4:5:6:7:1.2.3.4", ":1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8:", "::1\n", None,
+]
+
+
+def test_address_key(spark):
+    import ipaddress
+
+    df = spark.createDataFrame(list(enumerate(ADDRESSES)), "i int, ip string")
+    for r in df.withColumn("key", lookup.address_key(F.col("ip"))).collect():
+        try:
+            known = None if r["ip"] is None or "%" in r["ip"] else ipaddress.ip_address(r["ip"])
+        except ValueError:
+            known = None
+        if known is not None and known.version == 6 and known.ipv4_mapped:
+            known = known.ipv4_mapped
+        want = None if known is None else ("4%08x" if known.version == 4 else "6%032x") % int(known)
+        assert r["key"] == want, r
+
+
+def test_geo_v6_random_ranges(spark):
+    """Both families in one table, bounds that share few or many digits, ties and nested ranges, against comparing numbers."""
+    import ipaddress
+
+    rng = random.Random(5)
+    text = lambda n: str(ipaddress.IPv6Address(n))
+    base = int(ipaddress.IPv6Address("2001:db8::"))
+    spans = []
+    for i in range(120):
+        low = base + (rng.getrandbits(rng.choice([4, 12, 70, 96])) & ~((1 << rng.choice([0, 0, 8, 20])) - 1))
+        spans.append((low, low + rng.getrandbits(rng.choice([1, 5, 16, 40, 80])), f"n{i}"))
+    spans += [(base, base + 2**96 - 1, "all"), (base + 5, base + 5, "one"), (base + 9, base + 3, "never")]
+    rows = [(text(a), text(b), name) for a, b, name in spans] + [("1.2.3.0", "1.2.3.255", "four"), ("1.2.3.4", "::9", "mixed"), ("x", "::9", "bad")]
+    ranges = spark.createDataFrame(rows, "start string, end string, name string")
+    asked = [base + rng.getrandbits(rng.choice([3, 12, 40, 70, 96, 97])) for _ in range(300)] + [b + d for a, b, _ in spans for d in (0, 1)] + [a - 1 for a, _, _ in spans]
+    df = spark.createDataFrame([(i, text(n)) for i, n in enumerate(asked)] + [(-1, "1.2.3.4"), (-2, "::ffff:1.2.3.9"), (-3, "9.9.9.9"), (-4, "no"), (-5, None)], "id int, ip string")
+    got = {r["id"]: r["geo"] for r in lookup.geo_enrich(df, ranges, "ip", "geo", on_miss="empty").collect()}
+    for i, n in enumerate(asked):
+        held = sorted((b - a, a, name) for a, b, name in spans if a <= n <= b)
+        assert got[i] == ({"name": held[0][2]} if held else {})
+    assert [got[-k] for k in (1, 2, 3, 4, 5)] == [{"name": "four"}, {"name": "four"}, {}, None, None]
+
+
+@pytest.mark.parametrize("limit", [None, 15])
+@pytest.mark.parametrize("keys", [[], ["k", "s"]])
+def test_trailing_totals(spark, limit, keys):
+    rng = random.Random(limit or 1)
+    rows = [(i, rng.choice(["a", None]), rng.choice([1, 2]), None if rng.random() < 0.1 else rng.randrange(80) * 1_000_000, rng.choice([None, 0.1, 2.25, -7.5, 1e9])) for i in range(150)]
+    df = spark.createDataFrame(rows, "id int, k string, s int, t long, value double").withColumn("ts", F.timestamp_micros("t"))
+    got = {r["id"]: (r["count"], r["total"]) for r in aggregates.trailing_totals(df, "7s", value="value", keys=keys, rows_per_task=limit).collect()}
+    assert len(got) == 150
+    for i, k, s, t, _ in rows:
+        own = [v for _, k2, s2, t2, v in rows if t is not None and t2 is not None and t - 7_000_000 < t2 <= t and (not keys or (k, s) == (k2, s2))]
+        want = (None, None) if t is None else (len(own), round(sum(v or 0 for v in own), 6))
+        assert got[i] == want
+    counted = aggregates.trailing_totals(df, "7s", keys=keys, rows_per_task=limit)
+    assert "total" not in counted.columns and {r["id"]: r["count"] for r in counted.collect()} == {i: c for i, (c, _) in got.items()}
+    assert aggregates.trailing_totals(df.limit(0), "7s").count() == 0
+
+
+def test_windows_of_a_large_key_open_in_linear_time(spark):
+    """One key of half a million rows, each 0.6 windows after the one before, beside small keys."""
+    import time
+
+    n = 500_000
+    rows = spark.range(n).select("id", F.lit("one").alias("k"), F.timestamp_micros(F.col("id") * 600_000).alias("ts"))
+    rows = rows.unionByName(spark.range(n, n + 900).select("id", (F.col("id") % 300).cast("string").alias("k"), F.timestamp_micros((F.col("id") - n) * 600_000).alias("ts")))
+    began = time.time()
+    kept = suppress.dedupe(rows, {"fields": ["k"], "window": "1s"}).groupBy("k").count()
+    counts = {r["k"]: r["count"] for r in kept.collect()}
+    assert counts.pop("one") == n // 2 and set(counts.values()) == {3}
+    assert time.time() - began < 40
+
+
 def test_geo_random_ranges(spark):
     rng = random.Random(11)
     spans = []

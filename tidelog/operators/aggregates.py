@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from tidelog.functions.columns import field, from_micros, micros
 from tidelog.operators.suppress import parse_scoped
 from tidelog.plans.anchored import WINDOW_START, anchored_windows
+from tidelog.plans.ordered import OrderedScan
+from tidelog.plans.sizing import staged
 from tidelog.specs import Scoped, Spec, parse_all, positive_window, require
 
 OPS = ("count", "sum", "min", "max")
@@ -174,3 +176,51 @@ def sliding_count(
     """Sum of ``n`` (or rows) in each sliding window, per ``keys`` if given."""
     total = F.sum(field(n)) if n else F.count("*")
     return _slots(df, list(keys or []), total, window, buckets, ts, df.schema[ts].dataType.simpleString())
+
+
+def trailing_totals(
+    df: DataFrame, window, *, value: str | None = None, keys: list[str] | None = None, ts: str = "ts", scale: int = 6,
+    count: str = "count", total: str = "total", rows_per_task: int | None = None,
+) -> DataFrame:
+    """Each row with the ``count`` of its key's rows in the window that ends at it, and the ``total`` of ``value`` over them.
+
+    The window of a row at t is (t - window, t]; rows of equal time see each
+    other. Sums are exact: fractions count to ``scale`` decimal places. Missing
+    values count as 0; a row without a time gets nulls and counts nowhere.
+
+    One walk over (key, time): a key's times are reduced to one row each, and
+    every time asks for the running sums one window earlier with a probe row in
+    the same order. A key of any size, or no key at all, is walked in slices.
+    """
+    width = positive_window(window)
+    names = list(keys or [])
+    parts = [f"__k{i}" for i in range(max(1, len(names)))]
+    keyed = {p: field(k) for p, k in zip(parts, names)} or {parts[0]: F.lit(0)}
+    whole = value is None or isinstance(df.schema[value].dataType, T.IntegralType)
+    number = F.lit(0) if value is None else F.coalesce(field(value), F.lit(0))
+    rows = df.withColumns({**keyed, "__t": micros(ts), "__v": number.cast(f"decimal(38,{0 if whole else scale})")})
+
+    timed = rows.filter("__t IS NOT NULL")
+    # Rows of one time are combined before the shuffle.
+    times = staged(timed.groupBy(*parts, "__t").agg(F.count("*").alias("c"), F.sum("__v").alias("v")))
+    nothing = F.lit(0).cast(times.schema["v"].dataType)
+    probes = times.select(*parts, (F.col("__t") - width).alias("__t"), F.lit(1).alias("__probe"), F.col("__t").alias("__asked"), F.lit(0).cast("long").alias("c"), nothing.alias("v"))
+    both = times.select(*parts, "__t", F.lit(0).alias("__probe"), F.col("__t").alias("__asked"), "c", "v").unionByName(probes)
+    scan = OrderedScan.open(both, parts, ["__t", "__probe", "__asked"], rows_per_task=rows_per_task)
+    walked = scan.running_sum(__c=F.col("c"), __s=F.col("v")).result()
+
+    def gained(name: str) -> Column:
+        here, before = (F.max(F.when(F.col("__probe") == probe, F.col(name))) for probe in (0, 1))
+        return here - before
+
+    kind = "long" if whole else df.schema[value].dataType.simpleString()
+    totals = walked.groupBy(*[F.col(p).alias(f"__p{i}") for i, p in enumerate(parts)], "__asked").agg(
+        gained("__c").alias("__count"), gained("__s").cast(kind).alias("__total")
+    )
+    match = F.col("__t") == F.col("__asked")
+    for i, p in enumerate(parts):
+        match = match & F.col(p).eqNullSafe(F.col(f"__p{i}"))
+    out = timed.join(totals, match).unionByName(rows.filter("__t IS NULL"), allowMissingColumns=True)
+    kept = [field(c) for c in df.columns if c not in (count, total)]
+    found = [F.col("__count").alias(count)] + ([F.col("__total").alias(total)] if value is not None else [])
+    return out.select(*kept, *found)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.functions.columns import field, let
-from tidelog.plans.sizing import BROADCAST_ROWS, fits_broadcast, maybe_broadcast
+from tidelog.plans.sizing import fits_broadcast, maybe_broadcast, staged
 from tidelog.specs import Scoped, require
 
 # Fixed names: what a rule does with a record whose key is not in the table.
@@ -116,38 +117,101 @@ def ipv4_number(ip: Column) -> Column:
     return let(F.split(ip, r"\."), total)
 
 
-def _blocks(ranges: DataFrame, start: str, end: str, attrs: list[str]) -> DataFrame:
-    """Each range as aligned blocks of 16**n addresses, the largest that fit.
+def ipv6_digits(ip: Column) -> Column:
+    """A valid IPv6 address as 32 hexadecimal digits; null for any other text. The last 32 bits may be dotted."""
+    groups = "^[0-9a-f]{1,4}\\z"
 
-    A level holds the blocks at both ends of the range that no block of the next
-    level covers: 30 at most, and one for a range that is itself a block.
-    """
-    lo, hi = field(start).cast("long"), field(end).cast("long") + 1
-    entry = F.struct(
-        (hi - lo).alias("size"), lo.alias("start"), F.struct(*[field(a).alias(a) for a in attrs]).alias("attrs")
-    )
-    levels = ranges.filter(lo < hi).select(
-        lo.alias("lo"), hi.alias("hi"), entry.alias("entry"),
-        F.explode(F.sequence(F.lit(0), F.lit(32), F.lit(4))).alias("shift"),
-    )
+    def parts(half: Column) -> Column:
+        return F.when(half == "", F.array().cast("array<string>")).otherwise(F.split(half, ":", -1))
+
+    def digits(halves: Column) -> Column:
+        left = parts(halves[0])
+        right = F.when(F.size(halves) == 2, parts(F.get(halves, 1))).otherwise(F.array().cast("array<string>"))
+
+        def joined(sides: Column) -> Column:
+            left, right = sides["l"], sides["r"]
+            given = F.size(left) + F.size(right)
+            fits = F.when(F.size(halves) == 1, given == 8).otherwise((F.size(halves) == 2) & (given < 8))
+            whole = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(8 - given, F.lit(0))), right)
+            read = F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), "")
+            return F.when(fits & F.forall(whole, lambda g: F.rlike(g, F.lit(groups))), read)
+
+        return let(F.struct(left.alias("l"), right.alias("r")), joined)
+
+    tail = F.regexp_extract(ip, r"^.*:([0-9.]+)\z", 1)
+    number = F.lpad(F.lower(F.hex(ipv4_number(tail))), 8, "0")
+    dotted = F.when(is_ipv4(tail), F.concat(F.regexp_extract(ip, r"^(.*:)[0-9.]+\z", 1), F.substring(number, 1, 4), F.lit(":"), F.substring(number, 5, 4)))
+    text = F.when(F.contains(ip, F.lit(".")), dotted).otherwise(ip)
+    return let(F.split(F.lower(text), "::", -1), digits)
+
+
+# Fixed value: the first 96 bits of an IPv4 address written as IPv6.
+MAPPED = "0" * 20 + "ffff"
 
-    levels = levels.withColumns({
-        "a": F.expr("shiftright(lo + shiftleft(1L, shift) - 1, shift)"),
-        "b": F.expr("shiftright(hi, shift)"),
-        "up_a": F.expr("shiftright(lo + shiftleft(1L, shift + 4) - 1, shift + 4) * 16"),
-        "up_b": F.expr("shiftright(hi, shift + 4) * 16"),
-    }).filter("a < b")
 
-    def span(low: str, high: str) -> Column:
-        some = F.sequence(F.col(low), F.col(high) - 1)
-        return F.when(F.col(low) < F.col(high), some).otherwise(F.array().cast("array<bigint>"))
+def address_key(ip: Column) -> Column:
+    """A valid address as its family and hexadecimal digits (``4`` and 8, ``6`` and 32), which sort like addresses; else null."""
+    four = F.concat(F.lit("4"), F.lpad(F.lower(F.hex(ipv4_number(ip))), 8, "0"))
+    six = let(ipv6_digits(ip), lambda d: F.when(F.startswith(d, F.lit(MAPPED)), F.concat(F.lit("4"), F.substring(d, 25, 8))).otherwise(F.concat(F.lit("6"), d)))
+    return F.when(is_ipv4(ip), four).when(F.contains(ip, F.lit(":")), six)
 
-    picked = F.when(F.col("up_a") < F.col("up_b"), F.concat(span("a", "up_a"), span("up_b", "b"))).otherwise(
-        span("a", "b")
+
+def _bound_key(ranges: DataFrame, name: str) -> Column:
+    """A bound as :func:`address_key`: address text, or the number of an IPv4 address."""
+    if isinstance(ranges.schema[name].dataType, T.StringType):
+        return address_key(field(name))
+    number = field(name).cast("long")
+    return F.when(number.between(0, 2**32 - 1), F.concat(F.lit("4"), F.lpad(F.lower(F.hex(number)), 8, "0")))
+
+
+def _halves(key: Column) -> tuple[Column, Column]:
+    """A key's digits as two whole numbers of 64 bits."""
+    digits = F.lpad(F.substring(key, 2, 32), 32, "0")
+    return tuple(F.conv(F.substring(digits, at, 16), 16, 10).cast("decimal(20,0)") for at in (1, 17))
+
+
+def _blocks(ranges: DataFrame, start: str, end: str, attrs: list[str]) -> DataFrame:
+    """Each range as the largest blocks of addresses with a common prefix of digits that make it up.
+
+    Along each bound, every digit leaves at most 15 blocks beside it; a range
+    that is itself a block is one. A block of two ranges is the narrower one's.
+    """
+    low, high = _bound_key(ranges, start), _bound_key(ranges, end)
+    (low_a, low_b), (high_a, high_b) = _halves(F.col("a")), _halves(F.col("b"))
+    borrow = high_b < low_b
+    size = F.struct((high_a - low_a - borrow.cast("int")).alias("x"), (high_b - low_b + F.when(borrow, F.lit(Decimal(2**64))).otherwise(F.lit(Decimal(0)))).alias("y"))
+    rows = ranges.select(low.alias("a"), high.alias("b"), F.struct(*[field(x).alias(x) for x in attrs]).alias("attrs"))
+    # Bounds of two families, or in the wrong order, hold no address.
+    rows = rows.filter((F.substring("a", 1, 1) == F.substring("b", 1, 1)) & (F.col("a") <= F.col("b")))
+    entry = F.struct(size.alias("size"), F.col("a").alias("start"), F.col("attrs").alias("attrs"))
+
+    places = F.sequence(F.lit(1), F.length("a"))
+    common = F.size(F.filter(places, lambda i: F.substring("a", F.lit(1), i) == F.substring("b", F.lit(1), i)))
+    rows = rows.select(entry.alias("entry"), "a", "b", common.alias("common"))
+    rows = rows.withColumns({"end_a": F.length(F.rtrim("a", F.lit("0"))), "end_b": F.length(F.rtrim("b", F.lit("f")))})
+    digits = F.array(*[F.lit(d) for d in "0123456789abcdef"])
+
+    def siblings(bound: str, ends: Column, beside) -> Column:
+        """Blocks beside the bound, at each digit after the first that differs."""
+        first = F.col("common") + 2
+
+        def at(k: Column) -> Column:
+            kept = F.filter(digits, lambda d: beside(d, F.substring(bound, k, F.lit(1))))
+            return F.transform(kept, lambda d: F.concat(F.substring(bound, F.lit(1), k - 1), d))
+
+        none = F.array().cast("array<array<string>>")
+        return F.flatten(F.when(ends >= first, F.transform(F.sequence(first, ends), at)).otherwise(none))
+
+    last_a, last_b = (F.greatest(F.col("common") + 1, F.col(c)) for c in ("end_a", "end_b"))
+    next_a, next_b = (F.substring(c, F.col("common") + 1, F.lit(1)) for c in ("a", "b"))
+    between = F.transform(F.filter(digits, lambda d: (d > next_a) & (d < next_b)), lambda d: F.concat(F.substring("a", F.lit(1), F.col("common")), d))
+    several = F.concat(
+        F.array(F.substring("a", F.lit(1), last_a), F.substring("b", F.lit(1), last_b)), between,
+        siblings("a", last_a, lambda d, own: d > own), siblings("b", last_b, lambda d, own: d < own),
     )
-    cells = levels.select("shift", F.explode(picked).alias("block"), "entry")
-    # Ranges that share a block: the narrowest one is the answer there.
-    return cells.groupBy("shift", "block").agg(F.min("entry").alias("entry"))
+    one = F.array(F.substring("a", F.lit(1), F.col("common")))
+    picked = F.when((F.col("end_a") <= F.col("common")) & (F.col("end_b") <= F.col("common")), one).otherwise(several)
+    return rows.select(F.explode(picked).alias("block"), "entry").groupBy("block").agg(F.min("entry").alias("entry"))
 
 
 def geo_enrich(
@@ -156,10 +220,12 @@ def geo_enrich(
 ) -> DataFrame:
     """Attributes of the narrowest range that holds the address, as map ``dst``.
 
-    ``ranges`` has numeric ``start`` and ``end`` (both included); its other
-    columns are the attributes. Addresses are looked up once each: a distinct
-    address meets a range through equal block numbers, so no range is ever
-    compared with an address outside its block.
+    ``ranges`` has ``start`` and ``end`` (both included), IPv4 and IPv6 address
+    texts or IPv4 numbers; its other columns are the attributes. A range whose
+    bounds do not read, or are of two families, holds nothing. An IPv4 address
+    written as IPv6 is that IPv4 address. Address texts are read and looked up
+    once each: a distinct address meets a range through an equal prefix of
+    digits, so no range is ever compared with an address outside its block.
     """
     require(bool(src) and bool(dst), "geo: src and dst must not be empty")
     require(on_miss in ("", "skip", "empty"), "geo: on_miss must be skip or empty")
@@ -168,27 +234,26 @@ def geo_enrich(
     if src not in df.columns or not isinstance(df.schema[src].dataType, T.StringType):
         return df.withColumn(dst, before)
     attrs = [c for c in ranges.columns if c not in (start, end)]
-    blocks = _blocks(ranges, start, end, attrs)
-
-    valid = is_ipv4(field(src))
-    seen = df.filter(valid).select(ipv4_number(field(src)).alias("__ip")).distinct()
-    # One pass sizes the table and lists the block sizes in use: 9 at most.
-    facts = blocks.agg(F.count("*").alias("n"), F.collect_set("shift").alias("shifts")).first()
-    if facts["n"] <= BROADCAST_ROWS and fits_broadcast(ranges):
-        blocks = F.broadcast(blocks)
-    shifts = F.array(*[F.lit(n) for n in sorted(facts["shifts"])]).cast("array<int>")
-    probes = seen.select("__ip", F.explode(shifts).alias("shift"))
-    probes = probes.withColumn("block", F.expr("shiftright(__ip, shift)"))
+    blocks = staged(_blocks(ranges, start, end, attrs))
+
+    texts = df.select(field(src).alias("__text")).filter("__text IS NOT NULL").distinct()
+    texts = staged(texts.withColumn("__ip", address_key(F.col("__text"))).filter("__ip IS NOT NULL"))
+    # The prefix lengths in use: 9 of IPv4 and 33 of IPv6 at most.
+    used = blocks.groupBy(F.substring("block", 1, 1).alias("family"), F.length("block").alias("length")).count().collect()
+    lengths = {f: F.array(*[F.lit(n) for n in sorted(r["length"] for r in used if r["family"] == f)]).cast("array<int>") for f in ("4", "6")}
+    own = F.when(F.startswith("__ip", F.lit("4")), lengths["4"]).otherwise(lengths["6"])
+    probes = texts.select("__ip").distinct().select("__ip", F.explode(own).alias("__n")).select("__ip", F.substring("__ip", F.lit(1), F.col("__n")).alias("block"))
     # Large blocks are met by many addresses; a broadcast block table avoids
     # that hot key, else adaptive execution splits it.
-    found = probes.join(blocks, ["shift", "block"]).groupBy("__ip").agg(
-        F.min("entry").alias("__entry")
-    )
-    found = found.select(
-        F.col("__ip").alias("__found"),
-        F.create_map(*[x for a in attrs for x in (F.lit(a), F.col("__entry.attrs").getField(a).cast("string"))]).alias("__geo"),
-    )
-    joined = df.withColumn("__ip", F.when(valid, ipv4_number(field(src)))).join(found, F.col("__ip") == F.col("__found"), "left")
-    missing = F.create_map().cast(map_type) if on_miss == "empty" else before
-    value = F.when(F.col("__geo").isNotNull(), F.col("__geo")).when(F.col("__ip").isNotNull(), missing).otherwise(before)
-    return joined.withColumn(dst, value).drop("__ip", "__found", "__geo")
+    found = probes.join(maybe_broadcast(blocks), "block").groupBy("__ip").agg(F.min("entry").alias("e"))
+    geo = F.create_map(*[x for a in attrs for x in (F.lit(a), F.col("e.attrs").getField(a).cast("string"))])
+    # With "empty", an address without a range has an answer too.
+    named = texts.join(found, "__ip", "left" if on_miss == "empty" else "inner")
+    named = staged(named.select("__text", F.when(F.col("e").isNotNull(), geo).otherwise(F.create_map().cast(map_type)).alias("__geo")))
+
+    answer = F.coalesce("__geo", before)
+    if fits_broadcast(named):
+        return df.join(F.broadcast(named), field(src) == F.col("__text"), "left").withColumn(dst, answer).drop("__text", "__geo")
+    # Rows without a text have no part in the join, where they would share one key.
+    hit = df.filter(field(src).isNotNull()).join(named, field(src) == F.col("__text"), "left").withColumn(dst, answer).drop("__text", "__geo")
+    return hit.unionByName(df.filter(field(src).isNull()).withColumn(dst, before))

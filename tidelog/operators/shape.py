@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.functions.columns import field
+from tidelog.functions.columns import field, let
 from tidelog.functions.patterns import java_pattern, replace_all
 from tidelog.operators.env import Env, apply_rules
+from tidelog.plans.sizing import staged
 from tidelog.specs import Scoped, Spec, parse_all, require
 
 
@@ -158,24 +159,76 @@ def _leaves(value: Column, dtype: T.StructType, prefix: str, sep: str):
             yield name, inner, part.dataType
 
 
-def _flatten(env: Env, rules) -> None:
-    for rule in parse_all(FlattenRule, rules, needed=True):
-        dtype = env.types.get(rule.field)
-        if not isinstance(dtype, T.StructType):
-            continue
-        source = env.columns[rule.field]
-        prefix = rule.field if rule.prefix == "@field" else rule.prefix
-        for name, leaf, leaf_type in _leaves(source, dtype, prefix, rule.separator or "."):
-            if name in env and name != rule.field and env.types[name] == leaf_type:
-                leaf = F.coalesce(leaf, env.columns[name])
-            env.put(name, leaf, leaf_type)
-        if rule.drop_source:
-            env.drop(rule.field)
+# Columns that leaves of open records may become; beyond that take :func:`flatten_open`'s map.
+MOST_LEAVES = 10_000
+
+# Parts of a leaf's path while its separator is not yet known.
+BETWEEN = "\x00"
+
+
+def _leaf_type(seen: list[str]) -> str:
+    """One type for a leaf that was seen as these (as VARIANT names its types)."""
+    kinds = {k for k in seen if k != "VOID"}
+    if len(kinds) == 1 and not next(iter(kinds)).startswith(("ARRAY", "OBJECT")):
+        return kinds.pop().lower()
+    if kinds and all(k in ("BIGINT", "DOUBLE") or k.startswith("DECIMAL") for k in kinds):
+        return "double"
+    return "string"
+
+
+def _flatten_observed(observed: dict[str, list[tuple[str, str]]]):
+    """``observed``: the leaves of VARIANT columns, as paths and types; their values are in columns beside them."""
+
+    def build(env: Env, rules) -> None:
+        for rule in parse_all(FlattenRule, rules, needed=True):
+            dtype = env.types.get(rule.field)
+            separator = rule.separator or "."
+            prefix = rule.field if rule.prefix == "@field" else rule.prefix
+            if isinstance(dtype, T.VariantType) and rule.field in observed:
+                held = F.col(f"`__open_{rule.field}`")
+                head = prefix + separator if prefix else ""
+                leaves = []
+                for path, kind in observed[rule.field]:
+                    value = F.try_element_at(held, F.lit(path))
+                    value = value.cast("string") if kind == "string" else F.try_variant_get(value, "$", kind)
+                    leaves.append((head + path.replace(BETWEEN, separator), value, T.StructType.fromDDL(f"x {kind}")["x"].dataType))
+            elif isinstance(dtype, T.StructType):
+                leaves = list(_leaves(env.columns[rule.field], dtype, prefix, separator))
+            else:
+                continue
+            for name, leaf, leaf_type in leaves:
+                if name in env and name != rule.field and env.types[name] == leaf_type:
+                    leaf = F.coalesce(leaf, env.columns[name])
+                env.put(name, leaf, leaf_type)
+            if rule.drop_source:
+                env.drop(rule.field)
+
+    return build
 
 
 def flatten(df: DataFrame, rules) -> DataFrame:
-    """Nested struct leaves as columns named ``prefix + separator + path``."""
-    return apply_rules(df, _flatten, rules)
+    """Nested leaves as columns named ``prefix + separator + path``.
+
+    Works on structs, and on VARIANT columns of tables, whose leaves are first
+    found in the data: at any depth, and each record by its own shape, so a
+    field that is an object here and a value there gives columns for both. A
+    leaf keeps its type if it has one throughout, numbers of several types
+    become doubles, anything else and lists are text. Streams declare theirs
+    (:func:`flatten_variant`) or take a map (:func:`open_leaves`).
+    """
+    scoped = Scoped.of(rules)
+    given = [r for part in (scoped.default, *scoped.by_source.values()) if part is not None for r in parse_all(FlattenRule, part)]
+    open_ = sorted({r.field for r in given if r.field in df.columns and isinstance(df.schema[r.field].dataType, T.VariantType)})
+    require(not (open_ and df.isStreaming), f"flatten: the leaves of {open_} are not known on a stream")
+    observed = {}
+    for name in open_:
+        df = _open_entries(df, name, f"__open_{name}", "", BETWEEN)
+        entry = F.explode(F.col(f"`__open_{name}`")).alias("e")
+        seen = df.select(entry).groupBy("e.key").agg(F.collect_set(F.schema_of_variant("e.value")).alias("kinds")).limit(MOST_LEAVES + 1).collect()
+        require(len(seen) <= MOST_LEAVES, f"flatten: {name} has more than {MOST_LEAVES} leaves; take flatten_open")
+        observed[name] = sorted((r["key"], _leaf_type(r["kinds"])) for r in seen)
+        df = df.withColumn(f"__open_{name}", F.map_from_entries(F.col(f"`__open_{name}`")))
+    return apply_rules(df, _flatten_observed(observed), rules).drop(*[f"__open_{name}" for name in open_])
 
 
 def flatten_variant(df: DataFrame, column: str, paths: dict[str, str], prefix: str = "", separator: str = ".") -> DataFrame:
@@ -191,30 +244,74 @@ def flatten_variant(df: DataFrame, column: str, paths: dict[str, str], prefix: s
     return df.withColumns(leaves)
 
 
-def open_leaves(value: str | Column, prefix: str = "", separator: str = ".", depth: int = 8) -> Column:
-    """All leaves of a VARIANT object as ``map<string,string>``, names as in :func:`flatten`.
+def _children(held: Column) -> Column:
+    return F.map_entries(F.try_variant_get(held, "$", "map<string,variant>"))
+
+
+def _entries(value: Column, prefix: str, separator: str) -> Column:
+    """The fields of an object as entries; null if it is none."""
+    return _renamed(_children(value), F.lit(prefix), separator) if prefix else _children(value)
 
-    A value that is no object gives null. Objects more than ``depth`` levels down stay JSON text.
-    """
 
-    def children(held: Column) -> Column:
-        return F.map_entries(F.try_variant_get(held, "$", "map<string,variant>"))
+def _renamed(entries: Column, path: Column, separator: str) -> Column:
+    return F.transform(entries, lambda e: F.struct(F.concat(path, F.lit(separator), e["key"]).alias("key"), e["value"].alias("value")))
 
-    def named(path: Column, entry: Column) -> Column:
-        return F.struct(F.concat(path, F.lit(separator), entry["key"]).alias("key"), entry["value"].alias("value"))
+
+def _deeper(entries: Column, separator: str) -> Column:
+    """Every entry that is an object replaced by its fields."""
 
     def expand(entry: Column) -> Column:
-        inner = children(entry["value"])
-        below = F.transform(inner, lambda e: named(entry["key"], e))
+        below = _renamed(_children(entry["value"]), entry["key"], separator)
         return F.coalesce(below, F.array(F.struct(entry["key"].alias("key"), entry["value"].alias("value"))))
 
-    entries = children(F.col(value) if isinstance(value, str) else value)
-    if prefix:
-        entries = F.transform(entries, lambda e: named(F.lit(prefix), e))
+    return F.flatten(F.transform(entries, expand))
+
+
+def _objects_left(entries: Column) -> Column:
+    return F.exists(entries, lambda e: F.try_variant_get(e["value"], "$", "map<string,variant>").isNotNull())
+
+
+def _texts(entries: Column) -> Column:
+    return F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"].alias("key"), e["value"].cast("string").alias("value"))))
+
+
+def open_leaves(value: str | Column, prefix: str = "", separator: str = ".", depth: int = 8) -> Column:
+    """All leaves of a VARIANT object as ``map<string,string>``, names as in :func:`flatten`.
+
+    A value that is no object gives null. One expression, so it fits streams
+    too, but goes ``depth`` levels below the first; a deeper object is an
+    error. :func:`flatten_open` goes as deep as the data.
+    """
+    entries = _entries(F.col(value) if isinstance(value, str) else value, prefix, separator)
     for _ in range(depth):
-        entries = F.flatten(F.transform(entries, expand))
-    texts = F.transform(entries, lambda e: F.struct(e["key"].alias("key"), e["value"].cast("string").alias("value")))
-    return F.map_from_entries(texts)
+        entries = _deeper(entries, separator)
+    too_deep = F.raise_error(F.lit(f"open_leaves: an object lies more than {depth} levels down")).cast("map<string,string>")
+    return let(entries, lambda e: F.when(F.coalesce(_objects_left(e), F.lit(False)), too_deep).otherwise(_texts(e)))
+
+
+def _open_entries(df: DataFrame, column: str, dest: str, prefix: str, separator: str, levels: int = 4) -> DataFrame:
+    """``df`` with the leaves of a VARIANT column as entries ``dest``, staged.
+
+    Entries that are objects are replaced by their fields, ``levels`` times in
+    one pass, until a pass leaves none. Each pass is written once and asked
+    whether objects are left; rows never move.
+    """
+    held = df.withColumn(dest, _entries(field(column), prefix, separator))
+    while True:
+        entries = field(dest)
+        for _ in range(levels):
+            entries = _deeper(entries, separator)
+        held = staged(held.withColumn(dest, entries))
+        if held.filter(_objects_left(field(dest))).isEmpty():
+            return held
+
+
+def flatten_open(df: DataFrame, column: str, dest: str = "fields", prefix: str = "", separator: str = ".", levels: int = 4) -> DataFrame:
+    """``df`` with all leaves of a VARIANT column as map ``dest`` of texts, at any depth; null where it holds no object."""
+    require(not df.isStreaming, "flatten_open: streams take open_leaves")
+    require(1 <= levels <= 16, "flatten_open: levels must be 1 to 16, as one expression holds them")
+    held = _open_entries(df, column, "__entries", prefix, separator, levels)
+    return held.withColumn(dest, _texts(F.col("__entries"))).drop("__entries")
 
 
 @dataclass(frozen=True)

@@ -19,12 +19,9 @@ TRUE_TEXTS = ["1", "t", "T", "TRUE", "true", "True"]
 FALSE_TEXTS = ["0", "f", "F", "FALSE", "false", "False"]
 
 INT_PATTERN = r"^[+-]?[0-9]+$"
-# Decimal and hexadecimal numbers, infinities and NaN.
-FLOAT_PATTERN = (
-    r"^([+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
-    r"|0[xX]([0-9a-fA-F]+\.?[0-9a-fA-F]*|\.[0-9a-fA-F]+)[pP][+-]?[0-9]+"
-    r"|[iI][nN][fF]([iI][nN][iI][tT][yY])?)|[nN][aA][nN])$"
-)
+DECIMAL_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+HEX_PATTERN = r"^[+-]?0[xX]([0-9a-fA-F]+\.?[0-9a-fA-F]*|\.[0-9a-fA-F]+)[pP][+-]?[0-9]+$"
+SPECIAL_PATTERN = r"^([+-]?[iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])$"
 
 
 @dataclass(frozen=True)
@@ -42,7 +39,11 @@ class CastRule(Spec):
 
 
 def read_float(text: Column) -> Column:
-    return F.when(search(text, FLOAT_PATTERN), text.try_cast("double"))
+    """Decimal and hexadecimal numbers, infinities and NaN; a number too large for the type does not read."""
+    number = text.try_cast("double")
+    finite = F.when(F.abs(number) < float("inf"), number)
+    # Most texts are decimal, so that is asked first.
+    return F.when(search(text, DECIMAL_PATTERN) | search(text, HEX_PATTERN), finite).when(search(text, SPECIAL_PATTERN), number)
 
 
 def read_int(text: Column) -> Column:

@@ -6,9 +6,10 @@ window opens at the first row at least ``width`` after the previous opening
 
 Leaders depend only on a key's times, so they are found on (key, time) alone:
 
-* keys of moderate size: rows closer than ``width`` to their session's start
-  can not open a window, the rest are folded in order on the JVM;
-* larger keys that still fit one task: a sorted Arrow scan with constant state;
+* keys of up to ``FOLD_ROWS`` rows: rows closer than ``width`` to their
+  session's start can not open a window, the rest are folded in order on the JVM;
+* larger keys that still fit one task: a sorted Arrow scan with constant state,
+  for the fold copies its list at each opening, which grows with the square;
 * hot keys: every time points at the first time one ``width`` later, and
   pointer doubling marks the chain in about log2(windows) distributed joins.
 
@@ -30,7 +31,7 @@ from tidelog.functions.columns import field, floor_div, micros
 from tidelog.plans.ordered import HOT, ROWS_PER_TASK, SLICE, OrderedScan, Slicer
 from tidelog.plans.sizing import maybe_broadcast, require_table, staged
 
-FOLD_ROWS = 500_000
+FOLD_ROWS = 4_096
 
 # Spark prunes row_number() <= n per task before the shuffle up to this n.
 GROUP_LIMIT = 1000
@@ -125,19 +126,23 @@ def leaders(times: DataFrame, keys, origin_us=None, rows_per_task=None, fold_row
     if origin_us is not None:
         start = times.select(*keys, WIDTH).distinct().withColumn(TIME, F.lit(origin_us).cast("long"))
         times = times.unionByName(start)
-    counts = times.groupBy(*keys).agg(F.count("*").alias("n"))
-    largest = counts.agg(F.max("n").alias("n")).first()["n"] or 0
-    if largest <= min(fold_rows, rows_per_task or fold_rows):
+    limit = min(fold_rows, rows_per_task or fold_rows)
+    large = times.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > limit)
+    large = staged(large.select(*[F.col(k).alias(f"__l_{k}") for k in keys]))
+    if large.isEmpty():
         return _fold(times, keys)
+    # Only the keys above the limit leave the JVM.
+    chosen = maybe_broadcast(large)
+    small = _fold(times.join(chosen, _match(keys, "__l_"), "left_anti"), keys)
 
     # Equal times of a key count once; (key, time) spreads a hot key evenly.
-    times = staged(times.distinct().withColumn(KIND, F.lit(1)))
+    times = staged(times.join(chosen, _match(keys, "__l_"), "left_semi").distinct().withColumn(KIND, F.lit(1)))
     slicer = Slicer.plan(times, keys, ORDER, rows_per_task or ROWS_PER_TASK)
     if not slicer.hot:
-        return _arrow_scan(times, keys)
+        return small.unionByName(_arrow_scan(times, keys))
     placed = staged(slicer.attach(times))
     cold = _arrow_scan(placed.filter(~F.col(HOT)), keys)
-    return cold.unionByName(_double(placed.filter(F.col(HOT)), keys, slicer))
+    return small.unionByName(cold).unionByName(_double(placed.filter(F.col(HOT)), keys, slicer))
 
 
 def _fold(times: DataFrame, keys: list[str]) -> DataFrame:

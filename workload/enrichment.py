@@ -81,6 +81,41 @@ def geo_ranges(spark, sf):
     return found.select("o_orderkey", F.col("geo")["net"].alias("net"))
 
 
+V6 = "(((a::HUGEINT * 65536 + b) * 65536 + c) * 65536 * 65536 * 65536 + d)"
+
+
+def _v6(a, b, c, d):
+    """An address of four groups, the rest fixed or zero."""
+    part = lambda x: F.lower(F.hex(x.cast("long")))
+    return F.concat(F.lit("2001:DB8:"), part(a), F.lit(":"), part(b), F.lit(":"), part(c), F.lit("::"), part(d))
+
+
+@query(f"""
+    WITH bounds AS (
+        SELECT n_name AS net, n_nationkey AS a, 0 AS b, 0 AS c, 0 AS d, n_nationkey AS a2, 65535 AS b2, 65535 AS c2, 65535 AS d2, true AS whole FROM nation
+        UNION ALL SELECT s_name, s_nationkey, s_suppkey, 5, 7, s_nationkey, s_suppkey + 3, 9, 1, false FROM supplier),
+    r AS (SELECT net, {V6} AS lo, (((a2::HUGEINT * 65536 + b2) * 65536 + c2) * 65536 * 65536 * 65536 + CASE WHEN whole THEN 281474976710655 ELSE d2 END) AS hi FROM bounds),
+    p AS (SELECT o_orderkey, {V6} AS ip FROM (SELECT o_orderkey, o_custkey % 30 AS a, o_orderkey % 200 AS b, o_custkey % 12 AS c, o_orderkey % 9 AS d FROM orders))
+    SELECT o_orderkey, arg_min(net, struct_pack(size := hi - lo, lo := lo)) AS net, count(net) = 0 AS missed
+    FROM p LEFT JOIN r ON ip BETWEEN lo AND hi GROUP BY o_orderkey
+""")
+def geo_ranges_v6(spark, sf):
+    """Overlapping IPv6 ranges, aligned and not; the narrowest one wins, a miss is an empty map."""
+    key = F.col("n_nationkey")
+    nations = table(spark, sf, "nation").select(
+        F.col("n_name").alias("net"), _v6(key, F.lit(0), F.lit(0), F.lit(0)).alias("start"),
+        F.concat(F.lit("2001:db8:"), F.lower(F.hex(key.cast("long"))), F.lit(":ffff:ffff:ffff:255.255.255.255")).alias("end"),
+    )
+    first, number = F.col("s_nationkey"), F.col("s_suppkey")
+    suppliers = table(spark, sf, "supplier").select(
+        F.col("s_name").alias("net"), _v6(first, number, F.lit(5), F.lit(7)).alias("start"), _v6(first, number + 3, F.lit(9), F.lit(1)).alias("end"),
+    )
+    customer, order = F.col("o_custkey"), F.col("o_orderkey")
+    rows = table(spark, sf, "orders").select("o_orderkey", _v6(customer % 30, order % 200, customer % 12, order % 9).alias("ip"))
+    found = lookup.geo_enrich(rows, nations.unionByName(suppliers), "ip", "geo", on_miss="empty")
+    return found.select("o_orderkey", F.col("geo")["net"].alias("net"), (F.size("geo") == 0).alias("missed"))
+
+
 def _paired(hours):
     return f"""
     WITH e AS (SELECT *, lag(event_type) OVER w AS ptype, lag(ts) OVER w AS pts, lag(event_id) OVER w AS pid, lag(value) OVER w AS pvalue

@@ -318,3 +318,54 @@ def route_pages(spark, sf):
         {"source_pattern": "com", "field": "html", "field_pattern": 'lang="fr"', "sinks": ["french"]},
     ]
     return route.route(table(spark, sf, "pages"), rules, ["rest"], source="url").select("page_id", "sink")
+
+
+# A record of each event, nested by as many levels as its user's number says.
+DEEPEST = 14
+
+
+def _deep(spark, sf):
+    levels = F.pmod("user_id", F.lit(DEEPEST)).cast("int")
+    path = F.transform(F.sequence(F.lit(0), levels), lambda i: F.concat(F.lit("l"), i.cast("string")))
+    opening = F.array_join(F.transform(path, lambda name: F.concat(F.lit('{"at":"'), name, F.lit('","'), name, F.lit('":'))), "")
+    line = F.concat(opening, F.col("props"), F.repeat(F.lit("}"), levels + 1))
+    return logs(spark, sf).select("id", F.concat(F.array_join(path, "."), F.lit(".k")).alias("path"), F.parse_json(line).alias("record"), (levels + 2).alias("n"))
+
+
+@query(f"""
+    SELECT event_id AS id, json_extract_string(props, '$.k') AS k, user_id % {DEEPEST} + 2 AS n_leaves, 'l' || user_id % {DEEPEST} AS last
+    FROM events
+""")
+def flatten_deep(spark, sf):
+    """All leaves of records up to fifteen levels deep, undeclared."""
+    flat = shape.flatten_open(_deep(spark, sf), "record", "leaves")
+    last = F.element_at("leaves", F.concat(F.regexp_extract("path", r"^(.*\.)?l\d+\.k$", 1), F.lit("at")))
+    return flat.select("id", F.element_at("leaves", F.col("path")).alias("k"), F.size("leaves").cast("long").alias("n_leaves"), last.alias("last"))
+
+
+@query(f"""
+    SELECT event_id AS id, {", ".join(f"CASE WHEN user_id % {DEEPEST} = {n} THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k{n}" for n in range(DEEPEST))},
+           CASE WHEN user_id % {DEEPEST} >= 10 THEN 'l10' END AS at9
+    FROM events
+""")
+def flatten_variant_rule(spark, sf):
+    """The same records through a flatten rule: every leaf that occurs becomes a column."""
+    flat = shape.flatten(_deep(spark, sf), [{"field": "record", "prefix": "@field", "drop_source": True}])
+    name = lambda n: "record." + ".".join(f"l{i}" for i in range(n + 1))
+    have = lambda c, kind: F.col(f"`{c}`") if c in flat.columns else F.lit(None).cast(kind)
+    return flat.select("id", *[have(name(n) + ".k", "bigint").cast("bigint").alias(f"k{n}") for n in range(DEEPEST)], have(name(9) + ".at", "string").alias("at9"))
+
+
+@query("""
+    SELECT event_id AS id,
+           CASE WHEN event_type IN ('click', 'view') THEN NULL ELSE value END AS number,
+           CASE WHEN event_type IN ('click', 'view') THEN 'cast: field text is not float: ' || CASE event_type WHEN 'click' THEN '1e400' ELSE '-9' || repeat('0', 400) END END AS _error,
+           CASE event_type WHEN 'click' THEN '1e400' WHEN 'view' THEN '-9' || repeat('0', 400) ELSE CAST(value AS VARCHAR) END AS text
+    FROM events
+""")
+def cast_edges(spark, sf):
+    """Numbers too large for the type don't read; the value goes to a column of its own, the text stays."""
+    level = F.col("level")
+    text = F.when(level == "click", "1e400").when(level == "view", F.concat(F.lit("-9"), F.repeat(F.lit("0"), 400))).otherwise(F.col("value").cast("string"))
+    rows = logs(spark, sf).select("id", text.alias("text"))
+    return values.cast(rows, [{"field": "text", "type": "float", "dest": "number"}])

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidelog.operators import numbering, suppress
 from tidelog.specs import Scoped
-from workload import LOGS_SQL, logs, query
+from workload import LOGS_SQL, logs, query, table
 
 COLUMNS = "source, level, ts, id, user_id, value, props"
 
@@ -34,6 +34,17 @@ def dedupe_by_user(spark, sf):
     return suppress.dedupe(logs(spark, sf), {"fields": ["user_id"], "window": "12h"})
 
 
+@query(f"""
+    WITH RECURSIVE rows_ AS MATERIALIZED (SELECT o_orderkey, o_orderstatus, TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * o_orderkey AS ts FROM orders),
+    {leaders_sql("lead_", "rows_", "o_orderstatus", "200 SECOND")}
+    SELECT o_orderkey, o_orderstatus FROM rows_ JOIN lead_ ON o_orderstatus = k AND ts = t
+""")
+def dedupe_dense(spark, sf):
+    """Few keys of many rows, most about six tenths of a window apart: nearly each second row opens one."""
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.timestamp_micros(F.lit(1704067200000000) + F.col("o_orderkey") * 60_000_000).alias("ts"))
+    return suppress.dedupe(rows, {"fields": ["o_orderstatus"], "window": "200s"}, row_id="o_orderkey").select("o_orderkey", "o_orderstatus")
+
+
 @query(f"""
     WITH RECURSIVE rows_ AS MATERIALIZED ({LOGS_SQL}),
     err AS MATERIALIZED (SELECT *, user_id AS k0 FROM rows_ WHERE source = 'error'),

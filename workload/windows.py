@@ -97,6 +97,24 @@ def sliding_totals(spark, sf):
     return aggregates.sliding_count(logs(spark, sf), "12h", 12, n="user_id")
 
 
+@query("""
+    SELECT event_id AS id, count(*) OVER w AS count, round(sum(value) OVER w, 4) AS total FROM events
+    WINDOW w AS (ORDER BY epoch_us(ts) RANGE BETWEEN 21599999999 PRECEDING AND CURRENT ROW)
+""")
+def trailing_totals(spark, sf):
+    """Rows and sum of the six hours up to each row, over all sources: one shared order, cut into slices."""
+    out = aggregates.trailing_totals(logs(spark, sf), "6h", value="value", rows_per_task=2_000)
+    return out.select("id", "count", F.round("total", 4).alias("total"))
+
+
+@query("""
+    SELECT event_id AS id, event_type AS source, count(*) OVER w AS count, CAST(sum(user_id) OVER w AS BIGINT) AS total FROM events
+    WINDOW w AS (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW)
+""")
+def trailing_by_source(spark, sf):
+    return aggregates.trailing_totals(logs(spark, sf), "24h", value="user_id", keys=["source"]).select("id", "source", "count", "total")
+
+
 @query("SELECT event_type AS name, count(*) AS value FROM events GROUP BY 1")
 def counter_totals(spark, sf):
     return counters.stage_counters(logs(spark, sf), "source")
