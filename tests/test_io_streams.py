@@ -357,6 +357,32 @@ def test_fan_out(spark, tmp_path):
     assert spark.read.schema("id long").json(str(tmp_path / "a")).count() == 2
 
 
+def test_fan_out_of_a_stream_goes_on_where_it_failed(spark, files, tmp_path):
+    """Sinks that finished a batch don't get it again; a folder sink that failed within one shows nothing of it."""
+    taken, failed = [], set()
+
+    def broken(df, where):
+        df.limit(1).write.json(where)
+        if where not in failed:
+            failed.add(where)
+            raise OSError("no disk")
+        df.write.mode("overwrite").json(where)
+
+    plain = lambda df: taken.extend(r["id"] for r in df.collect())
+    stream = readers.stream_records(spark, "json", files[0], SCHEMA, max_files=1).select("id")
+    seen = []
+    for _ in range(9):
+        query = sinks.start_fan_out(stream, {"plain": plain, "folders": sinks.BatchFolders(str(tmp_path / "b"), broken)}, str(tmp_path / "state"))
+        try:
+            query.awaitTermination()
+            break
+        except Exception:
+            seen.append(len([p for p in (tmp_path / "b").glob("batch=*")]) if (tmp_path / "b").exists() else 0)
+    assert seen == [0, 1, 2] and len(failed) == 3
+    assert sorted(taken) == list(range(240))
+    assert sorted(r["id"] for r in spark.read.schema("id long").json(str(tmp_path / "b")).collect()) == list(range(240))
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "one.log").write_text("a\nb\n")
     (tmp_path / "two.log").write_text("c")

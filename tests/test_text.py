@@ -122,3 +122,33 @@ def test_multiline_rules():
     for bad in ({}, {"start_pattern": "a", "continue_pattern": "b"}, {"start_pattern": "a", "max_lines": -1}, {"start_pattern": "("}):
         with pytest.raises(ValueError):
             multiline.MultilineRule.parse(bad)
+
+
+# Pattern, a text, and what the linear-time dialect says of it.
+DIALECT = [
+    (r"\Qa$b\E", "xa$by", True), (r"\Qa$b\E", "a", False), (r"\Qa.b", "axb", False), (r"\Qa.b", "a.b", True), (r"\Q(\E+", "((", True), (r"\Q\\E", "\\", True),
+    (r"(?m:^a$)\n", "b\na\nc", True), (r"(?m:^a$)$", "a\nb", False), ("(?m)^a$", "b\na", True), ("^a$", "b\na", False), (r"(?:(?m)a$)b", "ab", False), (r"((?m)a$)\nb$", "a\nb\nc", False),
+    (r"((?m)a$)\nb$", "a\nb", True), (r"(?m)\n^\z", "a\n", True), (r"^\z", "", True), (r"(?m)a$", "a\r\n", False), ("(?-m:^b)", "a\nb", False), ("(?m)a(?-m:^b)", "a\nb", False),
+    (r"[\s,]", "\x0b", False), (r"[\s,]", "\t", True), (r"[^\s]", "\x0b", True), (r"[\S]", "\x0b", True), (r"[a\S]", " ", False), (r"\s", "\x0b", False), (r"\v", "\x0b", True), (r"\v", "\n", False),
+    (r"[[:space:]]", "\x0b", True), (r"[[:^digit:]x]", "5", False), (r"\p{^Greek}", "α", False), (r"\P{^Greek}", "α", True), ("a+?b", "aab", True), ("a{2,3}?b", "aab", True), ("a{b", "a{b", True), ("a{,2}", "a{,2}", True),
+    (r"(?i)É", "é", True), ("(?s)a.b", "a\nb", True), ("a.b", "a\nb", False), ("a.b", "a\rb", True), ("[]a]", "]", True), ("[^]a]", "]", False), ("[a&&b]", "&", True), ("[[]", "[", True), ("[:alpha:]", "p", True), ("[:alpha:]", "x", False),
+    (r"\x{1F642}", "🙂", True), (r"\.", "a", False), ("", "x", True),
+]
+
+
+def test_dialect(spark):
+    for pattern, text, hit in DIALECT:
+        df = spark.createDataFrame([(text,)], "t string")
+        assert df.select(search(F.col("t"), pattern)).first()[0] is hit, (pattern, text)
+
+
+@pytest.mark.parametrize("pattern", ["a++", "a*+", "a?+", "a{2}+", "a**", "a+??", "a{2}{3}", r"\R", r"\h", r"\Z", r"\G", r"\X", "(?U)a", "(?x)a", "(?=a)", "(?<!a)", "(?>a)", r"(a)\1", r"\k", "a)", "(a", "[a", r"[\b]", "a\\", "[[:nope:]]"])
+def test_dialect_refuses(spark, pattern):
+    with pytest.raises(ValueError):
+        java_pattern(pattern)
+
+
+def test_replacement_in_quoted_patterns(spark):
+    df = spark.createDataFrame([("a(b) a(c)",)], "t string")
+    assert df.select(replace_all(F.col("t"), r"\Qa(\E(\w)\)", "$1!")).first()[0] == "b! c!"
+    assert df.select(replace_all(F.col("t"), r"(?P<x>[[:alpha:]])\(", "${x}<")).first()[0] == "a<b) a<c)"

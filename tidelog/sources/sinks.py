@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidelog.functions.columns import field
 from tidelog.functions.layouts import format_time
 from tidelog.operators.render import as_text, json_of_columns
+from tidelog.plans.sizing import staged
 from tidelog.specs import require
 
 Writer = Callable[[DataFrame], None]
@@ -70,28 +71,57 @@ def console_sink(ingest: str | None = None) -> Writer:
 
 
 def fan_out(df: DataFrame, sinks: Mapping[str, Writer], *, stop_at_error: bool = False) -> None:
-    """Write the same rows to every sink; the input is computed once.
+    """Write the same rows to every sink; the input is computed once, into the shared checkpoint folder.
 
     All sinks are tried unless ``stop_at_error``; errors are raised at the end.
     """
     require(bool(sinks), "at least one sink is required")
     errors = []
-    held = df.persist(StorageLevel.MEMORY_AND_DISK) if len(sinks) > 1 else df
-    try:
-        for name, write in sinks.items():
-            try:
-                write(held)
-            except Exception as error:
-                if stop_at_error:
-                    raise
-                errors.append((name, error))
-    finally:
-        if len(sinks) > 1:
-            held.unpersist()
+    held = staged(df) if len(sinks) > 1 else df
+    for name, write in sinks.items():
+        try:
+            write(held)
+        except Exception as error:
+            if stop_at_error:
+                raise
+            errors.append((name, error))
     if errors:
         raise RuntimeError("sinks failed: " + "; ".join(f"{n}: {e}" for n, e in errors)) from errors[0][1]
 
 
+@dataclass(frozen=True)
+class BatchFolders:
+    """A sink with a folder for each micro-batch, which appears whole or not at all.
+
+    A batch is written beside its place and then renamed to it. The renamed
+    folder is the mark that the batch is there, so one that comes again after a
+    failure is passed over. Read ``path`` as a table; the batch is a column.
+    """
+
+    path: str
+    write: Callable[[DataFrame, str], None]
+
+    def take(self, df: DataFrame, batch: int) -> None:
+        spark = df.sparkSession
+        spot = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        place, beside = spot(f"{self.path}/batch={batch}"), spot(f"{self.path}/.staged-{batch}")
+        system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if system.exists(place):
+            return
+        system.delete(beside, True)
+        self.write(df, beside.toString())
+        if not system.rename(beside, place):
+            raise OSError(f"sink: could not move batch {batch} to its place below {self.path}")
+
+
+def json_folders(path: str) -> BatchFolders:
+    return BatchFolders(path, lambda df, where: df.write.json(where))
+
+
+def text_folders(path: str, ingest: str | None = None) -> BatchFolders:
+    return BatchFolders(path, lambda df, where: tabbed_lines(df, ingest).write.text(where))
+
+
 def write_routed(df: DataFrame, path: str, *, sink: str = "sink", fmt: str = "json") -> None:
     """Routed rows below ``path/sink=<name>``."""
     df.write.mode("append").partitionBy(sink).format(fmt).save(path)
@@ -126,12 +156,34 @@ def start_console(df: DataFrame, checkpoint: str, ingest: str | None = None, **t
     )
 
 
-def start_fan_out(df: DataFrame, sinks: Mapping[str, Writer], checkpoint: str, **trigger) -> StreamingQuery:
-    """Every micro-batch to every sink."""
-    return (
-        df.writeStream.foreachBatch(lambda rows, _: fan_out(rows, sinks, stop_at_error=True))
-        .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
-    )
+def start_fan_out(df: DataFrame, sinks: Mapping[str, Writer | BatchFolders], checkpoint: str, **trigger) -> StreamingQuery:
+    """Every micro-batch to every sink, in order; an error stops the stream, a restart goes on from there.
+
+    :class:`BatchFolders` take each batch once whatever fails. Other sinks are
+    marked below ``checkpoint`` as they finish a batch and not asked again, so
+    only the one that failed sees a batch twice.
+    """
+    require(bool(sinks), "at least one sink is required")
+
+    def marked(name: str, write: Writer, batch: int) -> Writer:
+        def once(rows: DataFrame) -> None:
+            spark = rows.sparkSession
+            mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/sinks/{name}/{batch}")
+            system = mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            if not system.exists(mark):
+                write(rows)
+                system.create(mark).close()
+
+        return once
+
+    def give(rows: DataFrame, batch: int) -> None:
+        bound = {
+            name: (lambda df, s=sink: s.take(df, batch)) if isinstance(sink, BatchFolders) else marked(name, sink, batch)
+            for name, sink in sinks.items()
+        }
+        fan_out(rows, bound, stop_at_error=True)
+
+    return df.writeStream.foreachBatch(give).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def start_batches(

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from itertools import count, islice
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -98,6 +98,11 @@ def keyed_stream(
     )
 
 
+def held_state(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
+    """What a stateful stream holds after its last batch, as a table: ``state`` (open windows, counters) or ``index`` (rows not yet due)."""
+    return spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
+
+
 def unpack(out: DataFrame, schema: T.StructType, packed: str = "row", dest: str = "__row") -> DataFrame:
     return out.withColumn(dest, F.from_json(field(packed), schema, PACK)).drop(packed)
 

@@ -1,5 +1,6 @@
 """Sources, sinks and streaming twins, run over the whole tables."""
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tidelog.operators import filters, multiline, parse, route
@@ -7,7 +8,7 @@ from tidelog.plans.flow import Flow, run_flow, run_stage
 from tidelog.session import configure_streaming
 from tidelog.sources import readers, sinks
 from tidelog.specs import Scoped
-from tidelog.streaming import closing, native, state, stepped
+from tidelog.streaming import closing, native, observed, state, stepped
 from workload import LOGS_SQL, logs, query, scratch, table
 from workload.enrichment import _paired
 from workload.stateful import leaders_sql
@@ -42,17 +43,19 @@ def entry_sink(spark, sf):
 
 
 @query("""
-    SELECT kind, count(*) AS n FROM events, (SELECT unnest(['json', 'text']) AS kind) GROUP BY kind
+    SELECT 'json' AS kind, event_id AS id, event_type AS level, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS time, props AS message FROM events
+    UNION ALL SELECT 'text', NULL, event_type, strftime(ts, '%Y-%m-%dT%H:%M:%SZ'), props FROM events
 """)
 def fan_out_sinks(spark, sf):
-    """The same rows to a JSON and a text sink, computed once."""
+    """The same rows to a JSON and a text sink, computed once; both read back."""
     one, two = scratch(spark, "json"), scratch(spark, "text")
-    rows = logs(spark, sf).select("id", "level", F.col("props").alias("message"), F.col("ts").alias("time"))
+    time = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    rows = logs(spark, sf).select("id", "level", F.col("props").alias("message"), time.alias("time"))
     sinks.fan_out(rows, {"json": sinks.json_sink(one), "text": sinks.text_sink(two)})
-    both = spark.read.text(one).withColumn("kind", F.lit("json")).unionByName(
-        spark.read.text(two).withColumn("kind", F.lit("text"))
-    )
-    return both.groupBy("kind").agg(F.count("*").alias("n"))
+    held = spark.read.schema("id bigint, level string, time string, message string").json(one).withColumn("kind", F.lit("json"))
+    parts = F.split("value", "\t", 3)
+    lines = spark.read.text(two).select(F.lit(None).cast("bigint").alias("id"), parts[1].alias("level"), parts[0].alias("time"), parts[2].alias("message"), F.lit("text").alias("kind"))
+    return held.unionByName(lines)
 
 
 @query("""
@@ -437,18 +440,86 @@ def stream_stateless(spark, sf):
     return drained(spark, parsed.select("id", "k"))
 
 
-@query("SELECT sink, count(*) AS n FROM events, (SELECT unnest(['a', 'b']) AS sink) GROUP BY sink")
+TWO_SINKS = "SELECT sink, event_id AS id, event_type AS level FROM events, (SELECT unnest(['a', 'b']) AS sink)"
+
+
+def _read_sinks(spark, paths):
+    both = None
+    for name, path in paths.items():
+        part = spark.read.schema("id bigint, level string").json(path).select("id", "level", F.lit(name).alias("sink"))
+        both = part if both is None else both.unionByName(part)
+    return both
+
+
+@query(TWO_SINKS)
 def stream_fan_out(spark, sf):
     """Each micro-batch to two sinks."""
     paths = {name: scratch(spark, name) for name in ("a", "b")}
     writers = {name: sinks.json_sink(path) for name, path in paths.items()}
-    running = sinks.start_fan_out(events_stream(spark, sf).select("id"), writers, scratch(spark, "fan-state"))
+    running = sinks.start_fan_out(arriving(spark, sf).select("id", "level"), writers, scratch(spark, "fan-state"))
     running.awaitTermination()
-    both = None
-    for name, path in paths.items():
-        part = spark.read.schema("id bigint").json(path).withColumn("sink", F.lit(name))
-        both = part if both is None else both.unionByName(part)
-    return both.groupBy("sink").agg(F.count("id").alias("n"))
+    return _read_sinks(spark, paths)
+
+
+@query(TWO_SINKS)
+def stream_fan_out_replay(spark, sf):
+    """The second sink fails once in every batch, after the first has taken it; the stream is started again each time."""
+    paths = {name: scratch(spark, name) for name in ("a", "b")}
+    second, failed = sinks.json_folders(paths["b"]), set()
+
+    def failing(df, where):
+        # The folder's name ends in the batch's number.
+        second.write(df, where)
+        if where not in failed:
+            failed.add(where)
+            raise OSError("the sink went away")
+
+    stream, checkpoint = arriving(spark, sf).select("id", "level"), scratch(spark, "fan-state")
+    for attempt in range(4 * SLICES + 2):
+        running = sinks.start_fan_out(stream, {"a": sinks.json_folders(paths["a"]), "b": sinks.BatchFolders(paths["b"], failing)}, checkpoint)
+        try:
+            running.awaitTermination()
+            break
+        except StreamingQueryException:
+            continue
+    assert failed
+    return _read_sinks(spark, paths)
+
+
+@query("""
+    SELECT stage, name, value FROM (
+        SELECT 'read' AS stage, 'rows' AS name, count(*) AS value FROM events
+        UNION ALL SELECT 'read', 'errors', count(*) FILTER (event_type = 'error') FROM events
+        UNION ALL SELECT 'kept', 'rows', count(*) FROM events WHERE event_type IN ('error', 'click')
+        UNION ALL SELECT 'kept', 'large', count(*) FILTER (value > 50) FROM events WHERE event_type IN ('error', 'click'))
+""")
+def stream_stage_counters(spark, sf):
+    """Counts at two stages of a stream of several batches, from its progress."""
+    listener = observed.StageCounters().start(spark)
+    try:
+        read = observed.counted(arriving(spark, sf), "read", {"rows": None, "errors": F.col("level") == "error"})
+        kept = filters.filter_rules(read, [{"field": "level", "pattern": "^(error|click)$"}])
+        out = observed.counted(kept, "kept", {"rows": None, "large": F.col("value") > 50}).select("id")
+        running = out.writeStream.format("parquet").option("path", scratch(spark, "counted")).option("checkpointLocation", scratch(spark, "counted-state")).trigger(availableNow=True).start()
+        listener.finish(running)
+        return listener.totals(spark)
+    finally:
+        listener.stop(spark)
+
+
+@query(f"""
+    WITH RECURSIVE reached AS (SELECT max(epoch_us(ts)) // 1000 * 1000 - 16 * 86400000000 AS t FROM ({TIMED})),
+    rows_ AS MATERIALIZED (SELECT e.* FROM ({TIMED}) e, reached WHERE epoch_us(e.ts) <= reached.t), {leaders_sql("lead_", "rows_", "user_id", "12 HOUR")},
+    last AS (SELECT k, max(t) AS t FROM lead_ GROUP BY k)
+    SELECT k AS user_id, epoch_us(last.t) AS opened_us FROM last, reached WHERE epoch_us(last.t) + 43200000000 > reached.t
+""")
+def state_after_purge(spark, sf):
+    """The state that a stream of twelve-hour windows holds at its end, read as a table: open windows, nothing of expired keys."""
+    checkpoint = scratch(spark, "purge-state")
+    kept = state.dedupe(arriving(spark, sf), {"fields": ["user_id"], "window": "12h"}, delay=DELAY)
+    sinks.resume_ingest(kept.select("id"), scratch(spark, "purged"), checkpoint)
+    held = state.held_state(spark, checkpoint, "state")
+    return held.select(F.get_json_object("key.key", "$[0]").cast("bigint").alias("user_id"), F.col("value.start").alias("opened_us"))
 
 
 @query("SELECT unnest(string_split(text, chr(10))) AS line FROM documents UNION ALL SELECT unnest(string_split(text, chr(10))) FROM conversations")

@@ -369,3 +369,25 @@ def cast_edges(spark, sf):
     text = F.when(level == "click", "1e400").when(level == "view", F.concat(F.lit("-9"), F.repeat(F.lit("0"), 400))).otherwise(F.col("value").cast("string"))
     rows = logs(spark, sf).select("id", text.alias("text"))
     return values.cast(rows, [{"field": "text", "type": "float", "dest": "number"}])
+
+
+@query(r"""
+    SELECT event_id AS id, regexp_matches(props, '^\{"k": \d+\}$') AS quoted, event_type = 'click' AS lines, false AS blanks,
+           event_type IN ('click', 'error') AS outer_end
+    FROM events
+""")
+def filter_dialect(spark, sf):
+    """Quoted text, flags that end with their group, and white space without the vertical tab, in filter rules."""
+    level = F.col("level")
+    rows = logs(spark, sf).select(
+        "id", F.col("props").alias("quoted"), F.concat(F.lit("a\n"), level, F.lit("\nb")).alias("lines"),
+        F.concat(level, F.lit("\x0b"), level).alias("blanks"), F.concat(level, F.lit("\n"), F.when(level.isin("click", "error"), "end").otherwise("end\nmore")).alias("outer_end"),
+    )
+    patterns = {"quoted": r'^\Q{"k": \E\d+\Q}\E$', "lines": "(?m:^click$)", "blanks": r"[\s,]", "outer_end": r"(?m:[a-z]$)\nend$"}
+    hits = None
+    for name, pattern in patterns.items():
+        kept = filters.filter_rules(rows, [{"field": name, "pattern": pattern}]).select("id", F.lit(name).alias("rule"))
+        hits = kept if hits is None else hits.unionByName(kept)
+    found = hits.groupBy("id").agg(F.collect_set("rule").alias("rules"))
+    marked = rows.select("id").join(found, "id", "left")
+    return marked.select("id", *[F.coalesce(F.array_contains("rules", name), F.lit(False)).alias(name) for name in patterns])
