@@ -2,8 +2,9 @@
 
 Counts, discounts and probabilities are tables keyed by language and n-gram,
 made and looked up by shuffled joins, so that no machine holds the model. To
-score, documents are dealt into chunks of bounded text; each chunk asks once
-for each n-gram it has, and the answers meet its documents in a cogroup.
+score, documents are dealt into chunks of bounded text, in the order they are
+read; each chunk asks once for each n-gram it has, and the answers meet its
+documents in a cogroup. Labelled documents are scored with the others, once.
 """
 
 from __future__ import annotations
@@ -17,16 +18,17 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import row_key, table, text_or_empty
+from tidelog.llm.common import table, text_or_empty
 from tidelog.plans.sizing import maybe_broadcast
 
 ORDER = 4
 START = "\x02"  # stands before each text
-CHUNK_CHARS = 16_000_000
+CHUNK_CHARS = 8_000_000  # a longer text is a chunk of its own
 BLOCK_CHARS = 1_000_000  # n-grams of so much text are in a worker's memory at a time
 
 HELD_OUT = 5  # every fifth trusted document, by hash, sets the thresholds; the others train the model
@@ -123,13 +125,24 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(grams)), grams, pa.array(counts, pa.int64())], ["lang", "gram", "n"])
 
 
-def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed one by one, which halves what the shuffle writes."""
+def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, and each row's chunk: rows of one task that follow each other, up to ``CHUNK_CHARS``.
+
+    Equal rows share no chunk for being equal, so a group of copies of any size is spread like other rows.
+    """
     packer = zstandard.ZstdCompressor(level=1)
+    chunk, held = TaskContext.get().partitionId() << 32, 0
     for batch in batches:
         at = batch.schema.get_field_index("text")
-        packed = [None if t is None else packer.compress(t.encode()) for t in batch.column(at).to_pylist()]
-        yield batch.set_column(at, "text", pa.array(packed, pa.binary()))
+        packed, chunks = [], []
+        for text in batch.column(at).to_pylist():
+            size = len(text or "")
+            if held and held + size > CHUNK_CHARS:
+                chunk, held = chunk + 1, 0
+            held += size
+            packed.append(None if text is None else packer.compress(text.encode()))
+            chunks.append(chunk)
+        yield batch.set_column(at, "text", pa.array(packed, pa.binary())).append_column("__chunk", pa.array(chunks, pa.int64()))
 
 
 def unpack(column: pa.ChunkedArray | pa.Array) -> list[str]:
@@ -152,7 +165,7 @@ def ask_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 asked[chunk, lang] = grams if old is None else pc.unique(pa.concat_arrays([old, grams]))
     for (chunk, lang), grams in asked.items():
         n = len(grams)
-        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(chunk, pa.int32()), n), pa.repeat(pa.scalar(lang, pa.string()), n), grams], ["__chunk", "lang", "gram"])
+        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(chunk, pa.int64()), n), pa.repeat(pa.scalar(lang, pa.string()), n), grams], ["__chunk", "lang", "gram"])
 
 
 def means(x: np.ndarray, width: int) -> np.ndarray:
@@ -207,20 +220,23 @@ def measures(texts: list[str], grams: pa.Array, logs: np.ndarray) -> np.ndarray:
 
 
 def scorer(names: list[str]):
-    """Cogroup: documents of one chunk, and the log probabilities of its n-grams."""
+    """Cogroup: documents of one chunk, and the log probabilities of its n-grams. ``names`` are the columns to give back."""
 
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
         found = np.full((len(MEASURES), docs.num_rows), np.nan)
         langs = pc.fill_null(docs["lang"].combine_chunks(), "")
+        texts = unpack(docs["text"])
         for lang in pc.unique(langs).to_pylist():
             rows = np.flatnonzero(pc.equal(langs, lang).to_numpy(zero_copy_only=False))
-            own = answers.filter(pc.equal(answers["lang"], lang))
+            # A chunk that two tasks read asks twice.
+            own = answers.filter(pc.equal(answers["lang"], lang)).group_by("gram").aggregate([("log", "max")])
             if own.num_rows:
-                texts = unpack(docs["text"].take(pa.array(rows)))
-                found[:, rows] = measures(texts, own["gram"].combine_chunks(), own["log"].to_numpy().astype(np.float64))
-        plain = pa.array([t if k else None for t, k in zip(unpack(docs["text"]), docs["text"].is_valid().to_pylist())], pa.string())
-        docs = docs.set_column(docs.schema.get_field_index("text"), "text", plain)
-        docs = docs.select(names)
+                found[:, rows] = measures([texts[i] for i in rows], own["gram"].combine_chunks(), own["log_max"].to_numpy().astype(np.float64))
+        some = pa.array([bool(t) for t in texts], pa.bool_())
+        if "text" in names:
+            given = docs["text"].is_valid().to_pylist()
+            docs = docs.set_column(docs.schema.get_field_index("text"), "text", pa.array([t if g else None for t, g in zip(texts, given)], pa.string()))
+        docs = docs.select(names).append_column("__some", some)
         for name, values in zip(MEASURES, found):
             docs = docs.append_column(name, pa.array(np.round(values, 4), pa.float64(), from_pandas=True))
         return docs
@@ -306,22 +322,24 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(count_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def perplexity(docs: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """``docs`` with ``MEASURES``; null for empty texts and for languages without a model.
+def perplexity(docs: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]], *, text: bool = True) -> DataFrame:
+    """``docs`` with ``MEASURES``, null for empty texts and for languages without a model, and ``__some``: the text is not empty.
 
-    Three passes: the n-grams of all texts are looked up once; the texts,
-    dealt into chunks, ask for theirs; texts and answers meet in a cogroup
-    that reads the same shuffle of the texts again.
+    The texts are dealt into chunks and written, compressed; chunks ask for
+    their n-grams, each distinct one is looked up once, and texts and answers
+    meet in a cogroup. Without ``text`` the texts don't come back from there.
     """
-    chars = docs.agg(F.sum(F.length(text_or_empty()))).first()[0] or 0
-    chunks = max(1, -(-chars // CHUNK_CHARS))
-    logs = table(look_up(table(gram_counts(docs).select("lang", "gram"), "wanted"), model), "logs")
-    dealt = docs.withColumn("text", F.col("text").cast("string")).withColumn("__chunk", F.pmod(row_key(), F.lit(chunks)).cast("int"))
-    packed = T.StructType([T.StructField("text", T.BinaryType()) if f.name == "text" else f for f in dealt.schema.fields])
-    parted = dealt.mapInArrow(pack, packed).repartition(chunks, "__chunk")
-    answers = parted.mapInArrow(ask_grams, "__chunk int, lang string, gram string").join(logs, ["lang", "gram"])
-    schema = T.StructType([*dealt.drop("__chunk").schema.fields, *[T.StructField(m, T.DoubleType()) for m in MEASURES]])
-    return parted.groupBy("__chunk").cogroup(answers.groupBy("__chunk")).applyInArrow(scorer(docs.columns), schema)
+    typed = docs.withColumn("text", F.col("text").cast("string"))
+    packed = T.StructType([T.StructField("text", T.BinaryType()) if f.name == "text" else f for f in typed.schema.fields]).add("__chunk", "long")
+    dealt = table(typed.mapInArrow(deal, packed), "dealt")
+    asked = table(dealt.select("__chunk", "lang", "text").mapInArrow(ask_grams, "__chunk long, lang string, gram string"), "asked")
+    logs = table(look_up(table(asked.select("lang", "gram").distinct(), "wanted"), model), "logs")
+    answers = asked.join(logs, ["lang", "gram"])
+    names = [c for c in docs.columns if text or c != "text"]
+    schema = T.StructType([*typed.select(*[F.col(f"`{c}`") for c in names]).schema.fields, T.StructField("__some", T.BooleanType()), *[T.StructField(m, T.DoubleType()) for m in MEASURES]])
+    chunks = max(1, dealt.select("__chunk").distinct().count())
+    parted = dealt.repartition(chunks, "__chunk")
+    return parted.groupBy("__chunk").cogroup(answers.groupBy("__chunk")).applyInArrow(scorer(names), schema)
 
 
 def thresholds(scored: DataFrame, quantile: float) -> DataFrame:
@@ -383,23 +401,26 @@ def limits_of(judged: DataFrame, quantile: float) -> DataFrame:
     return limits.withColumn("__perplexity_most", F.coalesce("__perplexity_most", "most")).drop("most")
 
 
-def bad_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that a label calls toxic or of quality 0."""
-    bad = labels.filter("doc_id IS NOT NULL AND (quality = 0 OR toxic = 1)").select("doc_id").distinct()
-    return docs.select("doc_id", "text", "lang").join(maybe_broadcast(bad), "doc_id", "left_semi")
+def verdicts(labels: DataFrame) -> DataFrame:
+    """A row per labelled document: ``__good`` if all its labels say quality 1 and not toxic, ``__bad`` if one says toxic or quality 0."""
+    quality, toxic = F.coalesce("quality", F.lit(0)), F.coalesce("toxic", F.lit(0))
+    bad = F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))
+    return labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(((F.min(quality) == 1) & (F.max(toxic) == 0)).alias("__good"), F.max(bad).alias("__bad"))
+
+
+def is_held() -> Column:
+    """Whether a trusted document is held out from training."""
+    return F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
 
 
 def trusted_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose labels all say quality 1 and not toxic, with ``__held``: held out from training."""
-    good = (
-        labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("__q"), F.max(F.coalesce("toxic", F.lit(0))).alias("__t"))
-        .filter("__q = 1 AND __t = 0").select("doc_id")
-    )
-    return docs.select("doc_id", "text", "lang").join(maybe_broadcast(good), "doc_id", "left_semi").withColumn("__held", F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0)
+    """Rows of ``docs`` whose labels all say quality 1 and not toxic, with ``__held``."""
+    good = verdicts(labels).filter("__good").select("doc_id")
+    return docs.select("doc_id", "text", "lang").join(maybe_broadcast(good), "doc_id", "left_semi").withColumn("__held", is_held())
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """``docs`` (``doc_id``, ``text``, ``lang``; more columns stay) with ``__perplexity`` and ``__keep``.
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, *, text: bool = True) -> DataFrame:
+    """``docs`` (``doc_id``, ``text``, ``lang``; more columns stay) with ``__perplexity`` and ``__keep``; without ``text`` if that is False.
 
     A document is kept if none of ``MEASURES`` under the model of its language
     is above its cut. The cuts of a language are set by labelled bad documents
@@ -408,20 +429,22 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     Empty and null texts are not kept. A language without
     trusted text (or without held-out text) gives no evidence: its documents
     are kept. A null language is one of its own. Every input row gives one
-    row; repeated rows fare alike.
+    row; repeated rows fare alike. Texts of any length are scored whole; one
+    longer than ``CHUNK_CHARS`` is a chunk, so a task holds the longest text.
     """
-    trusted = trusted_rows(docs, labels)
-    model = train(trusted.filter("NOT __held"))
-    known = trusted.withColumnRenamed("__held", "held").withColumn("bad", F.lit(0)).unionByName(bad_rows(docs, labels).withColumns({"held": F.lit(False), "bad": F.lit(1)}))
-    judged = perplexity(known, model).select(F.coalesce("lang", F.lit("")).alias("lang"), "bad", "held", *MEASURES)
+    model = train(trusted_rows(docs, labels).filter("NOT __held"))
+    scored = table(perplexity(docs, model, text=text), "scored")
+    labelled = table(verdicts(labels).filter("__good OR __bad"), "labelled").withColumnRenamed("doc_id", "__doc")
+    # Broadcast only as far as it is measured to be small; one label per document either way.
+    judged = scored.select("doc_id", "lang", *MEASURES).join(maybe_broadcast(labelled), F.col("doc_id") == F.col("__doc"))
+    judged = judged.select(F.coalesce("lang", F.lit("")).alias("lang"), F.col("__bad").cast("int").alias("bad"), (F.col("__good") & is_held()).alias("held"), *MEASURES)
     limits = maybe_broadcast(limits_of(judged, quantile).withColumnRenamed("lang", "__lang"))
-    scored = perplexity(docs, model)
     most = [f"{m}_most" for m in MEASURES]
     fits = F.lit(True)
     for measure in MEASURES:
         fits = fits & F.coalesce(F.col(measure) <= F.col(f"{measure}_most"), F.lit(True))
     return (
         scored.join(limits, F.coalesce(scored["lang"], F.lit("")) == limits["__lang"], "left")
-        .withColumn("__keep", (F.length(text_or_empty()) > 0) & fits)
-        .drop("__lang", *most, *MEASURES[:-1])
+        .withColumn("__keep", F.col("__some") & fits)
+        .drop("__lang", "__some", *most, *MEASURES[:-1])
     )

@@ -129,7 +129,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's perplexity under the model of its language, and whether it is kept."""
-    scored = quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    scored = quality.classify(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), read(spark, sf_dir, "labels"), text=False)
     return scored.select("doc_id", "lang", F.col("__perplexity").alias("perplexity"), F.col("__keep").alias("keep"))
 
 
