@@ -28,7 +28,7 @@ from tidelog.plans.sizing import maybe_broadcast
 
 ORDER = 4
 START = "\x02"  # stands before each text
-CHUNK_CHARS = 8_000_000  # a longer text is a chunk of its own
+CHUNK_CHARS = 12_000_000  # a longer text is a chunk of its own
 BLOCK_CHARS = 1_000_000  # n-grams of so much text are in a worker's memory at a time
 
 HELD_OUT = 5  # every fifth trusted document, by hash, sets the thresholds; the others train the model
@@ -126,46 +126,60 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed one by one, and each row's chunk: rows of one task that follow each other, up to ``CHUNK_CHARS``.
+    """Rows that follow each other, up to ``CHUNK_CHARS``, as one row: the chunk's number and its rows, compressed together.
 
     Equal rows share no chunk for being equal, so a group of copies of any size is spread like other rows.
     """
-    packer = zstandard.ZstdCompressor(level=1)
-    chunk, held = TaskContext.get().partitionId() << 32, 0
-    for batch in batches:
-        at = batch.schema.get_field_index("text")
-        packed, chunks = [], []
-        for text in batch.column(at).to_pylist():
-            size = len(text or "")
-            if held and held + size > CHUNK_CHARS:
-                chunk, held = chunk + 1, 0
-            held += size
-            packed.append(None if text is None else packer.compress(text.encode()))
-            chunks.append(chunk)
-        yield batch.set_column(at, "text", pa.array(packed, pa.binary())).append_column("__chunk", pa.array(chunks, pa.int64()))
-
+    chunk = TaskContext.get().partitionId() << 32
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def packed() -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema) as writer:
+            for part in held:
+                writer.write_batch(part)
+        blob = zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([blob], pa.binary())], ["__chunk", "__rows"])
 
-def unpack(column: pa.ChunkedArray | pa.Array) -> list[str]:
-    unpacker = zstandard.ZstdDecompressor()
-    return ["" if t is None else unpacker.decompress(t).decode() for t in column.to_pylist()]
+    for batch in batches:
+        lengths = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist()
+        start = 0
+        for i, length in enumerate(lengths):
+            if size and size + length > CHUNK_CHARS:
+                if i > start:
+                    held.append(batch.slice(start, i - start))
+                yield packed()
+                chunk, held, size, start = chunk + 1, [], 0, i
+            size += length
+        if batch.num_rows > start:
+            held.append(batch.slice(start))
+    if held:
+        yield packed()
+
+
+def unpack(blob: bytes) -> pa.Table:
+    with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)) as reader:
+        return reader.read_all()
+
+
+def languages(rows: pa.Table) -> Iterator[tuple[str, np.ndarray, list[str]]]:
+    """Each language of a chunk, the numbers of its rows, and their texts."""
+    langs = pc.fill_null(rows["lang"].combine_chunks(), "")
+    for lang in pc.unique(langs).to_pylist():
+        at = np.flatnonzero(pc.equal(langs, lang).to_numpy(zero_copy_only=False))
+        yield lang, at, [t or "" for t in rows["text"].take(pa.array(at)).to_pylist()]
 
 
 def ask_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct n-grams of each chunk and language of this partition."""
-    asked: dict[tuple[int, str], pa.Array] = {}
+    """The distinct n-grams of each chunk and language."""
     for batch in batches:
-        rows = pa.table({"chunk": batch.column("__chunk"), "lang": pc.fill_null(batch.column("lang"), ""), "text": batch.column("text")})
-        for part in rows.select(["chunk", "lang"]).group_by(["chunk", "lang"]).aggregate([]).to_pylist():
-            chunk, lang = part["chunk"], part["lang"]
-            texts = rows.filter(pc.and_(pc.equal(rows["chunk"], chunk), pc.equal(rows["lang"], lang)))["text"]
-            texts = unpack(texts)
-            for a, b in blocks(texts):
-                grams, _ = distinct_grams(texts[a:b])
-                old = asked.get((chunk, lang))
-                asked[chunk, lang] = grams if old is None else pc.unique(pa.concat_arrays([old, grams]))
-    for (chunk, lang), grams in asked.items():
-        n = len(grams)
-        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(chunk, pa.int64()), n), pa.repeat(pa.scalar(lang, pa.string()), n), grams], ["__chunk", "lang", "gram"])
+        for chunk, blob in zip(batch.column("__chunk"), batch.column("__rows")):
+            for lang, _, texts in languages(unpack(blob.as_py())):
+                parts = [distinct_grams(texts[a:b])[0] for a, b in blocks(texts)]
+                grams = pc.unique(pa.concat_arrays(parts)) if parts else pa.array([], pa.string())
+                n = len(grams)
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(chunk.as_py(), pa.int64()), n), pa.repeat(pa.scalar(lang, pa.string()), n), grams], ["__chunk", "lang", "gram"])
 
 
 def means(x: np.ndarray, width: int) -> np.ndarray:
@@ -220,22 +234,16 @@ def measures(texts: list[str], grams: pa.Array, logs: np.ndarray) -> np.ndarray:
 
 
 def scorer(names: list[str]):
-    """Cogroup: documents of one chunk, and the log probabilities of its n-grams. ``names`` are the columns to give back."""
+    """Cogroup: one chunk, and the log probabilities of its n-grams. ``names`` are the columns to give back."""
 
-    def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    def score(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        docs = unpack(chunk["__rows"][0].as_py())
         found = np.full((len(MEASURES), docs.num_rows), np.nan)
-        langs = pc.fill_null(docs["lang"].combine_chunks(), "")
-        texts = unpack(docs["text"])
-        for lang in pc.unique(langs).to_pylist():
-            rows = np.flatnonzero(pc.equal(langs, lang).to_numpy(zero_copy_only=False))
-            # A chunk that two tasks read asks twice.
-            own = answers.filter(pc.equal(answers["lang"], lang)).group_by("gram").aggregate([("log", "max")])
+        for lang, rows, texts in languages(docs):
+            own = answers.filter(pc.equal(answers["lang"], lang))
             if own.num_rows:
-                found[:, rows] = measures([texts[i] for i in rows], own["gram"].combine_chunks(), own["log_max"].to_numpy().astype(np.float64))
-        some = pa.array([bool(t) for t in texts], pa.bool_())
-        if "text" in names:
-            given = docs["text"].is_valid().to_pylist()
-            docs = docs.set_column(docs.schema.get_field_index("text"), "text", pa.array([t if g else None for t, g in zip(texts, given)], pa.string()))
+                found[:, rows] = measures(texts, own["gram"].combine_chunks(), own["log"].to_numpy().astype(np.float64))
+        some = pc.greater(pc.fill_null(pc.binary_length(docs["text"]), 0), 0)
         docs = docs.select(names).append_column("__some", some)
         for name, values in zip(MEASURES, found):
             docs = docs.append_column(name, pa.array(np.round(values, 4), pa.float64(), from_pandas=True))
@@ -330,16 +338,14 @@ def perplexity(docs: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]], *
     meet in a cogroup. Without ``text`` the texts don't come back from there.
     """
     typed = docs.withColumn("text", F.col("text").cast("string"))
-    packed = T.StructType([T.StructField("text", T.BinaryType()) if f.name == "text" else f for f in typed.schema.fields]).add("__chunk", "long")
-    dealt = table(typed.mapInArrow(deal, packed), "dealt")
-    asked = table(dealt.select("__chunk", "lang", "text").mapInArrow(ask_grams, "__chunk long, lang string, gram string"), "asked")
+    dealt = table(typed.mapInArrow(deal, "__chunk long, __rows binary"), "dealt")
+    asked = table(dealt.mapInArrow(ask_grams, "__chunk long, lang string, gram string"), "asked")
     logs = table(look_up(table(asked.select("lang", "gram").distinct(), "wanted"), model), "logs")
     answers = asked.join(logs, ["lang", "gram"])
     names = [c for c in docs.columns if text or c != "text"]
     schema = T.StructType([*typed.select(*[F.col(f"`{c}`") for c in names]).schema.fields, T.StructField("__some", T.BooleanType()), *[T.StructField(m, T.DoubleType()) for m in MEASURES]])
-    chunks = max(1, dealt.select("__chunk").distinct().count())
-    parted = dealt.repartition(chunks, "__chunk")
-    return parted.groupBy("__chunk").cogroup(answers.groupBy("__chunk")).applyInArrow(scorer(names), schema)
+    chunks = max(1, dealt.select("__chunk").count())
+    return dealt.repartition(chunks, "__chunk").groupBy("__chunk").cogroup(answers.groupBy("__chunk")).applyInArrow(scorer(names), schema)
 
 
 def thresholds(scored: DataFrame, quantile: float) -> DataFrame:
