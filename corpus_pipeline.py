@@ -17,10 +17,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less repeated lines; those that lose lines and have no line of three words left go. ``n_chars``, if there, is counted anew."""
+    """Documents less repeated lines; those whose every line of any content was a repeat go. ``n_chars``, if there, is counted anew.
+
+    A null text stays; so does one that was blank before. Rows equal in id and text lose the same lines.
+    """
     prepare(spark)
     left = line_dedup.deduplicate_lines(docs)
-    empty = (F.col("__n_removed") > 0) & ~F.exists(F.split("text", "\n"), lambda line: F.size(line_dedup.line_words(line)) >= line_dedup.MIN_WORDS)
+    empty = (F.col("__n_removed") > 0) & ~F.col("text").rlike("\\S")
     left = left.filter(~empty).select(docs.columns)
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
