@@ -1,10 +1,13 @@
 """Fuzzy line deduplication with DataFrame functions only.
 
-Lines are normalised to lower-case words of letters. Equal ones meet by hash;
-similar ones by SimHash: two 64-bit SimHashes that differ in at most three
-bits agree on some of their blocks (pigeonhole), so lines meet on those, and
-their edit similarity is verified. Of each connected group of lines one
-occurrence stays, the first by document and place.
+Lines are normalised to lower-case words of letters (a line without letters to
+its other words). Equal ones meet by hash. Similar ones by SimHash: a line's
+fingerprint is the SimHash of each quarter of its words, so an edit changes the
+block of its own quarter alone, and lines that differ in two quarters agree on
+the other two (pigeonhole). A word more or less moves the quarters, so the two
+outer pairs give way to halves counted from the line's start and end. Lines meet
+on those and their edit similarity is verified. Of each connected group of lines
+one occurrence stays, the first by document and place.
 """
 
 from __future__ import annotations
@@ -14,108 +17,153 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import components, link, lookup, row_key, table, text_or_empty
+from tidelog.llm.common import WORD_GAP, components, link, lookup, row_key, table, text_or_empty
 from tidelog.plans.sizing import maybe_broadcast
 
-MIN_WORDS = 3  # shorter lines are left alone: "And so." is no boilerplate
-DISTANCE = 3  # bits
 LIKE = 0.9  # edit similarity of normalised lines: 1 - distance / length of the longer
 
+BLOCKS = 4
+
+# Shorter pairs of lines are similar only if equal, or after one edit, which leaves all blocks but one.
+FUZZY_LENGTH = 10
+TWO_EDITS_LENGTH = 20
+
+# Lines from the first have halves counted from both ends, those below the second pairs of their outer quarters.
+HALVES_WORDS, QUARTERS_WORDS = 10, 12
+STEP = 1.2  # sizes of halves grow by this; a line has those of two sizes, so that a tenth of the words may come or go
+
 LONG_WORDS = 500  # the distance of longer lines is counted in words: in letters it would cost the square of a long text
 
-# Lines that may share one combination of blocks by chance; more blocks are used beyond.
-CHANCE = 64
+# Words of more letters than this on average are a script without spaces; so few words have no quarters. Letters stand for words there.
+LETTERS_A_WORD = 12
 
 
-def line_words(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), "[^\\p{L}]+"), "")
+def normalised(lines: DataFrame) -> DataFrame:
+    """``lines`` with a word in column ``raw``, which ``norm`` replaces: lower-case words of letters, else the line's words, by single spaces."""
+    letters = F.trim(F.regexp_replace(F.lower("raw"), "[^\\p{L}]+", " "))
+    other = F.trim(F.regexp_replace(F.lower("raw"), WORD_GAP, " "))
+    lines = lines.withColumn("letters", letters).withColumn("norm", F.when(F.col("letters") != "", F.col("letters")).otherwise(other))
+    return lines.drop("letters", "raw").filter("norm <> ''")
 
 
-def majority(lanes: int, step: int) -> str:
-    """SQL for the SimHash of ``words``: each bit is set if it is in over half of the words' hashes.
+def majority(lanes: list[int], step: int) -> str:
+    """SQL for a SimHash of the words ``q``: a bit is set if it is in over half of the words' hashes. ``lanes`` are the bits looked at of every ``step``.
 
     Counters lie ``step`` bits apart, so one addition counts several bits. A
     constant then lifts each counter that is over half to its second-highest bit.
     """
     mask = sum(1 << (step * i) for i in range(64 // step))
-    zero = ", ".join(f"'s{k}', 0L" for k in range(lanes))
-    add = ", ".join(f"'s{k}', a.s{k} + (shiftrightunsigned(h, {k}) & {mask}L)" for k in range(lanes))
+    zero = ", ".join(f"'s{k}', 0L" for k in lanes)
+    add = ", ".join(f"'s{k}', a.s{k} + (shiftrightunsigned(h, {k}) & {mask}L)" for k in lanes)
     top = step - 2
-    lifted = " | ".join(f"shiftleft(shiftrightunsigned(a.s{k} + ({1 << top}L - (a.n div 2 + 1)) * {mask}L, {top}) & {mask}L, {k})" for k in range(lanes))
-    return f"aggregate(transform(words, w -> xxhash64(w)), named_struct('n', 0L, {zero}), (a, h) -> named_struct('n', a.n + 1L, {add}), a -> {lifted})"
+    lifted = " | ".join(f"shiftleft(shiftrightunsigned(a.s{k} + ({1 << top}L - (a.n div 2 + 1)) * {mask}L, {top}) & {mask}L, {k})" for k in lanes)
+    return f"aggregate(transform(q, w -> xxhash64(w)), named_struct('n', 0L, {zero}), (a, h) -> named_struct('n', a.n + 1L, {add}), a -> {lifted})"
 
 
-def simhash() -> Column:
-    """Of the column ``words``: 16-bit counters hold lines of up to 2^14 words, wider ones any."""
-    return F.when(F.size("words") < 1 << 14, F.expr(majority(16, 16))).otherwise(F.expr(majority(32, 32)))
+# 32 of 64 bits, four of each eight: counters of 8 bits hold quarters of fewer than 64 words, those of 32 bits any.
+NARROW = majority([0, 1, 2, 3], 8)
+WIDE = majority([k for k in range(32) if k % 8 < 4], 32)
+SIMHASH = f"CASE size(q) WHEN 0 THEN 0L WHEN 1 THEN xxhash64(q[0]) & {0x0F0F0F0F0F0F0F0F}L ELSE IF(size(q) < 64, {NARROW}, {WIDE}) END"
 
 
-def block_combinations(lines: int) -> tuple[list[tuple[int, int]], list[tuple[int, ...]]]:
-    """Blocks (start, bits) and the sets of blocks to meet on.
+def fingerprint(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``blocks``, the SimHashes of the quarters of ``norm``, ``halves``, hashes of words from the start and the end, and ``n``, their number."""
+    words = F.split("norm", " ")
+    few = (F.size("words") < BLOCKS) | (F.length("norm") > (LETTERS_A_WORD + 1) * F.size("words"))
+    lines = lines.withColumn("words", words).withColumn("words", F.when(few, F.regexp_extract_all("norm", F.lit("([^ ])"), F.lit(1))).otherwise(F.col("words")))
+    quarters = ", ".join(f"slice(words, {k} * size(words) div {BLOCKS} + 1, {k + 1} * size(words) div {BLOCKS} - {k} * size(words) div {BLOCKS})" for k in range(BLOCKS))
+    # The largest power of STEP, rounded down, that half the words hold, and the one below.
+    power = f"cast(floor(log({STEP}, size(words) / 2.0 + 1e-9)) as int)"
+    sizes = f"transform(array({power}, {power} - 1), p -> cast(floor(pow({STEP}, p) + 1e-9) as int))"
+    halves = f"flatten(transform({sizes}, h -> array(xxhash64(40, slice(words, 1, h)), xxhash64(41, slice(words, -h, h)))))"
+    lines = lines.withColumn("n", F.size("words")).withColumn("blocks", F.expr(f"transform(array({quarters}), q -> {SIMHASH})"))
+    return lines.withColumn("halves", F.when(F.col("n") >= HALVES_WORDS, F.expr(halves)).otherwise(no_keys())).drop("words")
 
-    With ``DISTANCE + r`` blocks, r of them agree whatever bits differ, so any
-    r finds the same pairs; a larger r makes more but rarer keys. The least r
-    is taken whose keys few of so many lines share by chance.
-    """
-    r = 2  # one block of 16 bits is no key: short lines crowd on some values
-    while r < 5 and lines / 2 ** (64 * r // (DISTANCE + r)) > CHANCE:
-        r += 1
-    n = DISTANCE + r
-    edges = [64 * i // n for i in range(n + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])], list(combinations(range(n), r))
+
+def no_keys() -> Column:
+    return F.array().cast("array<bigint>")
 
 
 def buckets(lines: DataFrame) -> DataFrame:
-    """``bucket``, ``node``, ``mark`` (the SimHash) for each set of blocks."""
-    blocks, chosen = block_combinations(lines.count())
-
-    def key(number: int, picked: tuple[int, ...]) -> Column:
-        out, at = F.lit(number).cast("long"), 6
-        for i in picked:
-            start, bits = blocks[i]
-            out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned("simhash", start).bitwiseAND(F.lit((1 << bits) - 1)), at))
-            at += bits
-        return out
-
-    # With five blocks of 8 bits and more the key and its number still fit 64 bits.
-    return lines.select(F.explode(F.array(*[key(i, c) for i, c in enumerate(chosen)])).alias("bucket"), "node", F.col("simhash").alias("mark"))
-
-
-def close(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b)) <= DISTANCE
-
-
-def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of ``pairs`` (``a``, ``b``: nodes), those whose normalised lines are similar. Reads only the lines of these pairs."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = table(lines.join(nodes, "node", "left_semi").select("node", F.col("least.id").alias("__id"), F.col("least.key").alias("__key"), F.col("least.line").alias("__line")), "wanted")
-    rows = docs.select("doc_id", "text").join(maybe_broadcast(wanted), (row_key() == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    words = line_words(F.get(F.split(text_or_empty(), "\n"), F.col("__line")))
-    found = table(rows.select("node", words.alias("words")).select("node", spelled().alias("norm")), "norms").dropDuplicates(["node"])
-    both = pairs.join(found.withColumnsRenamed({"node": "b", "norm": "norm_b"}), "b").join(found.withColumnsRenamed({"node": "a", "norm": "norm_a"}), "a")
-    allowed = f"cast(floor(greatest(length(norm_a), length(norm_b)) * {1 - LIKE:.6f} + 1e-6) as int)"
+    """``bucket``, ``node``, ``mark`` (the length) for each set of two blocks, or of three for lines so short that one edit is all they may have.
+
+    A pair whose longer line is under ``TWO_EDITS_LENGTH`` has its keys of three
+    blocks in common; of longer ones both sides reach 0.9 of that and have keys of two.
+    """
+
+    def keys(chosen: list[tuple[int, ...]]) -> Column:
+        return F.array(*[F.xxhash64(F.lit(int("".join(map(str, picked)))), *[F.col("blocks")[k] for k in picked]) for picked in chosen])
+
+    pairs, outer = list(combinations(range(BLOCKS), 2)), [(0, 1), (2, 3)]
+    three, two = F.col("length") < TWO_EDITS_LENGTH, F.col("length") >= LIKE * TWO_EDITS_LENGTH
+    found = F.concat(
+        F.when(three, keys(list(combinations(range(BLOCKS), 3)))).otherwise(no_keys()),
+        F.when(two, keys([p for p in pairs if p not in outer])).otherwise(no_keys()),
+        F.when(two & (F.col("n") < QUARTERS_WORDS), keys(outer)).otherwise(no_keys()),
+        F.when(two, F.col("halves")).otherwise(no_keys()),
+    )
+    # Two sizes of halves may round to one.
+    return lines.filter(F.col("length") >= LIKE * FUZZY_LENGTH).select(F.explode(F.array_distinct(found)).alias("bucket"), "node", F.col("length").alias("mark"))
+
+
+def near(a: Column, b: Column) -> Column:
+    """Whether lines of these lengths can be similar."""
+    return F.abs(a - b) <= allowed(F.greatest(a, b))
+
+
+def allowed(length: Column) -> Column:
+    return F.floor(length * (1 - LIKE) + 1e-6).cast("int")
+
+
+def spellings(lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """``node``, ``norm``, ``n`` (words) and ``symbols`` of ``lines``, read from ``docs`` again.
+
+    ``symbols`` has a character for each word, where a similar line may have over ``LONG_WORDS``.
+    """
+    wanted = lines.select("node", F.col("least.id").alias("__id"), F.col("least.key").alias("__key"), F.col("least.line").alias("__line"))
+    rows = docs.select("doc_id", "text").join(maybe_broadcast(table(wanted, "wanted")), (row_key() == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    found = normalised(rows.select("node", F.get(F.split(text_or_empty(), "\n"), F.col("__line")).alias("raw")))
+    found = found.withColumn("n", F.size(F.split("norm", " ")))
+    symbol = F.transform(F.split("norm", " "), lambda w: F.hex(F.lit(0x4E00) + F.pmod(F.xxhash64(w), F.lit(20_000))))
+    symbols = F.when(F.col("n") >= 0.8 * LONG_WORDS, F.decode(F.unhex(F.array_join(symbol, "")), "UTF-16BE"))
+    return table(found.withColumn("symbols", symbols).dropDuplicates(["node"]), "norms")
+
+
+def verified(pairs: DataFrame, norms: DataFrame) -> DataFrame:
+    """Of ``pairs`` (``a``, ``b``: nodes), those whose normalised lines are similar.
+
+    If one has over ``LONG_WORDS`` words, edits are counted in words for both; a
+    line without ``symbols`` is then too short to be similar.
+    """
+    sides = [norms.select(*[F.col(c).alias(f"{c}_{side}") for c in norms.columns]) for side in "ab"]
+    both = pairs.join(sides[0], F.col("a") == F.col("node_a")).join(sides[1], F.col("b") == F.col("node_b"))
+    long = F.greatest("n_a", "n_b") > LONG_WORDS
+    both = both.select("a", "b", *[F.when(long, F.col(f"symbols_{side}")).otherwise(F.col(f"norm_{side}")).alias(side * 2) for side in "ab"])
+    both = both.withColumn("limit", allowed(F.greatest(F.length("aa"), F.length("bb"))))
     # Within the bound the distance takes the bound times the length; past it, -1.
-    return both.filter(F.expr(f"abs(length(norm_a) - length(norm_b)) <= {allowed} AND levenshtein(norm_a, norm_b, {allowed}) >= 0")).select("a", "b")
+    return both.filter(F.expr("abs(length(aa) - length(bb)) <= limit AND levenshtein(aa, bb, limit) >= 0")).select("a", "b")
 
 
-def spelled() -> Column:
-    """What edits are counted in: the letters of ``words``, but one symbol per word in lines of over ``LONG_WORDS`` words."""
-    symbol = F.transform("words", lambda w: F.hex(F.lit(0x4E00) + F.pmod(F.xxhash64(w), F.lit(20_000))))
-    return F.when(F.size("words") > LONG_WORDS, F.decode(F.unhex(F.array_join(symbol, "")), "UTF-16BE")).otherwise(F.array_join("words", " "))
+def similar_lines(lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between the nodes of ``lines``, distinct lines with their first place, ``least``, in ``docs``."""
+    keyed = buckets(lines)
+    # Most keys are one line's own: they are left out once, before anything is kept or read again.
+    shared = table(keyed.groupBy("bucket").count().filter("count > 1").select("bucket"), "shared")
+    members = table(keyed.join(maybe_broadcast(shared), "bucket", "left_semi"), "keyed")
+    norms = spellings(lines.join(maybe_broadcast(table(members.select("node").distinct(), "nodes")), "node", "left_semi"), docs)
+    return link(members, near, lambda pairs: verified(pairs, norms))
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """The lines to remove: ``__id``, ``__key`` of the row, ``__lines`` (places from 0) and how many."""
     lines = docs.select(F.col("doc_id").cast("long").alias("id"), row_key().alias("key"), F.posexplode(F.split(text_or_empty(), "\n")).alias("line", "raw"))
-    worded = lines.select("id", "key", "line", line_words(F.col("raw")).alias("words")).filter(F.size("words") >= MIN_WORDS)
-    occurrences = table(worded.select("id", "key", "line", F.xxhash64("words").alias("node"), simhash().alias("simhash")), "lines")
+    worded = normalised(lines).withColumn("length", F.length("norm")).withColumn("node", F.xxhash64("norm"))
+    occurrences = table(fingerprint(worded).select("id", "key", "line", "node", "length", "n", "blocks", "halves"), "lines")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "key", "line")
-    distinct = table(occurrences.groupBy("node").agg(F.min(place).alias("least"), F.count("*").alias("n"), F.first("simhash").alias("simhash")), "distinct")
-    keyed = buckets(distinct)
-    shared = keyed.groupBy("bucket").count().filter("count > 1").select("bucket")
-    links = link(keyed.join(shared, "bucket", "left_semi"), close, lambda pairs: verified(pairs, distinct, docs))
-    placed = distinct.select("node", "least", "n").join(components(links), "node", "left").withColumn("part", F.coalesce("component", "node"))
-    groups = placed.filter("n > 1 OR component IS NOT NULL")
+    distinct = occurrences.groupBy("node").agg(F.min(place).alias("least"), F.count("*").alias("copies"), F.first(F.struct("length", "n", "blocks", "halves")).alias("made"))
+    distinct = table(distinct.select("node", "least", "copies", "made.*"), "distinct")
+    placed = distinct.select("node", "least", "copies").join(components(similar_lines(distinct, docs)), "node", "left").withColumn("part", F.coalesce("component", "node"))
+    groups = placed.filter("copies > 1 OR component IS NOT NULL")
     firsts = groups.groupBy("part").agg(F.min("least").alias("first"))
     verdicts = table(groups.join(firsts, "part").select("node", "first"), "verdicts")
     gone = lookup(occurrences.select("id", "key", "line", "node"), verdicts, "node", "inner").filter(~place.eqNullSafe(F.col("first")))
@@ -125,9 +173,10 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 def deduplicate_lines(docs: DataFrame) -> DataFrame:
     """``docs`` (``doc_id``, ``text``; more columns stay) with the text less its repeated lines, ``__n_lines`` and ``__n_removed``.
 
-    A line of fewer than three words is never removed, nor is one without
-    letters. Rows equal in id and text count as one row: they lose the same
-    lines. A null text stays null and has no lines; an empty one has one.
+    Blank lines are never removed. Rows equal in id and text count as one row:
+    they lose the same lines. A null text stays null and has no lines; an empty
+    one has one. Lines may be whole long texts: one of over ``LONG_WORDS`` words
+    is compared word by word.
     """
     gone = maybe_broadcast(table(repeated_lines(docs), "removed"))
     joined = docs.join(gone, (row_key() == F.col("__key")) & docs["doc_id"].eqNullSafe(F.col("__id")), "left")
