@@ -9,6 +9,7 @@ space, have no decoder and no unknown token.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 from collections.abc import Callable, Iterator, Sequence
@@ -26,6 +27,7 @@ from tidelog.llm.word_ids import WordIds, folds, worker_cache
 # The lexicon holds up to this many of the corpus's most frequent words; it bounds the file, not the result.
 LEXICON_WORDS = 100_000
 KEPT_PIECES = 100_000  # merged pieces a worker remembers
+SHORT_PIECE = 100  # letters; in longer pieces merges are found by a heap, and they are not remembered
 
 
 # What the vocabulary's pre-tokenizer makes of words of printable ASCII and Latin-1 letters, lower case.
@@ -67,6 +69,8 @@ class Merger:
 
     def piece(self, piece: str) -> list[int]:
         """The ids of one pre-token, in byte letters."""
+        if len(piece) > SHORT_PIECE:
+            return self.merge(piece)
         found = self.known.get(piece)
         if found is None:
             if len(self.known) >= KEPT_PIECES:
@@ -77,6 +81,8 @@ class Merger:
     def merge(self, piece: str) -> list[int]:
         vocab, ranks = self.vocab, self.ranks
         ids = [vocab[c] for c in piece[:-1]] + [vocab[piece[-1] + self.suffix]]
+        if len(ids) > SHORT_PIECE:
+            return self.merge_long(ids)
         none = len(self.merged)
         rank = [ranks.get(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
         while rank and (least := min(rank)) < none:
@@ -89,6 +95,28 @@ class Merger:
                 rank[at] = ranks.get(ids[at] << 32 | ids[at + 1], none)
         return ids
 
+    def merge_long(self, ids: list[int]) -> list[int]:
+        """The same by a heap of (rank, place) over linked symbols: n log n for a piece of n letters."""
+        ranks, merged, end = self.ranks, self.merged, len(ids)
+        after, before = list(range(1, end + 1)), list(range(-1, end - 1))
+        heap = [(r, i) for i in range(end - 1) if (r := ranks.get(ids[i] << 32 | ids[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, at = heapq.heappop(heap)
+            right = after[at]
+            # An entry holds only while its place still starts the pair of that rank.
+            if ids[at] < 0 or right == end or ranks.get(ids[at] << 32 | ids[right]) != rank:
+                continue
+            ids[at], ids[right] = merged[rank], -1
+            after[at] = beyond = after[right]
+            if beyond < end:
+                before[beyond] = at
+                if (r := ranks.get(ids[at] << 32 | ids[beyond])) is not None:
+                    heapq.heappush(heap, (r, at))
+            if (left := before[at]) >= 0 and (r := ranks.get(ids[left] << 32 | ids[at])) is not None:
+                heapq.heappush(heap, (r, left))
+        return [i for i in ids if i >= 0]
+
     def pieces(self, part: str) -> list[str]:
         """Pre-tokens of a word without special tokens: by the library's own steps, or for plain words by the same pattern."""
         if self.plain and PLAIN.fullmatch(part):
