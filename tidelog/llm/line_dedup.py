@@ -32,6 +32,8 @@ TWO_EDITS_LENGTH = 20
 HALVES_WORDS, QUARTERS_WORDS = 10, 12
 STEP = 1.2  # sizes of halves grow by this; a line has those of two sizes, so that a tenth of the words may come or go
 
+NOT_BLANK = "[^ \\t\\n\\x0B\\f\\r]"  # what WORD_GAP leaves
+
 LONG_WORDS = 500  # the distance of longer lines is counted in words: in letters it would cost the square of a long text
 
 # Words of more letters than this on average are a script without spaces; so few words have no quarters. Letters stand for words there.
@@ -40,10 +42,12 @@ LETTERS_A_WORD = 12
 
 def normalised(lines: DataFrame) -> DataFrame:
     """``lines`` with a word in column ``raw``, which ``norm`` replaces: lower-case words of letters, else the line's words, by single spaces."""
+    # Asked of the raw line: a filter on ``norm`` is moved before the steps that make it, which then run once more for it.
+    lines = lines.filter(F.col("raw").rlike(NOT_BLANK))
     letters = F.trim(F.regexp_replace(F.lower("raw"), "[^\\p{L}]+", " "))
     other = F.trim(F.regexp_replace(F.lower("raw"), WORD_GAP, " "))
     lines = lines.withColumn("letters", letters).withColumn("norm", F.when(F.col("letters") != "", F.col("letters")).otherwise(other))
-    return lines.drop("letters", "raw").filter("norm <> ''")
+    return lines.drop("letters", "raw")
 
 
 def majority(lanes: list[int], step: int) -> str:
