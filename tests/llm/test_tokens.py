@@ -1,6 +1,8 @@
 """Ids against the library, shards, the lexicon."""
 
 import hashlib
+import random
+import time
 import zlib
 
 import numpy as np
@@ -111,3 +113,15 @@ def test_encode_then_decode(spark, odd_docs):
 def test_queries_cover_every_document(spark):
     n = read(spark, SF, "documents").count()
     assert QUERIES["op2_token_ids"](spark, SF).count() == QUERIES["op9_bpe"](spark, SF).count() == n
+
+
+def test_long_pieces_merge_as_in_the_library():
+    """Runs of letters past the heap's threshold, and one of a million letters in time."""
+    rng = random.Random(3)
+    for alphabet in ("ab", "acgt", "etaoinshrdlu", "aé漢ü"):
+        for length in (bpe.SHORT_PIECE - 1, bpe.SHORT_PIECE, bpe.SHORT_PIECE + 1, 500, 3_000):
+            word = "".join(rng.choices(alphabet, k=length))
+            assert MERGER.word(word) == LIBRARY.encode(word, add_special_tokens=False).ids
+    started = time.monotonic()
+    assert len(MERGER.word("".join(rng.choices("acgt", k=1_000_000)))) > 100_000
+    assert time.monotonic() - started < 60
