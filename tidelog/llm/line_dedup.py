@@ -51,23 +51,22 @@ def normalised(lines: DataFrame) -> DataFrame:
 
 
 def majority(lanes: list[int], step: int) -> str:
-    """SQL for a SimHash of the words ``q``: a bit is set if it is in over half of the words' hashes. ``lanes`` are the bits looked at of every ``step``.
+    """SQL for a SimHash of words with hashes ``q``: a bit is set if it is in over half of them. ``lanes`` are the bits looked at of every ``step``.
 
     Counters lie ``step`` bits apart, so one addition counts several bits. A
     constant then lifts each counter that is over half to its second-highest bit.
     """
     mask = sum(1 << (step * i) for i in range(64 // step))
-    zero = ", ".join(f"'s{k}', 0L" for k in lanes)
-    add = ", ".join(f"'s{k}', a.s{k} + (shiftrightunsigned(h, {k}) & {mask}L)" for k in lanes)
     top = step - 2
-    lifted = " | ".join(f"shiftleft(shiftrightunsigned(a.s{k} + ({1 << top}L - (a.n div 2 + 1)) * {mask}L, {top}) & {mask}L, {k})" for k in lanes)
-    return f"aggregate(transform(q, w -> xxhash64(w)), named_struct('n', 0L, {zero}), (a, h) -> named_struct('n', a.n + 1L, {add}), a -> {lifted})"
+    counted = "aggregate(q, 0L, (a, h) -> a + (shiftrightunsigned(h, {k}) & {mask}L))"
+    lifted = "shiftleft(shiftrightunsigned({counted} + ({least}L - (size(q) div 2 + 1)) * {mask}L, {top}) & {mask}L, {k})"
+    return " | ".join(lifted.format(counted=counted.format(k=k, mask=mask), least=1 << top, mask=mask, top=top, k=k) for k in lanes)
 
 
 # 32 of 64 bits, four of each eight: counters of 8 bits hold quarters of fewer than 64 words, those of 32 bits any.
 NARROW = majority([0, 1, 2, 3], 8)
 WIDE = majority([k for k in range(32) if k % 8 < 4], 32)
-SIMHASH = f"CASE size(q) WHEN 0 THEN 0L WHEN 1 THEN xxhash64(q[0]) & {0x0F0F0F0F0F0F0F0F}L ELSE IF(size(q) < 64, {NARROW}, {WIDE}) END"
+SIMHASH = f"CASE size(q) WHEN 0 THEN 0L WHEN 1 THEN q[0] & {0x0F0F0F0F0F0F0F0F}L ELSE IF(size(q) < 64, {NARROW}, {WIDE}) END"
 
 
 def fingerprint(lines: DataFrame) -> DataFrame:
@@ -75,6 +74,7 @@ def fingerprint(lines: DataFrame) -> DataFrame:
     words = F.split("norm", " ")
     few = (F.size("words") < BLOCKS) | (F.length("norm") > (LETTERS_A_WORD + 1) * F.size("words"))
     lines = lines.withColumn("words", words).withColumn("words", F.when(few, F.regexp_extract_all("norm", F.lit("([^ ])"), F.lit(1))).otherwise(F.col("words")))
+    lines = lines.withColumn("words", F.transform("words", lambda w: F.xxhash64(w)))
     quarters = ", ".join(f"slice(words, {k} * size(words) div {BLOCKS} + 1, {k + 1} * size(words) div {BLOCKS} - {k} * size(words) div {BLOCKS})" for k in range(BLOCKS))
     # The largest power of STEP, rounded down, that half the words hold, and the one below.
     power = f"cast(floor(log({STEP}, size(words) / 2.0 + 1e-9)) as int)"
