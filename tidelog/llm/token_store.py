@@ -9,12 +9,14 @@ the number of documents, and the magic again.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,11 @@ LEVEL = 3
 SHARD_DOCS = 50_000
 SHARD_BYTES = 256 << 20
 
+WORDS_PER_TEXT = 500  # words of letters that the library gets as one text
+
+# Words that are one piece under the pre-tokenizer's pattern in word_ids, of ASCII and Latin-1 letters.
+LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+
 SHARDS = "part int, place int, file string, docs long, tokens long"
 
 
@@ -49,12 +56,36 @@ def library_encoder(tokenizer_file: str) -> WordIds:
     tokenizer.no_truncation()
     tokenizer.no_padding()
 
-    def resolve(words):
-        found = [e.ids for e in tokenizer.encode_batch_fast(list(words), add_special_tokens=False)]
+    with open(tokenizer_file, encoding="utf-8") as file:
+        suffix = json.load(file)["model"].get("end_of_word_suffix")
+    known_pattern = folds(tokenizer_file)
+    joins = known_pattern and bool(suffix)
+    if joins:
+        closes = np.zeros(tokenizer.get_vocab_size(), bool)
+        closes[[i for token, i in tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+
+    def encoded(texts):
+        found = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         counts = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.uint32, counts.sum()), counts
 
-    return WordIds(resolve, folds(tokenizer_file))
+    def resolve(words):
+        """Words of letters are one piece each, so many go as one text: the token with the suffix ends a word."""
+        alone = np.fromiter((joins and LETTERS.fullmatch(w) is not None for w in words), bool, len(words))
+        ids, counts = encoded([w for w, a in zip(words, alone.tolist()) if not a])
+        if not alone.any():
+            return ids, counts
+        joined, _ = encoded([" ".join(some) for some in batched((w for w, a in zip(words, alone.tolist()) if a), WORDS_PER_TEXT)])
+        ends = np.flatnonzero(closes[joined]) + 1
+        if len(ends) != alone.sum():
+            raise ValueError(f"{tokenizer_file}: tokens don't end words as its pattern says")
+        each = np.empty(len(words), np.int64)
+        each[alone], each[~alone] = np.diff(ends, prepend=0), counts
+        ordered, inside = np.empty(each.sum(), np.uint32), np.repeat(alone, each)
+        ordered[inside], ordered[~inside] = joined, ids
+        return ordered, each
+
+    return WordIds(resolve, known_pattern)
 
 
 def id_type(width: int) -> np.dtype:

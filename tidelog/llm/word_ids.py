@@ -45,11 +45,15 @@ def worker_cache(key: Any, make: Callable[[], Any]) -> Any:
     return held[key]
 
 
+# Latin letters whose case folds one to one and that no mark after them changes.
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+
+
 class WordIds:
     """``resolve`` takes distinct words and returns their ids: all in one array, and how many each word has.
 
     With ``fold``, trailing full stops and commas are looked up apart from the
-    letter or digit before them, and words of ASCII letters in lower case:
+    letter or digit before them, and words of Latin-1 letters in lower case:
     fewer words to resolve, the same ids.
     """
 
@@ -64,8 +68,9 @@ class WordIds:
         self.counts = np.zeros(1, np.int64)
 
     def slots_of(self, words: list[str]) -> np.ndarray:
-        new = {w: None for w in words if w not in self.slots}
-        if new:
+        slots = list(map(self.slots.get, words))
+        if None in slots:
+            new = {w: None for w, slot in zip(words, slots) if slot is None}
             if len(self.slots) + len(new) > KEPT_WORDS and len(self.slots) > 1:
                 self.forget()
                 new = dict.fromkeys(w for w in words if w)
@@ -76,18 +81,19 @@ class WordIds:
             self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
             self.counts = np.concatenate([self.counts, counts])
             self.ids = np.concatenate([self.ids, ids])
-        return np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
+            slots = list(map(self.slots.__getitem__, words))
+        return np.array(slots, np.int64)
 
     def folded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Each word's stem and the stops after it."""
         stems = pc.ascii_rtrim(words, characters=".,")
-        stems = pc.if_else(pc.match_substring_regex(stems, "[A-Za-z0-9]$"), stems, words)
-        plain = pc.match_substring_regex(stems, "^[A-Za-z]+$")
+        stems = pc.if_else(pc.match_substring_regex(stems, f"[{LATIN}0-9]$"), stems, words)
+        plain = pc.match_substring_regex(stems, f"^[{LATIN}]+$")
         kept, whole = (pc.binary_length(a).to_numpy(zero_copy_only=False) for a in (stems, words))
         stops = np.full(len(words), "", object)
         cut = np.flatnonzero(kept < whole)
         stops[cut] = [w[-n:] for w, n in zip(words.take(pa.array(cut)).to_numpy(zero_copy_only=False), (whole - kept)[cut].tolist())]
-        return pc.if_else(plain, pc.ascii_lower(stems), stems).to_numpy(zero_copy_only=False), stops
+        return pc.if_else(plain, pc.utf8_lower(stems), stems).to_numpy(zero_copy_only=False), stops
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch, and the offsets of its texts in them. A null text has none."""
