@@ -1,6 +1,7 @@
 """Near duplicates against brute force; signatures against the weighted Jaccard similarity."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -165,3 +166,108 @@ def test_one_changed_mention_does_not_hide_a_copy(spark):
     docs = spark.createDataFrame([(1, item.replace("Smith went", "Smyth went")), (2, item.replace("Smith", "Jones")), (3, "nothing of it")], "doc_id long, text string")
     got = {r["__id"]: (r["windows"], r["reworded"]) for r in templates.contaminated(docs, bench).collect()}
     assert got.keys() == {1, 2} and got[1][0] >= 10 and not got[1][1] and got[2][1]
+
+
+@pytest.mark.parametrize("carried", [templates.CARRIED, 0])
+def test_copies_in_any_case_and_place(spark, carried):
+    """Verbatim, lower, upper and title copies, after a heading, of short items and of such as are all names or numbers."""
+    items = {
+        1: "Anna Berg, Carl Dahl, Eva Falk, Gustav Holm, Ida Jansson, Karl Lund and Maria Nilsson",
+        2: "What is the largest lake?",
+        3: "12 km, 30 kg, 7 %, 3.5 m, 1999, 2004, 88, 90 and 14 V",
+        4: "Every morning the baker at Hill Street takes 40 loaves from the oven and gives 12 of them to his neighbour",
+    }
+    made = [
+        lambda t: "Question 12\n" + t,
+        lambda t: "some words before it " + t + " and after it",
+        lambda t: "Page Three\r\n" + t.lower(),
+        lambda t: "Heading Of It " + t.upper(),
+        lambda t: "so it goes " + t.title(),
+    ]
+    docs = [(10 * i + k, f(t)) for i, t in items.items() for k, f in enumerate(made)] + [(90, "What is the largest river?"), (91, "nothing\nof it")]
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    rows = templates.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench, carried).collect()
+    assert {(r["__id"], r["item_id"], r["reworded"]) for r in rows} == {(10 * i + k, i, False) for i in items for k in range(len(made))}
+
+
+def test_one_slip_in_a_reworded_copy(spark):
+    """Other names throughout and one slipped mention: the windows before it are found; slips everywhere are not."""
+    item = "Smith sold 5 boats to Brown and Brown gave 5 nets to Smith before Smith left Brown alone"
+    other = item.replace("Smith", "Jones").replace("Brown", "Green").replace("5", "8")
+    slipped = other[: other.rindex("Green")] + "Grean alone"
+    names = iter("Abel Bach Cook Dunn Ekman Frost Glad Hart Iles".split())
+    torn = " ".join(next(names) if w in ("Smith", "Brown") else w for w in item.split())
+    docs = spark.createDataFrame([(1, "then " + other), (2, "then " + slipped), (3, "then " + torn), (4, None)], "doc_id long, text string")
+    got = {r["__id"]: (r["windows"], r["reworded"]) for r in templates.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {1: (9, True), 2: (7, True)}
+
+
+def plain_hits(docs, items, window=10):
+    """All windows of every text compared with all of every item, token by token, by the rules as stated."""
+
+    def tokens(text):
+        found, opens = [], True
+        for w in re.sub("[\n\r]", " \u2029 ", text or "").replace("\x0b", " ").replace("\x0c", " ").replace("\t", " ").split(" "):
+            core = w.strip(templates.SPLIT_OFF)
+            core = core.rstrip(templates.SPLIT_OFF + templates.SIGNS) if core[:1].isalpha() else core
+            if core:
+                low = core.lower()
+                kind = templates.kind_of(low)
+                found.append((low, kind, kind == 0 and core[0].isupper(), opens))
+                opens = False
+            opens = opens or re.search("[.!?:\u2029][\"')\\]»”’]*$", w) is not None
+        return found
+
+    def forms(some):
+        words = [t[0] for t in some]
+        out = [[0] * len(some)]
+        for named in (False, True)[: 2 if len(some) == window else 1]:
+            kinds = [templates.NAME if t[2] and (named or not t[3]) else t[1] for t in some]
+            if 2 * kinds.count(0) >= len(some):
+                out.append(kinds)
+        return [(kinds, words) for kinds in out]
+
+    def meeting(a, b):
+        """The slots of two windows that meet, with the fewest slots; None if they don't."""
+        met = [[(k, x, y) for k, x, y in zip(ka, wa, wb) if k] for ka, wa in forms(a)[1:] for kb, wb in forms(b)[1:] if ka == kb and all(k or x == y for k, x, y in zip(ka, wa, wb))]
+        return set(min(met, key=len)) if met else set() if forms(a)[0] == forms(b)[0] else None
+
+    def fits(slots):
+        return len({s[:2] for s in slots}) == len(slots)
+
+    hits, texts, asked = set(), {i: tokens(t) for i, t in docs.items()}, {i: tokens(t) for i, t in items.items()}
+    for d, t in texts.items():
+        for i, u in asked.items():
+            n, shifts = min(window, len(u)), {}
+            for p in range(len(t) - n + 1 if len(u) >= 3 else 0):
+                for q in range(len(u) - n + 1):
+                    if (slots := meeting(u[q : q + n], t[p : p + n])) is not None:
+                        shifts.setdefault(p - q, []).append((slots, all(x[0] == y[0] for x, y in zip(u[q : q + n], t[p : p + n]))))
+            for met in shifts.values():
+                some = [s for s, _ in met]
+                runs = (some[a : a + 3] for a in range(len(some) - 2))
+                if fits(set().union(*some)) or any(same for _, same in met) or any(fits(set().union(*r)) for r in runs):
+                    hits.add((d, i))
+    return hits
+
+
+def test_templates_equal_brute_force(spark, odd_docs):
+    rng = random.Random(5)
+    words = "the of Anna Bob Carl 5 7 12 kg saw a gave to and. Then: it was in Rome, $30 8km big with from by on".split()
+    items = {i: " ".join(rng.choices(words, k=rng.choice([2, 3, 5, 9, 10, 14, 25, 40]))) for i in range(12)}
+    docs = {}
+    for d in range(120):
+        text = items[rng.randrange(12)].split()
+        for _ in range(rng.randrange(4)):
+            text[rng.randrange(len(text))] = rng.choice(words)
+        style = rng.choice([str, str.lower, str.upper, str.title])
+        docs[d] = style(rng.choice(["", "Some Heading\n", "well "]) + " ".join(text) + rng.choice(["", ".\nmore of it"]))
+    docs |= {100: None, 101: "", 102: " \n\r "}
+    made = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    bench = spark.createDataFrame([*items.items(), (None, None)], "item_id long, text string")
+    got = {(r["__id"], r["item_id"]) for r in templates.contaminated(made, bench).collect()}
+    want = plain_hits(docs, items)
+    assert len(want) > 30 and got == want
+    odd = templates.contaminated(odd_docs, bench)
+    assert odd.columns == ["__id", "__key", "item_id", "windows", "reworded"] and odd.count() >= 0
+    assert templates.decontaminate(odd_docs, bench.limit(0)).count() == odd_docs.count()
