@@ -148,6 +148,9 @@ def ipv6_digits(ip: Column) -> Column:
 # Fixed value: the first 96 bits of an IPv4 address written as IPv6.
 MAPPED = "0" * 20 + "ffff"
 
+# An IPv6 range makes a few hundred blocks, so a task gets about a million.
+RANGES_PER_TASK = 2_000
+
 
 def address_key(ip: Column) -> Column:
     """A valid address as its family and hexadecimal digits (``4`` and 8, ``6`` and 32), which sort like addresses; else null."""
@@ -183,6 +186,8 @@ def _blocks(ranges: DataFrame, start: str, end: str, attrs: list[str]) -> DataFr
     rows = ranges.select(low.alias("a"), high.alias("b"), F.struct(*[field(x).alias(x) for x in attrs]).alias("attrs"))
     # Bounds of two families, or in the wrong order, hold no address.
     rows = rows.filter((F.substring("a", 1, 1) == F.substring("b", 1, 1)) & (F.col("a") <= F.col("b")))
+    tasks = -(-ranges.count() // RANGES_PER_TASK)
+    rows = rows.repartition(tasks) if tasks > 1 else rows
     entry = F.struct(size.alias("size"), F.col("a").alias("start"), F.col("attrs").alias("attrs"))
 
     places = F.sequence(F.lit(1), F.length("a"))
@@ -248,12 +253,12 @@ def geo_enrich(
     found = probes.join(maybe_broadcast(blocks), "block").groupBy("__ip").agg(F.min("entry").alias("e"))
     geo = F.create_map(*[x for a in attrs for x in (F.lit(a), F.col("e.attrs").getField(a).cast("string"))])
     # With "empty", an address without a range has an answer too.
-    named = texts.join(found, "__ip", "left" if on_miss == "empty" else "inner")
+    named = texts.join(found.hint("merge"), "__ip", "left" if on_miss == "empty" else "inner")
     named = staged(named.select("__text", F.when(F.col("e").isNotNull(), geo).otherwise(F.create_map().cast(map_type)).alias("__geo")))
 
     answer = F.coalesce("__geo", before)
     if fits_broadcast(named):
         return df.join(F.broadcast(named), field(src) == F.col("__text"), "left").withColumn(dst, answer).drop("__text", "__geo")
     # Rows without a text have no part in the join, where they would share one key.
-    hit = df.filter(field(src).isNotNull()).join(named, field(src) == F.col("__text"), "left").withColumn(dst, answer).drop("__text", "__geo")
+    hit = df.filter(field(src).isNotNull()).join(named.hint("merge"), field(src) == F.col("__text"), "left").withColumn(dst, answer).drop("__text", "__geo")
     return hit.unionByName(df.filter(field(src).isNull()).withColumn(dst, before))

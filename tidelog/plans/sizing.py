@@ -37,7 +37,8 @@ def require_table(df: DataFrame) -> None:
 def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast if its measured size allows it.
 
-    Otherwise it is returned as is: the join then shuffles, and adaptive
-    execution splits hot keys of the larger side.
+    Otherwise the join is told to shuffle, since Spark's estimate of a table made
+    by ``explode`` may be far too small and would broadcast it all the same;
+    adaptive execution splits hot keys of the larger side.
     """
-    return F.broadcast(df) if fits_broadcast(df, max_rows) else df
+    return F.broadcast(df) if fits_broadcast(df, max_rows) else df.hint("merge")
