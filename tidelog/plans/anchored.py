@@ -33,6 +33,9 @@ from tidelog.plans.sizing import maybe_broadcast, require_table, staged
 
 FOLD_ROWS = 4_096
 
+# Distinct times of a key that the Arrow scan sorts in one task, some 100 bytes each.
+SCAN_ROWS = 4_000_000
+
 # Spark prunes row_number() <= n per task before the shuffle up to this n.
 GROUP_LIMIT = 1000
 
@@ -137,7 +140,7 @@ def leaders(times: DataFrame, keys, origin_us=None, rows_per_task=None, fold_row
 
     # Equal times of a key count once; (key, time) spreads a hot key evenly.
     times = staged(times.join(chosen, _match(keys, "__l_"), "left_semi").distinct().withColumn(KIND, F.lit(1)))
-    slicer = Slicer.plan(times, keys, ORDER, rows_per_task or ROWS_PER_TASK)
+    slicer = Slicer.plan(times, keys, ORDER, rows_per_task or ROWS_PER_TASK, 0 if rows_per_task else SCAN_ROWS)
     if not slicer.hot:
         return small.unionByName(_arrow_scan(times, keys))
     placed = staged(slicer.attach(times))

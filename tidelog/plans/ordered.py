@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from tidelog.plans.sizing import require_table, staged
 
-ROWS_PER_TASK = 4_000_000
+# Rows of one key in one task. A walk may hold its probes as well and sorts and buffers them, some 400 bytes a row.
+ROWS_PER_TASK = 500_000
 # Bounds and carries are one row per slice, so this bounds what is broadcast.
 MAX_SLICES = 65_536
 SAMPLES_PER_SLICE = 8
@@ -45,10 +46,12 @@ class Slicer:
 
     @classmethod
     def plan(
-        cls, df: DataFrame, keys: list[str], order: list[str], rows_per_task: int | None = None
+        cls, df: DataFrame, keys: list[str], order: list[str], rows_per_task: int | None = None, hot_above: int = 0,
     ) -> Slicer:
         """Count rows per key; for keys above the limit, sample slice bounds.
 
+        Keys of up to ``hot_above`` rows are not cut either, whatever the limit.
+
         ``order`` must identify a row within its key, else equal rows can not
         be separated.
         """
@@ -57,11 +60,11 @@ class Slicer:
         row = counts.agg(F.sum("__n").alias("total"), F.max("__n").alias("largest")).first()
         total, largest = row["total"] or 0, row["largest"] or 0
         limit = max(rows_per_task or ROWS_PER_TASK, total // MAX_SLICES)
-        if largest <= limit:
+        if largest <= max(limit, hot_above):
             return cls(tuple(keys), tuple(order), None, total, largest, limit)
 
         # Hot keys: at most total / limit <= MAX_SLICES rows.
-        hot = counts.filter(F.col("__n") > limit)
+        hot = counts.filter(F.col("__n") > max(limit, hot_above))
         hot = hot.select(*[F.col(k).alias(f"__h_{k}") for k in keys])
         step = max(1, limit // SAMPLES_PER_SLICE)
         thin = limit // step
