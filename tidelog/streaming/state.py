@@ -19,7 +19,9 @@ share one key have a form in ``streaming.stepped``.
 from __future__ import annotations
 
 import heapq
+import pickle
 import sys
+import zlib
 from collections.abc import Iterator
 from itertools import count, islice
 
@@ -59,7 +61,10 @@ RUN_ROWS = 512
 # Rows of a batch that are sorted at once.
 SORTED_ROWS = 65_536
 
-RUN_SCHEMA = "rows array<struct<t:long,id:string,tag:string,row:string>>"
+# Output rows that leave a processor as one compressed chunk.
+CHUNK_ROWS = 4_096
+
+RUN_SCHEMA = "times array<long>, rows binary"
 # Just before the watermark of a closed stream: what has no timeout ends here.
 LAST_US = 253_000_000_000_000_000
 
@@ -77,6 +82,87 @@ def _id_text(df: DataFrame, row_id: str) -> Column:
     return value.cast("string")
 
 
+def _squeezed(rows: list[tuple]) -> bytes:
+    return zlib.compress(pickle.dumps(rows), 1)
+
+
+def _spread(chunk: bytes) -> list[tuple]:
+    return pickle.loads(zlib.decompress(chunk))
+
+
+class OneTrip:
+    """A state handle whose values are asked for once: ``exists`` fetches what ``get`` then returns."""
+
+    def __init__(self, handle: StatefulProcessorHandle):
+        self.handle = handle
+        self.getMapState, self.listTimers, self.registerTimer = handle.getMapState, handle.listTimers, handle.registerTimer
+
+    def getValueState(self, *declared):
+        held = self.handle.getValueState(*declared)
+
+        class Value:
+            update, clear = held.update, held.clear
+
+            def exists(self) -> bool:
+                self.fetched = held.get()
+                return self.fetched is not None
+
+            def get(self):
+                return self.fetched
+
+        return Value()
+
+
+class Chunked(StatefulProcessor):
+    """A processor whose output leaves in compressed chunks of rows.
+
+    Spark's Python worker gathers all that a key, or all timers of a task, put
+    out before it sends any of it on, so plain rows would fill its memory.
+    """
+
+    def __init__(self, processor: StatefulProcessor, names: list[str]):
+        self.processor, self.names = processor, names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.processor.init(OneTrip(handle))
+
+    def _chunks(self, rows: Iterator[Row]) -> Iterator[Row]:
+        plain = (tuple(r[n] for n in self.names) for r in rows)
+        while chunk := list(islice(plain, CHUNK_ROWS)):
+            yield Row(chunk=_squeezed(chunk))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        return self._chunks(self.processor.handleInputRows(key, rows, timerValues))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        return self._chunks(self.processor.handleExpiredTimer(key, timerValues, expiredTimerInfo))
+
+
+def _unchunked(out: DataFrame, schema: T.StructType) -> DataFrame:
+    """The rows within chunks."""
+
+    def read(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        names = to_arrow_schema(schema)
+
+        def batch(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), names)], schema=names)
+
+        rows: list[tuple] = []
+        for chunks in batches:
+            for chunk in chunks.column(0):
+                rows += _spread(chunk.as_py())
+                if len(rows) >= CHUNK_ROWS:
+                    yield batch(rows)
+                    rows = []
+        if rows:
+            yield batch(rows)
+
+    return out.mapInArrow(read, schema)
+
+
 def keyed_stream(
     df: DataFrame, key: Column, ts: str, row_id: str, delay: str, processor: StatefulProcessor, schema: str,
     tag: Column | None = None,
@@ -93,9 +179,11 @@ def keyed_stream(
     )
     # A row without a time is in no order. The closing row moves the watermark and ends there.
     watched = unclosed(packed.filter("t is not null").withWatermark("event_time", delay), "event_time")
-    return watched.groupBy("key").transformWithState(
-        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime"
+    parsed = T.StructType.fromDDL(schema)
+    out = watched.groupBy("key").transformWithState(
+        statefulProcessor=Chunked(processor, parsed.names), outputStructType="chunk binary", outputMode="Append", timeMode="EventTime"
     )
+    return _unchunked(out, parsed)
 
 
 def held_state(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
@@ -151,7 +239,8 @@ class OrderedProcessor(StatefulProcessor):
     def _hold(self, rows: list[tuple], runs: list[tuple[int, int]], number: int) -> int:
         """Write sorted rows as runs and list them."""
         for i in range(0, len(rows), RUN_ROWS):
-            self.runs.updateValue((number,), (rows[i : i + RUN_ROWS],))
+            run = rows[i : i + RUN_ROWS]
+            self.runs.updateValue((number,), ([r[0] for r in run], _squeezed(run)))
             runs.append((number, rows[i][0]))
             number += 1
         return number
@@ -176,7 +265,7 @@ class OrderedProcessor(StatefulProcessor):
         while waiting or heap:
             if waiting and (not heap or waiting[-1][1] <= heap[0][0][0]):
                 run = (waiting.pop()[0],)
-                rows = [tuple(r) for r in self.runs.getValue(run)[0]]
+                rows = _spread(self.runs.getValue(run)[1])
                 self.runs.removeKey(run)
                 later.extend(r for r in rows if r[0] > limit)
                 rest = iter([r for r in rows if r[0] <= limit])
