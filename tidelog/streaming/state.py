@@ -7,9 +7,12 @@ whatever the arrival order, and the table operator's result in full once the
 stream is closed (``streaming.closing``). State that can no longer matter is
 dropped by event-time timers.
 
-Held rows are kept in sorted runs of bounded size. A timer opens only the runs
-that the watermark has reached, so each row is written and read about once
-however long it is held.
+Keys are dealt into a fixed number of buckets, which are what Spark groups by:
+each visit of a group costs a dozen calls to the state store, so a visit per
+small key would cost more than its rows. Rows are sorted and packed into runs
+before the shuffle, by the tasks that read them, and are held as they come. A
+timer opens only the runs that the watermark has reached, so each row is
+written and read about once however long it is held.
 
 A key's rows of one micro-batch are walked in one task; ``maxFilesPerTrigger``
 or ``maxBytesPerTrigger`` on the source bounds them. Operators whose rows all
@@ -61,10 +64,13 @@ RUN_ROWS = 512
 # Rows of a batch that are sorted at once.
 SORTED_ROWS = 65_536
 
+# Groups that keys are dealt into. Fixed for the life of a stream's checkpoint.
+BUCKETS = 1_024
+
 # Output rows that leave a processor as one compressed chunk.
 CHUNK_ROWS = 4_096
 
-RUN_SCHEMA = "times array<long>, rows binary"
+RUN_SCHEMA = "times array<long>, rows binary"  # of a run that came packed, its first and last time
 # Just before the watermark of a closed stream: what has no timeout ends here.
 LAST_US = 253_000_000_000_000_000
 
@@ -138,6 +144,40 @@ class Chunked(StatefulProcessor):
         return self._chunks(self.processor.handleExpiredTimer(key, timerValues, expiredTimerInfo))
 
 
+class Packed(Chunked):
+    """As :class:`Chunked`, for a bucket of keys whose rows come in runs (``low``, ``high``, ``run``)."""
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        self.processor.hold_packed(rows, timerValues.getCurrentWatermarkInMs())
+        return iter(())
+
+
+def _packed_runs(batches):
+    """Rows (``bucket, t, id, key, tag, row``) as sorted runs: ``bucket``, first and last time, and the rows, compressed."""
+    import pyarrow as pa
+
+    def runs(held):
+        rows = pa.Table.from_batches(held).sort_by([("bucket", "ascending"), ("t", "ascending"), ("id", "ascending")])
+        buckets = rows["bucket"].to_pylist()
+        plain = list(zip(*(rows[c].to_pylist() for c in ("t", "id", "key", "tag", "row"))))
+        out, start = [], 0
+        for i in range(1, len(plain) + 1):
+            if i == len(plain) or buckets[i] != buckets[start] or i - start == RUN_ROWS:
+                out.append((buckets[start], plain[start][0], plain[i - 1][0], _squeezed(plain[start:i])))
+                start = i
+        columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int64(), pa.binary()))]
+        return pa.RecordBatch.from_arrays(columns, ["bucket", "low", "high", "run"])
+
+    held, n = [], 0
+    for batch in batches:
+        held, n = [*held, batch], n + batch.num_rows
+        if n >= SORTED_ROWS:
+            yield runs(held)
+            held, n = [], 0
+    if n:
+        yield runs(held)
+
+
 def _unchunked(out: DataFrame, schema: T.StructType) -> DataFrame:
     """The rows within chunks."""
 
@@ -171,24 +211,32 @@ def keyed_stream(
     require(df.isStreaming, "a stream is needed; the table operators take tables")
     packed = df.select(
         F.coalesce(key.cast("string"), F.lit("<nil>")).alias("key"),
-        field(ts).cast("timestamp").alias("event_time"),
+        (field(ts) >= end_time(df.schema[ts].dataType.simpleString())).alias("closing"),
         micros(ts).alias("t"),
         _id_text(df, row_id).alias("id"),
         (F.lit("") if tag is None else tag.cast("string")).alias("tag"),
         F.to_json(F.struct(*[field(c) for c in df.columns]), PACK).alias("row"),
     )
-    # A row without a time is in no order. The closing row moves the watermark and ends there.
-    watched = unclosed(packed.filter("t is not null").withWatermark("event_time", delay), "event_time")
+    # A row without a time is in no order. The closing row moves the watermark and ends there; it shares a run with no other.
+    bucket = F.when(F.col("closing"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int"))
+    dealt = packed.filter("t is not null").select(bucket.alias("bucket"), "t", "id", "key", "tag", "row")
+    runs = dealt.mapInArrow(_packed_runs, "bucket int, low long, high long, run binary").withColumn("event_time", F.timestamp_micros("high"))
+    watched = unclosed(runs.withWatermark("event_time", delay), "event_time")
     parsed = T.StructType.fromDDL(schema)
-    out = watched.groupBy("key").transformWithState(
-        statefulProcessor=Chunked(processor, parsed.names), outputStructType="chunk binary", outputMode="Append", timeMode="EventTime"
+    out = watched.groupBy("bucket").transformWithState(
+        statefulProcessor=Packed(processor, parsed.names), outputStructType="chunk binary", outputMode="Append", timeMode="EventTime"
     )
-    return _unchunked(out, parsed)
+    # Chunks of a few large keys leave from a few tasks; all tasks unpack them.
+    return _unchunked(out.repartition(df.sparkSession.sparkContext.defaultParallelism), parsed)
 
 
 def held_state(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
-    """What a stateful stream holds after its last batch, as a table: ``state`` (open windows, counters) or ``index`` (rows not yet due)."""
-    return spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
+    """What a stateful stream holds after its last batch, as a table: ``state`` (open windows, counters; a row per key) or ``index`` (rows not yet due; a row per bucket)."""
+    held = spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
+    if name != "state":
+        return held
+    one = held.select(F.explode("value.open").alias("value"))
+    return one.select(F.struct("value.key").alias("key"), F.col("value").dropFields("key").alias("value"))
 
 
 def unpack(out: DataFrame, schema: T.StructType, packed: str = "row", dest: str = "__row") -> DataFrame:
@@ -196,7 +244,7 @@ def unpack(out: DataFrame, schema: T.StructType, packed: str = "row", dest: str
 
 
 class OrderedProcessor(StatefulProcessor):
-    """Buffers rows and hands them to ``step`` in order once the watermark passes.
+    """Buffers rows of one or many keys and hands them to ``step`` in order once the watermark passes.
 
     ``step(state, rows)`` yields output rows and returns nothing; ``state`` is a
     list of plain values it may change. ``closes(state)`` is the time (in
@@ -221,7 +269,8 @@ class OrderedProcessor(StatefulProcessor):
         self.handle = handle
         self.runs = handle.getMapState("runs", "run long", RUN_SCHEMA)
         self.index = handle.getValueState("index", INDEX_SCHEMA)
-        self.state = handle.getValueState("state", self.state_schema)
+        self.state = handle.getValueState("state", f"open array<struct<key string, {self.state_schema}>>")
+        self.walked = handle.getValueState("walked", "t long")
 
     def _wake(self, at_us: int, watermark_ms: int) -> None:
         at = max(-(-at_us // 1000), watermark_ms + 1, 1)
@@ -248,7 +297,7 @@ class OrderedProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         first = None
         runs, number = self._held()
-        packed = ((r["t"], r["id"], r["tag"], r["row"]) for r in rows)
+        packed = ((r["t"], r["id"], key[0], r["tag"], r["row"]) for r in rows)
         while batch := sorted(islice(packed, SORTED_ROWS)):
             number = self._hold(batch, runs, number)
             first = batch[0][0] if first is None else min(first, batch[0][0])
@@ -257,6 +306,22 @@ class OrderedProcessor(StatefulProcessor):
             self._wake(first, timerValues.getCurrentWatermarkInMs())
         return iter(())
 
+    def hold_packed(self, rows: Iterator[Row], watermark_ms: int) -> None:
+        """Hold runs as they come. Spark drops a run whose last row is late; rows before those walked by now are dropped here."""
+        runs, number = self._held()
+        known = len(runs)
+        walked = self.walked.get()[0] if self.walked.exists() else None
+        for r in rows:
+            if walked is not None and r["low"] <= walked:
+                number = self._hold([row for row in _spread(r["run"]) if row[0] > walked], runs, number)
+            else:
+                self.runs.updateValue((number,), ([r["low"], r["high"]], r["run"]))
+                runs.append((number, r["low"]))
+                number += 1
+        if len(runs) > known:
+            self.index.update((runs, number))
+            self._wake(min(low for _, low in runs[known:]), watermark_ms)
+
     def _take(self, ready: list[tuple[int, int]], limit: int, later: list[tuple]) -> Iterator[tuple]:
         """Rows up to ``limit`` of the ``ready`` runs in order; a run is read when its first row may be due."""
         waiting = sorted(ready, key=lambda r: r[1], reverse=True)
@@ -283,25 +348,33 @@ class OrderedProcessor(StatefulProcessor):
         ready = [r for r in runs if r[1] <= limit]
         runs = [r for r in runs if r[1] > limit]
         later: list[tuple] = []
-        state = list(self.state.get()) if self.state.exists() else self.empty()
-        name = key[0]
-        for row in self._take(ready, limit, later):
-            yield from self.step(name, state, row)
-        due = self.closes(state)
-        while due is not None and due <= limit:
-            yield from self.expire(name, state)
+        held = {name: state for name, *state in self.state.get()[0]} if self.state.exists() else {}
+        for t, rid, name, tag, row in self._take(ready, limit, later):
+            state = held.get(name)
+            if state is None:
+                state = held[name] = self.empty()
+            yield from self.step(name, state, (t, rid, tag, row))
+        wakes = []
+        for name, state in held.items():
             due = self.closes(state)
+            while due is not None and due <= limit:
+                yield from self.expire(name, state)
+                due = self.closes(state)
+            if due is not None:
+                wakes.append(due)
         if ready:
             number = self._hold(sorted(later), runs, number)
             if runs:
                 self.index.update((runs, number))
             else:
                 self.index.clear()
-        if state == self.empty():
-            self.state.clear()
+        nothing = self.empty()
+        if open_ := [(name, *state) for name, state in held.items() if state != nothing]:
+            self.state.update((open_,))
         else:
-            self.state.update(tuple(state))
-        wakes = [low for _, low in runs] + ([due] if due is not None else [])
+            self.state.clear()
+        self.walked.update((limit,))
+        wakes += [low for _, low in runs]
         if wakes:
             self._wake(min(wakes), watermark)
 
