@@ -273,3 +273,22 @@ def test_measures_find_bad_runs():
     repeats, worst, mean = quality.measures([text, "Orre " * 100, text + "zq", ""], grams, logs)
     assert repeats[1] > 0.95 > repeats[0] and worst[2] > worst[0] and mean[0] == quality.perplexities([text], grams, logs)[0]
     assert np.isnan([repeats[3], worst[3], mean[3]]).all()
+
+
+def test_texts_are_stored_once(spark, tmp_path, monkeypatch):
+    """Chunks of any size score alike; their files hold the texts, and neither tables nor shuffles move them again."""
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choices("01 ", k=8_000)) if i % 7 else None, "en" if i % 3 else "de") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = quality.train(docs.filter("doc_id < 20 AND lang = 'en'"))
+    monkeypatch.setattr("tidelog.llm.common.ensure_checkpoint_dir", lambda _: f"file://{tmp_path}")
+    found = {}
+    for chars in (12_000_000, 20_000):
+        monkeypatch.setattr(quality, "CHUNK_CHARS", chars)
+        scored = quality.perplexity(docs, model)
+        found[chars] = sorted((r["doc_id"], r["text"], r["__some"], *[r[m] for m in quality.MEASURES]) for r in scored.collect())
+        assert "Cogroup" not in scored._jdf.queryExecution().toString()
+    assert found[20_000] == found[12_000_000] and [r[:2] for r in found[20_000]] == [r[:2] for r in rows]
+    assert all((r[-1] is None) == (text is None or lang == "de") for r, (_, text, lang) in zip(found[20_000], rows))
+    sizes = {name: sum(p.stat().st_size for p in tmp_path.glob(f"{name}-*/**/*") if p.is_file()) for name in ("chunks", "dealt")}
+    assert sizes["chunks"] > 10 * sizes["dealt"] > 0

@@ -3,14 +3,16 @@
 Counts, discounts and probabilities are tables keyed by language and n-gram,
 made and looked up by shuffled joins, so that no machine holds the model. To
 score, documents are dealt into chunks of bounded text, in the order they are
-read; each chunk asks once for each n-gram it has, and the answers meet its
-documents in a cogroup. Labelled documents are scored with the others, once.
+read; each chunk asks once for each n-gram it has, and the answers are grouped
+by chunk where its documents are read again. Labelled documents are scored with the others, once.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import ExitStack
 from statistics import NormalDist
 
 import numpy as np
@@ -23,12 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import table, text_or_empty
+from tidelog.llm.common import filesystem, shared_path, table, text_or_empty
 from tidelog.plans.sizing import maybe_broadcast
 
 ORDER = 4
 START = "\x02"  # stands before each text
 CHUNK_CHARS = 12_000_000  # a longer text is a chunk of its own
+LEVEL = 6  # zstandard's, of chunks
 BLOCK_CHARS = 1_000_000  # n-grams of so much text are in a worker's memory at a time
 
 HELD_OUT = 5  # every fifth trusted document, by hash, sets the thresholds; the others train the model
@@ -125,61 +128,76 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(grams)), grams, pa.array(counts, pa.int64())], ["lang", "gram", "n"])
 
 
-def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows that follow each other, up to ``CHUNK_CHARS``, as one row: the chunk's number and its rows, compressed together.
+def dealer(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Writes rows that follow each other, up to ``CHUNK_CHARS``, to a file of ``folder``; gives back the chunk's number and the file's name.
 
     Equal rows share no chunk for being equal, so a group of copies of any size is spread like other rows.
     """
-    chunk = TaskContext.get().partitionId() << 32
-    held: list[pa.RecordBatch] = []
-    size = 0
-
-    def packed() -> pa.RecordBatch:
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, held[0].schema) as writer:
-            for part in held:
-                writer.write_batch(part)
-        blob = zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
-        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([blob], pa.binary())], ["__chunk", "__rows"])
 
-    for batch in batches:
-        lengths = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist()
-        start = 0
-        for i, length in enumerate(lengths):
-            if size and size + length > CHUNK_CHARS:
-                if i > start:
-                    held.append(batch.slice(start, i - start))
-                yield packed()
-                chunk, held, size, start = chunk + 1, [], 0, i
-            size += length
-        if batch.num_rows > start:
-            held.append(batch.slice(start))
-    if held:
-        yield packed()
-
-
-def unpack(blob: bytes) -> pa.Table:
-    with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)) as reader:
-        return reader.read_all()
-
-
-def languages(rows: pa.Table) -> Iterator[tuple[str, np.ndarray, list[str]]]:
-    """Each language of a chunk, the numbers of its rows, and their texts."""
-    langs = pc.fill_null(rows["lang"].combine_chunks(), "")
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = filesystem(folder)
+        fs.create_dir(root, recursive=True)
+        chunk, size, open_, file = TaskContext.get().partitionId() << 32, 0, ExitStack(), ""
+        writer = None
+
+        def closed() -> pa.RecordBatch:
+            open_.close()
+            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([file])], ["__chunk", "__file"])
+
+        for batch in batches:
+            lengths = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist()
+            start = 0
+            for i, length in enumerate(lengths):
+                if size and size + length > CHUNK_CHARS:
+                    if i > start:
+                        writer.write_batch(batch.slice(start, i - start))
+                    yield closed()
+                    chunk, size, start, writer = chunk + 1, 0, i, None
+                if writer is None:
+                    file = f"{uuid.uuid4().hex}.arrow"
+                    raw = open_.enter_context(fs.open_output_stream(f"{root}/{file}", compression=None))
+                    packed = open_.enter_context(zstandard.ZstdCompressor(level=LEVEL).stream_writer(raw))
+                    writer = open_.enter_context(pa.ipc.new_stream(packed, batch.schema))
+                size += length
+            if batch.num_rows > start:
+                writer.write_batch(batch.slice(start))
+        if writer is not None:
+            yield closed()
+
+    return deal
+
+
+def unpack(folder: str, file: str) -> Iterator[pa.RecordBatch]:
+    """The rows of a chunk, a batch at a time."""
+    fs, root = filesystem(folder)
+    with fs.open_input_stream(f"{root}/{file}", compression="zstd") as source, pa.ipc.open_stream(source) as rows:
+        yield from rows
+
+
+def languages(rows: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, list[str]]]:
+    """Each language of a batch, the numbers of its rows, and their texts."""
+    langs = pc.fill_null(rows["lang"], "")
     for lang in pc.unique(langs).to_pylist():
         at = np.flatnonzero(pc.equal(langs, lang).to_numpy(zero_copy_only=False))
         yield lang, at, [t or "" for t in rows["text"].take(pa.array(at)).to_pylist()]
 
 
-def ask_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def asker(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The distinct n-grams of each chunk and language."""
-    for batch in batches:
-        for chunk, blob in zip(batch.column("__chunk"), batch.column("__rows")):
-            for lang, _, texts in languages(unpack(blob.as_py())):
-                parts = [distinct_grams(texts[a:b])[0] for a, b in blocks(texts)]
-                grams = pc.unique(pa.concat_arrays(parts)) if parts else pa.array([], pa.string())
-                n = len(grams)
-                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(chunk.as_py(), pa.int64()), n), pa.repeat(pa.scalar(lang, pa.string()), n), grams], ["__chunk", "lang", "gram"])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, file in zip(batch.column("__chunk").to_pylist(), batch.column("__file").to_pylist()):
+                asked: dict[str, pa.Array] = {}
+                for rows in unpack(folder, file):
+                    for lang, _, texts in languages(rows):
+                        parts = [distinct_grams(texts[a:b])[0] for a, b in blocks(texts)]
+                        asked[lang] = pc.unique(pa.concat_arrays([asked.get(lang, pa.array([], pa.string())), *parts]))
+                for lang, grams in asked.items():
+                    n = len(grams)
+                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(chunk, pa.int64()), n), pa.repeat(pa.scalar(lang, pa.string()), n), grams], ["__chunk", "lang", "gram"])
+
+    return ask
 
 
 def means(x: np.ndarray, width: int) -> np.ndarray:
@@ -233,21 +251,23 @@ def measures(texts: list[str], grams: pa.Array, logs: np.ndarray) -> np.ndarray:
     return out
 
 
-def scorer(names: list[str]):
-    """Cogroup: one chunk, and the log probabilities of its n-grams. ``names`` are the columns to give back."""
-
-    def score(chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        docs = unpack(chunk["__rows"][0].as_py())
-        found = np.full((len(MEASURES), docs.num_rows), np.nan)
-        for lang, rows, texts in languages(docs):
-            own = answers.filter(pc.equal(answers["lang"], lang))
-            if own.num_rows:
-                found[:, rows] = measures(texts, own["gram"].combine_chunks(), own["log"].to_numpy().astype(np.float64))
-        some = pc.greater(pc.fill_null(pc.binary_length(docs["text"]), 0), 0)
-        docs = docs.select(names).append_column("__some", some)
-        for name, values in zip(MEASURES, found):
-            docs = docs.append_column(name, pa.array(np.round(values, 4), pa.float64(), from_pandas=True))
-        return docs
+def scorer(folder: str, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A group: the log probabilities of a chunk's n-grams, and a row with its file. ``names`` are the columns to give back."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(batches)
+        file = group["__file"].drop_null()[0].as_py()
+        answers = {lang: group.filter(pc.equal(group["lang"], lang)).select(["gram", "log"]).combine_chunks() for lang in pc.unique(group["lang"]).to_pylist() if lang is not None}
+        del group
+        for docs in unpack(folder, file):
+            found = np.full((len(MEASURES), docs.num_rows), np.nan)
+            for lang, rows, texts in languages(docs):
+                if lang in answers:
+                    own = answers[lang]
+                    found[:, rows] = measures(texts, own["gram"].combine_chunks(), own["log"].to_numpy().astype(np.float64))
+            some = pc.greater(pc.fill_null(pc.binary_length(docs["text"]), 0), 0)
+            scores = [pa.array(np.round(values, 4), pa.float64(), from_pandas=True) for values in found]
+            yield pa.RecordBatch.from_arrays([*docs.select(names).columns, some, *scores], [*names, "__some", *MEASURES])
 
     return score
 
@@ -333,19 +353,22 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 def perplexity(docs: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]], *, text: bool = True) -> DataFrame:
     """``docs`` with ``MEASURES``, null for empty texts and for languages without a model, and ``__some``: the text is not empty.
 
-    The texts are dealt into chunks and written, compressed; chunks ask for
-    their n-grams, each distinct one is looked up once, and texts and answers
-    meet in a cogroup. Without ``text`` the texts don't come back from there.
+    The texts are dealt into chunks and written once, compressed, each chunk a
+    file of the shared folder. Chunks ask for their n-grams, each distinct one
+    is looked up once, and a chunk's answers are grouped where its file is read
+    again. Without ``text`` the texts don't come back from there.
     """
     typed = docs.withColumn("text", F.col("text").cast("string"))
-    dealt = table(typed.mapInArrow(deal, "__chunk long, __rows binary"), "dealt")
-    asked = table(dealt.mapInArrow(ask_grams, "__chunk long, lang string, gram string"), "asked")
+    folder = shared_path(docs.sparkSession, "chunks")
+    dealt = table(typed.mapInArrow(dealer(folder), "__chunk long, __file string"), "dealt")
+    asked = table(dealt.mapInArrow(asker(folder), "__chunk long, lang string, gram string"), "asked")
     logs = table(look_up(table(asked.select("lang", "gram").distinct(), "wanted"), model), "logs")
-    answers = asked.join(logs, ["lang", "gram"])
+    files = dealt.select("__chunk", *[F.lit(None).cast(kind).alias(name) for name, kind in (("lang", "string"), ("gram", "string"), ("log", "float"))], "__file")
+    answers = asked.join(logs, ["lang", "gram"]).select("__chunk", "lang", "gram", "log", F.lit(None).cast("string").alias("__file"))
     names = [c for c in docs.columns if text or c != "text"]
     schema = T.StructType([*typed.select(*[F.col(f"`{c}`") for c in names]).schema.fields, T.StructField("__some", T.BooleanType()), *[T.StructField(m, T.DoubleType()) for m in MEASURES]])
-    chunks = max(1, dealt.select("__chunk").count())
-    return dealt.repartition(chunks, "__chunk").groupBy("__chunk").cogroup(answers.groupBy("__chunk")).applyInArrow(scorer(names), schema)
+    chunks = max(1, dealt.count())
+    return answers.union(files).repartition(chunks, "__chunk").groupBy("__chunk").applyInArrow(scorer(folder, names), schema)
 
 
 def thresholds(scored: DataFrame, quantile: float) -> DataFrame:
