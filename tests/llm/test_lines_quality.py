@@ -154,6 +154,37 @@ def test_wide_simhash_equals_narrow(spark):
     assert a == b == sum(1 << k for k in range(64) if k % 8 < 4 and 2 * sum(h >> k & 1 for h in hashes) > 63)
 
 
+def test_open_buckets_are_compared_in_cells(spark, monkeypatch):
+    """Lines with an equal end that are else unlike: all ties of parts are found, and no pair of lines becomes a row."""
+    rng = random.Random(5)
+
+    def word():
+        return "".join(rng.choices("abcdefgh", k=rng.randint(2, 8)))
+
+    end = " ".join(word() for _ in range(20))
+    lines = []
+    for _ in range(300):
+        lines.append(f"{' '.join(word() for _ in range(16))} {end}")
+        for _ in range(rng.randint(0, 2)):
+            k = rng.randrange(60)
+            lines.append(lines[-1][:k] + "z" + lines[-1][k + 1 :])
+    norms = spark.createDataFrame([(i, t, len(t.split()), None) for i, t in enumerate(lines)], "node long, norm string, n int, symbols string")
+    open_ = norms.select(F.lit(1).cast("long").alias("bucket"), "node", F.col("node").alias("part"))
+    monkeypatch.setattr(line_dedup, "CELL_LINES", 16)
+    got = {(r["b"], r["a"]) for r in line_dedup.compared(open_, norms).collect()}
+    assert got == set(similar(lines)) and len(got) > 200
+    # The whole query goes that way, and verifies no more pairs than a few for each line.
+    seen = []
+    verified, compared = line_dedup.verified, line_dedup.compared
+    monkeypatch.setattr(line_dedup, "verified", lambda pairs, norms: seen.append(pairs.count()) or verified(pairs, norms))
+    monkeypatch.setattr(line_dedup, "compared", lambda open_, norms: seen.append(0) or compared(open_, norms))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    out = {r["doc_id"] for r in line_dedup.deduplicate_lines(docs).filter("__n_removed > 0").collect()}
+    assert 0 in seen and sum(seen) < 20 * len(lines)
+    want = {n for n, _ in brute_lines([(i, i, t) for i, t in enumerate(lines)])}
+    assert out <= want and len(out) > 0.9 * len(want)
+
+
 def test_odd_lines(spark, odd_docs):
     out = line_dedup.deduplicate_lines(odd_docs)
     assert out.count() == odd_docs.count() and out.columns[: len(odd_docs.columns)] == odd_docs.columns

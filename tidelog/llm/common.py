@@ -130,20 +130,25 @@ def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     raise RuntimeError(f"components: not settled after {max_rounds} rounds")
 
 
-def link(members: DataFrame, near: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link(
+    members: DataFrame, near: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """Links among nodes that share a bucket, enough that their components equal those of all links.
 
     ``members`` has ``bucket``, ``node`` and a ``mark`` for ``near``, a cheap
     necessary condition of two marks. ``verify`` takes pairs (``a``, ``b``) and
-    returns those that are links.
+    returns those that are links. ``compare`` takes what is open after the rounds
+    (``bucket``, ``node``, ``part``) and returns links between all parts that
+    have one in a bucket; without it all near pairs of different components are
+    verified.
 
     Each round compares one node of each bucket, its centre, with the bucket's
     nodes of other components, and then leaves it out, for all its pairs are
     done. A bucket that is one component by now is done too: with a group of
     near copies, of any size, that is nearly always after the first round.
-    After ``STAR_ROUNDS`` all near pairs of different components that share a
-    bucket are compared. So the pairs of a group that is tied together are
-    never listed, and no link between components is lost.
+    After ``STAR_ROUNDS`` all that is left of a bucket is compared. So the pairs
+    of a group that is tied together are never listed, and no link between
+    components is lost.
     """
     links, round_ = None, 0
     open_ = table(members.select("bucket", "node", "mark", F.col("node").alias("part")), "members")
@@ -161,6 +166,8 @@ def link(members: DataFrame, near: Callable[[Column, Column], Column], verify: C
             return links
         round_ += 1
         if round_ == STAR_ROUNDS:
+            if compare:
+                return table(links.union(compare(open_.select("bucket", "node", "part"))), "links")
             x = open_.select("bucket", F.col("node").alias("a"), F.col("mark").alias("mark_a"), F.col("part").alias("part_a"))
             y = open_.select("bucket", F.col("node").alias("b"), F.col("mark").alias("mark_b"), F.col("part").alias("part_b"))
             rest = x.join(y, "bucket").filter((F.col("part_a") < F.col("part_b")) & near(F.col("mark_a"), F.col("mark_b"))).select("a", "b")

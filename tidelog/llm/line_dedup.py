@@ -34,6 +34,8 @@ STEP = 1.2  # sizes of halves grow by this; a line has those of two sizes, so th
 
 NOT_BLANK = "[^ \\t\\n\\x0B\\f\\r]"  # what WORD_GAP leaves
 
+CELL_LINES, CELL_CHARS = 64, 200_000  # of one block, about; a cell compares two
+
 LONG_WORDS = 500  # the distance of longer lines is counted in words: in letters it would cost the square of a long text
 
 # Words of more letters than this on average are a script without spaces; so few words have no quarters. Letters stand for words there.
@@ -133,19 +135,58 @@ def spellings(lines: DataFrame, docs: DataFrame) -> DataFrame:
     return table(found.withColumn("symbols", symbols).dropDuplicates(["node"]), "norms")
 
 
-def verified(pairs: DataFrame, norms: DataFrame) -> DataFrame:
-    """Of ``pairs`` (``a``, ``b``: nodes), those whose normalised lines are similar.
+def limit_sql(x: str, y: str) -> str:
+    return f"cast(floor(greatest(length({x}), length({y})) * (1 - {LIKE}D) + 1e-6D) as int)"
+
+
+def near_sql(x: str, y: str) -> str:
+    return f"abs(length({x}) - length({y})) <= {limit_sql(x, y)}"
+
+
+def alike(a: str, b: str) -> str:
+    """SQL for whether two lines, structs with ``norm``, ``n`` and ``symbols``, are similar.
 
     If one has over ``LONG_WORDS`` words, edits are counted in words for both; a
     line without ``symbols`` is then too short to be similar.
     """
-    sides = [norms.select(*[F.col(c).alias(f"{c}_{side}") for c in norms.columns]) for side in "ab"]
+    long = f"greatest({a}.n, {b}.n) > {LONG_WORDS}"
+
+    def within(x: str, y: str) -> str:
+        # Within the bound the distance takes the bound times the length; past it, -1.
+        return f"{near_sql(x, y)} AND levenshtein({x}, {y}, {limit_sql(x, y)}) >= 0"
+
+    return f"CASE WHEN {long} THEN {within(f'{a}.symbols', f'{b}.symbols')} ELSE {within(f'{a}.norm', f'{b}.norm')} END"
+
+
+def verified(pairs: DataFrame, norms: DataFrame) -> DataFrame:
+    """Of ``pairs`` (``a``, ``b``: nodes), those whose normalised lines are similar."""
+    sides = [norms.select(F.col("node").alias(f"node_{side}"), F.struct("norm", "n", "symbols").alias(side * 2)) for side in "ab"]
     both = pairs.join(sides[0], F.col("a") == F.col("node_a")).join(sides[1], F.col("b") == F.col("node_b"))
-    long = F.greatest("n_a", "n_b") > LONG_WORDS
-    both = both.select("a", "b", *[F.when(long, F.col(f"symbols_{side}")).otherwise(F.col(f"norm_{side}")).alias(side * 2) for side in "ab"])
-    both = both.withColumn("limit", allowed(F.greatest(F.length("aa"), F.length("bb"))))
-    # Within the bound the distance takes the bound times the length; past it, -1.
-    return both.filter(F.expr("abs(length(aa) - length(bb)) <= limit AND levenshtein(aa, bb, limit) >= 0")).select("a", "b")
+    return both.filter(F.expr(alike("aa", "bb"))).select("a", "b")
+
+
+def compared(open_: DataFrame, norms: DataFrame) -> DataFrame:
+    """Links (``a``, ``b``: parts) between the parts of ``open_`` (``bucket``, ``node``, ``part``) that have similar lines in a bucket.
+
+    A bucket's lines are dealt into blocks of bounded text, and each two blocks
+    are a cell. A cell is one row, compared where it lies; of it come the pairs
+    of parts that are tied, never its pairs of lines.
+    """
+    lines = table(open_.join(norms, "node"), "open")
+    sizes = lines.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / CELL_LINES, F.sum(F.length("norm")) / CELL_CHARS)).alias("blocks"))
+    dealt = lines.join(maybe_broadcast(table(sizes, "sizes")), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    held = dealt.groupBy("bucket", "block", "blocks").agg(F.collect_list(F.struct("node", "part", "norm", "n", "symbols")).alias("held"))
+    cells = table(held, "blocks").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = [F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")]
+    rows = cells.select("bucket", *cell, (F.col("block") <= F.col("other")).alias("first"), "held")
+    x = rows.filter("first").select("bucket", "low", "high", F.col("held").alias("xs"))
+    # A block meets itself in one cell, as both sides of it.
+    y = rows.filter("NOT first OR low = high").select("bucket", "low", "high", F.col("held").alias("ys"))
+    met = f"filter(ys, y -> x.part <> y.part AND {near_sql('x.norm', 'y.norm')} AND ({alike('x', 'y')}))"
+    tied = f"array_distinct(flatten(transform(xs, x -> transform({met}, y -> struct(greatest(x.part, y.part) AS a, least(x.part, y.part) AS b)))))"
+    # So many tasks, whatever little data the cells are: their work is not in their bytes.
+    tasks, key = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["bucket", "low", "high"]
+    return x.repartition(tasks, *key).join(y.repartition(tasks, *key).hint("merge"), key).select(F.explode(F.expr(tied)).alias("t")).select("t.a", "t.b").distinct()
 
 
 def similar_lines(lines: DataFrame, docs: DataFrame) -> DataFrame:
@@ -155,7 +196,7 @@ def similar_lines(lines: DataFrame, docs: DataFrame) -> DataFrame:
     shared = table(keyed.groupBy("bucket").count().filter("count > 1").select("bucket"), "shared")
     members = table(keyed.join(maybe_broadcast(shared), "bucket", "left_semi"), "keyed")
     norms = spellings(lines.join(maybe_broadcast(table(members.select("node").distinct(), "nodes")), "node", "left_semi"), docs)
-    return link(members, near, lambda pairs: verified(pairs, norms))
+    return link(members, near, lambda pairs: verified(pairs, norms), lambda open_: compared(open_, norms))
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
