@@ -125,3 +125,39 @@ def test_long_pieces_merge_as_in_the_library():
     started = time.monotonic()
     assert len(MERGER.word("".join(rng.choices("acgt", k=1_000_000)))) > 100_000
     assert time.monotonic() - started < 60
+
+
+def test_words_that_last_outlive_the_others():
+    """A full memory of words lets those of the lexicon stay and drops the rest; the ids are the same."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tidelog.llm.word_ids import WordIds
+
+    asked = []
+
+    def resolve(words):
+        asked.extend(words)
+        spelled = [list(w.encode()) for w in words]
+        return np.array([b for s in spelled for b in s], np.uint32), np.array([len(s) for s in spelled], np.int64)
+
+    def lasting(words):
+        return np.array([w.startswith("often") for w in words])
+
+    coded = WordIds(resolve, False, lasting, kept=30)
+    for n in range(40):
+        texts = [f"often{k} rare{n}x{k} often{k + 1}" for k in range(7)] + ["", None]
+        ids, offsets = coded.encode(pa.array(texts))
+        assert [bytes(ids[a:b].astype(np.uint8).tolist()).decode() for a, b in zip(offsets, offsets[1:])] == [(t or "").replace(" ", "") for t in texts]
+        assert len(coded.slots) <= 30 and len(coded.ids) <= coded.counts.sum()
+    assert sorted(w for w in asked if w.startswith("often")) == [f"often{k}" for k in range(8)]
+
+
+def test_encoded_in_pieces():
+    import pyarrow as pa
+
+    from tidelog.llm import bpe
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1_001))], ["doc_id"])
+    parts = list(bpe.pieces(iter([batch, batch.slice(0, 0)])))
+    assert max(p.num_rows for p in parts) <= bpe.PIECE_ROWS and pa.Table.from_batches(parts).column(0).to_pylist() == list(range(1_001))

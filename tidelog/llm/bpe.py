@@ -26,7 +26,9 @@ from tidelog.llm.word_ids import WordIds, folds, worker_cache
 
 # The lexicon holds up to this many of the corpus's most frequent words; it bounds the file, not the result.
 LEXICON_WORDS = 100_000
+OTHER_WORDS = 50_000  # that a worker remembers besides those of the lexicon
 KEPT_PIECES = 100_000  # merged pieces a worker remembers
+PIECE_ROWS = 250  # documents encoded at once
 SHORT_PIECE = 100  # letters; in longer pieces merges are found by a heap, and they are not remembered
 
 
@@ -58,7 +60,9 @@ class Merger:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.ranks[vocab[a] << 32 | vocab[b]] = rank
             self.merged.append(vocab[a + b])
-        library = Tokenizer.from_file(tokenizer_file)
+        # Of the library only the steps before its model are used; the model's tables would be held twice.
+        steps = {"model": model | {"vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None, "decoder": None}
+        library = Tokenizer.from_str(json.dumps(spec | steps))
         self.normalize, self.cut = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.plain = folds(tokenizer_file)
         self.letters = byte_letters()
@@ -149,7 +153,10 @@ def encoder(name: str, tokenizer_file: str) -> tuple[Merger, WordIds]:
         counts = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.uint32, counts.sum()), counts
 
-    return merger, worker_cache(("lexicon", name, tokenizer_file), lambda: WordIds(resolve, merger.plain))
+    def lasting(words: Sequence[str]) -> np.ndarray:
+        return lexicon.ranks([w.encode() for w in words]) >= 0
+
+    return merger, worker_cache(("lexicon", name, tokenizer_file), lambda: WordIds(resolve, merger.plain, lasting, LEXICON_WORDS + OTHER_WORDS))
 
 
 def frequent_words(docs: DataFrame, limit: int = LEXICON_WORDS) -> list[str]:
@@ -180,11 +187,18 @@ def build_lexicon(docs: DataFrame, tokenizer_file: str, limit: int = LEXICON_WOR
     return uri.rpartition("/")[2]
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of ``PIECE_ROWS``: words, slots and places of all words of a piece are held at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PIECE_ROWS):
+            yield batch.slice(at, PIECE_ROWS)
+
+
 def coder(name: str, tokenizer_file: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger, coded = encoder(name, tokenizer_file)
         token = merger.tokens.__getitem__
-        for batch in batches:
+        for batch in pieces(batches):
             ids, offsets = coded.encode(batch.column("text"))
             raw, counts, id_hashes, text_hashes = ids.astype("<u4"), [], [], []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
@@ -205,7 +219,7 @@ def encode(docs: DataFrame, tokenizer_file: str, lexicon: str | None = None) ->
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, coded = encoder(lexicon, tokenizer_file)
-        for batch in batches:
+        for batch in pieces(batches):
             ids, offsets = coded.encode(batch.column("text"))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32), pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "ids"])

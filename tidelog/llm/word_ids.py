@@ -54,15 +54,29 @@ class WordIds:
 
     With ``fold``, trailing full stops and commas are looked up apart from the
     letter or digit before them, and words of Latin-1 letters in lower case:
-    fewer words to resolve, the same ids.
+    fewer words to resolve, the same ids. ``lasting`` tells the words that come
+    again and again; they stay when others have to go, for most distinct words of
+    a corpus are met once or twice.
     """
 
-    def __init__(self, resolve: Callable[[Sequence[str]], tuple[np.ndarray, np.ndarray]], fold: bool = False):
-        self.resolve, self.fold = resolve, fold
+    def __init__(
+        self, resolve: Callable[[Sequence[str]], tuple[np.ndarray, np.ndarray]], fold: bool = False,
+        lasting: Callable[[Sequence[str]], np.ndarray] | None = None, kept: int = KEPT_WORDS,
+    ):
+        self.resolve, self.fold, self.lasting, self.kept = resolve, fold, lasting, kept
+        self.slots: dict[str, int] = {"": 0}
         self.forget()
 
     def forget(self) -> None:
-        self.slots: dict[str, int] = {"": 0}
+        if self.lasting and len(self.slots) > 1:
+            stays = np.concatenate([self.lasting(some) for some in batched(self.slots, WORDS_PER_CALL)])
+            stays[0] = True
+            # Slots are numbered, and their ids laid out, in the order of the words.
+            self.ids, self.counts = self.ids[np.repeat(stays, self.counts)], self.counts[stays]
+            self.starts = np.cumsum(self.counts) - self.counts
+            self.slots = {w: n for n, w in enumerate(w for w, stay in zip(self.slots, stays.tolist()) if stay)}
+            return
+        self.slots = {"": 0}
         self.ids = np.empty(0, np.uint32)
         self.starts = np.zeros(1, np.int64)
         self.counts = np.zeros(1, np.int64)
@@ -71,9 +85,9 @@ class WordIds:
         slots = list(map(self.slots.get, words))
         if None in slots:
             new = {w: None for w, slot in zip(words, slots) if slot is None}
-            if len(self.slots) + len(new) > KEPT_WORDS and len(self.slots) > 1:
+            if len(self.slots) + len(new) > self.kept and len(self.slots) > 1:
                 self.forget()
-                new = dict.fromkeys(w for w in words if w)
+                new = dict.fromkeys(w for w in words if w not in self.slots)
             parts = [self.resolve(some) for some in batched(new, WORDS_PER_CALL)]
             ids, counts = (np.concatenate(p) for p in zip(*parts))
             first = len(self.slots)
